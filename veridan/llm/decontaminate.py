@@ -6,8 +6,8 @@ the benchmark are joined with the seeds of every document. Around each hit the i
 laid side by side; the pair counts if a window of ``WINDOW`` words (the whole item if it is shorter) about
 the hit agrees in at least ``AGREE`` of its places.
 
-Documents are never shuffled and never multiplied by their positions: a bitmap of fixed size, made from the
-benchmark's seeds, first picks the positions whose seed may occur; only those become rows, each with the
+Documents are never shuffled and never multiplied by their positions: a bitmap of bounded size, made from
+the benchmark's seeds, first picks the positions whose seed may occur; only those become rows, each with the
 bounded stretch of words that verification needs. Only (document, item) pairs are aggregated. The
 benchmark is broadcast in parts of at most ``SEEDS_AT_ONCE`` seeds, counted first; a larger benchmark
 takes several passes over the documents.
@@ -28,10 +28,6 @@ from pyspark.sql import functions as F
 MASKS = ("1101101", "110010101", "1010001101")
 WINDOW, AGREE, MIN_WORDS = 20, 0.8, 5
 SEEDS_AT_ONCE = 500_000
-#: 64-bit words of the bitmap: 16 million bits, 2 MB.
-BITMAP = 1 << 18
-
-
 def word_hashes(text: str) -> Column:
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -47,14 +43,23 @@ def _seeds(words: str, at: str, masks: list[str], size: str) -> Column:
     return F.array(*[F.expr(f"if({at} + {len(m)} <= {size}, {_seed(words, at, m, i)}, null)") for i, m in enumerate(masks)])
 
 
-def _bitmap(seeds: DataFrame) -> Column:
-    """One array of ``BITMAP`` longs, as a scalar subquery: a bit for each seed."""
-    have = seeds.select(
-        F.expr(f"int(shiftrightunsigned(b_seed, 6) & {BITMAP - 1})").alias("at"), F.expr("shiftleft(1L, int(b_seed & 63))").alias("bit")
-    ).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = seeds.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("at"))
-    full = every.join(F.broadcast(have), "at", "left").select(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("b"))
-    return full.agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["bits"]).alias("bits")).scalar()
+def _dense(marks: DataFrame, n: int, empty: str) -> DataFrame:
+    """One row, one array ``bits``: for 0 .. n-1 the value of ``marks`` (at, bits), or ``empty``."""
+    every = marks.sparkSession.range(n).select(F.col("id").cast("int").alias("at"))
+    full = every.join(F.broadcast(marks), "at", "left").select(F.struct("at", F.expr(f"coalesce(bits, {empty})").alias("bits")).alias("b"))
+    return full.agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["bits"]).alias("bits"))
+
+
+def _bitmap(seeds: DataFrame, n: int) -> Column:
+    """``n`` longs as a scalar subquery: a bit for each seed."""
+    at, bit = F.expr(f"int(shiftrightunsigned(b_seed, 6) & {n - 1})"), F.expr("shiftleft(1L, int(b_seed & 63))")
+    return _dense(seeds.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")), n, "0L").scalar()
+
+
+def _vocabulary(items: DataFrame, n: int) -> Column:
+    """``n`` booleans as a scalar subquery: whether a word of the benchmark has this remainder."""
+    at = items.select(F.explode("b_words").alias("word")).select(F.expr(f"int(word & {n - 1})").alias("at")).distinct()
+    return _dense(at.withColumn("bits", F.lit(True)), n, "false").scalar()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
@@ -73,7 +78,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     passes = max(1, -(-total // SEEDS_AT_ONCE))
 
     own = docs.where("doc_id IS NOT NULL").select("doc_id", word_hashes("text").alias("words")).withColumn("size", F.size("words"))
-    own = own.where(F.col("size") >= MIN_WORDS)
+    # Powers of two, in proportion to one pass's seeds: 128 KB to 2 MB, and 64 KB to 1 MB.
+    n_bits = 1 << min(18, max(14, (total // passes // 2).bit_length()))
+    n_words = 1 << min(20, max(16, (4 * total // passes).bit_length()))
     out = None
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("b_item"), F.lit(passes)) == p)
@@ -81,15 +88,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         at = at.select("b_item", "b_words", "b_size", "b_pos", F.posexplode(_seeds("b_words", "b_pos", every, "b_size")).alias("no", "b_seed"))
         # Runs as long as a whole short item serve such items only.
         at = at.where("b_seed IS NOT NULL").where((F.col("no") < len(masks)) | (F.col("b_size") < shortest)).drop("no")
-        marked = own.withColumn("bits", _bitmap(at))
-        test = " or ".join(
-            f"(i + {len(m)} <= size and (shiftright(get(bits, int(shiftrightunsigned({s}, 6) & {BITMAP - 1})), int({s} & 63)) & 1L) = 1L)"
-            for m, s in ((m, _seed("words", "i", m, n)) for n, m in enumerate(every))
-        )
-        near = marked.select("doc_id", "size", F.explode(F.expr(
-            f"transform(filter(sequence(0, size - 1), i -> {test}), i -> struct(i as pos, greatest(0, i - {window}) as lo,"
+        marked = own.withColumns({"bits": _bitmap(at, n_bits), "vocabulary": _vocabulary(part, n_words)})
+        marked = marked.withColumn("known", F.expr(f"transform(words, w -> get(vocabulary, int(w & {n_words - 1})))"))
+        # A seed is hashed only where all of its words are the benchmark's.
+        tests = []
+        for no, mask in enumerate(every):
+            places = " and ".join(f"get(known, i + {k})" for k, c in enumerate(mask) if c == "1")
+            seed = _seed("words", "i", mask, no)
+            bit = f"(shiftright(get(bits, int(shiftrightunsigned({seed}, 6) & {n_bits - 1})), int({seed} & 63)) & 1L) = 1L"
+            tests.append(f"({places} and {bit})")
+        # explode_outer: for an inner explode Spark would infer a filter that does all the work twice.
+        near = marked.select("doc_id", "size", F.explode_outer(F.expr(
+            f"transform(filter(sequence(0, size - 1), i -> {' or '.join(tests)}), i -> struct(i as pos, greatest(0, i - {window}) as lo,"
             f" slice(words, greatest(0, i - {window}) + 1, {2 * window + longest}) as words))"
-        )).alias("n"))
+        )).alias("n")).where("n IS NOT NULL")
         near = near.select("doc_id", "size", "n.pos", "n.lo", "n.words")
         near = near.select("doc_id", "size", "pos", "lo", "words", F.explode(_seeds("words", "(pos - lo)", every, "(size - lo)")).alias("seed"))
         hit = near.where("seed IS NOT NULL").join(F.broadcast(at), F.col("seed") == F.col("b_seed"))
