@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, ngram_join, quality
+from . import ann_forest, bpe, decontaminate, langid, ngram_join, quality, token_files, warc
+from .common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(table, table.where("vec_id % 100 = 0"), k=10)
+
+
+def op4_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.document_digests(spark, path)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -48,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard, op6_quality, op7_byte_bpe, op8_decontamination, op10_language_id, pipeline)
+        for f in (op1_ngram_jaccard, op3_ann_forest, op4_token_rans, op5_warc, op6_quality, op7_byte_bpe, op8_decontamination, op10_language_id, pipeline)
     }
 
 
