@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe, decontaminate, langid, ngram_join, quality, token_files, warc
+from . import ann_forest, bpe, chat, decontaminate, langid, license_scan, ngram_join, quality, token_files, warc
 from .common import scratch
 
 
@@ -20,6 +20,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     return ann_forest.nearest(table, table.where("vec_id % 100 = 0"), k=10)
@@ -52,6 +56,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.expr("array_join(transform(mask, m -> concat(m.start, '-', m.end)), ',')")
+    return chat.rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", spans)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit_languages(docs))
@@ -67,9 +76,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard, op3_ann_forest, op4_token_rans, op5_warc, op6_quality, op7_byte_bpe, op8_decontamination, op10_language_id, pipeline)
+        for f in (op1_ngram_jaccard, op2_license_scan, op3_ann_forest, op4_token_rans, op5_warc, op6_quality, op7_byte_bpe, op8_decontamination, op9_chat_rotation, op10_language_id, pipeline)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_rotation": chat.ROTATION_SQL}
