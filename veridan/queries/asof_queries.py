@@ -18,7 +18,7 @@ def _o(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFram
 
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # ``evs``: orders and returns as events, as in asof.event_stream; E and W: windows that end before the current row.
