@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import asof_queries, decision_queries
+from . import asof_queries, decision_queries, scoring_queries
 
-MODULES = [asof_queries, decision_queries]
+MODULES = [asof_queries, decision_queries, scoring_queries]
 
 
 def steady(sql: str) -> str:
