@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
-A word is one match of the pre-token pattern. Documents are dealt into blocks of bounded size. Each
-block emits every distinct word it holds once (its positions are the block's own texts); the words are
-shuffled by word, each distinct word is encoded once, and (block, word, ids) goes back to the block, where
-the ids are put together by position. Decoding joins the table of token bytes, which is as large as the
-vocabulary, never as the data.
+A word is one match of the pre-token pattern. Documents, their texts compressed, are dealt into blocks of
+bounded size. Each block emits every distinct word it holds once (its positions are the block's own texts);
+the words are shuffled by word, each distinct word is encoded once, and (block, word, ids) goes back to the
+block, where the ids are put together by position. Words that would come from nearly every block are
+encoded beforehand and broadcast instead: the ``COMMON`` most frequent ones of a bounded sample. Which words
+these are changes what is shuffled, never a result. Decoding joins the table of token bytes, which is as
+large as the vocabulary, never as the data.
 
 Defined cases: a null text counts as empty, without ids. Extra columns pass through encode() as long as
-they are not called ``ids``, which is replaced. Repeated rows give repeated results. White space, whatever
+they are not called ``ids``, which is replaced; the text itself can be had back by decode(). Repeated rows give repeated results. White space, whatever
 its kind or length, is encoded like any other text, so decoding returns the exact bytes.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +27,14 @@ import pandas as pd
 import public_tokenizers
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 16_000_000
+#: Bytes of text in a block, about; documents of the sample for common words, and how many words that gives.
+BLOCK_BYTES, SAMPLE_DOCS, COMMON = 8_000_000, 40_000, 250_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space for which the quick split below doesn't hold.
 _ODD = re.compile("[\\x00\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|  |\n\n|\n | \n|\\A[ \n]|[ \n]\\Z")
@@ -60,70 +64,105 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
 
 
-def _blocks(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-size // BLOCK_BYTES))
+def _common_words(docs: DataFrame, n_docs: int, path: str) -> dict[str, bytes]:
+    """The most frequent words of a sample of about ``SAMPLE_DOCS`` documents, with their ids."""
+    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
+    some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = _pattern().findall
+        for pdf in batches:
+            of_piece, of_word = Counter(), Counter()
+            for t in pdf["text"]:
+                of_piece.update(pieces(t))
+            for p, n in of_piece.items():
+                for w in find(p):
+                    of_word[w] += n
+            yield pd.DataFrame({"word": list(of_word.keys()), "n": list(of_word.values())})
+
+    top = some.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
+    words = top.orderBy(F.desc("n"), "word").limit(COMMON).select("word").toPandas()["word"]
+    return {w: _ids(w, path) for w in words}
+
+
+def _ids(word: str, path: str) -> bytes:
+    kind = "<u2" if len(_ranks(path)) <= 65536 else "<u4"
+    return np.array(_encoding(path)._encode_single_piece(word.encode("utf-8", "surrogatepass")), kind).tobytes()
 
 
 def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>): the ids of the whole text."""
+    """The columns of ``docs`` but ``text``, and ``ids`` (array<int>): the ids of the whole text."""
     path = ranks or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
     cols = [c for c in docs.columns if c != "ids"]
     docs = docs.select(*[F.col(f"`{c}`") for c in cols]).toDF(*[f"c{i}" for i in range(len(cols))])
     text = f"c{cols.index('text')}"
-    n = _blocks(docs.select(F.col(text).alias("text")))
-    key = F.pmod(F.xxhash64(*docs.columns[:1], text), F.lit(n)).cast("int")
+    size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("n")).first()
+    n = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    common = spark.sparkContext.broadcast(_common_words(docs.select(F.col(text).alias("text")), size["n"], path))
     parts = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.withColumn("block", key).repartition(parts, "block")
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = zstandard.ZstdCompressor(level=3)
+        for s in batches:
+            yield pd.Series([c.compress((t or "").encode("utf-8", "surrogatepass")) for t in s], dtype=object)
+
+    def unpacked(column: pd.Series) -> Iterator[str]:
+        d = zstandard.ZstdDecompressor()
+        for b in column:
+            yield d.decompress(b).decode("utf-8", "surrogatepass")
+
+    rest = [c for c in docs.columns if c != text]
+    key = F.pmod(F.xxhash64(*docs.columns[:1], text), F.lit(n)).cast("int")
+    dealt = docs.select(*rest, key.alias("block"), packed(text).alias("packed")).repartition(parts, "block")
 
     def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, set[str]] = {}
+        find, known = _pattern().findall, common.value
+        block, seen = None, set()
+
+        def words() -> Iterator[pd.DataFrame]:
+            own = {w for p in seen for w in find(p)} if seen else set()
+            own = sorted(own.difference(known))
+            for i in range(0, len(own), 50_000):
+                yield pd.DataFrame({"word": own[i : i + 50_000], "block": np.int32(block)})
+
         for pdf in batches:
-            for block, t in zip(pdf["block"], pdf[text], strict=True):
-                if t:
-                    seen.setdefault(block, set()).update(pieces(t))
-        find = _pattern().findall
-        for block in list(seen):
-            own = seen.pop(block)
-            words = set()
-            for p in own:
-                words.update(find(p))
-            words = sorted(words)
-            for i in range(0, len(words), 100_000):
-                yield pd.DataFrame({"word": words[i : i + 100_000], "block": np.int32(block)})
+            for b, t in zip(pdf["block"], unpacked(pdf["packed"]), strict=True):
+                if b != block:
+                    yield from words()
+                    block, seen = b, set()
+                seen.update(pieces(t))
+        yield from words()
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        single = _encoding(path)._encode_single_piece
         last, ids = None, b""
         for pdf in batches:
             out = []
             for w in pdf["word"]:
                 if w != last:
-                    last, ids = w, np.array(single(w.encode("utf-8", "surrogatepass")), "<u2" if len(_ranks(path)) <= 65536 else "<u4").tobytes()
+                    last, ids = w, _ids(w, path)
                 out.append(ids)
             yield pd.DataFrame({"block": pdf["block"], "word": pdf["word"], "ids": out})
 
-    words = dealt.mapInPandas(distinct_words, "word string, block int")
+    words = dealt.sortWithinPartitions("block").mapInPandas(distinct_words, "word string, block int")
     words = words.repartition(parts, "word").sortWithinPartitions("word").mapInPandas(encoded, "block int, word string, ids binary")
 
     def assembled(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         kind = "<u2" if len(_ranks(path)) <= 65536 else "<u4"
-        by_word = dict(zip(table["word"], table["ids"], strict=True))
-        find = _pattern().findall
-        at: dict[str, int] = {}
+        find, known, by_word = _pattern().findall, common.value, dict(zip(table["word"], table["ids"], strict=True))
         flat: list[bytes] = []
 
         class Index(dict):
             def __missing__(self, piece: str) -> int:
-                flat.append(b"".join([by_word[w] for w in find(piece)]))
+                flat.append(b"".join([known.get(w) or by_word[w] for w in find(piece)]))
                 self[piece] = i = len(flat) - 1
                 return i
 
         at = Index()
-        of = [np.fromiter(map(at.__getitem__, p), np.int64, len(p)) for p in map(pieces, own[text].fillna(""))]
-        size = np.dtype(kind).itemsize
-        length = np.array([len(b) // size for b in flat], np.int64)
+        of = [np.fromiter(map(at.__getitem__, p), np.int32, len(p)) for p in map(pieces, unpacked(own["packed"]))]
+        width = np.dtype(kind).itemsize
+        length = np.array([len(b) // width for b in flat], np.int64)
         begin = np.cumsum(length) - length
         every = np.frombuffer(b"".join(flat), kind).astype(np.int32)
         ids = []
@@ -131,11 +170,11 @@ def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
             many = length[idx]
             shift = np.repeat(begin[idx] - (np.cumsum(many) - many), many)
             ids.append(every[shift + np.arange(len(shift))])
-        return own.drop(columns="block").assign(ids=ids)
+        return pd.DataFrame({c: own[c] for c in rest} | {"ids": pd.Series(ids, index=own.index, dtype=object)})
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name in rest), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out = dealt.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assembled, schema)
-    return out.toDF(*cols, "ids")
+    return out.toDF(*[cols[int(c[1:])] for c in rest], "ids")
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
