@@ -7,7 +7,8 @@ exact; no pair is lost to a cap and no key is dropped.
 2. Every set gives the keys of a prefix in hash order, long enough that similar sets share at least
    ``need`` keys. Keys are counted in one shuffle; a document with fewer shared keys than any partner
    would leave it takes no further part. This is repeated on what remains.
-3. What still shares keys falls into clusters; each pair that can link lies inside one cluster.
+3. What still shares keys, among sets of a size that allows it, falls into clusters; each pair that can
+   link lies inside one cluster.
 4. A task gets the documents of one cluster (or two blocks of a large one), builds signature trees,
    whose nodes hold OR-combined token bitmaps and size ranges, and descends two trees at once. A node
    pair goes when its largest possible overlap is too small or when all below is linked already.
@@ -34,7 +35,8 @@ from .common import components, dropped, kept_columns, shingle_sets, stored
 
 #: Shingles that one block of a cluster holds at most (64 MB of hashes); a larger document has its own block.
 BLOCK_SHINGLES = 8_000_000
-FANOUT = 8
+#: Sets below a lowest node, and nodes below a higher one.
+LEAF, FANOUT = 64, 8
 
 
 def _least_overlap(n, num: int, den: int):
@@ -51,25 +53,33 @@ def _need(n):
 
 
 class SignatureTree:
-    """Nodes level by level over documents in a given order; level 0 has a node for each document."""
+    """Nodes level by level over sets in a given order: level 0 has a node for each set, level 1 for each LEAF of them."""
 
     def __init__(self, sets: list[np.ndarray], bits: int):
-        n = len(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
-        sig = np.zeros((n, bits // 64), np.uint64)
+        sig = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(sets):
             at = (s >> np.uint64(20)) & np.uint64(bits - 1)
             np.bitwise_or.at(sig[i], (at >> np.uint64(6)).astype(np.intp), np.uint64(1) << (at & np.uint64(63)))
         excess = sizes - np.bitwise_count(sig).sum(1, dtype=np.int64)
-        #: per level: bitmaps, smallest size, largest size, largest number of shingles that share a bit
+        #: per level: bitmaps, smallest size, largest size, largest number of shingles that share a bit with others
         self.levels = [(sig, sizes, sizes, excess)]
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels) < 2 or len(self.levels[-1][0]) > 1:
             sig, lo, hi, ex = self.levels[-1]
-            at = np.arange(0, len(sig), FANOUT)
+            at = np.arange(0, len(sig), LEAF if len(self.levels) == 1 else FANOUT)
             self.levels.append(
                 (np.bitwise_or.reduceat(sig, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at))
             )
 
+    def kids(self, level: int, node: int) -> np.ndarray:
+        step = LEAF if level == 1 else FANOUT
+        return np.arange(node * step, min((node + 1) * step, len(self.levels[level - 1][0])))
+
+    def own(self, level: int, node: int) -> slice:
+        """Places of the sets below a node."""
+        step = LEAF * FANOUT ** (level - 1)
+        return slice(node * step, (node + 1) * step)
+
 
 class _Union:
     def __init__(self, n: int):
@@ -87,6 +97,29 @@ class _Union:
             self.up[max(i, j)] = min(i, j)
 
 
+def _fits(one: tuple, at: np.ndarray, other: tuple, to: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Matrix: may a set below a node of ``one`` be similar to one below a node of ``other``?"""
+    (sig, lo, hi, ex), (sig2, lo2, hi2, ex2) = (tuple(x[i] for x in t) for t, i in ((one, at), (other, to)))
+    ok = (hi2[None] * den >= num * lo[:, None]) & (hi[:, None] * den >= num * lo2[None])
+    a, b = np.nonzero(ok)
+    for i in range(0, len(a), 4096):
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        most = np.bitwise_count(sig[x] & sig2[y]).sum(1, dtype=np.int64) + np.minimum(ex[x], ex2[y])
+        most = np.minimum(most, np.minimum(hi[x], hi2[y]))
+        # |A & B| >= t/(1+t) * (|A| + |B|)
+        ok[x, y] = most * (num + den) >= num * (lo[x] + lo2[y])
+    return ok
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def tree_links(sets: list[np.ndarray], split: int, num: int, den: int, joined: list[int]) -> list[tuple[int, int]]:
     """Verified links (i, j) that connect all similar sets: between the first ``split`` sets and the rest, or
     among all when ``split`` is 0. ``joined`` numbers sets that are known to be connected alike.
@@ -96,76 +129,58 @@ def tree_links(sets: list[np.ndarray], split: int, num: int, den: int, joined: l
     if n < 2:
         return []
     mean = max(64, int(np.mean([len(s) for s in sets])))
-    bits = 1 << int(np.ceil(np.log2(4 * min(mean, 8192))))
-    parts = [(0, n)] if not split else [(0, split), (split, n)]
+    bits = 1 << int(np.ceil(np.log2(8 * min(mean, 8192))))
     trees, orders = [], []
-    for a, b in parts:
+    for a, b in [(0, n)] if not split else [(0, split), (split, n)]:
         # Near copies share their smallest hashes: they come to lie beside each other.
         order = sorted(range(a, b), key=lambda i: (int(sets[i][0]), int(sets[i][min(1, len(sets[i]) - 1)]), len(sets[i])))
-        orders.append(order)
+        orders.append(np.array(order))
         trees.append(SignatureTree([sets[i] for i in order], bits))
-    left, right = trees[0], trees[-1]
-    lo_order, hi_order = orders[0], orders[-1]
-    same = len(parts) == 1
+    left, right, same = trees[0], trees[-1], not split
+    left_order, right_order = orders[0], orders[-1]
     union = _Union(n)
     first: dict[int, int] = {}
     for i, c in enumerate(joined):
         union.join(first.setdefault(c, i), i)
-
-    def uniform(order: list[int], level: int, node: int) -> int:
-        """The root of all documents below the node, or -1 when they have several."""
-        step = FANOUT**level
-        own = order[node * step : (node + 1) * step]
-        r = union.root(own[0])
-        return r if all(union.root(i) == r for i in own[1:]) else -1
-
+    root = np.vectorize(union.root, otypes=[np.int64])
     links = []
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         la, a, lb, b = stack.pop()
-        if la == 0 and lb == 0:
-            i, j = lo_order[a], hi_order[b]
-            if i == j or union.root(i) == union.root(j):
-                continue
-            x, y = sets[i], sets[j]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            if den * both >= num * (len(x) + len(y) - both):
-                union.join(i, j)
-                links.append((i, j))
+        ra, rb = root(left_order[left.own(la, a)]), root(right_order[right.own(lb, b)])
+        if (ra == ra[0]).all() and (rb == ra[0]).all():
             continue
-        ra = uniform(lo_order, la, a)
-        if ra >= 0 and ra == uniform(hi_order, lb, b):
-            continue
-        if same and la == lb and a == b:
-            kids = range(a * FANOUT, min((a + 1) * FANOUT, len(left.levels[la - 1][0])))
-            stack += [(la - 1, x, la - 1, y) for x in kids for y in _bounded(left, la - 1, x, right, la - 1, [y for y in kids if y >= x], num, den)]
+        if la == 1 and lb == 1:
+            x, y = left.kids(1, a), right.kids(1, b)
+            todo = _fits(left.levels[0], x, right.levels[0], y, num, den) & (ra[:, None] != rb[None])
+            if same and a == b:
+                todo &= np.tri(len(x), k=-1, dtype=bool)
+            while todo.any():
+                i, j = np.unravel_index(todo.argmax(), todo.shape)
+                todo[i, j] = False
+                p, q = int(left_order[x[i]]), int(right_order[y[j]])
+                if _similar(sets[p], sets[q], num, den):
+                    union.join(p, q)
+                    links.append((p, q))
+                    todo &= root(left_order[x])[:, None] != root(right_order[y])[None]
+        elif same and la == lb and a == b:
+            kids = left.kids(la, a)
+            ok = _fits(left.levels[la - 1], kids, left.levels[la - 1], kids, num, den)
+            pairs = [(i, j) for i in range(len(kids)) for j in range(i + 1) if ok[i, j]]
+            # A node with itself last, so that it is taken first: later pairs find much of it connected.
+            pairs.sort(key=lambda p: p[0] == p[1])
+            stack += [(la - 1, int(kids[i]), lb - 1, int(kids[j])) for i, j in pairs]
         elif la >= lb:
-            kids = list(range(a * FANOUT, min((a + 1) * FANOUT, len(left.levels[la - 1][0]))))
-            stack += [(la - 1, x, lb, b) for x in _bounded(right, lb, b, left, la - 1, kids, num, den)]
+            kids = left.kids(la, a)
+            ok = _fits(left.levels[la - 1], kids, right.levels[lb], np.array([b]), num, den)[:, 0]
+            stack += [(la - 1, int(k), lb, b) for k in kids[ok]]
         else:
-            kids = list(range(b * FANOUT, min((b + 1) * FANOUT, len(right.levels[lb - 1][0]))))
-            stack += [(la, a, lb - 1, y) for y in _bounded(left, la, a, right, lb - 1, kids, num, den)]
+            kids = right.kids(lb, b)
+            ok = _fits(left.levels[la], np.array([a]), right.levels[lb - 1], kids, num, den)[0]
+            stack += [(la, a, lb - 1, int(k)) for k in kids[ok]]
     return links
 
 
-def _bounded(one: SignatureTree, level: int, node: int, other: SignatureTree, at: int, nodes: list[int], num: int, den: int) -> list[int]:
-    """Those of ``nodes`` under which a document may be similar to one under ``node``."""
-    if not nodes:
-        return nodes
-    sig, lo, hi, ex = (x[node] for x in one.levels[level])
-    sig2, lo2, hi2, ex2 = (x[nodes] for x in other.levels[at])
-    most = np.bitwise_count(sig2 & sig).sum(1, dtype=np.int64) + np.minimum(ex2, ex)
-    most = np.minimum(most, np.minimum(hi2, hi))
-    # overlap >= t/(1+t) * (|A|+|B|), and sizes may differ by the factor t at most
-    fits = most * (num + den) >= num * (lo2 + lo)
-    fits &= (hi2 * den >= num * lo) & (hi * den >= num * lo2)
-    return [x for x, ok in zip(nodes, fits, strict=True) if ok]
-
-
 # --- the job ------------------------------------------------------------------------------------
 
 
@@ -198,36 +213,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     reps = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
-    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
-    c = F.expr(f"({num} * n + {den} - 1) div {den}")
-    for step in range(2):
-        rows = rows.select("key", "rep", "n")
-        rows = rows.withColumn("df", F.expr("count(1) over (partition by key)"))
-        rows = rows.withColumn("lead", F.expr("min(rep) over (partition by key)")).where("df > 1").drop("df")
-        rows = stored(rows, "jaccard-keys")
-        enough = rows.groupBy("rep", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= 1 + F.floor(c / 20))
-        rows, all_rows = rows.join(enough.select("rep"), "rep", "left_semi"), rows
-        if step:
-            dropped(before)
-        before = all_rows
-    # The leader may have left in the last round; any member of the key serves as well.
-    rows = rows.withColumn("lead", F.expr("min(rep) over (partition by key)"))
-    edges = rows.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = stored(components(edges), "jaccard-clusters")
-    dropped(before)
-
-    # Blocks of a cluster: ranges of its documents by running size; most clusters have one block.
-    sized = clusters.join(reps.groupBy("rep").agg(F.max("n").alias("n")), clusters.node == F.col("rep"))
+    rows = stored(_shared(reps.select("rep", "n", F.explode("keys").alias("key")), ["key"], num, den), "jaccard-keys")
+    # Similar sets differ in size by the factor num/den at most, so they lie in one size class or in two
+    # neighbouring ones; each set stands in both windows of two classes that hold its own.
+    size_class = F.floor(F.log(F.col("n")) / float(np.log(den / num * 1.0001)))
+    windows = rows.select("key", "rep", "n", F.explode(F.array(size_class, size_class - 1)).alias("window"))
+    for _ in range(2):
+        windows, last = stored(_shared(windows, ["key", "window"], num, den), "jaccard-windows"), rows
+        dropped(last)
+        rows = windows
+    windows = windows.withColumn("node", F.xxhash64("rep", "window"))
+    edges = windows.withColumn("lead", F.expr("min(node) over (partition by key, window)"))
+    clusters = stored(components(edges.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "jaccard-clusters")
+
+    # Blocks of a cluster, by a hash of the document; most clusters have one block.
+    sized = windows.select("node", "rep", "n").distinct().join(clusters, "node")
     big = sized.groupBy("component").agg(F.sum("n").alias("total"))
     sized = sized.join(big, "component").withColumn("blocks", F.ceil(F.col("total") / block_shingles).cast("int"))
-    sized = sized.select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = stored(sized, "jaccard-members")
+    sized = sized.select(F.col("rep").alias("node"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = stored(sized.distinct(), "jaccard-members")
+    dropped(rows)
     texts = kept_columns(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "component", "block", "blocks")
     task = texts.select("component", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", "text", F.col("doc_id").alias("known"))
     links = stored(_linked(task, k, num, den), "jaccard-links")
     if members.where("blocks > 1").limit(1).count():
         links = _across_blocks(texts, links, k, num, den)
-    final = stored(components(links.select("a", "b")), "jaccard-final")
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    final = stored(components(links), "jaccard-final")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     final = final.join(degree, "node", "left")
     linked = (
@@ -241,6 +253,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     )
 
 
+def _shared(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
+    """The rows whose key others have too, of sets that have as many of them as a similar set would leave."""
+    keys = ", ".join(by)
+    rows = rows.withColumn("df", F.expr(f"count(1) over (partition by {keys})")).where("df > 1").drop("df")
+    rows = stored(rows, "jaccard-shared")
+    own = ["rep", "n", *by[1:]]
+    c = F.expr(f"({num} * n + {den} - 1) div {den}")
+    enough = rows.groupBy(*own).agg(F.count("*").alias("shared")).where(F.col("shared") >= 1 + F.floor(c / 20))
+    return rows.join(enough.drop("shared"), own, "left_semi")
+
+
 def _linked(task: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links within each (component, i, j); side 0 against side 1 where both are there, else all of side 0."""
 
