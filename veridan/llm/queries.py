@@ -17,7 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("compared").cast("long").alias("compared"))
 
 
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +82,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(c) AS c FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.h = p.h AND n >= 100
+"""
+
+#: Every alignment of an item with a document that shares enough words, every window of it.
+DECONTAMINATION_SQL = f"""
+WITH dl AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS l FROM documents WHERE doc_id IS NOT NULL),
+bl AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS l FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT doc_id, len(l) AS size, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos FROM dl),
+b AS (SELECT item_id, len(l) AS n, least(len(l), {decontaminate.WINDOW}) AS k, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS t FROM bl WHERE len(l) >= {decontaminate.MIN_WORDS}),
+m AS (SELECT doc_id, item_id, pos - t AS shift, t, n, k, size FROM d JOIN b USING (w)),
+g AS (SELECT doc_id, item_id, shift, any_value(n) AS n, any_value(k) AS k, any_value(size) AS size, list(t) AS ts FROM m GROUP BY ALL HAVING count(*) >= ceil(any_value(k) * {decontaminate.AGREE})),
+v AS (SELECT doc_id, item_id, k, ts, unnest(range(greatest(0, -shift), least(n, size - shift) - k + 1)) AS s FROM g),
+x AS (SELECT doc_id, item_id, k, len(list_filter(ts, lambda t: t >= s AND t < s + k)) AS c FROM v)
+SELECT doc_id, item_id, max(c) AS matched, any_value(k) AS compared FROM x WHERE c >= ceil(k * {decontaminate.AGREE}) GROUP BY doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_rotation": chat.ROTATION_SQL}
+    return {"op1_ngram_jaccard": JACCARD_SQL, "op5_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op9_chat_rotation": chat.ROTATION_SQL}
