@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,66 +123,92 @@ class Coder:
 
 # --- tokens -------------------------------------------------------------------------------------
 
-_TAIL = re.compile(rb"(.+?)([.,!?;:*&%$#|]+)\Z", re.S)
+#: A full stop or comma that doesn't follow a letter or digit, and may be one pre-token with what it follows.
+_MARKS = re.compile(r"[.,](?<![^\W_][.,])")
+_TAIL = b".,!?;:*&%$#|"
+
+
+class _Recent(dict):
+    """The last ``limit`` to twice ``limit`` keys in use: when it is full, it becomes the older half."""
+
+    limit = 300_000
+    older: dict
+
+    def __init__(self):
+        self.older = {}
+
+    def missing(self, keys) -> list:
+        """Those of the keys that are not known; known old ones move to the newer half."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        out, older = [], self.older
+        for k in keys:
+            if k not in self:
+                v = older.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
 
 
 class Pieces:
-    """Ids of white-space-delimited pieces by the tokenizers library, each piece encoded once while it is kept.
+    """Ids of white-space-delimited pieces by the tokenizers library, kept for the pieces in use.
 
     For a tokenizer that drops white space, and whose pre-tokens don't cross it, the ids of a text are those
-    of its pieces. A tail of punctuation after a letter or digit is a pre-token of its own.
+    of its pieces. A tail of punctuation after a letter or digit is a pre-token of its own. Words of letters
+    only are encoded many at a time, as one text; each ends with a token that marks a word's end.
     """
 
-    limit = 400_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.cores: dict[bytes, tuple[int, ...]] = {}
-        self.flat, self.begin, self.length = array("I"), array("q"), array("q")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces, self.cores = _Recent(), _Recent()
+
+    def _encode(self, words: list[bytes]) -> None:
+        plain = [(w, t) for w in words if (t := w.decode("utf-8", "surrogatepass")).isalpha()]
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part):
+                raw, begin = ids.astype("<u2").tobytes(), [0, *(2 * at).tolist()]
+                self.cores.update((w, raw[begin[k] : begin[k + 1]]) for k, (w, _) in enumerate(part))
+        rest = [w for w in words if w not in self.cores]
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
+            self.cores.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(part, got, strict=True))
+
+    @staticmethod
+    def _split(text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass").lower()
+        if not _MARKS.search(text):
+            # After a letter or digit a full stop or comma is a pre-token of its own: far fewer pieces differ.
+            data = data.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ").replace(b",\n", b" , ")
+        return data.split()
 
-    def _learn(self, new: list[bytes]) -> None:
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [self._split(t) if t else [] for t in texts]
+        new = self.pieces.missing(set().union(*split))
         parts = []
         for p in new:
-            m = _TAIL.match(p)
-            if m and (m[1][-1:].isalnum() or m[1].decode("utf-8", "surrogatepass")[-1].isalnum()):
-                parts.append((m[1], m[2]))
+            core = p.rstrip(_TAIL)
+            if core and len(core) < len(p) and (core[-1:].isalnum() or core.decode("utf-8", "surrogatepass")[-1].isalnum()):
+                parts.append((core, p[len(core) :]))
             else:
                 parts.append((p,))
-        unknown = list(dict.fromkeys(c for q in parts for c in q if c not in self.cores))
-        texts = [c.decode("utf-8", "surrogatepass") for c in unknown]
-        for i in range(0, len(texts), 20_000):
-            got = self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)
-            self.cores.update((c, tuple(e.ids)) for c, e in zip(unknown[i : i + 20_000], got, strict=True))
+        self._encode(self.cores.missing({c for q in parts for c in q}))
+        cores, pieces = self.cores, self.pieces
         for p, q in zip(new, parts, strict=True):
-            self.index[p] = len(self.begin)
-            self.begin.append(len(self.flat))
-            for c in q:
-                self.flat.extend(self.cores[c])
-            self.length.append(len(self.flat) - self.begin[-1])
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        new = set()
-        for s in split:
-            new.update(s)
-        if len(self.index) > self.limit or len(self.cores) > self.limit:
-            self.clear()
-        self._learn([p for p in new if p not in self.index])
-        flat, begin, length = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.begin, np.int64), np.frombuffer(self.length, np.int64)
-        out = []
-        for s in split:
-            at = np.fromiter(map(self.index.__getitem__, s), np.int64, len(s))
-            many = length[at]
-            shift = np.repeat(begin[at] - (np.cumsum(many) - many), many)
-            out.append(flat[shift + np.arange(len(shift))])
-        return out
+            pieces[p] = b"".join([cores[c] for c in q])
+        return [np.frombuffer(b"".join([pieces[p] for p in s]), "<u2") for s in split]
 
 
 def _slices(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
@@ -217,7 +242,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: i
             for part in _slices(pdf):
                 for name, own_ids in zip(part["doc_id"], pieces.ids(part["text"].tolist()), strict=True):
                     names.append(None if pd.isna(name) else int(name))
-                    ids.append(np.append(own_ids, np.uint32(end_id)))
+                    ids.append(np.append(own_ids, np.uint16(end_id)))
                     size += len(own_ids) + 1
                     if size >= block:
                         yield row()
@@ -272,49 +297,48 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
     dropped(blocks)
 
 
-def read_token_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(shard, block, doc_id, offset in the block, n_tokens, ids), checked and decoded; and (shard, block, start)."""
+def _opened(spark: SparkSession, path: str):
+    """A function that takes batches of ``data`` rows and gives (row, lengths, ids), checked and decoded."""
     table = spark.read.parquet(f"{path}/table").toPandas()  # bounded by the vocabulary
     freq = np.zeros(1 << 16, np.int64)
     freq[table["id"].to_numpy(np.int64)] = table["freq"].to_numpy()
     held = spark.sparkContext.broadcast(freq)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(held.value)
+    def blocks(batches: Iterator[pd.DataFrame]):
+        coder, step = Coder(held.value), LANES * CHECKPOINT
         for pdf in batches:
             for r in pdf.itertuples():
                 if zlib.crc32(r.words) != r.words_crc32:
                     raise ValueError(f"shard {r.shard}, block {r.block}: damaged words")
                 lengths = np.asarray(r.lengths, np.int64)
                 ids = coder.decode(int(lengths.sum()), r.words, r.states, list(r.places))
-                step = LANES * CHECKPOINT
                 if [zlib.crc32(ids[i : i + step].astype("<u4").tobytes()) for i in range(0, len(ids), step)] != list(r.ids_crc32):
                     raise ValueError(f"shard {r.shard}, block {r.block}: ids don't match their checksum")
-                end = np.cumsum(lengths)
-                yield pd.DataFrame(
-                    {
-                        "shard": r.shard,
-                        "block": r.block,
-                        "doc_id": pd.array(list(r.doc_ids), "Int64"),
-                        "offset": end - lengths,
-                        "n_tokens": lengths,
-                        "ids": np.split(ids.astype(np.int32), end[:-1]),
-                    }
-                )
-
-    docs = spark.read.parquet(f"{path}/data").mapInPandas(decode, "shard int, block int, doc_id long, offset long, n_tokens long, ids array<int>")
+                yield r, lengths, ids.astype("<u4", copy=False)
+
+    return blocks
+
+
+def _per_document(spark: SparkSession, path: str, name: str, kind: str, value) -> DataFrame:
+    """doc_id, start, n_tokens and ``value`` of each document's ids."""
+    blocks = _opened(spark, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, lengths, ids in blocks(batches):
+            end = np.cumsum(lengths)
+            own = [value(ids[b - n : b]) for n, b in zip(lengths.tolist(), end.tolist(), strict=True)]
+            yield pd.DataFrame({"shard": r.shard, "block": r.block, "doc_id": pd.array(list(r.doc_ids), "Int64"), "offset": end - lengths, "n_tokens": lengths, name: own})
+
+    docs = spark.read.parquet(f"{path}/data").mapInPandas(run, f"shard int, block int, doc_id long, offset long, n_tokens long, {name} {kind}")
     index = spark.read.parquet(f"{path}/index").select("shard", "block", "start")
-    return docs, index
+    return docs.join(index, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", name)
 
 
-def document_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    docs, index = read_token_files(spark, path)
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids of every document, decoded and held against the checksums."""
+    return _per_document(spark, path, "ids", "array<int>", lambda ids: ids.astype(np.int32))
 
-    @F.pandas_udf("long")
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([zlib.crc32(i.astype("<u4").tobytes()) for i in s], dtype="int64")
 
-    docs = docs.select("shard", "block", "doc_id", "offset", "n_tokens", crc("ids").alias("ids_crc32"))
-    return docs.join(index, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+def document_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    return _per_document(spark, path, "ids_crc32", "long", lambda ids: zlib.crc32(ids.tobytes()))
