@@ -35,6 +35,8 @@ from .common import components, dropped, kept_columns, shingle_sets, stored
 
 #: Shingles that one block of a cluster holds at most (64 MB of hashes); a larger document has its own block.
 BLOCK_SHINGLES = 8_000_000
+#: 64-bit words of the bitmap that keeps texts without a partner out of a shuffle (4 MB).
+BITMAP = 1 << 19
 #: Sets below a lowest node, and nodes below a higher one.
 LEAF, FANOUT = 64, 8
 
@@ -233,7 +235,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     sized = sized.select(F.col("rep").alias("node"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = stored(sized.distinct(), "jaccard-members")
     dropped(rows)
-    texts = kept_columns(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "component", "block", "blocks")
+    texts = _likely(kept_columns(docs, "doc_id", "text"), members.select("node")).join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "component", "block", "blocks")
     task = texts.select("component", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", "text", F.col("doc_id").alias("known"))
     links = stored(_linked(task, k, num, den), "jaccard-links")
     if members.where("blocks > 1").limit(1).count():
@@ -253,6 +255,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     )
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id is not in ``ids``, so that a join shuffles fewer texts.
+
+    A bitmap of fixed size goes to the tasks; where very many ids fill it, more rows pass, and none is lost.
+    """
+    at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITMAP * 64))
+    words = ids.select(at.alias("h")).groupBy(F.expr("h div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("bits")).toPandas()
+    bits = np.zeros(BITMAP, np.int64)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        h = h.to_numpy(np.int64)
+        return pd.Series(((held.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1)) == 1)
+
+    return docs.where("doc_id IS NOT NULL").where(likely(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP * 64))))
+
+
 def _shared(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     """The rows whose key others have too, of sets that have as many of them as a similar set would leave."""
     keys = ", ".join(by)
