@@ -51,7 +51,7 @@ def intrinsic(category_values: list[str]) -> dict[str, Column]:
     return out | {f"cat_{c.lower().replace(' ', '_')}": (F.col("category") == c).cast("int") for c in category_values}
 
 
-# The reference dictionary of address words.
+# Words of address lines and what they stand for, and words that say nothing.
 SYNONYMS = {
     "apts": "apartments", "apt": "apartments", "aprtmnt": "apartments", "apartment": "apartments", "appartments": "apartments",
     "res": "residency", "resi": "residency", "residancy": "residency", "twr": "towers", "tower": "towers", "twrs": "towers",

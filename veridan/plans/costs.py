@@ -17,7 +17,7 @@ from ..operators.asof import running_two_level
 
 @dataclass(frozen=True)
 class Cost:
-    """The reference economics, in rupees."""
+    """The economics of a cash-on-delivery order, in rupees."""
 
     forward: float = 75.0
     reverse: float = 85.0
