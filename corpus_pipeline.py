@@ -46,7 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes; one row a document with its token count and digests."""
-    return bpe.token_digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"))))
+    return bpe.token_digests(docs)
 
 
 STAGES = [

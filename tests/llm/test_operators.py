@@ -244,13 +244,15 @@ def test_language(spark, sf):
 
 def test_bpe(spark):
     texts = [None, "", " ", "  lead", "trail ", "a\nb", "a \n b", "x\n\ny", "it's I'LL  we've", " nb sp\x1cfs\x85", "tab\there", "日本語 テキスト 12３", "👍🏽 ok", "é ́", "\x00nul", *_corpus()]
-    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.token_digests(bpe.decode(bpe.encode(_docs(spark, texts)))).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.token_digests(_docs(spark, texts)).collect()}
+    whole = {r["doc_id"]: (r["ids"], bytes(r["decoded"]), r["key"]) for r in bpe.decode(bpe.encode(_docs(spark, texts))).collect()}
     with open(public_tokenizers.path(bpe.RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, t in enumerate(texts):
         ids = e.encode_ordinary(t or "")
         assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), repr(t)
+        assert whole[i] == (ids, (t or "").encode(), 1)
     assert bpe.encode(_docs(spark, [])).count() == 0
 
 

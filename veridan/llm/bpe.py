@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
 A word is one match of the pre-token pattern. Documents, their texts compressed, are dealt into blocks of
-bounded size. Each block emits every distinct word it holds once (its positions are the block's own texts);
-the words are shuffled by word, each distinct word is encoded once, and (block, word, ids) goes back to the
-block, where the ids are put together by position. Words that would come from nearly every block are
+bounded size. Each block emits every distinct word it holds once (its positions are the block's own texts),
+packed by the shuffle's bucket of the word; in its bucket each distinct word is encoded once, and the ids go
+back to the blocks in the same order, where they are put together by position. Words that would come from nearly every block are
 encoded beforehand and broadcast instead: the ``COMMON`` most frequent ones of a bounded sample. Which words
 these are changes what is shuffled, never a result. Decoding joins the table of token bytes, which is as
 large as the vocabulary, never as the data.
@@ -16,15 +16,19 @@ its kind or length, is encoded like any other text, so decoding returns the exac
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import hashlib
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
@@ -34,10 +38,11 @@ from pyspark.sql import types as T
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, about; documents of the sample for common words, and how many words that gives.
-BLOCK_BYTES, SAMPLE_DOCS, COMMON = 8_000_000, 40_000, 250_000
+BLOCK_BYTES, SAMPLE_DOCS, COMMON = 10_000_000, 40_000, 50_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: White space for which the quick split below doesn't hold.
-_ODD = re.compile("[\\x00\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|  |\n\n|\n | \n|\\A[ \n]|[ \n]\\Z")
+#: Characters, and neighbours, for which the quick split below doesn't hold.
+_ODD = re.compile("[\\x00\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_ODD_PAIRS = ("  ", "\n\n", "\n ", " \n")
 
 
 @lru_cache(2)
@@ -59,9 +64,16 @@ def _encoding(path: str) -> tiktoken.Encoding:
 
 def pieces(text: str) -> list[str]:
     """Cuts the text where the pattern surely cuts it too: quick, and the pieces repeat often."""
-    if _ODD.search(text):
+    if not text:
+        return []
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD_PAIRS) or _ODD.search(text):
         return _pattern().findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+def piece_words(piece: str) -> list[str]:
+    """The pattern's matches in a piece; most pieces are one word of letters."""
+    return [piece] if (piece[1:] if piece[0] == " " else piece).isalpha() else _pattern().findall(piece)
 
 
 def _common_words(docs: DataFrame, n_docs: int, path: str) -> dict[str, bytes]:
@@ -70,15 +82,15 @@ def _common_words(docs: DataFrame, n_docs: int, path: str) -> dict[str, bytes]:
     some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _pattern().findall
         for pdf in batches:
-            of_piece, of_word = Counter(), Counter()
-            for t in pdf["text"]:
-                of_piece.update(pieces(t))
-            for p, n in of_piece.items():
-                for w in find(p):
-                    of_word[w] += n
-            yield pd.DataFrame({"word": list(of_word.keys()), "n": list(of_word.values())})
+            for i in range(0, len(pdf), 1000):
+                of_piece, of_word = Counter(), Counter()
+                for t in pdf["text"].iloc[i : i + 1000]:
+                    of_piece.update(pieces(t))
+                for p, n in of_piece.items():
+                    for w in piece_words(p):
+                        of_word[w] += n
+                yield pd.DataFrame({"word": list(of_word.keys()), "n": list(of_word.values())})
 
     top = some.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
     words = top.orderBy(F.desc("n"), "word").limit(COMMON).select("word").toPandas()["word"]
@@ -90,11 +102,29 @@ def _ids(word: str, path: str) -> bytes:
     return np.array(_encoding(path)._encode_single_piece(word.encode("utf-8", "surrogatepass")), kind).tobytes()
 
 
+def _pack(c: zstandard.ZstdCompressor, items: list[bytes]) -> bytes:
+    """Byte strings as one: count and lengths, then all bytes, compressed."""
+    return c.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(data[:4], "little")
+    end = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
+    return [data[a:b] for a, b in zip([4 * (n + 1), *end[:-1].tolist()], end.tolist(), strict=True)] if n else []
+
+
 def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``ids`` (array<int>): the ids of the whole text."""
+    return _encoded(docs, ranks, "ids array<int>", lambda ids: {"ids": ids})
+
+
+def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[[list[np.ndarray]], dict[str, list]]) -> DataFrame:
+    """``docs`` without ``text``, with the columns that ``finish`` makes of the ids where a block is put together."""
     path = ranks or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
-    cols = [c for c in docs.columns if c != "ids"]
+    made = T.StructType.fromDDL(kind_of)
+    cols = [c for c in docs.columns if c not in made.names]
     docs = docs.select(*[F.col(f"`{c}`") for c in cols]).toDF(*[f"c{i}" for i in range(len(cols))])
     text = f"c{cols.index('text')}"
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("n")).first()
@@ -107,6 +137,8 @@ def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
         c = zstandard.ZstdCompressor(level=3)
         for s in batches:
             yield pd.Series([c.compress((t or "").encode("utf-8", "surrogatepass")) for t in s], dtype=object)
+            del s
+            _trim()
 
     def unpacked(column: pd.Series) -> Iterator[str]:
         d = zstandard.ZstdDecompressor()
@@ -117,64 +149,88 @@ def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     key = F.pmod(F.xxhash64(*docs.columns[:1], text), F.lit(n)).cast("int")
     dealt = docs.select(*rest, key.alias("block"), packed(text).alias("packed")).repartition(parts, "block")
 
+    kind = np.dtype("<u2" if len(_ranks(path)) <= 65536 else "<u4")
+
+    def bucketed(words: set[str]) -> dict[int, list[str]]:
+        """The uncommon words of a block by bucket, in a fixed order."""
+        out = {}
+        for w in sorted(words.difference(common.value)):
+            out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
+        return out
+
     def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, known = _pattern().findall, common.value
-        block, seen = None, set()
+        block, seen, c = None, set(), zstandard.ZstdCompressor(level=3)
 
-        def words() -> Iterator[pd.DataFrame]:
-            own = {w for p in seen for w in find(p)} if seen else set()
-            own = sorted(own.difference(known))
-            for i in range(0, len(own), 50_000):
-                yield pd.DataFrame({"word": own[i : i + 50_000], "block": np.int32(block)})
+        def rows() -> pd.DataFrame:
+            out = [(k, block, _pack(c, [w.encode("utf-8", "surrogatepass") for w in ws])) for k, ws in bucketed({w for p in seen for w in piece_words(p)}).items()]
+            return pd.DataFrame(out, columns=["bucket", "block", "words"])
 
         for pdf in batches:
             for b, t in zip(pdf["block"], unpacked(pdf["packed"]), strict=True):
                 if b != block:
-                    yield from words()
+                    if seen:
+                        yield rows()
                     block, seen = b, set()
+                    _trim()
                 seen.update(pieces(t))
-        yield from words()
+        if seen:
+            yield rows()
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids = None, b""
+        bucket, done, c = None, {}, zstandard.ZstdCompressor(level=3)
+        single = _encoding(path)._encode_single_piece
         for pdf in batches:
             out = []
-            for w in pdf["word"]:
-                if w != last:
-                    last, ids = w, _ids(w, path)
-                out.append(ids)
-            yield pd.DataFrame({"block": pdf["block"], "word": pdf["word"], "ids": out})
-
-    words = dealt.sortWithinPartitions("block").mapInPandas(distinct_words, "word string, block int")
-    words = words.repartition(parts, "word").sortWithinPartitions("word").mapInPandas(encoded, "block int, word string, ids binary")
+            for k, packed_words in zip(pdf["bucket"], pdf["words"], strict=True):
+                if k != bucket:
+                    bucket, done = k, {}
+                ws = _unpack(packed_words)
+                for w in ws:
+                    if w not in done:
+                        done[w] = np.array(single(w), kind).tobytes()
+                out.append(_pack(c, [done[w] for w in ws]))
+            yield pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "ids": out})
+
+    words = dealt.sortWithinPartitions("block").mapInPandas(distinct_words, "bucket int, block int, words binary")
+    words = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(encoded, "block int, bucket int, ids binary")
 
     def assembled(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        kind = "<u2" if len(_ranks(path)) <= 65536 else "<u4"
-        find, known, by_word = _pattern().findall, common.value, dict(zip(table["word"], table["ids"], strict=True))
-        flat: list[bytes] = []
-
-        class Index(dict):
-            def __missing__(self, piece: str) -> int:
-                flat.append(b"".join([known.get(w) or by_word[w] for w in find(piece)]))
-                self[piece] = i = len(flat) - 1
-                return i
-
-        at = Index()
-        of = [np.fromiter(map(at.__getitem__, p), np.int32, len(p)) for p in map(pieces, unpacked(own["packed"]))]
-        width = np.dtype(kind).itemsize
-        length = np.array([len(b) // width for b in flat], np.int64)
-        begin = np.cumsum(length) - length
-        every = np.frombuffer(b"".join(flat), kind).astype(np.int32)
-        ids = []
-        for idx in of:
-            many = length[idx]
-            shift = np.repeat(begin[idx] - (np.cumsum(many) - many), many)
-            ids.append(every[shift + np.arange(len(shift))])
-        return pd.DataFrame({c: own[c] for c in rest} | {"ids": pd.Series(ids, index=own.index, dtype=object)})
-
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name in rest), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        known = common.value
+        seen: set[str] = set()
+        for t in unpacked(own["packed"]):
+            seen.update(pieces(t))
+        of_piece = {p: piece_words(p) for p in seen}
+        by_bucket, by_word = bucketed(set().union(*of_piece.values())), {}
+        for k, packed_ids in zip(table["bucket"], table["ids"], strict=True):
+            by_word.update(zip(by_bucket[k], _unpack(packed_ids), strict=True))
+        at = {}
+        for p, ws in of_piece.items():
+            at[p] = b"".join([known.get(w) or by_word[w] for w in ws])
+        del seen, of_piece, by_bucket, by_word
+        ids = [np.frombuffer(b"".join([at[p] for p in pieces(t)]), kind).astype(np.int32) for t in unpacked(own["packed"])]
+        del at
+        columns = finish(ids)
+        out = {c: own[c].to_numpy() for c in rest} | {c: pd.Series(v, dtype=None if isinstance(v, np.ndarray) else object) for c, v in columns.items()}
+        del ids, own
+        _trim()
+        return pd.DataFrame(out)
+
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name in rest), *made.fields])
     out = dealt.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assembled, schema)
-    return out.toDF(*[cols[int(c[1:])] for c in rest], "ids")
+    return out.toDF(*[cols[int(c[1:])] for c in rest], *made.names)
+
+
+def _trim() -> None:
+    """Gives memory that is free back to the machine: executors run several Python workers beside each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _decoder(path: str) -> Callable[[np.ndarray], bytes]:
+    """From ids to bytes, by the table of token bytes."""
+    table = {i: b for b, i in _ranks(path).items()}
+    return lambda ids: b"".join(map(table.__getitem__, ids.tolist()))
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -183,22 +239,26 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = {i: b for b, i in _ranks(path).items()}
+        own = _decoder(path)
         for s in batches:
-            yield pd.Series([None if ids is None else b"".join(map(table.__getitem__, ids.tolist())) for ids in s], dtype=object)
+            yield pd.Series([None if ids is None else own(ids) for ids in s], dtype=object)
 
     return encoded.withColumn("decoded", joined("ids"))
 
 
-def token_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of an encoded and decoded table."""
+def token_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts encoded, the ids decoded, both digested in place.
 
-    @F.pandas_udf("string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        text = [str(i).encode() for i in range(1 << 17)]
-        for s in batches:
-            yield pd.Series([hashlib.sha256(b",".join(map(text.__getitem__, ids.tolist()))).hexdigest() for ids in s])
+    The same steps as ``decode(encode(docs))``, without moving the ids themselves once more.
+    """
+    path = ranks or public_tokenizers.path(RANKS)
+
+    def finish(ids: list[np.ndarray]) -> dict[str, list]:
+        decoded, text = _decoder(path), [str(i).encode() for i in range(max(_ranks(path).values()) + 1)]
+        return {
+            "n_tokens": np.array([len(i) for i in ids], np.int64),
+            "ids_sha256": [hashlib.sha256(b",".join(map(text.__getitem__, i.tolist()))).hexdigest() for i in ids],
+            "decoded_sha256": [hashlib.sha256(decoded(i)).hexdigest() for i in ids],
+        }
 
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return _encoded(docs.select("doc_id", "text"), ranks, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)

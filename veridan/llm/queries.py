@@ -50,7 +50,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return bpe.token_digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
