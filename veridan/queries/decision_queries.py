@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import band
-from ..plans import costs, metrics, splits
+from ..operators import features, graph
+from ..plans import costs, feature_choice, metrics, splits
 from ..sources.driver_tables import CTES, world
-from .asof_queries import _rounded
+from .asof_queries import CATEGORIES, _inputs, _rounded
 
 LO, HI = 0.034, 0.344
 BOUNDARY = "1999-01-01"
@@ -180,16 +181,24 @@ def fp_profile(spark, sf_dir):
     return _rounded(test.agg(F.count("*").alias("n"), F.avg(F.when(F.col("seen").isNull(), 1.0).otherwise(0.0)).alias("unseen_share"), F.percentile("value_inr", F.lit(0.5)).alias("median_value")))
 
 
+def _months_frame(spark, sf_dir, months: int = 12):
+    """COD orders of the first months with label, ring, number of the month and all features; and the features' names.
+
+    No feature reads the future, so the orders after these months are left out before the features are made.
+    """
+    w = world(spark, sf_dir)
+    start = F.date_trunc("month", F.min("order_ts"))
+    start, end = w["orders"].agg(F.unix_seconds(start), F.unix_seconds(F.add_months(start, months).cast("timestamp"))).first()
+    cut = features.prefix_truncate(w, F.timestamp_seconds(F.lit(end)))
+    f = graph.stored(features.build_features(**_inputs(cut), categories=CATEGORIES), "features")
+    t = w["truth"].where("payment_mode = 'COD'").where(F.col("order_ts") < F.timestamp_seconds(F.lit(end))).withColumn("start", F.timestamp_seconds(F.lit(start)))
+    t = t.select("order_id", "ring_id", "is_abuse", feature_choice.month_number("order_ts", "start").alias("month"))
+    return graph.stored(t.join(f, "order_id"), "months"), [c for c in f.columns if c != "order_id"]
+
+
 def featureset_experiment(spark, sf_dir):
-    """The same policy figures for several score variants, and which is cheapest."""
-    s = _scored(spark, sf_dir)
-    out = None
-    for name, p in (("A", F.col("p")), ("B", F.col("p") * F.col("p")), ("C", F.round(F.sqrt("p"), 3))):
-        v = s.withColumn("p", p)
-        row = costs.policy_cost(v, LO, HI).select(F.lit(name).alias("variant"), "cost_per_1000", "review_share", "tp", "fp").crossJoin(metrics.pr_auc(v))
-        out = row if out is None else out.unionByName(row)
-    best = out.agg(F.min_by("variant", "cost_per_1000").alias("best"))
-    return _rounded(out.crossJoin(best).withColumn("chosen", F.col("variant") == F.col("best")).drop("best"), 4)
+    """Each feature set fitted on months 1-8, calibrated and given its bands on 9, priced on 10-12, and which is cheapest."""
+    return _rounded(feature_choice.featureset_experiment(*_months_frame(spark, sf_dir)), 4)
 
 
 QUERIES = {f.__name__: f for f in (
