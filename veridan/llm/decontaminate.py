@@ -13,7 +13,8 @@ benchmark is broadcast in parts of at most ``SEEDS_AT_ONCE`` seeds, counted firs
 takes several passes over the documents.
 
 Defined cases: null or word-less texts have no hits. Items under ``MIN_WORDS`` words take no part (a few
-common words prove nothing); items shorter than a mask are looked for as exact runs. Repeated documents
+common words prove nothing); items under 12 words get further seeds by their length (``SHORT_MASKS``), so that
+whatever the rule lets differ, a seed hits. Repeated documents
 or items each give their own pairs; a repeated (doc_id, item_id) gives one. Null ids never match.
 Windows don't reach over a document's ends: an item cut off there must still fill a whole window. Other
 columns of either table are ignored.
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 #: 1: the word counts, 0: it may be anything. Of 20 words with any four substituted, one of these always hits.
 MASKS = ("1101101", "110010101", "1010001101")
 WINDOW, AGREE, MIN_WORDS = 20, 0.8, 5
+#: By an item's words: the masks it needs besides, where those above miss some of what AGREE lets differ.
+SHORT_MASKS = {5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011",), 10: ("11011",), 11: ("11011",)}
 SEEDS_AT_ONCE = 500_000
+
+
 def word_hashes(text: str) -> Column:
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -70,11 +75,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     shortest = min(map(len, masks))
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").alias("b_item"), word_hashes("text").alias("b_words"))
     items = items.withColumn("b_size", F.size("b_words")).where(F.col("b_size") >= MIN_WORDS)
-    # At most a handful of values: lengths of the items that are too short for a mask.
-    short = sorted(r[0] for r in items.where(F.col("b_size") < shortest).select("b_size").distinct().collect())
-    every = [*masks, *("1" * n for n in short)]
+    # At most a handful of values: lengths of the items that need masks of their own.
+    under = max(shortest, *(n + 1 for n in SHORT_MASKS))
+    short = sorted(r[0] for r in items.where(F.col("b_size") < under).select("b_size").distinct().collect())
+    further: dict[str, list[int]] = {}  # mask: lengths of the items it serves; masks of the caller's may be longer than an item
+    for n in short:
+        for mask in SHORT_MASKS.get(n, ("1" * n,) if n < shortest else ()):
+            if mask not in masks:
+                further.setdefault(mask, []).append(n)
+    every = [*masks, *further]
     longest = max(map(len, every))
-    total = items.agg(F.sum(F.col("b_size") * len(every))).first()[0] or 0
+    total = items.agg(F.sum(F.col("b_size") * F.when(F.col("b_size") < under, len(every)).otherwise(len(masks)))).first()[0] or 0
     passes = max(1, -(-total // SEEDS_AT_ONCE))
 
     own = docs.where("doc_id IS NOT NULL").select("doc_id", word_hashes("text").alias("words")).withColumn("size", F.size("words"))
@@ -86,8 +97,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("b_item"), F.lit(passes)) == p)
         at = part.select("b_item", "b_words", "b_size", F.explode(F.expr("sequence(0, b_size - 1)")).alias("b_pos"))
         at = at.select("b_item", "b_words", "b_size", "b_pos", F.posexplode(_seeds("b_words", "b_pos", every, "b_size")).alias("no", "b_seed"))
-        # Runs as long as a whole short item serve such items only.
-        at = at.where("b_seed IS NOT NULL").where((F.col("no") < len(masks)) | (F.col("b_size") < shortest)).drop("no")
+        # Further masks serve the items of their lengths only.
+        serves = F.col("no") < len(masks)
+        for no, sizes in enumerate(further.values(), len(masks)):
+            serves |= (F.col("no") == no) & F.col("b_size").isin(sizes)
+        at = at.where("b_seed IS NOT NULL").where(serves).drop("no")
         marked = own.withColumns({"bits": _bitmap(at, n_bits), "vocabulary": _vocabulary(part, n_words)})
         marked = marked.withColumn("known", F.expr(f"transform(words, w -> get(vocabulary, int(w & {n_words - 1})))"))
         # A seed is hashed only where all of its words are the benchmark's.
