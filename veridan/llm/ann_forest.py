@@ -33,6 +33,9 @@ TREES, SAMPLE, LEAF_SAMPLE, LEAF_TARGET, LEAF_ROWS = 10, 20_000, 16, 256, 20_000
 #: noise in 64 dimensions, where no index prunes well, this looks at about two thirds of the rows and gives a
 #: recall above 0.9; clustered data need far less.
 VISIT = 1.1
+#: What a sum of products may be off by, for each term, as a share of the norms: twice the spacing of doubles.
+_ROUNDING = 2 * np.finfo(float).eps
+EXACT_ROWS = 100_000  # candidates whose exact distances are made at once
 
 
 @dataclass
@@ -104,6 +107,27 @@ def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("vec") == (dims["d"] if dims else 0))
 
 
+def nearest_rows(m: np.ndarray, ids: np.ndarray, square: np.ndarray, q: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of ``q``, row of ``m``, distance): of each query the ``keep`` first rows of ``m`` by (distance, id), exactly.
+
+    Quick distances leave out only what is farther than the last one kept by more than they may round.
+    """
+    keep = min(len(m), keep)
+    quick = square - 2 * q @ m.T
+    slack = _ROUNDING * (m.shape[1] + 4) * (np.sqrt(square)[None, :] + np.sqrt((q**2).sum(1))[:, None]) ** 2
+    cut = np.partition(quick + slack, keep - 1, 1)[:, keep - 1 : keep]
+    near = ~(quick - slack > cut)  # what is not a number stays
+    row, at = np.nonzero(near)
+    piece = (np.cumsum(near.sum(1)) // EXACT_ROWS)[row]
+    for p in np.unique(piece):
+        r, a = row[piece == p], at[piece == p]
+        score = np.sqrt(((m[a] - q[r]) ** 2).sum(1))
+        by = np.lexsort((ids[a], score, r))
+        r, a, score = r[by], a[by], score[by]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < keep
+        yield r[first], a[first], score[first]
+
+
 def nearest(
     table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
     trees: int = TREES, sample: int = SAMPLE, visit: float = VISIT, leaf_rows: int = LEAF_ROWS,
@@ -160,14 +184,10 @@ def nearest(
             return pd.DataFrame({"query_id": [], "vid": [], "ids": [], "score": []}, dtype=object)
         m, parts = np.stack(own["vec"].to_numpy()).astype(float), []
         names, ids, square = own["vid"].to_numpy(), own["ids"].to_numpy(), (m**2).sum(1)
-        keep = min(len(m), k + 8)  # more than k + 1: the quick distances may round otherwise
-        for i in range(0, len(ask), 256):
-            q = np.stack(ask["q"].iloc[i : i + 256].to_numpy()).astype(float)
-            quick = square - 2 * q @ m.T
-            at = np.argpartition(quick, keep - 1, 1)[:, :keep]
-            exact = np.sqrt(((m[at] - q[:, None]) ** 2).sum(2))
-            flat = at.ravel()
-            parts.append(pd.DataFrame({"query_id": np.repeat(ask["query_id"].iloc[i : i + 256].to_numpy(), keep), "vid": names[flat], "ids": ids[flat], "score": exact.ravel()}))
+        for i in range(0, len(ask), 128):
+            q = np.stack(ask["q"].iloc[i : i + 128].to_numpy()).astype(float)
+            for row, at, score in nearest_rows(m, names, square, q, k + 1):
+                parts.append(pd.DataFrame({"query_id": ask["query_id"].iloc[i : i + 128].to_numpy()[row], "vid": names[at], "ids": ids[at], "score": score}))
         return pd.concat(parts)
 
     by = ["tree", "leaf", "salt"]
