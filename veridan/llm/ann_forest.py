@@ -2,17 +2,22 @@
 
 The trees are grown on the driver from a bounded sample (``SAMPLE`` vectors with the smallest hash of
 their id); every vector is routed to one leaf of each tree. A query descends all trees through one priority
-queue, ordered by the largest margin it had to cross, until the leaves it took hold enough vectors.
-Queries and vectors of a leaf meet in one task, where exact distances on the original vectors keep the best;
-the best of all leaves are merged. Leaves above ``LEAF_ROWS`` vectors are split over tasks, so no leaf's
-size matters; equal vectors are one candidate that carries its smallest ids.
+queue, ordered by the sum of the squared margins it had to cross (with nearly orthogonal planes the squared
+distance to the leaf's cell), until the leaves it took hold enough vectors.
+
+Neighbouring leaves of a tree form groups, eight a tree and more only where a group would pass ``leaf_rows``
+vectors. A group's vectors meet the queries that took some of its leaves in one task, where exact distances
+on the original vectors keep each query's best of all those leaves: a row a query and group leaves the task
+for each neighbour, not a row a leaf. A group that one leaf of very many vectors makes too large is
+split over tasks; equal vectors are one candidate that carries its smallest ids.
 
 Nearness is the Euclidean distance in double precision, ties to the smaller id.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do
-null ids and vectors of another length than the most frequent one (ties: the longer). A repeated id with equal
-vectors counts once; with different vectors it is several candidates, and as a query its least vector
-asks. A query never finds its own id. With fewer candidates than ``k`` all are returned.
+null ids and vectors of another length than the table's most frequent one (ties: the longer), queries included.
+A repeated id with equal vectors counts once; with different vectors it is several candidates, and as a query
+its least vector asks. A query never finds its own id. With fewer candidates than ``k`` all are returned. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +31,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
-TREES, SAMPLE, LEAF_SAMPLE, LEAF_TARGET, LEAF_ROWS = 10, 20_000, 16, 256, 20_000
+#: Trees, vectors of the sample, fewest of the sample in a leaf, leaves of a tree, groups of leaves in a tree, vectors of a group.
+TREES, SAMPLE, LEAF_SAMPLE, LEAVES, GROUPS, LEAF_ROWS = 6, 20_000, 4, 1024, 8, 50_000
 #: Vectors that a query's leaves hold in all trees together, as a share of the indexed vectors. On uniform
-#: noise in 64 dimensions, where no index prunes well, this looks at about two thirds of the rows and gives a
-#: recall above 0.9; clustered data need far less.
-VISIT = 1.1
+#: noise in 64 dimensions, where no index prunes well, this looks at about half of the rows and gives a
+#: recall of 0.94 and more; clustered data need far less.
+VISIT = 0.75
+#: Vectors that they hold at least: few vectors lie farther apart, and a search needs more of them.
+VISIT_LEAST = 4000
 #: What a sum of products may be off by, for each term, as a share of the norms: twice the spacing of doubles.
 _ROUNDING = 2 * np.finfo(float).eps
 EXACT_ROWS = 100_000  # candidates whose exact distances are made at once
+CELLS = 1 << 21  # quick distances that are held at once
 
 
 @dataclass
@@ -91,7 +100,7 @@ def taken_leaves(forest: list[Tree], counts: dict[tuple[int, int], int], q: np.n
         while node >= 0:
             m = margins[i][node]
             near = int(m > 0)
-            heapq.heappush(heap, (max(far, abs(m)), i, int(forest[i].kids[node, 1 - near])))
+            heapq.heappush(heap, (far + m * m, i, int(forest[i].kids[node, 1 - near])))
             node = int(forest[i].kids[node, near])
         if n := counts.get((i, -1 - node), 0):
             out.append((i, -1 - node))
@@ -100,23 +109,28 @@ def taken_leaves(forest: list[Tree], counts: dict[tuple[int, int], int], q: np.n
 
 
 def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vid, vec of the rows that take part."""
+    """vid, vec of the rows that can take part, of any length."""
     v = table.select(F.col(id_col).cast("long").alias("vid"), F.col(vec_col).alias("vec")).where("vid IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
-    v = v.where("forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(vec, x -> x <> 0)")
-    dims = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return v.where(F.size("vec") == (dims["d"] if dims else 0))
+    return v.where("forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(vec, x -> x <> 0)")
 
 
-def nearest_rows(m: np.ndarray, ids: np.ndarray, square: np.ndarray, q: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def nearest_rows(
+    m: np.ndarray, ids: np.ndarray, square: np.ndarray, q: np.ndarray, keep: int, allowed: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of ``q``, row of ``m``, distance): of each query the ``keep`` first rows of ``m`` by (distance, id), exactly.
 
     Quick distances leave out only what is farther than the last one kept by more than they may round.
+    ``allowed`` (queries x rows) leaves out what a query may not have.
     """
     keep = min(len(m), keep)
     quick = square - 2 * q @ m.T
+    if allowed is not None:
+        quick[~allowed] = np.inf
     slack = _ROUNDING * (m.shape[1] + 4) * (np.sqrt(square)[None, :] + np.sqrt((q**2).sum(1))[:, None]) ** 2
     cut = np.partition(quick + slack, keep - 1, 1)[:, keep - 1 : keep]
     near = ~(quick - slack > cut)  # what is not a number stays
+    if allowed is not None:
+        near &= allowed
     row, at = np.nonzero(near)
     piece = (np.cumsum(near.sum(1)) // EXACT_ROWS)[row]
     for p in np.unique(piece):
@@ -128,24 +142,32 @@ def nearest_rows(m: np.ndarray, ids: np.ndarray, square: np.ndarray, q: np.ndarr
         yield r[first], a[first], score[first]
 
 
+def leaf_groups(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each leaf: leaves in their order, cut where their vectors reach the next share of all."""
+    before = np.cumsum(counts) - counts
+    return np.minimum(before * groups // max(int(counts.sum()), 1), groups - 1).astype(np.int32)
+
+
 def nearest(
     table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
     trees: int = TREES, sample: int = SAMPLE, visit: float = VISIT, leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows of ``table`` that the forest found."""
     spark = table.sparkSession
+    out = "query_id long, rank int, vec_id long, score double"
     rows = valid_vectors(table, id_col, vec_col)
+    dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if not dims:
+        return spark.createDataFrame([], out)
+    of_length = F.size("vec") == dims["d"]
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
-    ranked = rows.distinct().withColumn("r", F.expr("row_number() over (partition by vec order by vid)")).where(F.col("r") <= k + 1)
+    ranked = rows.where(of_length).distinct().withColumn("r", F.expr("row_number() over (partition by vec order by vid)")).where(F.col("r") <= k + 1)
     vectors = ranked.groupBy("vec").agg(F.min("vid").alias("vid"), F.array_sort(F.collect_list("vid")).alias("ids"))
     vectors = stored(vectors, "ann-vectors")
     n = vectors.count()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], out)
     seed_rows = vectors.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("vec").toPandas()
     x = np.stack(seed_rows["vec"].to_numpy()).astype(float)
-    cap = max(LEAF_SAMPLE, round(min(LEAF_TARGET, n / 32) * len(x) / n))
+    cap = max(LEAF_SAMPLE, -(-len(x) // LEAVES))
     forest = spark.sparkContext.broadcast([grow(x, cap, 100 + t) for t in range(trees)])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,41 +178,57 @@ def nearest(
 
     vec_type = vectors.schema["vec"].dataType.simpleString()
     routed = stored(vectors.mapInPandas(route, f"vec {vec_type}, vid long, ids array<long>, leaves array<int>"), "ann-routed")
-    placed = routed.select("vid", "ids", "vec", F.posexplode("leaves").alias("tree", "leaf"))
+    dropped(vectors)
     # A row a leaf: bounded by the sample.
-    counts = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().toLocalIterator()}
+    counts = {(r["tree"], r["leaf"]): r["count"] for r in routed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().toLocalIterator()}
     held = spark.sparkContext.broadcast(counts)
-    split = {a: -(-c // leaf_rows) for a, c in counts.items() if c > leaf_rows}
-    if split:
-        wide = spark.createDataFrame([(t, v, s) for (t, v), s in split.items()], "tree int, leaf int, salts int")
-        placed = placed.join(F.broadcast(wide), ["tree", "leaf"], "left").withColumn("salt", F.expr("cast(pmod(xxhash64(vid), coalesce(salts, 1)) as int)"))
+    n_groups = max(GROUPS, -(-n // leaf_rows))
+    of_leaf, splits = [], {}
+    for t, tree in enumerate(forest.value):
+        own = np.array([counts.get((t, v), 0) for v in range(tree.leaves)], np.int64)
+        of_leaf.append(leaf_groups(own, n_groups))
+        size = np.bincount(of_leaf[-1], own, n_groups)
+        splits |= {(t, int(g)): int(-(-size[g] // leaf_rows)) for g in np.flatnonzero(size > 2 * leaf_rows)}
+    places = F.array(*[F.array(*[F.lit(int(g)) for g in own]) for own in of_leaf])  # a number a leaf
+    placed = routed.select("vid", "ids", "vec", F.posexplode("leaves").alias("tree", "leaf")).withColumn("part", F.get(F.get(places, F.col("tree")), F.col("leaf")))
+    if splits:
+        wide = spark.createDataFrame([(t, g, s) for (t, g), s in splits.items()], "tree int, part int, salts int")
+        placed = placed.join(F.broadcast(wide), ["tree", "part"], "left").withColumn("salt", F.expr("cast(pmod(xxhash64(vid), coalesce(salts, 1)) as int)"))  # a row a group
     else:
         placed = placed.withColumn("salt", F.lit(0))
-    placed = placed.select("tree", "leaf", "salt", "vid", "ids", "vec")
-    least = max(k + 1, int(visit * n))
+    placed = placed.select("tree", "part", "salt", "leaf", "vid", "ids", "vec")
+    least = max(VISIT_LEAST, k + 1, int(visit * n))
 
     def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, v in zip(pdf["query_id"], pdf["q"], strict=True):
-                got = [(t, f, s) for t, f in taken_leaves(forest.value, held.value, np.asarray(v, float), least) for s in range(split.get((t, f), 1))]
-                tree, leaf, salt = zip(*got, strict=True)
-                yield pd.DataFrame({"query_id": q, "q": [v] * len(got), "tree": tree, "leaf": leaf, "salt": salt})
+                got: dict[tuple[int, int], list[int]] = {}
+                for t, f in taken_leaves(forest.value, held.value, np.asarray(v, float), least):
+                    got.setdefault((t, int(of_leaf[t][f])), []).append(f)
+                rows = [(q, v, t, g, s, leaves) for (t, g), leaves in got.items() for s in range(splits.get((t, g), 1))]
+                yield pd.DataFrame(rows, columns=["query_id", "q", "tree", "part", "salt", "leaves"])
 
-    asked = valid_vectors(queries, id_col, vec_col).groupBy(F.col("vid").alias("query_id")).agg(F.min("vec").alias("q"))
-    asked = asked.mapInPandas(descend, f"query_id long, q {vec_type}, tree int, leaf int, salt int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = valid_vectors(queries, id_col, vec_col).where(of_length).groupBy(F.col("vid").alias("query_id")).agg(F.min("vec").alias("q"))
+    asked = asked.repartition(parts, "query_id").mapInPandas(descend, f"query_id long, q {vec_type}, tree int, part int, salt int, leaves array<int>")
 
     def best(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(ask):
             return pd.DataFrame({"query_id": [], "vid": [], "ids": [], "score": []}, dtype=object)
-        m, parts = np.stack(own["vec"].to_numpy()).astype(float), []
-        names, ids, square = own["vid"].to_numpy(), own["ids"].to_numpy(), (m**2).sum(1)
-        for i in range(0, len(ask), 128):
-            q = np.stack(ask["q"].iloc[i : i + 128].to_numpy()).astype(float)
-            for row, at, score in nearest_rows(m, names, square, q, k + 1):
-                parts.append(pd.DataFrame({"query_id": ask["query_id"].iloc[i : i + 128].to_numpy()[row], "vid": names[at], "ids": ids[at], "score": score}))
-        return pd.concat(parts)
-
-    by = ["tree", "leaf", "salt"]
+        m, found = np.stack(own["vec"].to_numpy()).astype(float), []
+        names, ids, leaf, square = own["vid"].to_numpy(), own["ids"].to_numpy(), own["leaf"].to_numpy(), (m**2).sum(1)
+        step = max(1, CELLS // len(m))
+        for i in range(0, len(ask), step):
+            some = ask.iloc[i : i + step]
+            taken = np.zeros((len(some), int(leaf.max()) + 1), bool)
+            for r, leaves in enumerate(some["leaves"]):
+                taken[r, leaves[leaves < taken.shape[1]]] = True
+            q = np.stack(some["q"].to_numpy()).astype(float)
+            for row, at, score in nearest_rows(m, names, square, q, k + 1, taken[:, leaf]):
+                found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "vid": names[at], "ids": ids[at], "score": score}))
+        return pd.concat(found)
+
+    by = ["tree", "part", "salt"]
     found = placed.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(best, "query_id long, vid long, ids array<long>, score double")
     found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

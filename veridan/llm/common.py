@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +19,13 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that the session names in spark.checkpoint.dir.
 
-    Only where the session names none (single-machine tests) a local temporary folder is set.
+    Only where a session on a single machine names none, a local temporary folder is set; on a cluster
+    that would scatter tables over machines, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -45,6 +52,38 @@ def kept_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+# --- memory of Python workers -------------------------------------------------------------------
+
+
+def trim() -> None:
+    """Gives memory that is free back to the machine: executors run several Python workers beside each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """The rows in order, in pieces whose texts hold about ``chars`` characters (more only for one longer text)."""
+    size = pdf["text"].str.len().fillna(0).cumsum() // chars
+    for _, part in pdf.groupby(size, sort=True):
+        yield part
+
+
+class Interned(dict):
+    """key -> number in the order of first sight; a new key gets the next number."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start[i] : start[i] + size[i]]`` of all ``places`` i, one after another."""
+    n = size[places]
+    end = np.cumsum(n)
+    return flat[np.repeat(start[places] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
+
+
 # --- words and shingles -------------------------------------------------------------------------
 
 

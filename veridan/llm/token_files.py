@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, kept_columns, scratch
+from .common import Interned, dropped, gathered, kept_columns, scratch, slices, trim
 
 SCALE_BITS, LANES, CHECKPOINT, BLOCK = 20, 1024, 256, 1 << 20
 END_ID = 1
@@ -123,44 +123,28 @@ class Coder:
 
 # --- tokens -------------------------------------------------------------------------------------
 
-#: A full stop or comma that doesn't follow a letter or digit, and may be one pre-token with what it follows.
-_MARKS = re.compile(r"[.,](?<![^\W_][.,])")
-_TAIL = b".,!?;:*&%$#|"
-
-
-class _Recent(dict):
-    """The last ``limit`` to twice ``limit`` keys in use: when it is full, it becomes the older half."""
-
-    limit = 300_000
-    older: dict
-
-    def __init__(self):
-        self.older = {}
-
-    def missing(self, keys) -> list:
-        """Those of the keys that are not known; known old ones move to the newer half."""
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        out, older = [], self.older
-        for k in keys:
-            if k not in self:
-                v = older.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    self[k] = v
-        return out
+#: Letters and digits that stay what they are under NFC and lower-casing, alone and before any mark: after one of
+#: them, and only there, the text is cut before punctuation without asking the tokenizer.
+_PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A full stop or comma that follows something else, and may be one pre-token with what it follows.
+_MARKS = re.compile(rf"[.,](?<![{_PLAIN}][.,])")
+#: Marks that may make one letter with the letter before them.
+_COMBINING = re.compile("[\u0300-\u036f]")
+_TAILED = re.compile(rf"(.*[{_PLAIN}])([.,!?;:*&%$#|]+)", re.DOTALL)
 
 
 class Pieces:
     """Ids of white-space-delimited pieces by the tokenizers library, kept for the pieces in use.
 
     For a tokenizer that drops white space, and whose pre-tokens don't cross it, the ids of a text are those
-    of its pieces. A tail of punctuation after a letter or digit is a pre-token of its own. Words of letters
-    only are encoded many at a time, as one text; each ends with a token that marks a word's end.
+    of its pieces. A tail of punctuation after a plain letter or digit is a pre-token of its own. Words of
+    letters only are encoded many at a time, as one text; each ends with a token that marks a word's end.
+    A piece is looked up once for each time it occurs; its ids stand in one array for all pieces.
     """
 
+    #: Pieces that are kept; beyond them all go that the last call didn't use.
+    limit = 500_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -169,52 +153,80 @@ class Pieces:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces, self.cores = _Recent(), _Recent()
-
-    def _encode(self, words: list[bytes]) -> None:
-        plain = [(w, t) for w in words if (t := w.decode("utf-8", "surrogatepass")).isalpha()]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.int64)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(part):
-                raw, begin = ids.astype("<u2").tobytes(), [0, *(2 * at).tolist()]
-                self.cores.update((w, raw[begin[k] : begin[k + 1]]) for k, (w, _) in enumerate(part))
-        rest = [w for w in words if w not in self.cores]
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            self.cores.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(part, got, strict=True))
+        self.index = Interned()
+        self.flat, self.start, self.size = np.empty(0, "<u2"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.used = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        keys, keep = list(self.index), np.unique(self.used)
+        self.index = Interned((keys[i], n) for n, i in enumerate(keep.tolist()))
+        self.flat, self.size = gathered(self.flat, self.start, self.size, keep), self.size[keep]
+        self.start = np.cumsum(self.size) - self.size
+
+    def _added(self, ids: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> None:
+        """The runs of ``ids`` as those of the pieces ``at``."""
+        end = np.cumsum(lengths)
+        self.start[at], self.size[at] = len(self.flat) + end - lengths, lengths
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _together(self, words: list[bytes], at: np.ndarray) -> list[int]:
+        """Encodes words of letters as one text each 20,000; places in ``words`` of those for which that didn't do."""
+        left = []
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            text = b" ".join(part).decode("utf-8", "surrogatepass")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                self._added(ids, at[i : i + 20_000], np.diff(ends, prepend=0))
+            else:
+                left += range(i, i + len(part))
+        return left
+
+    def _learn(self, known: int) -> None:
+        new = list(self.index)[known:]
+        more = np.zeros(len(new), np.int64)
+        self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+        plain = [i for i, w in enumerate(new) if w.isalpha() or (not w.isascii() and w.decode("utf-8", "surrogatepass").isalpha())]
+        left = self._together([new[i] for i in plain], np.array(plain, np.int64) + known)
+        rest = sorted(set(range(len(new))).difference(plain).union(plain[i] for i in left))
+        parts = []
+        for i in rest:
+            m = None if new[i].isalnum() else _TAILED.fullmatch(new[i].decode("utf-8", "surrogatepass"))
+            parts.append((new[i],) if m is None else tuple(x.encode("utf-8", "surrogatepass") for x in m.groups()))
+        wanted = list({c for q in parts for c in q})
+        got: dict[bytes, list[int]] = {}
+        for i in range(0, len(wanted), 10_000):
+            part = wanted[i : i + 10_000]
+            every = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
+            got.update((w, e.ids) for w, e in zip(part, every, strict=True))
+        ids = [[x for c in q for x in got[c]] for q in parts]
+        self._added(np.array([x for own in ids for x in own], "<u2"), np.array(rest, np.int64) + known, np.array(list(map(len, ids)), np.int64))
 
     @staticmethod
     def _split(text: str) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass").lower()
+        data = text.encode("utf-8", "surrogatepass")
+        if text.isascii() or not _COMBINING.search(text):
+            data = data.lower()
         if not _MARKS.search(text):
-            # After a letter or digit a full stop or comma is a pre-token of its own: far fewer pieces differ.
+            # After a plain letter or digit a full stop or comma is a pre-token of its own: far fewer pieces differ.
             data = data.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ").replace(b",\n", b" , ")
         return data.split()
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._split(t) if t else [] for t in texts]
-        new = self.pieces.missing(set().union(*split))
-        parts = []
-        for p in new:
-            core = p.rstrip(_TAIL)
-            if core and len(core) < len(p) and (core[-1:].isalnum() or core.decode("utf-8", "surrogatepass")[-1].isalnum()):
-                parts.append((core, p[len(core) :]))
-            else:
-                parts.append((p,))
-        self._encode(self.cores.missing({c for q in parts for c in q}))
-        cores, pieces = self.cores, self.pieces
-        for p, q in zip(new, parts, strict=True):
-            pieces[p] = b"".join([cores[c] for c in q])
-        return [np.frombuffer(b"".join([pieces[p] for p in s]), "<u2") for s in split]
-
-
-def _slices(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    size = pdf["text"].str.len().fillna(0).cumsum() // chars
-    for _, part in pdf.groupby(size, sort=True):
-        yield part
+        if len(self.index) > self.limit:
+            self._forget()
+        known, number = len(self.index), self.index.__getitem__
+        places = []
+        for t in texts:
+            s = self._split(t) if t else []
+            places.append(np.fromiter(map(number, s), np.int64, len(s)))
+        if len(self.index) > known:
+            self._learn(known)
+        self.used = np.concatenate(places) if places else np.empty(0, np.int64)
+        every = gathered(self.flat, self.start, self.size, self.used)
+        ends = np.concatenate([[0], np.cumsum(self.size[self.used])])[np.cumsum([0, *map(len, places)])].tolist()
+        return [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -239,7 +251,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: i
             )
 
         for pdf in batches:
-            for part in _slices(pdf):
+            for part in slices(pdf):
                 for name, own_ids in zip(part["doc_id"], pieces.ids(part["text"].tolist()), strict=True):
                     names.append(None if pd.isna(name) else int(name))
                     ids.append(np.append(own_ids, np.uint16(end_id)))
@@ -247,6 +259,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: i
                     if size >= block:
                         yield row()
                         no, names, ids, size = no + 1, [], [], 0
+            trim()
         if names:
             yield row()
 
