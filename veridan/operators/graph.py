@@ -8,33 +8,16 @@ serves only as the place where its history is replayed, so no value reads the fu
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY, seconds
 from .asof import TAU7, TAU30, latest_returns
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of spark.checkpoint.dir; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written and read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .tables import connected_components, dropped, scratch, stored  # noqa: F401
 
 
 def _stars(orders: DataFrame, key: str) -> DataFrame:
@@ -57,23 +40,6 @@ def identity_edges(orders: DataFrame, neighbours: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.min(F.struct("ts_sec", "order_id")).alias("m")).select("a", "b", "m.ts_sec", "m.order_id")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): smallest node reachable over (a, b); star rounds (Kiveris et al., SoCC 2014)."""
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.k).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hub = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(hub, large.u == hub.k).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(hub)
-        e = stored(small.distinct(), "components")
-        inner = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1)
-        twice = e.groupBy("u").count().where("count > 1").select("u").limit(1)
-        if not inner.union(twice).count():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), "v").distinct())
-    raise RuntimeError("components did not settle")
-
-
 COMPONENT_FEATURES = [
     "comp_size", "comp_prior_orders", "comp_return_rate", "comp_cod_share", "comp_orders_d7", "comp_orders_d30", "comp_growth_d7",
     "comp_mean_tenure_days", "comp_max_tenure_days", "comp_distinct_devices", "comp_distinct_addr_clusters", "comp_value_per_customer",
