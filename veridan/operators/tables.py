@@ -62,9 +62,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     when the next one stands. The rounds end when one changes nothing.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    mark = None
+    mark = (e.count(), None)
     for _ in range(max_rounds):
-        hub_rows = max(HUB_ROWS, 2 * e.count() // HUBS)
+        hub_rows = max(HUB_ROWS, 2 * mark[0] // HUBS)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
         large = _with_least(both, m, hub_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
