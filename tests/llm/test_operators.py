@@ -300,3 +300,19 @@ def test_rotation(spark):
     parts = chat.rotate(many, most=10).collect()
     assert len(parts) == 3 and sum(r["n_turns"] for r in parts) == 30
     assert chat.rotate(many.where(F.lit(False))).count() == 0
+
+
+def test_jaccard_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = ngram_join.jaccard_components(_docs(spark, [a, b, a, b, c, a], [7, 7, 4, 9, 5, 7])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(4, 4), (5, 5), (7, 4), (7, 4), (7, 4), (9, 4)]
+
+
+def test_jaccard_with_hot_keys(spark, monkeypatch):
+    """Keys that a sample shows to be hot skip the count; the links are the same."""
+    monkeypatch.setattr(ngram_join, "SAMPLED", 1)
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    texts = _corpus(4)
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(_docs(spark, texts, ids), 4, 85, 100).collect()}
+    assert got == _components(ids, texts, 4, 85, 100)

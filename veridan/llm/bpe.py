@@ -1,27 +1,26 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
-A word is one match of the pre-token pattern. Documents, their texts compressed, are dealt into blocks of
-bounded size. Each block emits every distinct word it holds once (its positions are the block's own texts),
-packed by the shuffle's bucket of the word; in its bucket each distinct word is encoded once, and the ids go
-back to the blocks in the same order, where they are put together by position. Words that would come from nearly every block are
-encoded beforehand and broadcast instead: the ``COMMON`` most frequent ones of a bounded sample. Which words
-these are changes what is shuffled, never a result. Decoding joins the table of token bytes, which is as
-large as the vocabulary, never as the data.
+A word is one match of the pre-token pattern. Texts are cut into words once, in blocks of bounded size: a block
+keeps for each document the numbers of its words in order (its positions), and emits every distinct word it holds
+once, with its number, to the shuffle's bucket of the word; rows are packed, one for each block and bucket. In its
+bucket each distinct word is encoded once, whichever blocks ask. The ids are joined back to the blocks, where each
+document's ids are put together by position. Texts themselves are never shuffled. Decoding joins the table of token
+bytes by id; the table is as large as the vocabulary, never as the data, and goes to all tasks.
+
+The cut texts are a written table, so block numbers stay what they are when a task runs again.
 
 Defined cases: a null text counts as empty, without ids. Extra columns pass through encode() as long as
-they are not called ``ids``, which is replaced; the text itself can be had back by decode(). Repeated rows give repeated results. White space, whatever
-its kind or length, is encoded like any other text, so decoding returns the exact bytes.
+they are not called ``ids``, which is replaced; the text itself can be had back by decode(). Repeated rows give repeated
+results. White space, whatever its kind or length, is encoded like any other text, so decoding returns the exact bytes.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import contextlib
-import ctypes
 import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,13 +31,18 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Interned, gathered, stored, trim
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text in a block, about; documents of the sample for common words, and how many words that gives.
-BLOCK_BYTES, SAMPLE_DOCS, COMMON = 10_000_000, 40_000, 50_000
+#: Characters of text in a block, about; documents whose words are cut at once; buckets for each shuffle partition.
+BLOCK_CHARS, AT_ONCE, SPREAD = 10_000_000, 500, 4
+#: Words whose ids a task keeps while it works on a bucket.
+KEPT_WORDS = 1_000_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters, and neighbours, for which the quick split below doesn't hold.
 _ODD = re.compile("[\\x00\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -76,32 +80,6 @@ def piece_words(piece: str) -> list[str]:
     return [piece] if (piece[1:] if piece[0] == " " else piece).isalpha() else _pattern().findall(piece)
 
 
-def _common_words(docs: DataFrame, n_docs: int, path: str) -> dict[str, bytes]:
-    """The most frequent words of a sample of about ``SAMPLE_DOCS`` documents, with their ids."""
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
-    some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                of_piece, of_word = Counter(), Counter()
-                for t in pdf["text"].iloc[i : i + 1000]:
-                    of_piece.update(pieces(t))
-                for p, n in of_piece.items():
-                    for w in piece_words(p):
-                        of_word[w] += n
-                yield pd.DataFrame({"word": list(of_word.keys()), "n": list(of_word.values())})
-
-    top = some.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
-    words = top.orderBy(F.desc("n"), "word").limit(COMMON).select("word").toPandas()["word"]
-    return {w: _ids(w, path) for w in words}
-
-
-def _ids(word: str, path: str) -> bytes:
-    kind = "<u2" if len(_ranks(path)) <= 65536 else "<u4"
-    return np.array(_encoding(path)._encode_single_piece(word.encode("utf-8", "surrogatepass")), kind).tobytes()
-
-
 def _pack(c: zstandard.ZstdCompressor, items: list[bytes]) -> bytes:
     """Byte strings as one: count and lengths, then all bytes, compressed."""
     return c.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
@@ -116,10 +94,81 @@ def _unpack(packed: bytes) -> list[bytes]:
 
 def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``ids`` (array<int>): the ids of the whole text."""
-    return _encoded(docs, ranks, "ids array<int>", lambda ids: {"ids": ids})
-
-
-def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[[list[np.ndarray]], dict[str, list]]) -> DataFrame:
+    return _encoded(docs, ranks, "ids array<int>", lambda ids: {"ids": pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))})
+
+
+class _Block:
+    """Documents cut into pieces, until they are enough for a block."""
+
+    def __init__(self):
+        self.number, self.held, self.places, self.chars = Interned(), [], [], 0
+
+    def add(self, rest: pa.RecordBatch, texts: list[str | None]) -> None:
+        number = self.number.__getitem__
+        for t in texts:
+            own = pieces(t) if t else []
+            self.places.append(np.fromiter(map(number, own), np.int64, len(own)))
+            self.chars += len(t or "")
+        self.held.append(rest)
+
+    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words, and as runs of word numbers the words of each piece."""
+        number, runs, sizes = Interned(), [], []
+        for p in self.number:
+            own = piece_words(p)
+            sizes.append(len(own))
+            runs += [number[w] for w in own]
+        size = np.array(sizes, np.int64)
+        return [w.encode("utf-8", "surrogatepass") for w in number], np.array(runs, np.int64), np.cumsum(size) - size, size
+
+
+def _cut(schema: T.StructType, text: str, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of documents to two kinds of rows: a document with its word numbers, or a block's words of one bucket."""
+    rest = [f.name for f in schema.fields if f.name != text]
+
+    def closed(block: _Block, name: int, c: zstandard.ZstdCompressor, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+        words, runs, start, size = block.words()
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        kind = "<u2" if len(words) <= 65536 else "<u4"
+        seqs = [c.compress((rank[gathered(runs, start, size, p)] if len(words) else p).astype(kind).tobytes()) for p in block.places]
+        at = 0
+        for batch in block.held:
+            n = batch.num_rows
+            columns = [batch.column(i) for i in range(len(rest))]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([name] * n, pa.int64()), pa.array(seqs[at : at + n], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [*rest, "block", "seq", "bucket", "words"]
+            )
+            at += n
+        found, first = np.unique(bucket[order], return_index=True)
+        ends = [*first[1:].tolist(), len(words)]
+        packed = [_pack(c, [words[i] for i in order[a:b].tolist()]) for a, b in zip(first.tolist(), ends, strict=True)] if len(words) else []
+        n = len(packed)
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.nulls(n, kinds[r]) for r in rest], pa.array([name] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], [*rest, "block", "seq", "bucket", "words"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, no, block, c, kinds = TaskContext.get().partitionId(), 0, _Block(), zstandard.ZstdCompressor(level=3), {}
+        for batch in batches:
+            kinds = {f.name: f.type for f in batch.schema}
+            for i in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(i, AT_ONCE)
+                block.add(some.select(rest), some.column(text).to_pylist())
+                if block.chars >= BLOCK_CHARS:
+                    yield from closed(block, (task << 32) + no, c, kinds)
+                    no, block = no + 1, _Block()
+                    trim()
+        if block.held:
+            yield from closed(block, (task << 32) + no, c, kinds)
+            trim()
+
+    return run
+
+
+def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[[list[np.ndarray]], dict[str, pa.Array]]) -> DataFrame:
     """``docs`` without ``text``, with the columns that ``finish`` makes of the ids where a block is put together."""
     path = ranks or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
@@ -127,54 +176,12 @@ def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[
     cols = [c for c in docs.columns if c not in made.names]
     docs = docs.select(*[F.col(f"`{c}`") for c in cols]).toDF(*[f"c{i}" for i in range(len(cols))])
     text = f"c{cols.index('text')}"
-    size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("n")).first()
-    n = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    common = spark.sparkContext.broadcast(_common_words(docs.select(F.col(text).alias("text")), size["n"], path))
-    parts = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = zstandard.ZstdCompressor(level=3)
-        for s in batches:
-            yield pd.Series([c.compress((t or "").encode("utf-8", "surrogatepass")) for t in s], dtype=object)
-            del s
-            _trim()
-
-    def unpacked(column: pd.Series) -> Iterator[str]:
-        d = zstandard.ZstdDecompressor()
-        for b in column:
-            yield d.decompress(b).decode("utf-8", "surrogatepass")
-
     rest = [c for c in docs.columns if c != text]
-    key = F.pmod(F.xxhash64(*docs.columns[:1], text), F.lit(n)).cast("int")
-    dealt = docs.select(*rest, key.alias("block"), packed(text).alias("packed")).repartition(parts, "block")
-
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = np.dtype("<u2" if len(_ranks(path)) <= 65536 else "<u4")
-
-    def bucketed(words: set[str]) -> dict[int, list[str]]:
-        """The uncommon words of a block by bucket, in a fixed order."""
-        out = {}
-        for w in sorted(words.difference(common.value)):
-            out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
-        return out
-
-    def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, seen, c = None, set(), zstandard.ZstdCompressor(level=3)
-
-        def rows() -> pd.DataFrame:
-            out = [(k, block, _pack(c, [w.encode("utf-8", "surrogatepass") for w in ws])) for k, ws in bucketed({w for p in seen for w in piece_words(p)}).items()]
-            return pd.DataFrame(out, columns=["bucket", "block", "words"])
-
-        for pdf in batches:
-            for b, t in zip(pdf["block"], unpacked(pdf["packed"]), strict=True):
-                if b != block:
-                    if seen:
-                        yield rows()
-                    block, seen = b, set()
-                    _trim()
-                seen.update(pieces(t))
-        if seen:
-            yield rows()
+    own = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name in rest]
+    cut_schema = T.StructType([*own, *T.StructType.fromDDL("block long, seq binary, bucket int, words binary").fields])
+    cut = stored(docs.mapInArrow(_cut(docs.schema, text, parts * SPREAD), cut_schema), "bpe-blocks")
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, done, c = None, {}, zstandard.ZstdCompressor(level=3)
@@ -182,7 +189,7 @@ def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[
         for pdf in batches:
             out = []
             for k, packed_words in zip(pdf["bucket"], pdf["words"], strict=True):
-                if k != bucket:
+                if k != bucket or len(done) > KEPT_WORDS:
                     bucket, done = k, {}
                 ws = _unpack(packed_words)
                 for w in ws:
@@ -191,46 +198,41 @@ def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[
                 out.append(_pack(c, [done[w] for w in ws]))
             yield pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "ids": out})
 
-    words = dealt.sortWithinPartitions("block").mapInPandas(distinct_words, "bucket int, block int, words binary")
-    words = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(encoded, "block int, bucket int, ids binary")
-
-    def assembled(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        known = common.value
-        seen: set[str] = set()
-        for t in unpacked(own["packed"]):
-            seen.update(pieces(t))
-        of_piece = {p: piece_words(p) for p in seen}
-        by_bucket, by_word = bucketed(set().union(*of_piece.values())), {}
-        for k, packed_ids in zip(table["bucket"], table["ids"], strict=True):
-            by_word.update(zip(by_bucket[k], _unpack(packed_ids), strict=True))
-        at = {}
-        for p, ws in of_piece.items():
-            at[p] = b"".join([known.get(w) or by_word[w] for w in ws])
-        del seen, of_piece, by_bucket, by_word
-        ids = [np.frombuffer(b"".join([at[p] for p in pieces(t)]), kind).astype(np.int32) for t in unpacked(own["packed"])]
-        del at
-        columns = finish(ids)
-        out = {c: own[c].to_numpy() for c in rest} | {c: pd.Series(v, dtype=None if isinstance(v, np.ndarray) else object) for c, v in columns.items()}
-        del ids, own
-        _trim()
-        return pd.DataFrame(out)
-
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name in rest), *made.fields])
-    out = dealt.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assembled, schema)
-    return out.toDF(*[cols[int(c[1:])] for c in rest], *made.names)
+    words = cut.where("bucket IS NOT NULL").select("block", "bucket", "words").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    words = words.mapInPandas(encoded, "block long, bucket int, ids binary")
 
+    def assembled(held: pa.Table, table: pa.Table) -> pa.Table:
+        d = zstandard.ZstdDecompressor()
+        table = table.sort_by("bucket")
+        sizes, flats = [np.empty(0, np.int64)], [np.empty(0, kind)]
+        for packed_ids in table.column("ids").to_pylist():
+            data = d.decompress(packed_ids)
+            n = int.from_bytes(data[:4], "little")
+            sizes.append(np.frombuffer(data, "<u4", n, 4).astype(np.int64) // kind.itemsize)
+            flats.append(np.frombuffer(data, kind, -1, 4 * (n + 1)))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
+        start, wide = np.cumsum(size) - size, "<u2" if len(size) <= 65536 else "<u4"
+        columns = []
+        for i in range(0, held.num_rows, AT_ONCE):
+            seqs = [np.frombuffer(d.decompress(s), wide) for s in held.column("seq").slice(i, AT_ONCE).to_pylist()]
+            columns.append(finish([gathered(flat, start, size, s.astype(np.int64)) for s in seqs]))
+        out = held.select(rest)
+        for name in made.names:
+            out = out.append_column(name, pa.chunked_array([c[name] for c in columns]))
+        trim()
+        return out
 
-def _trim() -> None:
-    """Gives memory that is free back to the machine: executors run several Python workers beside each other."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    out = cut.where("bucket IS NULL").select(*rest, "block", "seq").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assembled, T.StructType([*own, *made.fields]))
+    return out.toDF(*[cols[int(c[1:])] for c in rest], *made.names)
 
 
-def _decoder(path: str) -> Callable[[np.ndarray], bytes]:
-    """From ids to bytes, by the table of token bytes."""
-    table = {i: b for b, i in _ranks(path).items()}
-    return lambda ids: b"".join(map(table.__getitem__, ids.tolist()))
+@lru_cache(2)
+def _token_bytes(path: str) -> list[bytes]:
+    """The table of token bytes, by id."""
+    out = [b""] * (max(_ranks(path).values()) + 1)
+    for b, i in _ranks(path).items():
+        out[i] = b
+    return out
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -239,13 +241,18 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _decoder(path)
+        token = _token_bytes(path).__getitem__
         for s in batches:
-            yield pd.Series([None if ids is None else own(ids) for ids in s], dtype=object)
+            yield pd.Series([None if ids is None else b"".join(map(token, ids.tolist())) for ids in s], dtype=object)
 
     return encoded.withColumn("decoded", joined("ids"))
 
 
+@lru_cache(2)
+def _decimals(path: str) -> list[bytes]:
+    return [str(i).encode() for i in range(len(_token_bytes(path)))]
+
+
 def token_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: texts encoded, the ids decoded, both digested in place.
 
@@ -253,12 +260,13 @@ def token_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """
     path = ranks or public_tokenizers.path(RANKS)
 
-    def finish(ids: list[np.ndarray]) -> dict[str, list]:
-        decoded, text = _decoder(path), [str(i).encode() for i in range(max(_ranks(path).values()) + 1)]
+    def finish(ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        token, decimal = _token_bytes(path).__getitem__, _decimals(path).__getitem__
+        listed = [i.tolist() for i in ids]
         return {
-            "n_tokens": np.array([len(i) for i in ids], np.int64),
-            "ids_sha256": [hashlib.sha256(b",".join(map(text.__getitem__, i.tolist()))).hexdigest() for i in ids],
-            "decoded_sha256": [hashlib.sha256(decoded(i)).hexdigest() for i in ids],
+            "n_tokens": pa.array([len(i) for i in listed], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(b",".join(map(decimal, i))).hexdigest() for i in listed], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(b"".join(map(token, i))).hexdigest() for i in listed], pa.string()),
         }
 
     return _encoded(docs.select("doc_id", "text"), ranks, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)

@@ -4,47 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder that the session names in spark.checkpoint.dir.
-
-    Only where a session on a single machine names none, a local temporary folder is set; on a cluster
-    that would scatter tables over machines, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`stored` that no later step reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for uri in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(uri.rsplit("/", 1)[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from ..operators.tables import connected_components as components
+from ..operators.tables import dropped, scratch, stored  # noqa: F401
 
 
 def kept_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -90,7 +60,7 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, places: np.n
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash. It forgets all words when ``limit`` is reached, so memory is bounded."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -140,40 +110,3 @@ def shingle_sets(texts: Iterable[str | None], k: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
-
-
-# --- connected components -----------------------------------------------------------------------
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over ``edges`` (a, b: long); nodes without edge are absent.
-
-    Large-star and small-star rounds (Kiveris et al., SoCC 2014) as aggregates and joins. The state of
-    each round is a written table, so no lineage grows and lost executors cost one round at most.
-    A hub's neighbours are never gathered: its minimum is a partial aggregate and is joined back.
-    """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = stored(e, "cc")
-    for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = (
-            both.join(m, both.u == m.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        )
-        large = large.distinct()
-        ms = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(ms, large.u == ms.k)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(ms.select("k", "m"))
-        new = stored(small.distinct(), "cc")
-        # A star forest is reached when no centre is also a leaf and each leaf has one centre.
-        open_ = new.select(F.col("v").alias("u")).distinct().join(new.select("u").distinct(), "u", "left_semi")
-        again = new.groupBy("u").count().where("count > 1").select("u")
-        dropped(e)
-        e = new
-        if not open_.union(again).limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )

@@ -5,10 +5,11 @@ exact; no pair is lost to a cap and no key is dropped.
 
 1. Equal sets fold into one (a partial aggregate, so a hot copy costs one row a task).
 2. Every set gives the keys of a prefix in hash order, long enough that similar sets share at least
-   ``need`` keys. Keys are counted in one shuffle; a document with fewer shared keys than any partner
-   would leave it takes no further part. This is repeated on what remains.
+   ``need`` keys. Keys are counted in one shuffle, but for hot keys that a sample of the sets shows: these
+   are shared for certain and stay out of it. A document with fewer shared keys than any partner would
+   leave it takes no further part. This is repeated on what remains.
 3. What still shares keys, among sets of a size that allows it, falls into clusters; each pair that can
-   link lies inside one cluster.
+   link lies inside one cluster. A key is a node of its own there, so nobody's neighbours are gathered.
 4. A task gets the documents of one cluster (or two blocks of a large one), builds signature trees,
    whose nodes hold OR-combined token bitmaps and size ranges, and descends two trees at once. A node
    pair goes when its largest possible overlap is too small or when all below is linked already.
@@ -16,7 +17,7 @@ exact; no pair is lost to a cap and no key is dropped.
 5. Links become components.
 
 Defined cases: null or word-less text: empty set, linked with nothing. Rows with the same doc_id are one
-vertex, each row is returned. A null doc_id is returned with its n_shingles and takes no part. Extra
+vertex, whatever their texts; each row is returned. A null doc_id is returned with its n_shingles and takes no part. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -31,10 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, dropped, kept_columns, shingle_sets, stored
+from .common import components, dropped, kept_columns, shingle_sets, slices, stored, trim
 
-#: Shingles that one block of a cluster holds at most (64 MB of hashes); a larger document has its own block.
-BLOCK_SHINGLES = 8_000_000
+#: Shingles that one block of a cluster holds at most (32 MB of hashes); a larger document has its own block.
+BLOCK_SHINGLES = 4_000_000
+#: Characters of text whose shingles are made at once.
+CHARS = 2_000_000
+#: One set in so many is looked at for hot keys, and how often a hot key stands in that sample at least.
+SAMPLED, HOT = 64, 16
+#: Hot keys that are told apart at most, the most frequent first; any other goes the common way.
+HOT_KEYS = 100_000
 #: 64-bit words of the bitmap that keeps texts without a partner out of a shuffle (4 MB).
 BITMAP = 1 << 19
 #: Sets below a lowest node, and nodes below a higher one.
@@ -191,16 +198,18 @@ def _base(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = shingle_sets(pdf["text"], k)
-            n = [len(s) for s in sets]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n": n,
-                    "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "keys": [s[: len(s) - _least_overlap(len(s), num, den) + _need(len(s))].view(np.int64) for s in sets],
-                }
-            )
+            for part in slices(pdf, CHARS):
+                sets = shingle_sets(part["text"], k)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"],
+                        "n": [len(s) for s in sets],
+                        "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                        "keys": [s[: len(s) - _least_overlap(len(s), num, den) + _need(len(s))].view(np.int64) for s in sets],
+                    }
+                )
+                del sets
+            trim()
 
     return kept_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, keys array<long>")
 
@@ -215,18 +224,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     reps = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
-    rows = stored(_shared(reps.select("rep", "n", F.explode("keys").alias("key")), ["key"], num, den), "jaccard-keys")
+    # Keys that many sets hold, by their number in a sample of the sets: a bounded table.
+    some = base.where("n > 0 AND doc_id IS NOT NULL").where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLED)) == 0).dropDuplicates(["digest"])
+    hot = some.select(F.explode("keys").alias("hot")).groupBy("hot").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "hot").limit(HOT_KEYS)
+    hot = stored(hot.select("hot"), "jaccard-hot")
+    rows = stored(_shared(reps.select("rep", "n", F.explode("keys").alias("key")), ["key"], hot, num, den), "jaccard-keys")
     # Similar sets differ in size by the factor num/den at most, so they lie in one size class or in two
     # neighbouring ones; each set stands in both windows of two classes that hold its own.
     size_class = F.floor(F.log(F.col("n")) / float(np.log(den / num * 1.0001)))
     windows = rows.select("key", "rep", "n", F.explode(F.array(size_class, size_class - 1)).alias("window"))
     for _ in range(2):
-        windows, last = stored(_shared(windows, ["key", "window"], num, den), "jaccard-windows"), rows
+        windows, last = stored(_shared(windows, ["key", "window"], None, num, den), "jaccard-windows"), rows
         dropped(last)
         rows = windows
     windows = windows.withColumn("node", F.xxhash64("rep", "window"))
-    edges = windows.withColumn("lead", F.expr("min(node) over (partition by key, window)"))
-    clusters = stored(components(edges.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "jaccard-clusters")
+    edges = windows.select(F.col("node").alias("a"), F.xxhash64("key", "window", F.lit("key")).alias("b"))
+    clusters = stored(components(edges), "jaccard-clusters")
 
     # Blocks of a cluster, by a hash of the document; most clusters have one block.
     sized = windows.select("node", "rep", "n").distinct().join(clusters, "node")
@@ -240,13 +253,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     links = stored(_linked(task, k, num, den), "jaccard-links")
     if members.where("blocks > 1").limit(1).count():
         links = _across_blocks(texts, links, k, num, den)
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    final = stored(components(links), "jaccard-final")
+    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    # A doc_id with several texts ties the representatives of these together.
+    named = base.where("n > 0 AND doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    of_digest = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    ties = named.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(of_digest, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = stored(components(links.union(ties)), "jaccard-final")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    final = final.join(degree, "node", "left")
     linked = (
-        base.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-        .join(final, F.col("rep") == F.col("node"), "left")
+        of_digest.join(final.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
         .select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     out = base.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest"))
@@ -274,10 +290,19 @@ def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").where(likely(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP * 64))))
 
 
-def _shared(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
-    """The rows whose key others have too, of sets that have as many of them as a similar set would leave."""
+def _shared(rows: DataFrame, by: list[str], hot: DataFrame | None, num: int, den: int) -> DataFrame:
+    """The rows whose key others have too, of sets that have as many of them as a similar set would leave.
+
+    ``hot``: keys that are known to be shared; their rows, which may be a large part of all, are not gathered.
+    """
     keys = ", ".join(by)
-    rows = rows.withColumn("df", F.expr(f"count(1) over (partition by {keys})")).where("df > 1").drop("df")
+    count = F.expr(f"count(1) over (partition by {keys})")
+    own = ["rep", "n", *by]
+    if hot is None:
+        rows = rows.withColumn("df", count).where("df > 1").select(*own)
+    else:
+        marked = rows.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")  # HOT_KEYS rows at most
+        rows = marked.where("hot IS NULL").withColumn("df", count).where("df > 1").select(*own).union(marked.where("hot IS NOT NULL").select(*own))
     rows = stored(rows, "jaccard-shared")
     own = ["rep", "n", *by[1:]]
     c = F.expr(f"({num} * n + {den} - 1) div {den}")
@@ -297,17 +322,20 @@ def _linked(task: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
         key, ids, sides, sets, known, out = None, [], [], [], [], []
         for pdf in batches:
-            s = shingle_sets(pdf["text"], k)
-            keys = list(zip(pdf["component"], pdf["i"], pdf["j"], strict=True))
-            for x, (doc, side, kn) in enumerate(zip(pdf["doc_id"], pdf["side"], pdf["known"], strict=True)):
-                if keys[x] != key:
-                    out += found(key, ids, sides, sets, known)
-                    key, ids, sides, sets, known = keys[x], [], [], [], []
-                if len(s[x]):
-                    ids.append(doc), sides.append(side), sets.append(s[x]), known.append(kn)
+            for part in slices(pdf, CHARS):
+                s = shingle_sets(part["text"], k)
+                keys = list(zip(part["component"], part["i"], part["j"], strict=True))
+                for x, (doc, side, kn) in enumerate(zip(part["doc_id"], part["side"], part["known"], strict=True)):
+                    if keys[x] != key:
+                        out += found(key, ids, sides, sets, known)
+                        key, ids, sides, sets, known = keys[x], [], [], [], []
+                    if len(s[x]):
+                        ids.append(doc), sides.append(side), sets.append(s[x]), known.append(kn)
+                del s
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
+            trim()
         out += found(key, ids, sides, sets, known)
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
