@@ -1,14 +1,15 @@
 """Language identification by error-correcting output codes.
 
-Each learned language gets a codeword of ``BITS`` bits; a binary character n-gram classifier predicts
+Each learned language gets a codeword of ``BITS`` bits, more where the languages are many; a binary character n-gram classifier predicts
 each bit. Decoding is loss-weighted: a codeword's distance is the sum over bits of the bit's weight (how
 well its classifier separates the training texts) times the logistic loss of its margin. The nearest
 codeword names the language; a small gap to the second nearest flags an ambiguous text.
 
-The classifiers are fitted on the driver on a bounded sample: ``SAMPLE`` rows, shared by the languages
-(20 rows each at least), picked by a hash of doc_id. Prediction reads whole texts.
+The classifiers are fitted on the driver on a bounded sample: ``SAMPLE`` texts, shared by the languages (20 of
+each at least), those with the smallest hash of doc_id. The ``MOST_LANGUAGES`` most frequent values of lang are learned
+(ties: by name), so dirty labels can't grow the model. Prediction reads whole texts.
 
-Defined cases: a null text and one without a letter get ``und``, score 0 and not ambiguous; a single
+Defined cases: of several texts of one doc_id and lang the one with the least hash teaches; a null text and one without a letter get ``und``, score 0 and not ambiguous; a single
 learned language wins with its own confidence; without any labelled text ValueError is raised. Columns
 called like an output column are replaced, others pass through.
 """
@@ -28,19 +29,25 @@ from .quality import fold
 
 #: Bits of a codeword, hashed n-gram buckets, lengths of n-grams, rows of the sample (shared by the languages).
 BITS, BUCKETS, LENGTHS, SAMPLE = 15, 1 << 15, (1, 2, 3, 4), 8000
+#: Values of lang that are learned at most.
+MOST_LANGUAGES = 400
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def codewords(n: int, bits: int = BITS) -> np.ndarray:
-    """``n`` words of -1/+1, the set with the largest least distance among seeded draws; no bit is constant."""
+def codewords(n: int, bits: int | None = None) -> np.ndarray:
+    """``n`` words of -1/+1, the set with the largest least distance among seeded draws; no bit is constant.
+
+    Five bits more for each doubling of ``n`` beyond 4, so the least distance doesn't fall as languages come in.
+    """
+    bits = bits or BITS + 5 * max(0, (n - 1).bit_length() - 2)
     best, far = None, -1
     rng = np.random.default_rng(11)
-    for _ in range(400):
+    for _ in range(400 if n <= 40 else 20):
         c = rng.choice([-1, 1], (n, bits))
         if n > 1:
             for b in np.flatnonzero(np.abs(c.sum(0)) == n):
                 c[rng.integers(n), b] *= -1
-        d = min((int((c[i] != c[j]).sum()) for i in range(n) for j in range(i)), default=bits)
+        d = int(((bits - c @ c.T) // 2)[~np.eye(n, dtype=bool)].min()) if n > 1 else bits
         if d > far:
             best, far = c, d
     return best
@@ -98,19 +105,21 @@ class CodeModel:
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> CodeModel:
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 2)
     rows = rows.where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").alias("p_id"), F.col("lang").alias("p_lang"), F.xxhash64("doc_id").alias("h"))
-    sizes = {r["p_lang"]: r["count"] for r in rows.groupBy("p_lang").count().collect()}  # a row a language
+    # MOST_LANGUAGES rows at most come to the driver, whatever stands in lang.
+    sizes = {r["p_lang"]: r["count"] for r in rows.groupBy("p_lang").count().orderBy(F.desc("count"), "p_lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         raise ValueError("language identification needs labelled texts")
     each = max(20, sample // len(langs))
     # A first cut on the hash, at several times the rows wanted, leaves the ranking little to do.
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, 4 * (each + 25) / v))])
-    picked = rows.where(F.pmod("h", F.lit(1_000_003)) <= F.element_at(share, F.col("p_lang")) * 1_000_003)
+    picked = rows.where(F.col("p_lang").isin(langs)).where(F.pmod("h", F.lit(1_000_003)) <= F.element_at(share, F.col("p_lang")) * 1_000_003).distinct()
     picked = picked.withColumn("r", F.expr("row_number() over (partition by p_lang order by h, p_id)")).where(F.col("r") <= each)
     got = docs.select("doc_id", "text", "lang").join(
-        F.broadcast(picked.select("p_id", "p_lang")), (F.col("doc_id") == F.col("p_id")) & (F.col("lang") == F.col("p_lang"))
-    )
-    got = got.where("text IS NOT NULL").select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang"]).drop_duplicates(["doc_id", "lang"])
+        F.broadcast(picked.select("p_id", "p_lang")), (F.col("doc_id") == F.col("p_id")) & (F.col("lang") == F.col("p_lang"))  # ``each`` rows a language
+    ).where(F.col("text").rlike(r"\p{L}"))
+    # One text for each id and language, however often rows are repeated.
+    got = got.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text"))["text"].alias("text")).toPandas().sort_values(["doc_id", "lang"])
 
     at = {x: i for i, x in enumerate(langs)}
     y = np.array([at[x] for x in got["lang"]])

@@ -1,21 +1,24 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from labelled text, one from good and one from bad documents. A
-text is compressed with each in pieces; the normalised difference of the two compressed sizes, beside
-the whole text's own compressibility, becomes a score between 0 and 1 by a logistic calibration.
+text is compressed with each in pieces; the difference of the two compressed sizes, divided by the text's own
+size, is all that the score knows. A short text says little: to every text ``FLOOR`` bytes of the average labelled
+text are added. A logistic map, fitted on labelled texts that built no dictionary and weighted to the labels' own
+shares, calibrates the difference to the share of good texts.
 
-The model is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled rows of each class,
+The model is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled doc_ids of each class,
 those with the smallest hash of doc_id. Every text is scored as a whole, in tasks.
 
-Defined cases: null, empty and blank texts give the score of the mean training document's features with
-zero difference (``prior``); rows of the label table without a 0/1 label or text teach nothing; with
-fewer than 8 good or bad rows there is no model and ValueError is raised. A column of the input that is
-called like an output column is replaced; other columns pass through.
+Defined cases: null, empty and blank texts count as the average labelled text; rows of the label
+table without a 0/1 label or text, and doc_ids labelled both 0 and 1, teach nothing; of several documents of one
+labelled doc_id the one whose text has the least hash teaches; with fewer than 8 good or bad documents there is no
+model and ValueError is raised. A column of the input that is called like an output column is replaced; other
+columns pass through. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 4000
-#: Bytes of one dictionary, of one compressed piece, and zstandard's level.
-DICT_BYTES, PIECE, LEVEL = 110_000, 1024, 3
+#: Bytes of one dictionary, of one compressed piece, those added to a text's size, and zstandard's level.
+DICT_BYTES, PIECE, FLOOR, LEVEL = 110_000, 1024, 256, 3
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -39,9 +42,9 @@ def fold(doc_id: str = "doc_id") -> Column:
 class CompressionModel:
     good: bytes
     bad: bytes
-    weights: list[float] = field(default_factory=list)
-    mean: list[float] = field(default_factory=list)
-    scale: list[float] = field(default_factory=list)
+    average: float = 0.0  # difference a byte of the average labelled text
+    intercept: float = 0.0
+    slope: float = 0.0
 
     def _open(self) -> None:
         if not hasattr(self, "_c"):
@@ -50,55 +53,52 @@ class CompressionModel:
                 z = zstandard.ZstdCompressionDict(d)
                 z.precompute_compress(level=LEVEL)
                 self._c.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_dict_id=False))
-            self._plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
-    def features(self, text: str | None) -> list[float] | None:
-        """Compressed with the bad dictionary less with the good one, to their sum; own size to length; length."""
+    def sizes(self, text: str | None) -> tuple[int, int]:
+        """Compressed size with the bad dictionary less that with the good one, and own size; 0, 0 for a blank text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         if not data.strip():
-            return None
+            return 0, 0
         self._open()
         good, bad = (sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in self._c)
-        whole = len(self._plain.compress(data))
-        d = (bad - good) / (bad + good)
-        own = whole / (len(data) + 64)
-        return [d, max(d, 0.0) ** 0.5 - max(-d, 0.0) ** 0.5, own, good / (len(data) + 64), float(np.log1p(len(data)))]
-
-    def score(self, texts: pd.Series) -> np.ndarray:
-        rows = [self.features(t) for t in texts]
-        x = (np.array([r or self.mean for r in rows], float).reshape(len(rows), -1) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(_expanded(x) @ np.array(self.weights), -30, 30)))
-
-
-def _expanded(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -4, 4)
-    return np.column_stack([np.ones(len(x)), x, x**2, x[:, :1] * x[:, 1:]])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights by Newton steps."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        return bad - good, len(data)
+
+    def differences(self, sizes: list[tuple[int, int]]) -> np.ndarray:
+        x = np.array(sizes, float).reshape(-1, 2)
+        return (x[:, 0] + self.average * FLOOR) / (x[:, 1] + FLOOR)
+
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        x = self.differences([self.sizes(t) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * x, -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Intercept and slope by Newton steps on the standardised ``x``."""
+    mean = np.average(x, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, weights=weight)) + 1e-9
+    z, w = np.column_stack([np.ones(len(x)), (x - mean) / scale]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-9:
             break
-    return w
+    return float(w[0] - w[1] * mean / scale), float(w[1] / scale)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
     """Fit on labelled rows outside the held-out fold: half of the sample makes the dictionaries, half calibrates."""
     lab = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("q"))
-    lab = lab.where(fold("l_id") != 2).dropDuplicates(["l_id"]).withColumn("h", F.xxhash64("l_id"))
+    lab = lab.where(fold("l_id") != 2).groupBy("l_id").agg(F.min("q").alias("q"), F.max("q").alias("q2")).where("q = q2").drop("q2").withColumn("h", F.xxhash64("l_id"))
     # The least hashes of each class: a top-k, so neither side is sorted as a whole.
     picked = lab.where("q = 1").orderBy("h", "l_id").limit(sample).union(lab.where("q = 0").orderBy("h", "l_id").limit(sample))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))
-    rows = rows.select("h", "q", "doc_id", "text").toPandas().sort_values(["h", "doc_id"]).drop_duplicates("doc_id")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))  # 2 * sample rows
+    # One text an id, however often it is repeated.
+    rows = rows.groupBy("h", "doc_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text"))["text"].alias("text")).toPandas().sort_values(["h", "doc_id"])
     texts = {q: rows.loc[rows["q"] == q, "text"].tolist() for q in (0, 1)}
     if min(map(len, texts.values())) < 8:
         raise ValueError("the quality classifier needs at least 8 labelled documents of each class")
@@ -113,19 +113,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Com
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
             dicts[q] = b"".join(pieces)[:DICT_BYTES]
     model = CompressionModel(dicts[1], dicts[0])
-    x, y = [], []
-    for q, own in texts.items():
-        for t in own[1::2]:
-            if (f := model.features(t)) is not None:
-                x.append(f), y.append(q)
-    x, y = np.array(x), np.array(y, float)
-    model.mean, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-9).tolist()
-    z = _expanded((x - model.mean) / model.scale)
     # Calibrated to the labels' own shares: the sample holds the classes in other shares.
     share = lab.groupBy("q").count().toPandas().set_index("q")["count"].to_dict()
-    w = _logistic(z, y)
-    w[0] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    model.weights = w.tolist()
+    sizes = {q: [model.sizes(t) for t in own[1::2]] for q, own in texts.items()}
+    y = np.repeat([0.0, 1.0], [len(sizes[0]), len(sizes[1])])
+    weight = np.repeat([share[q] / len(sizes[q]) for q in (0, 1)], [len(sizes[0]), len(sizes[1])])
+    weight *= len(y) / weight.sum()
+    every = np.array(sizes[0] + sizes[1], float)
+    model.average = float(np.average(every[:, 0] / np.maximum(every[:, 1], 1), weights=weight))
+    model.intercept, model.slope = _logistic(model.differences(sizes[0] + sizes[1]), y, weight)
     return model
 
 
@@ -137,6 +133,6 @@ def score_quality(docs: DataFrame, model: CompressionModel, threshold: float = 0
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = held.value
         for s in batches:
-            yield pd.Series(own.score(s))
+            yield pd.Series(own.score(s), dtype=float)
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

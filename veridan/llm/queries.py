@@ -44,6 +44,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    if docs.isEmpty():
+        return spark.createDataFrame([], "doc_id long, held_out boolean, score double, predicted int")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (quality.fold() == 2).alias("held_out"), "score", "predicted")
@@ -65,6 +67,8 @@ def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    if docs.isEmpty():
+        return spark.createDataFrame([], "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit_languages(docs))
     return found.select("doc_id", (quality.fold() == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
