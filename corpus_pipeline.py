@@ -1,6 +1,13 @@
 """The corpus pipeline: quality, language, near duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+
+Defined cases: null, empty and wordless texts score like the average text and go in the language stage, which finds no
+letter in them. Rows that repeat a doc_id are judged each by its own text, but near duplicates and leaks are told by doc_id:
+of rows that repeat a kept doc_id all stay, of a leaked one all go. A null doc_id is never a near duplicate or a leak. Of
+equal documents the smallest doc_id stays. Columns besides doc_id, text and lang pass through as they are, whatever they are
+called. An empty table passes every stage; a table without enough labels or without any lang is an error, as the
+classifiers then have nothing to learn from.
 """
 
 from __future__ import annotations
@@ -18,18 +25,32 @@ KEEP_QUALITY = 0.3
 KEEP_LANGUAGE = 0.3
 
 
+def _guarded(docs: DataFrame) -> DataFrame:
+    """doc_id and text under their names, every other column under one that no operator uses."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)])
+
+
+def _restored(guarded: DataFrame, docs: DataFrame, **instead: str) -> DataFrame:
+    """The columns of ``docs`` again; some of them from columns that an operator made."""
+    own = _guarded(docs).columns
+    return guarded.select(*[F.col(instead.get(c, x)).alias(c) for c, x in zip(docs.columns, own, strict=True)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is at least KEEP_QUALITY."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
-    return scored.where(F.col("score") >= KEEP_QUALITY).select(*docs.columns)
+    if docs.isEmpty():
+        return docs
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_quality(_guarded(docs), model)
+    return _restored(scored.where(F.col("score") >= KEEP_QUALITY), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; ``lang`` becomes the predicted language."""
-    found = langid.identify(docs, langid.fit_languages(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= KEEP_LANGUAGE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    if docs.isEmpty():
+        return docs
+    found = langid.identify(_guarded(docs), langid.fit_languages(docs))
+    return _restored(found.where((F.col("lang_pred") != "und") & (F.col("score") >= KEEP_LANGUAGE)), docs, lang="lang_pred")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +78,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: The classifiers and the tokenizer can't be written in SQL; tests hold run() against brute force.
+#: The classifiers and the tokenizer can't be written in SQL; tests hold each stage and run() against brute force.
 ORACLE_SQL = None
 
 
