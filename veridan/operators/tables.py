@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Neighbours beyond which a node counts as a hub, and how many hubs there may be: their minima are broadcast.
-HUB_ROWS, HUBS = 1_000, 100_000
-
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that the session names in spark.checkpoint.dir.
@@ -43,39 +40,30 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _with_least(rows: DataFrame, least: DataFrame, hub_rows: int) -> DataFrame:
-    """``rows`` (u, v) with m, the value of ``least`` (k, m, n: rows of k) for u.
-
-    Rows of hubs get theirs from a broadcast table of at most HUBS rows, so no key fills one task.
-    """
-    hubs = F.broadcast(least.where(F.col("n") > hub_rows).select(F.col("k").alias("hub"), F.col("m").alias("hub_m")))
-    marked = rows.join(hubs, F.col("u") == F.col("hub"), "left")
-    few = marked.where("hub IS NULL").join(least.where(F.col("n") <= hub_rows).select("k", "m"), F.col("u") == F.col("k"))
-    return marked.where("hub IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).union(few.select("u", "v", "m"))
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b: long); nodes without an edge are absent.
 
     Large-star and small-star rounds (Kiveris et al., SoCC 2014) as aggregates and joins. The state of each
     round is a written table, so no lineage grows and lost executors cost one round at most; it is deleted
-    when the next one stands. The rounds end when one changes nothing.
+    when the next one stands. A hub's neighbours are never gathered: its least one is a partial aggregate that is
+    joined back, and rows of a hub that outgrow a task are split by the adaptive skew join. The rounds end
+    when one changes nothing.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    mark = (e.count(), None)
+    mark = None
     for _ in range(max_rounds):
-        hub_rows = max(HUB_ROWS, 2 * mark[0] // HUBS)
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, m, hub_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        ms = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "k")
-        small = _with_least(large, ms, hub_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(ms.select("k", "m"))
-        new = stored(small.distinct(), "components")
+        # Large star: the larger end of each edge goes to the least neighbour of the smaller end, or to that end itself.
+        least = e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        large = e.join(least, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        # Small star: a node and its smaller neighbours go to the least of these.
+        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        new = stored(small.select("p.u", "p.v").where("u <> v").distinct(), "components")
         dropped(e)
         e = new
         # Count and hash of the edges: a round that leaves both alike has changed nothing, so the stars are final.
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
     else:
