@@ -5,11 +5,11 @@ exact; no pair is lost to a cap and no key is dropped.
 
 1. Equal sets fold into one (a partial aggregate, so a hot copy costs one row a task).
 2. Every set gives the keys of a prefix in hash order, long enough that similar sets share at least
-   ``need`` keys. Keys are counted in one shuffle, but for hot keys that a sample of the sets shows: these
-   are shared for certain and stay out of it. A document with fewer shared keys than any partner would
+   ``need`` keys. Keys are counted in one shuffle; hot keys, which a sample of the sets shows, are shared
+   for certain, and their rows are dealt by a salt. A document with fewer shared keys than any partner would
    leave it takes no further part. This is repeated on what remains.
 3. What still shares keys, among sets of a size that allows it, falls into clusters; each pair that can
-   link lies inside one cluster. A key is a node of its own there, so nobody's neighbours are gathered.
+   link lies inside one cluster.
 4. A task gets the documents of one cluster (or two blocks of a large one), builds signature trees,
    whose nodes hold OR-combined token bitmaps and size ranges, and descends two trees at once. A node
    pair goes when its largest possible overlap is too small or when all below is linked already.
@@ -40,8 +40,8 @@ BLOCK_SHINGLES = 4_000_000
 CHARS = 2_000_000
 #: One set in so many is looked at for hot keys, and how often a hot key stands in that sample at least.
 SAMPLED, HOT = 64, 16
-#: Hot keys that are told apart at most, the most frequent first; any other goes the common way.
-HOT_KEYS = 100_000
+#: Hot keys that are told apart at most, the most frequent first (any other goes the common way), and the salts of each.
+HOT_KEYS, SALTS = 100_000, 256
 #: 64-bit words of the bitmap that keeps texts without a partner out of a shuffle (4 MB).
 BITMAP = 1 << 19
 #: Sets below a lowest node, and nodes below a higher one.
@@ -227,19 +227,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     # Keys that many sets hold, by their number in a sample of the sets: a bounded table.
     some = base.where("n > 0 AND doc_id IS NOT NULL").where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLED)) == 0).dropDuplicates(["digest"])
     hot = some.select(F.explode("keys").alias("hot")).groupBy("hot").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "hot").limit(HOT_KEYS)
-    hot = stored(hot.select("hot"), "jaccard-hot")
-    rows = stored(_shared(reps.select("rep", "n", F.explode("keys").alias("key")), ["key"], hot, num, den), "jaccard-keys")
+    hot = F.broadcast(stored(hot.select("hot"), "jaccard-hot"))  # HOT_KEYS rows at most
+    keyed = reps.select("rep", "n", F.explode("keys").alias("key")).join(hot, F.col("key") == F.col("hot"), "left")
+    keyed = keyed.select("rep", "n", "key", F.expr(f"if(hot IS NULL, 0, 1 + int(pmod(xxhash64(rep), {SALTS})))").alias("salt"))
+    rows = stored(_shared(keyed, [], num, den), "jaccard-keys")
     # Similar sets differ in size by the factor num/den at most, so they lie in one size class or in two
     # neighbouring ones; each set stands in both windows of two classes that hold its own.
     size_class = F.floor(F.log(F.col("n")) / float(np.log(den / num * 1.0001)))
-    windows = rows.select("key", "rep", "n", F.explode(F.array(size_class, size_class - 1)).alias("window"))
+    windows = rows.select("key", "salt", "rep", "n", F.explode(F.array(size_class, size_class - 1)).alias("window"))
     for _ in range(2):
-        windows, last = stored(_shared(windows, ["key", "window"], None, num, den), "jaccard-windows"), rows
+        windows, last = stored(_shared(windows, ["window"], num, den), "jaccard-windows"), rows
         dropped(last)
         rows = windows
     windows = windows.withColumn("node", F.xxhash64("rep", "window"))
-    edges = windows.select(F.col("node").alias("a"), F.xxhash64("key", "window", F.lit("key")).alias("b"))
-    clusters = stored(components(edges), "jaccard-clusters")
+    # All nodes of a key go to its least one: within each salt of a hot key first, then the salts' least ones.
+    edges = windows.select("key", "window", "salt", F.col("node").alias("a"), F.expr("min(node) over (partition by key, window, salt)").alias("b"))
+    salted = windows.where("salt > 0").groupBy("key", "window", "salt").agg(F.min("node").alias("a"))
+    salted = salted.select("a", F.expr("min(a) over (partition by key, window)").alias("b"))
+    clusters = stored(components(edges.select("a", "b").union(salted)), "jaccard-clusters")
 
     # Blocks of a cluster, by a hash of the document; most clusters have one block.
     sized = windows.select("node", "rep", "n").distinct().join(clusters, "node")
@@ -290,21 +295,14 @@ def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").where(likely(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP * 64))))
 
 
-def _shared(rows: DataFrame, by: list[str], hot: DataFrame | None, num: int, den: int) -> DataFrame:
+def _shared(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     """The rows whose key others have too, of sets that have as many of them as a similar set would leave.
 
-    ``hot``: keys that are known to be shared; their rows, which may be a large part of all, are not gathered.
+    Rows with a salt are of hot keys, which are shared for certain.
     """
-    keys = ", ".join(by)
-    count = F.expr(f"count(1) over (partition by {keys})")
+    count = F.expr(f"count(1) over (partition by {', '.join(['key', *by, 'salt'])})")
+    rows = stored(rows.withColumn("df", count).where("df > 1 OR salt > 0").drop("df"), "jaccard-shared")
     own = ["rep", "n", *by]
-    if hot is None:
-        rows = rows.withColumn("df", count).where("df > 1").select(*own)
-    else:
-        marked = rows.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")  # HOT_KEYS rows at most
-        rows = marked.where("hot IS NULL").withColumn("df", count).where("df > 1").select(*own).union(marked.where("hot IS NOT NULL").select(*own))
-    rows = stored(rows, "jaccard-shared")
-    own = ["rep", "n", *by[1:]]
     c = F.expr(f"({num} * n + {den} - 1) div {den}")
     enough = rows.groupBy(*own).agg(F.count("*").alias("shared")).where(F.col("shared") >= 1 + F.floor(c / 20))
     return rows.join(enough.drop("shared"), own, "left_semi")
