@@ -32,3 +32,15 @@ def test_short_items_are_found_with_any_substitution(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = decontaminate.contaminated(docs, bench)
     assert {(r["doc_id"], r["item_id"], r["matched"], r["compared"]) for r in got.collect()} == want
+
+
+def test_one_item_id_with_several_texts(spark, monkeypatch):
+    """Each text of an item_id is told apart; the joins by shuffle give what the broadcasts give."""
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(8)]
+    bench = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, " ".join(a))], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "x " + " ".join(a[:24])), (6, "x " + " ".join(b)), (7, " ".join(a[:10]) + " y")], "doc_id long, text string")
+    want = {(5, 1, 20, 20), (5, 2, 20, 20), (6, 1, 8, 8)}
+    assert {(r["doc_id"], r["item_id"], r["matched"], r["compared"]) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "SEEDS_AT_ONCE", 0)
+    monkeypatch.setattr(decontaminate, "STRETCHES_AT_ONCE", 0)
+    assert {(r["doc_id"], r["item_id"], r["matched"], r["compared"]) for r in decontaminate.contaminated(docs, bench).collect()} == want

@@ -6,11 +6,12 @@ the benchmark are joined with the seeds of every document. Around each hit the i
 laid side by side; the pair counts if a window of ``WINDOW`` words (the whole item if it is shorter) about
 the hit agrees in at least ``AGREE`` of its places.
 
-Documents are never shuffled and never multiplied by their positions: a bitmap of bounded size, made from
-the benchmark's seeds, first picks the positions whose seed may occur; only those become rows, each with the
-bounded stretch of words that verification needs. Only (document, item) pairs are aggregated. The
-benchmark is broadcast in parts of at most ``SEEDS_AT_ONCE`` seeds, counted first; a larger benchmark
-takes several passes over the documents.
+Documents are read once, never shuffled as a whole and never multiplied by their positions: a bitmap of bounded size,
+made from the benchmark's seeds, first picks the positions whose seed may occur; only those become rows, each with the
+bounded stretch of words that verification needs. A seed's row is its hash, item and position; up to
+``SEEDS_AT_ONCE`` of them, counted first, are broadcast, more are joined by a shuffle of the picked positions. The items'
+words join the hits by item, in stretches about a position of the same bounded length, and only (document, item)
+pairs are aggregated.
 
 Defined cases: null or word-less texts have no hits. Items under ``MIN_WORDS`` words take no part (a few
 common words prove nothing); items under 12 words get further seeds by their length (``SHORT_MASKS``), so that
@@ -30,7 +31,8 @@ MASKS = ("1101101", "110010101", "1010001101")
 WINDOW, AGREE, MIN_WORDS = 20, 0.8, 5
 #: By an item's words: the masks it needs besides, where those above miss some of what AGREE lets differ.
 SHORT_MASKS = {5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011",), 10: ("11011",), 11: ("11011",)}
-SEEDS_AT_ONCE = 500_000
+#: Seeds (some 50 bytes each), and stretches of items (some 500), that are broadcast at most.
+SEEDS_AT_ONCE, STRETCHES_AT_ONCE = 500_000, 50_000
 
 
 def word_hashes(text: str) -> Column:
@@ -75,6 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     shortest = min(map(len, masks))
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").alias("b_item"), word_hashes("text").alias("b_words"))
     items = items.withColumn("b_size", F.size("b_words")).where(F.col("b_size") >= MIN_WORDS)
+    # Items are told apart by id and words: an item_id may stand for several texts.
+    items = items.withColumn("b_key", F.xxhash64("b_item", "b_words")).dropDuplicates(["b_item", "b_key"])
     # At most a handful of values: lengths of the items that need masks of their own.
     under = max(shortest, *(n + 1 for n in SHORT_MASKS))
     short = sorted(r[0] for r in items.where(F.col("b_size") < under).select("b_size").distinct().collect())
@@ -85,55 +89,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
                 further.setdefault(mask, []).append(n)
     every = [*masks, *further]
     longest = max(map(len, every))
-    total = items.agg(F.sum(F.col("b_size") * F.when(F.col("b_size") < under, len(every)).otherwise(len(masks)))).first()[0] or 0
-    passes = max(1, -(-total // SEEDS_AT_ONCE))
+    total, n_places = items.agg(F.sum(F.col("b_size") * F.when(F.col("b_size") < under, len(every)).otherwise(len(masks))), F.sum("b_size")).first()
+    total, n_places = total or 0, n_places or 0
 
     own = docs.where("doc_id IS NOT NULL").select("doc_id", word_hashes("text").alias("words")).withColumn("size", F.size("words"))
-    # Powers of two, in proportion to one pass's seeds: 128 KB to 2 MB, and 64 KB to 1 MB.
-    n_bits = 1 << min(18, max(14, (total // passes // 2).bit_length()))
-    n_words = 1 << min(20, max(16, (4 * total // passes).bit_length()))
-    out = None
-    for p in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("b_item"), F.lit(passes)) == p)
-        at = part.select("b_item", "b_words", "b_size", F.explode(F.expr("sequence(0, b_size - 1)")).alias("b_pos"))
-        at = at.select("b_item", "b_words", "b_size", "b_pos", F.posexplode(_seeds("b_words", "b_pos", every, "b_size")).alias("no", "b_seed"))
-        # Further masks serve the items of their lengths only.
-        serves = F.col("no") < len(masks)
-        for no, sizes in enumerate(further.values(), len(masks)):
-            serves |= (F.col("no") == no) & F.col("b_size").isin(sizes)
-        at = at.where("b_seed IS NOT NULL").where(serves).drop("no")
-        marked = own.withColumns({"bits": _bitmap(at, n_bits), "vocabulary": _vocabulary(part, n_words)})
-        marked = marked.withColumn("known", F.expr(f"transform(words, w -> get(vocabulary, int(w & {n_words - 1})))"))
-        # A seed is hashed only where all of its words are the benchmark's.
-        tests = []
-        for no, mask in enumerate(every):
-            places = " and ".join(f"get(known, i + {k})" for k, c in enumerate(mask) if c == "1")
-            seed = _seed("words", "i", mask, no)
-            bit = f"(shiftright(get(bits, int(shiftrightunsigned({seed}, 6) & {n_bits - 1})), int({seed} & 63)) & 1L) = 1L"
-            tests.append(f"({places} and {bit})")
-        # explode_outer: for an inner explode Spark would infer a filter that does all the work twice.
-        near = marked.select("doc_id", "size", F.explode_outer(F.expr(
-            f"transform(filter(sequence(0, size - 1), i -> {' or '.join(tests)}), i -> struct(i as pos, greatest(0, i - {window}) as lo,"
-            f" slice(words, greatest(0, i - {window}) + 1, {2 * window + longest}) as words))"
-        )).alias("n")).where("n IS NOT NULL")
-        near = near.select("doc_id", "size", "n.pos", "n.lo", "n.words")
-        near = near.select("doc_id", "size", "pos", "lo", "words", F.explode(_seeds("words", "(pos - lo)", every, "(size - lo)")).alias("seed"))
-        hit = near.where("seed IS NOT NULL").join(F.broadcast(at), F.col("seed") == F.col("b_seed"))
-        # Places of the item that lie inside the document and near the hit.
-        hit = hit.withColumn("shift", F.expr("pos - b_pos")).withColumn("w", F.least(F.lit(window), "b_size"))
-        hit = hit.withColumn("first", F.expr(f"greatest(0, b_pos - {window}, -shift)"))
-        hit = hit.withColumn("last", F.expr(f"least(b_size, size - shift, b_pos + {window + longest}, lo - shift + size(words)) - 1"))
-        hit = hit.where("last - first + 1 >= w")
-        hit = hit.withColumn("same", F.expr("transform(sequence(first, last), t -> if(get(words, t + shift - lo) = get(b_words, t), 1, 0))"))
-        best = F.expr(
-            "array_max(transform(sequence(0, size(same) - w), s -> "
-            "named_struct('n', aggregate(slice(same, s + 1, w), 0, (a, x) -> a + x), 'neg', -s - first - shift)))"
-        )
-        hit = hit.select("doc_id", F.col("b_item").alias("item_id"), "w", best.alias("best")).where(F.col("best.n") >= F.ceil(F.col("w") * F.lit(agree)))
-        hit = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("best.n", "w", "best.neg")).alias("m"))
-        hit = hit.select("doc_id", "item_id", F.col("m.n").alias("matched"), F.col("m.w").alias("compared"), (-F.col("m.neg")).alias("start"))
-        out = hit if out is None else out.union(hit)
-    return out
+    # Powers of two, in proportion to the seeds: 128 KB to 32 MB, and 64 KB to 16 MB.
+    n_bits = 1 << min(22, max(14, (total // 2).bit_length()))
+    n_words = 1 << min(24, max(16, (4 * total).bit_length()))
+    at = items.select("b_item", "b_key", "b_words", "b_size", F.explode(F.expr("sequence(0, b_size - 1)")).alias("b_pos"))
+    # The stretch of the item that a hit there is verified with.
+    at = at.select("b_item", "b_key", "b_size", "b_pos", F.greatest(F.lit(0), F.col("b_pos") - window).alias("b_lo"), "b_words")
+    stretch = at.select(F.col("b_key").alias("s_key"), F.col("b_pos").alias("s_pos"), F.expr(f"slice(b_words, b_lo + 1, {2 * window + longest})").alias("s_words"))
+    at = at.select("b_item", "b_key", "b_size", "b_pos", "b_lo", F.posexplode(_seeds("b_words", "b_pos", every, "b_size")).alias("no", "b_seed"))
+    # Further masks serve the items of their lengths only.
+    serves = F.col("no") < len(masks)
+    for no, sizes in enumerate(further.values(), len(masks)):
+        serves |= (F.col("no") == no) & F.col("b_size").isin(sizes)
+    at = at.where("b_seed IS NOT NULL").where(serves).drop("no")
+    marked = own.withColumns({"bits": _bitmap(at, n_bits), "vocabulary": _vocabulary(items, n_words)})
+    marked = marked.withColumn("known", F.expr(f"transform(words, w -> get(vocabulary, int(w & {n_words - 1})))"))
+    # A seed is hashed only where all of its words are the benchmark's.
+    tests = []
+    for no, mask in enumerate(every):
+        places = " and ".join(f"get(known, i + {k})" for k, c in enumerate(mask) if c == "1")
+        seed = _seed("words", "i", mask, no)
+        bit = f"(shiftright(get(bits, int(shiftrightunsigned({seed}, 6) & {n_bits - 1})), int({seed} & 63)) & 1L) = 1L"
+        tests.append(f"({places} and {bit})")
+    # explode_outer: for an inner explode Spark would infer a filter that does all the work twice.
+    near = marked.select("doc_id", "size", F.explode_outer(F.expr(
+        f"transform(filter(sequence(0, size - 1), i -> {' or '.join(tests)}), i -> struct(i as pos, greatest(0, i - {window}) as lo,"
+        f" slice(words, greatest(0, i - {window}) + 1, {2 * window + longest}) as words))"
+    )).alias("n")).where("n IS NOT NULL")
+    near = near.select("doc_id", "size", "n.pos", "n.lo", "n.words")
+    near = near.select("doc_id", "size", "pos", "lo", "words", F.explode(_seeds("words", "(pos - lo)", every, "(size - lo)")).alias("seed"))
+    near = near.where("seed IS NOT NULL")
+    hit = near.join(F.broadcast(at) if total <= SEEDS_AT_ONCE else at, F.col("seed") == F.col("b_seed"))
+    # Places of the item that lie inside the document and near the hit.
+    hit = hit.withColumn("shift", F.expr("pos - b_pos")).withColumn("w", F.least(F.lit(window), "b_size"))
+    hit = hit.withColumn("first", F.expr(f"greatest(0, b_pos - {window}, -shift)"))
+    hit = hit.withColumn("last", F.expr(f"least(b_size, size - shift, b_pos + {window + longest}, lo - shift + size(words)) - 1"))
+    hit = hit.where("last - first + 1 >= w").join(F.broadcast(stretch) if n_places <= STRETCHES_AT_ONCE else stretch, (F.col("b_key") == F.col("s_key")) & (F.col("b_pos") == F.col("s_pos")))
+    hit = hit.withColumn("same", F.expr("transform(sequence(first, last), t -> if(get(words, t + shift - lo) = get(s_words, t - b_lo), 1, 0))"))
+    best = F.expr(
+        "array_max(transform(sequence(0, size(same) - w), s -> "
+        "named_struct('n', aggregate(slice(same, s + 1, w), 0, (a, x) -> a + x), 'neg', -s - first - shift)))"
+    )
+    hit = hit.select("doc_id", F.col("b_item").alias("item_id"), "w", best.alias("best")).where(F.col("best.n") >= F.ceil(F.col("w") * F.lit(agree)))
+    hit = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("best.n", "w", "best.neg")).alias("m"))
+    return hit.select("doc_id", "item_id", F.col("m.n").alias("matched"), F.col("m.w").alias("compared"), (-F.col("m.neg")).alias("start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -4,14 +4,20 @@ Words are runs of letters and digits, lower-cased; a shingle is two words. For t
 length L the text is cut into windows of three blocks of L/2 words, one block further each time, so any
 passage of up to L words lies inside some window. Windows and templates get ``HASHES`` MinHash values in
 bands; the rows of a band are as many as keep the probability that a window with a matching passage shares
-a band at ``PROBABILITY`` or more. What is found is verified: the share of the template's shingles in the
-window must be ``CONTAINED`` or more.
+a band at ``PROBABILITY`` or more (a template for which no choice does is an error). What is found is verified:
+the share of the template's shingles in the window must be ``CONTAINED`` or more.
 
-Each text is scanned as a whole in its own task; only the templates, a fixed list, go to all tasks.
+Licenses that differ in a few words (versions, families) match one passage together: ``best`` tells which of a text's
+licenses has a match that no other license's match in an overlapping window surpasses, by containment and then by
+the number of shingles matched.
+
+Texts are scanned whole, many at a time and a long one in overlapping stretches, so memory is bounded; only the
+templates, a fixed list, go to all tasks.
 
 Defined cases: null and word-less texts match nothing; a text shorter than a window is one window. A
-template found several times in a text is one row, the best and then the first window. Rows with the same
-doc_id each give their own rows. Null doc_ids are returned as null. Extra columns are ignored.
+license found several times in a text is one row, the best and then the first window. Rows with the same
+doc_id each give their own rows. Null doc_ids are returned as null. Extra columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,22 +31,120 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, _mixed, kept_columns
+from .common import WordHashes, _mixed, kept_columns, slices, trim
 
 HASHES, PROBABILITY, CONTAINED = 32, 0.999, 0.8
-#: Notices by which texts state their license, and opening passages of licenses.
+#: Words of one stretch of text, about, that is looked at at once.
+AT_ONCE = 60_000
+#: Characters of text that are cut into words at once.
+CHARS = 2_000_000
+
+
+def _gnu(name: str, version: str, program: str = "program") -> list[str]:
+    """Notices of the GNU licenses, by their public wording."""
+    later = f"either version {version} of the License, or (at your option) any later version."
+    free = f"This {program} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+    old = f"This {program} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; "
+    return [
+        f"This work is licensed under the {name}, version {version}.", f"Licensed under the {name} version {version}.",
+        free + later, old + later, free + f"version {version}.", old + f"version {version}.", f"{name} Version {version}",
+    ]
+
+
+def _creative(kind: str, short: str, version: str = "4.0") -> list[str]:
+    return [
+        f"Licensed under CC {short} {version}.", f"This work is licensed under a Creative Commons {kind} {version} International License.",
+        f"This work is licensed under the Creative Commons {kind} {version} International License. To view a copy of this license, visit",
+    ]
+
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+    "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_MIT_END = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+#: Fixed values, by their public wording: notices by which texts state their license, and bodies of short licenses.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
     "MIT": [
-        "Released under the MIT License.",
+        "Released under the MIT License.", "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        _MIT_GRANT + _MIT_NOTICE + _MIT_END,
+    ],
+    "MIT-0": [_MIT_GRANT.replace(", subject to the following conditions: ", ". ") + _MIT_END],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.", "Licensed under the ISC License.",
+    ],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"],
+    "BSD-2-Clause": [_BSD + _BSD_END, "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that", _BSD + _BSD_NAMES + _BSD_END, "Licensed under the BSD 3-Clause License.",
+    ],
+    "GPL-2.0": _gnu("GNU General Public License", "2"),
+    "GPL-3.0": [*_gnu("GNU General Public License", "3"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "LGPL-2.1": _gnu("GNU Lesser General Public License", "2.1", "library"),
+    "LGPL-3.0": _gnu("GNU Lesser General Public License", "3", "library"),
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Licensed under the Mozilla Public License, version 2.0.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "Licensed under the Eclipse Public License, version 2.0.",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
+        "furnished to do so, all subject to the following:",
     ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that"],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "This notice may not be removed or altered from any source distribution.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", "Licensed under CC0 1.0.",
+    ],
+    "CC-BY-4.0": _creative("Attribution", "BY"),
+    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "BY-SA"),
+    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "BY-NC"),
+    "CC-BY-ND-4.0": _creative("Attribution-NoDerivatives", "BY-ND"),
+    "CC-BY-NC-SA-4.0": _creative("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+    "CC-BY-NC-ND-4.0": _creative("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
 }
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLY = [np.uint64(xxhash.xxh3_64_intdigest(f"minhash {i}") | 1) for i in range(HASHES)]
@@ -66,7 +170,10 @@ def shingles(text: str) -> np.ndarray:
 
 def minhashes(s: np.ndarray) -> np.ndarray:
     """HASHES rows: every shingle under every hash function (32 bits)."""
-    return np.stack([((s * m) >> np.uint64(32)).astype(np.uint32) for m in _MULTIPLY])
+    out = np.empty((HASHES, len(s)), np.uint32)
+    for i, m in enumerate(_MULTIPLY):
+        out[i] = (s * m) >> np.uint64(32)
+    return out
 
 
 @dataclass
@@ -94,7 +201,10 @@ def band_rows(template: int, window: int, contained: float, hashes: int = HASHES
     """Most rows of a band so that a window with the share ``contained`` of a template is found with probability ``least``."""
     both = contained * template
     j = both / (window + template - both)
-    return max([1, *(r for r in (2, 3, 4) if 1 - (1 - j**r) ** (hashes // r) >= least)])
+    able = [r for r in (1, 2, 3, 4) if 1 - (1 - j**r) ** (hashes // r) >= least]
+    if not able:
+        raise ValueError(f"no bands of {hashes} hashes find a template of {template} shingles with probability {least}")
+    return max(able)
 
 
 def grouped(templates: dict[str, list[str]], contained: float = CONTAINED) -> list[Group]:
@@ -116,42 +226,110 @@ def grouped(templates: dict[str, list[str]], contained: float = CONTAINED) -> li
     return groups
 
 
-def found(text: str | None, groups: list[Group], contained: float = CONTAINED) -> list[tuple[str, float, int]]:
-    """(license, containment, first word of the window) of each license in the text, best window of any template."""
-    s = shingles(text) if text else np.empty(0, np.uint64)
-    best: dict[str, tuple[float, int]] = {}
+def _windows(low: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """MinHash values of windows of three blocks from those of blocks; ``first``: the block that ends each block's text."""
+    win, at = low.copy(), np.arange(low.shape[1])
+    for d in (1, 2):
+        own = np.flatnonzero(at + d < first)
+        win[:, own] = np.minimum(win[:, own], low[:, own + d])
+    return win
+
+
+Match = tuple[int, str, int, int, float, int]
+
+
+def _matches(s: np.ndarray, bounds: np.ndarray, groups: list[Group], contained: float) -> list[Match]:
+    """(text, license, first word, word after the last, containment, shingles matched) of verified windows.
+
+    ``s``: shingles of many texts, one after another; text i has those from bounds[i] to bounds[i + 1].
+    """
+    out: list[Match] = []
     if not len(s):
-        return []
-    m = minhashes(s)
+        return out
+    m, sizes = minhashes(s), np.diff(bounds)
+    own = np.flatnonzero(sizes)
     for g in groups:
-        starts = np.arange(0, len(s), g.block)
-        low = np.minimum.reduceat(m, starts, axis=1)
-        n = max(1, len(starts) - 2)
-        win = low[:, :n].copy()
-        for d in (1, 2):
-            more = low[:, d : d + n]
-            win[:, : more.shape[1]] = np.minimum(win[:, : more.shape[1]], more)
-        keys = _band_keys(win, g.rows)
-        known = np.fromiter(g.keys, np.uint64, len(g.keys))
-        known.sort()
+        blocks = -(-sizes[own] // g.block)
+        ends = np.cumsum(blocks)
+        begins = ends - blocks
+        text = np.repeat(np.arange(len(own)), blocks)
+        inside = (np.arange(int(ends[-1])) - begins[text]) * g.block
+        low = np.minimum.reduceat(m, bounds[own][text] + inside, axis=1)
+        keys = _band_keys(_windows(low, ends[text]), g.rows)
+        known = np.sort(np.fromiter(g.keys, np.uint64, len(g.keys)))
         at = np.searchsorted(known, keys)
         at[at == len(known)] = 0
         hits = {(int(w), i) for b, w in np.argwhere(known[at] == keys) for i in g.keys[int(keys[b, w])]}
         for w, i in sorted(hits):
-            window = s[w * g.block : (w + 3) * g.block]
-            c = float(np.isin(g.sets[i], window).mean())
-            if c >= contained and (c, -w * g.block) > best.get(g.names[i], (0.0, 0)):
-                best[g.names[i]] = (c, -w * g.block)
-    return sorted((name, c, -at) for name, (c, at) in best.items())
+            t = int(own[text[w]])
+            begin = int(inside[w])
+            end = min(begin + 3 * g.block, int(sizes[t]))
+            same = int(np.isin(g.sets[i], s[bounds[t] + begin : bounds[t] + end]).sum())
+            if same >= contained * len(g.sets[i]):
+                out.append((t, g.names[i], begin, end, same / len(g.sets[i]), same))
+    return out
+
+
+def _decided(matches: list[Match]) -> list[tuple[str, float, int, bool]]:
+    """(license, containment, first word, best) of one text; ``best``: no other license's overlapping match surpasses it."""
+    best: dict[str, tuple[bool, float, int]] = {}
+    order = sorted(matches, key=lambda x: x[2])
+    longest = max(x[3] - x[2] for x in order)
+    for j, (_, name, a, b, c, n) in enumerate(order):
+        beaten = False
+        for step in (-1, 1):
+            k = j + step
+            while not beaten and 0 <= k < len(order) and (order[k][2] < b if step > 0 else order[k][2] > a - longest):
+                _, other, a2, b2, c2, n2 = order[k]
+                beaten = other != name and a2 < b and a < b2 and (c2, n2) > (c, n)
+                k += step
+        best[name] = max(best.get(name, (False, 0.0, 0)), (not beaten, c, -a))
+    return sorted((name, c, -at, first) for name, (first, c, at) in best.items())
+
+
+def found(texts: list[str | None], groups: list[Group], contained: float = CONTAINED, at_once: int = AT_ONCE) -> Iterator[tuple[int, str, float, int, bool]]:
+    """(text, license, containment, first word of the window, best) of each license in each text."""
+    held: list[np.ndarray] = []
+    first = 0
+    for i, t in enumerate([*texts, None]):
+        last = i == len(texts)
+        s = shingles(t) if t else np.empty(0, np.uint64)
+        if held and (last or sum(map(len, held)) + len(s) > at_once):
+            bounds = np.cumsum([0, *map(len, held)])
+            by_text: dict[int, list[Match]] = {}
+            for x in _matches(np.concatenate(held), bounds, groups, contained):
+                by_text.setdefault(x[0], []).append(x)
+            for j, own in sorted(by_text.items()):
+                yield from ((first + j, *x) for x in _decided(own))
+            held, first = [], i
+        if last:
+            return
+        if len(s) > at_once:
+            # A long text by itself, group by group, in stretches that begin at a block and overlap by two.
+            own = []
+            for g in groups:
+                stretch = g.block * max(1, at_once // g.block)
+                for a in range(0, len(s), stretch):
+                    part = s[a : a + stretch + 2 * g.block]
+                    # Windows that begin in the overlap belong to the next stretch.
+                    own += [(0, n, b + a, e + a, c, k) for _, n, b, e, c, k in _matches(part, np.array([0, len(part)]), [g], contained) if b < stretch]
+            if own:
+                yield from ((i, *x) for x in _decided(own))
+            held, first = [], i + 1
+        else:
+            held.append(s)
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contained: float = CONTAINED) -> DataFrame:
-    """doc_id, license, containment, first_word: a row for each license that a text holds."""
+    """doc_id, license, containment, first_word, best: a row for each license that a text holds."""
     groups = grouped(templates or TEMPLATES, contained)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(doc, *x) for doc, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True) for x in found(t, groups, contained)]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "containment", "first_word"]).astype({"doc_id": "Int64"})
+            for part in slices(pdf, CHARS):
+                ids = part["doc_id"].astype("Int64").tolist()
+                rows = [(ids[i], *x) for i, *x in found(part["text"].tolist(), groups, contained)]
+                yield pd.DataFrame(rows, columns=["doc_id", "license", "containment", "first_word", "best"]).astype({"doc_id": "Int64"})
+            trim()
 
-    return kept_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, license string, containment double, first_word long")
+    return kept_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, license string, containment double, first_word long, best boolean")

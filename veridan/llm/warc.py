@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 SHARED = 100
+#: Splits with records that cross their ends whose fragments are fetched in one reading of the files.
+CROSSING_AT_ONCE = 200_000
 _END = "\r\n\r\n"
 
 
@@ -168,10 +170,15 @@ def _crossing_digests(fragments: DataFrame, splits: DataFrame, crossing: DataFra
     """file, at, joined: the digest of payloads that go beyond a split, from the fragments they overlap."""
     want = crossing.join(splits, "file").where("base < payload_at + length AND base + size > payload_at")
     want = want.groupBy("file", "split", "base").agg(F.min("payload_at").alias("since"), F.max(F.expr("payload_at + length")).alias("until"))
-    # Broadcast: a row for each split that a record crosses, so thousands of times smaller than the files; and
-    # the fragments must keep their order.
-    want = F.broadcast(stored(want, "warc-want").withColumnsRenamed({"file": "w_file", "split": "w_split"}))
-    some = fragments.join(want, (F.col("file") == F.col("w_file")) & (F.col("split") == F.col("w_split")))
+    want = stored(want.withColumnsRenamed({"file": "w_file", "split": "w_split"}), "warc-want")
+    # The fragments must keep their order, so the wanted splits are broadcast, CROSSING_AT_ONCE of them at most; beyond
+    # that the files are read once for each such part of them.
+    passes = max(1, -(-want.count() // CROSSING_AT_ONCE))
+    some = None
+    for p in range(passes):
+        part = want if passes == 1 else want.where(F.pmod(F.xxhash64("w_file", "w_split"), F.lit(passes)) == p)
+        found = fragments.join(F.broadcast(part), (F.col("file") == F.col("w_file")) & (F.col("split") == F.col("w_split")))
+        some = found if some is None else some.union(found)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, pos = None, 0
