@@ -3,8 +3,9 @@
 Orders of one second follow each other by order_id; a return counts from its own second on, before that
 second's orders. Every window ends one row before the current one. Keys with few rows each (customer,
 device, address cluster, phone) use one window a key; keys that hold a large share of all rows (pincode,
-category, the whole marketplace) use two levels: totals a day, their running sum, and a window within the
-day, so no task holds a key's whole history.
+category, the whole marketplace) use two levels: totals a bucket of time, their running sum, and a window within
+the bucket, so no task holds a key's whole history. A bucket is a day, or an equal part of it where a key's day has too
+many rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import DAY, safe_ratio, seconds, smoothed_rate
 
 TAU7, TAU30 = 7 * DAY, 30 * DAY
+#: Rows of a key's bucket beyond which it is cut further.
+BUCKET_ROWS = 1_000_000
 _ORDER = ["ts_sec", "kind", "order_id"]
 
 
@@ -58,18 +61,62 @@ def running(events: DataFrame, key: str, sums: dict[str, Column | str], firsts:
     return out.where("kind = 1")
 
 
-def running_two_level(events: DataFrame, key: list[str], sums: dict[str, Column | str], bucket: int = DAY) -> DataFrame:
-    """Like ``running``, for keys that hold a large share of the rows; an empty key is the whole table."""
-    e = events.withColumn("_b", F.floor(F.col("ts_sec") / bucket)).withColumns({f"_v_{n}": _column(c) for n, c in sums.items()})
+def running_two_level(events: DataFrame, key: list[str], sums: dict[str, Column | str], bucket: float = DAY, most: int = BUCKET_ROWS) -> DataFrame:
+    """Like ``running``, for keys that hold a large share of the rows; an empty key is the whole table.
+
+    Buckets are ``bucket`` wide; one of more than ``most`` rows is cut into as many equal parts as it holds ``most``.
+    """
+    e = events.withColumn("_d", F.floor(F.col("ts_sec") / bucket))
+    full = e.groupBy(*key, "_d").count().where(F.col("count") > most)
+    full = full.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_d").alias("_fd"), F.ceil(F.col("count") / most).cast("double").alias("_f"))
+    same = F.col("_d") == F.col("_fd")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    e = e.join(full, same, "left")
+    part = F.floor((F.col("ts_sec") / bucket - F.col("_d")) * F.col("_f")) / F.col("_f")
+    e = e.withColumn("_b", F.col("_d") + F.coalesce(part, F.lit(0.0))).drop("_d", "_fd", "_f", *[f"_k_{k}" for k in key])
+    e = e.withColumns({f"_v_{n}": _column(c) for n, c in sums.items()})
     totals = e.groupBy(*key, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*(key or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*key, "_b", *[_zero(F.sum(f"_t_{n}").over(before)).alias(f"_o_{n}") for n in sums])
     inside = prior([*key, "_b"])
     out = e.withColumns({f"_i_{n}": _zero(F.sum(f"_v_{n}").over(inside)) for n in sums}).where("kind = 1")
-    out = out.join(offsets, [*key, "_b"])
+    offsets = offsets.select(F.col("_b").alias("_ob"), *[F.col(k).alias(f"_k_{k}") for k in key], *[f"_o_{n}" for n in sums])
+    same = F.col("_b") == F.col("_ob")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = out.join(offsets, same).drop("_ob", *[f"_k_{k}" for k in key])
     return out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_b", *[f"_{x}_{n}" for x in "vio" for n in sums])
 
 
+def exact_quantiles(rows: DataFrame, value: str, probs: list[float], by: list[str] | None = None, width: float = DAY) -> DataFrame:
+    """``by`` and q: the exact quantiles of ``value`` with straight lines between ranks, one array a group; nulls don't count.
+
+    Equal values are counted first and ranked by two-level running counts (buckets of ``width``), so no buffer holds a
+    group's values. A group without values has no row.
+    """
+    by = by or []
+    n = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("ts_sec")).agg(F.count("*").alias("_n"))
+    n = n.withColumns({"kind": F.lit(1), "order_id": F.lit(0)})
+    ranked = running_two_level(n, by, {"_before": F.col("_n")}, bucket=width)
+    total = n.groupBy(*[F.col(k).alias(f"_t_{k}") for k in by]).agg(F.sum("_n").alias("_total"))
+    same = F.lit(True)
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    # The places that a quantile needs, as many rows as values hold one of them: few.
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: F.struct(i.alias("i"), (p * (F.col("_total") - 1)).alias("at")))
+    held = ranked.join(total, same).withColumn("_end", F.col("_before") + F.col("_n"))
+    inside = lambda x: (x >= F.col("_before")) & (x < F.col("_end"))
+    held = held.withColumn("w", F.explode(F.filter(wanted, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))))
+    at = F.col("w.at")
+    each = held.groupBy(*by, F.col("w.i").alias("i")).agg(
+        F.max(at).alias("at"), F.max(F.when(inside(F.floor(at)), F.col("ts_sec"))).alias("lo"), F.max(F.when(inside(F.ceil(at)), F.col("ts_sec"))).alias("hi")
+    )
+    up = F.col("at") - F.floor("at")
+    each = each.withColumn("v", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - up) * F.col("lo") + up * F.col("hi")))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
+
+
 _IS_ORDER, _IS_RETURN = "if(kind = 1, 1, 0)", "if(kind = 0, 1, 0)"
 
 

@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.asof import running_two_level
+from ..operators.asof import exact_quantiles, running_two_level
+from ..operators.tables import stored
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,8 @@ class Cost:
 
 COST = Cost()
 LO_RANGE, HI_RANGE = (0.004, 0.60), (0.30, 0.95)
+#: Buckets of scores in which ranks and running sums are counted.
+SCORE_WIDTH = 0.001
 SUMS = ["pos", "neg", "v_pos", "v_neg"]
 
 
@@ -61,7 +64,7 @@ def score_table(scored: DataFrame, label: str = "is_abuse") -> DataFrame:
     return scored.groupBy("p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum(v * y).alias("v_pos"), F.sum(v * (1 - y)).alias("v_neg"))
 
 
-def at_or_above(table: DataFrame, thresholds: DataFrame, width: float = 0.001) -> DataFrame:
+def at_or_above(table: DataFrame, thresholds: DataFrame, width: float = SCORE_WIDTH) -> DataFrame:
     """t and the sums over scores >= t. Two levels (buckets of scores, then within one), so that any number of
     distinct scores will do."""
     rows = table.select((-F.col("p")).alias("ts_sec"), F.lit(0).alias("kind"), F.lit(0).alias("order_id"), *SUMS)
@@ -136,15 +139,16 @@ def baseline_costs(scored: DataFrame, cost: Cost = COST, label: str = "is_abuse"
 
 def thresholds(scored: DataFrame, points: int = 400) -> DataFrame:
     """Distinct quantiles of the scores, and 0 and 1."""
-    q = scored.agg(F.percentile("p", F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, points)])).alias("q"))
+    q = exact_quantiles(scored, "p", np.linspace(0, 1, points).tolist(), width=SCORE_WIDTH)
     q = q.select(F.explode(F.array_distinct("q")).alias("t"))
-    return q.select(F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0)).alias("t")).union(q.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double"))
+    q = q.select(F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0)).alias("t")).union(q.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double"))
+    return stored(q, "thresholds")  # ``points`` rows and two: made once, read wherever they are needed
 
 
-def cost_curve(scored: DataFrame, points: int = 400, cost: Cost = COST) -> DataFrame:
+def cost_curve(scored: DataFrame, points: int = 400, cost: Cost = COST, table: DataFrame | None = None) -> DataFrame:
     """Cost of acting at each threshold, without a review band."""
     t = thresholds(scored, points)
-    return priced(t.select(F.col("t").alias("lo"), F.col("t").alias("hi")).distinct(), score_table(scored), cost).withColumnRenamed("lo", "threshold").drop("hi")
+    return priced(t.select(F.col("t").alias("lo"), F.col("t").alias("hi")).distinct(), score_table(scored) if table is None else table, cost).withColumnRenamed("lo", "threshold").drop("hi")
 
 
 def band_grid(spark: SparkSession, n: int = 60) -> DataFrame:
@@ -152,8 +156,8 @@ def band_grid(spark: SparkSession, n: int = 60) -> DataFrame:
     return spark.createDataFrame(rows, "lo double, hi double")
 
 
-def band_sweep(scored: DataFrame, n: int = 60, cost: Cost = COST) -> DataFrame:
-    return priced(band_grid(scored.sparkSession, n), score_table(scored), cost)
+def band_sweep(scored: DataFrame, n: int = 60, cost: Cost = COST, table: DataFrame | None = None) -> DataFrame:
+    return priced(band_grid(scored.sparkSession, n), score_table(scored) if table is None else table, cost)
 
 
 def select_policy(scored: DataFrame, cost: Cost = COST, points: int = 400, n: int = 60) -> DataFrame:
@@ -161,15 +165,17 @@ def select_policy(scored: DataFrame, cost: Cost = COST, points: int = 400, n: in
 
     ValueError if no band keeps within the capacity.
     """
-    bands = band_sweep(scored, n, cost).where(F.col("review_share") <= cost.capacity)
-    best = bands.orderBy("cost_per_1000", "lo", "hi").limit(1).select(
+    table = stored(score_table(scored), "scores")
+    bands = band_sweep(scored, n, cost, table).where(F.col("review_share") <= cost.capacity)
+    best = bands.agg(F.min(F.struct("cost_per_1000", "lo", "hi", "review_share", "action_share")).alias("b")).where("b IS NOT NULL").select("b.*").select(
         F.col("lo").alias("band_lo"), F.col("hi").alias("band_hi"), F.col("cost_per_1000").alias("band_cost_per_1000"), F.col("review_share").alias("band_review_share"),
         F.col("action_share").alias("band_action_share"),
     )
-    if not best.count():
+    best = stored(best, "policy")  # one row: the sweep runs once for the test and the result
+    if best.isEmpty():
         raise ValueError("no band keeps within the review capacity")
-    single = cost_curve(scored, points, cost).orderBy("cost_per_1000", "threshold").limit(1)
-    single = single.select(F.col("threshold").alias("single_threshold"), F.col("cost_per_1000").alias("single_cost_per_1000"))
+    single = cost_curve(scored, points, cost, table).agg(F.min(F.struct("cost_per_1000", "threshold")).alias("s"))
+    single = single.select(F.col("s.threshold").alias("single_threshold"), F.col("s.cost_per_1000").alias("single_cost_per_1000"))
     base = baseline_costs(scored, cost).select("do_nothing_per_1000", "block_all_per_1000")
     out = best.crossJoin(single).crossJoin(base)  # one row each
     saving = F.col("do_nothing_per_1000") - F.col("band_cost_per_1000")
@@ -195,7 +201,7 @@ _PRICES = ["fn_fixed", "loss", "fp_fixed", "fp_rate", "review", "accuracy", "cap
 
 def cost_sensitivity(scored: DataFrame, shipped_lo: float, shipped_hi: float, n: int = 40, points: int = 200) -> DataFrame:
     """A row for each cost world: the policy selected there, the shipped one priced there, and what it regrets."""
-    spark, table = scored.sparkSession, score_table(scored).cache()
+    spark, table = scored.sparkSession, stored(score_table(scored), "scores")
     w = spark.createDataFrame([(k, s, *[float(getattr(c, p)) for p in _PRICES]) for k, s, c in worlds()], "knob string, setting string, " + ", ".join(f"{p} double" for p in _PRICES))
     w = F.broadcast(w)
     world = ["knob", "setting"]
@@ -225,7 +231,8 @@ def sensitivity_verdict(sensitivity: DataFrame) -> DataFrame:
     name = F.concat_ws(" ", "knob", "setting")
     return sensitivity.agg(
         F.count("*").alias("n_worlds"), F.bool_and("beats_single").alias("all_beat_single"), F.bool_and("beats_nothing").alias("all_beat_nothing"),
-        F.bool_and("shipped_beats_single").alias("all_shipped_beat_single"), F.bool_and("band_survives").alias("all_bands_survive"), F.min("band_lo").alias("band_lo_min"),
+        F.bool_and("shipped_beats_single").alias("all_shipped_beat_single"), F.bool_and("shipped_beats_nothing").alias("all_shipped_beat_nothing"), F.bool_and("band_survives").alias("all_bands_survive"), F.min("band_lo").alias("band_lo_min"),
         F.max("band_lo").alias("band_lo_max"), F.min("band_hi").alias("band_hi_min"), F.max("band_hi").alias("band_hi_max"), F.max("regret").alias("max_regret"),
-        F.max_by(name, "regret").alias("max_regret_world"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("beats_single"), name))), ",").alias("loses_to_single"),
+        F.min("single_threshold").alias("single_threshold_min"), F.max("single_threshold").alias("single_threshold_max"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("band_survives"), name))), ",").alias("band_collapses"), F.max_by(name, "regret").alias("max_regret_world"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("beats_single"), name))), ",").alias("loses_to_single"),
     )

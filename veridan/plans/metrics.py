@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band
-from .costs import at_or_above, baseline_costs, policy_cost, score_table, totals
+from ..operators.asof import exact_quantiles
+from .costs import SCORE_WIDTH, at_or_above, baseline_costs, policy_cost, score_table, totals
 
 
 def _curve(scored: DataFrame, label: str) -> DataFrame:
@@ -43,7 +44,7 @@ def precision_at_recall(scored: DataFrame, levels: tuple[float, ...] = (0.5, 0.6
 
 def reliability_bins(scored: DataFrame, n_bins: int = 12, label: str = "is_abuse") -> DataFrame:
     """bin, n, mean_pred, observed on distinct quantile edges (equal widths if they are fewer than three)."""
-    q = scored.agg(F.percentile("p", F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, n_bins + 1)])).alias("q")).select(F.array_distinct("q").alias("q"))
+    q = exact_quantiles(scored, "p", np.linspace(0, 1, n_bins + 1).tolist(), width=SCORE_WIDTH).select(F.array_distinct("q").alias("q"))
     even = F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, n_bins + 1)])
     q = q.select(F.when(F.size("q") < 3, even).otherwise(F.col("q")).alias("q"))
     b = scored.crossJoin(F.broadcast(q))  # one row
@@ -61,19 +62,22 @@ def _shares(p, lo: float, hi: float) -> dict:
     return {k: F.avg(F.when(b == v, 1.0).otherwise(0.0)) for k, v in (("action_share", "auto_action"), ("review_share", "review"), ("missed_share", "pass"))}
 
 
+def _with_median(out: DataFrame, scored: DataFrame, by: str) -> DataFrame:
+    """``out`` (a row a segment) with the segment's median score."""
+    medians = exact_quantiles(scored, "p", [0.5], [by], SCORE_WIDTH).select(F.col(by).alias("_segment"), F.get("q", F.lit(0)).alias("median_score"))
+    return out.join(medians, F.col(by).eqNullSafe(F.col("_segment")), "left").drop("_segment")
+
+
 def recall_by_ring_type(scored: DataFrame, lo: float, hi: float, label: str = "is_abuse") -> DataFrame:
-    s = _shares("p", lo, hi)
-    return scored.where(F.col(label) == 1).groupBy("ring_type").agg(
-        F.count("*").alias("n"), *[c.alias(n) for n, c in s.items()], (s["action_share"] + s["review_share"]).alias("recall_with_review"), F.percentile("p", F.lit(0.5)).alias("median_score")
-    )
+    s, own = _shares("p", lo, hi), scored.where(F.col(label) == 1)
+    out = own.groupBy("ring_type").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in s.items()], (s["action_share"] + s["review_share"]).alias("recall_with_review"))
+    return _with_median(out, own, "ring_type")
 
 
 def fp_by_population(scored: DataFrame, lo: float, hi: float, label: str = "is_abuse") -> DataFrame:
-    s = _shares("p", lo, hi)
-    return scored.where(F.col(label) == 0).groupBy(F.coalesce("hn_type", F.lit("none")).alias("population")).agg(
-        F.count("*").alias("n"), s["action_share"].alias("fp_rate"), s["review_share"].alias("review_rate"), F.sum((F.col("p") >= hi).cast("int")).alias("n_fp"),
-        F.percentile("p", F.lit(0.5)).alias("median_score"),
-    )
+    s, own = _shares("p", lo, hi), scored.where(F.col(label) == 0).withColumn("population", F.coalesce("hn_type", F.lit("none")))
+    out = own.groupBy("population").agg(F.count("*").alias("n"), s["action_share"].alias("fp_rate"), s["review_share"].alias("review_rate"), F.sum((F.col("p") >= hi).cast("int")).alias("n_fp"))
+    return _with_median(out, own, "population")
 
 
 def evaluation_summary(scored: DataFrame, lo: float, hi: float, label: str = "is_abuse") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import band
-from ..operators import features, graph
+from ..operators import asof, features, graph
 from ..plans import costs, feature_choice, metrics, splits
 from ..sources.driver_tables import CTES, world
 from .asof_queries import CATEGORIES, _inputs, _rounded
@@ -70,7 +70,7 @@ def select_policy(spark, sf_dir):
 
 def cost_sensitivity(spark, sf_dir):
     s = costs.cost_sensitivity(_scored(spark, sf_dir), LO, HI)
-    return _rounded(s.select("knob", "setting", "band_lo", "band_hi", "review_share", "cost_reselected", "cost_as_shipped", "cost_do_nothing", "cost_block_all", "beats_nothing"), 3)
+    return _rounded(s.select("knob", "setting", "band_lo", "band_hi", "review_share", "cost_reselected", "cost_as_shipped", "cost_single", "cost_do_nothing", "cost_block_all", "beats_single", "beats_nothing", "shipped_beats_single", "shipped_beats_nothing", "regret", "band_survives"), 3)
 
 
 def sensitivity_verdict(spark, sf_dir):
@@ -122,7 +122,18 @@ def dataset_stats(spark, sf_dir):
         F.count("*").alias("n_orders"), F.countDistinct("customer_id").alias("n_customers"), F.avg(cod.cast("double")).alias("cod_share"),
         F.avg(F.col("is_abuse").cast("double")).alias("abuse_rate"), F.avg(F.when(cod, F.col("is_abuse").cast("double"))).alias("cod_abuse_rate"),
         F.sum((F.col("ring_id") >= 0).cast("int")).alias("ring_orders"), F.avg(F.col("is_abuse_true").cast("double")).alias("true_abuse_rate"),
-    ), 6)
+        F.sum(cod.cast("int")).alias("cod_orders"), F.sum("is_abuse").alias("abuse_orders"), F.sum("is_abuse_true").alias("true_abuse_orders"),
+        F.avg(F.when(cod, F.col("is_abuse_true").cast("double"))).alias("cod_true_abuse_rate"), F.avg(F.when(~cod, F.col("is_abuse_true").cast("double"))).alias("prepaid_true_abuse_rate"),
+        F.sum(F.when(~cod, F.col("is_abuse_true")).otherwise(0)).alias("prepaid_true_abuse_orders"),
+    ), 6).crossJoin(customer_base_rate(spark, sf_dir).withColumnsRenamed({"all_rate": "customer_rate", "cod_active_rate": "cod_customer_rate"})).crossJoin(  # one row each
+        _counts(t.join(splits.group_split(t), "group_key"), "split", "split_counts")
+    ).crossJoin(_counts(_folds(spark, sf_dir)[1], "split", "temporal_counts")).crossJoin(_counts(t.where("is_abuse_true = 1"), "ring_type", "ring_type_orders"))
+
+
+def _counts(rows, by, name):
+    """One row, one text: the number of rows of each value, in order of the value. Few values."""
+    n = rows.groupBy(by).count().select(F.struct(F.col(by).alias("k"), F.concat_ws("=", by, F.col("count").cast("string")).alias("v")).alias("x"))
+    return n.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), ",").alias(name))
 
 
 def monthly_profile(spark, sf_dir):
@@ -160,7 +171,10 @@ def carve_validation(spark, sf_dir):
 
 
 def dataset_fingerprint(spark, sf_dir):
-    return splits.fingerprint(world(spark, sf_dir)["orders"], "order_id")
+    """The held-out set: orders of the groups in the test split."""
+    t = _truth(spark, sf_dir)
+    held = t.join(splits.group_split(t).where("split = 'test'"), "group_key").select("order_id", "customer_id", "payment_mode", "category", "is_abuse")
+    return splits.fingerprint(held, "order_id")
 
 
 def unseen_customer_share(spark, sf_dir):
@@ -170,15 +184,21 @@ def unseen_customer_share(spark, sf_dir):
     seen = t.where("split = 'train'").select("customer_id", F.lit(1).alias("seen")).distinct()
     test = t.where("split = 'test' AND is_abuse = 0").join(seen, "customer_id", "left")
     days = (F.unix_seconds("order_ts") - F.unix_seconds("signup_ts")) / 86400
-    return _rounded(test.agg(F.avg(F.when(F.col("seen").isNull(), 1.0).otherwise(0.0)).alias("unseen_share"), F.percentile(days, F.lit(0.5)).alias("median_tenure")))
+    median = asof.exact_quantiles(test.select(days.alias("days")), "days", [0.5]).select(F.get("q", F.lit(0)).alias("median_tenure"))
+    return _rounded(test.agg(F.avg(F.when(F.col("seen").isNull(), 1.0).otherwise(0.0)).alias("unseen_share")).join(median, how="left"))  # one row each
 
 
 def fp_profile(spark, sf_dir):
-    """False positives of the action band in the test period: how many, from unseen customers, median value."""
+    """False positives of the action band in the test period: how many, from unseen customers, median value and tenure."""
     t, s = _folds(spark, sf_dir)
     seen = t.join(s, "order_id").where("split = 'train'").select("customer_id", F.lit(1).alias("seen")).distinct()
     test = _scored(spark, sf_dir).join(s.where("split = 'test'"), "order_id").where((F.col("is_abuse") == 0) & (F.col("p") >= HI)).join(seen, "customer_id", "left")
-    return _rounded(test.agg(F.count("*").alias("n"), F.avg(F.when(F.col("seen").isNull(), 1.0).otherwise(0.0)).alias("unseen_share"), F.percentile("value_inr", F.lit(0.5)).alias("median_value")))
+    test = test.join(world(spark, sf_dir)["customers"], "customer_id", "left")
+    test = test.withColumn("days", F.greatest((F.unix_seconds("order_ts") - F.unix_seconds("signup_ts")) / 86400, F.lit(0.0)))
+    out = test.agg(F.count("*").alias("n"), F.avg(F.when(F.col("seen").isNull(), 1.0).otherwise(0.0)).alias("unseen_share"))
+    for c, name in (("value_inr", "median_value"), ("days", "median_tenure")):
+        out = out.join(asof.exact_quantiles(test, c, [0.5]).select(F.get("q", F.lit(0)).alias(name)), how="left")  # one row each
+    return _rounded(out)
 
 
 def _months_frame(spark, sf_dir, months: int = 12):
@@ -247,10 +267,12 @@ _ROC = "(SELECT sum(pos * (tn_ - (an - neg) - neg + neg / 2.0))::DOUBLE / max(tp
 _Q = "[" + ", ".join(repr(float(x)) for x in costs.np.linspace(0, 1, 13)) + "]"
 _BINS = f"e AS (SELECT list_sort(list_distinct(quantile_cont(p, {_Q}))) AS q FROM scored), b AS (SELECT p, is_abuse, len(list_filter(q[2:-2], lambda x: x <= p)) AS bin FROM scored, e), bb AS (SELECT bin::INTEGER AS bin, count(*) AS n, avg(p) AS mp, avg(is_abuse) AS ob FROM b GROUP BY bin)"
 _SPLIT = f"sp AS (SELECT order_id, customer_id, CASE WHEN ts_sec < {_CUT} THEN 'train' WHEN ring_id >= 0 AND min(ts_sec) OVER (PARTITION BY ring_id) < {_CUT} THEN 'drop' ELSE 'test' END AS split FROM truth)"
+_GROUPS = "WITH k AS (SELECT DISTINCT group_key FROM truth), r AS (SELECT group_key, (row_number() OVER (ORDER BY left(md5('7|' || group_key), 13), group_key) - 1)::DOUBLE / count(*) OVER () AS s FROM k), gs AS (SELECT group_key, CASE WHEN s < 0.6 THEN 'train' WHEN s < 0.6 + 0.2 THEN 'val' ELSE 'test' END AS split FROM r)"
 _ALL = _policy(str(LO), str(HI))
 _TRUE = _policy(str(LO), str(HI), "is_abuse_true")
 _WORLDS = ("w AS (SELECT * FROM " + _values([(k, s, c.fn_fixed, float(c.loss), c.fp_fixed, c.fp_rate, c.review, float(c.accuracy), float(c.capacity)) for k, s, c in costs.worlds()])
            + " AS w(knob, setting, ff, fv, af, av, rv, ac, cap))")
+_Q200 = "[" + ", ".join(repr(float(x)) for x in costs.np.linspace(0, 1, 200)) + "]"
 _WT = _TOTAL.format(ff="ff", fv="fv", af="af", av="av", rv="rv", ac="ac")
 
 SQL = {
@@ -264,7 +286,7 @@ SQL = {
     "cost_curve": _H + f", {_T}, {_CURVE} SELECT round(lo, 3) AS threshold, round(cost_per_1000, 3) AS cost_per_1000, tp, fp, fn FROM c",
     "band_sweep": _H + f", {_SWEEP} SELECT round(lo, 3) AS lo, round(hi, 3) AS hi, round(cost_per_1000, 3) AS cost_per_1000, round(review_share, 3) AS review_share, tp, fp, fn FROM s",
     "select_policy": _H + f", {_T}, {_CURVE}, {_SWEEP}, n AS (SELECT sum(CASE WHEN is_abuse = 1 THEN 200 + 0.72::DOUBLE * value_inr ELSE 0 END) / count(*) * 1000 AS dn, sum(CASE WHEN is_abuse = 0 THEN 0.0612::DOUBLE * value_inr + 319 ELSE 0 END) / count(*) * 1000 AS ba FROM scored), bb AS (SELECT * FROM s WHERE review_share <= 0.05 ORDER BY cost_per_1000, lo, hi LIMIT 1), cc AS (SELECT lo AS t, cost_per_1000 AS c FROM c ORDER BY c, t LIMIT 1), aa AS (SELECT avg(CASE WHEN p >= hi THEN 1.0 ELSE 0 END) AS a FROM scored, bb) SELECT round(lo, 3) AS band_lo, round(hi, 3) AS band_hi, round(cost_per_1000, 3) AS band_cost_per_1000, round(review_share, 3) AS band_review_share, round(a, 3) AS band_action_share, round(t, 3) AS single_threshold, round(c, 3) AS single_cost_per_1000, round(dn, 3) AS do_nothing_per_1000, round(ba, 3) AS block_all_per_1000, round(dn - cost_per_1000, 3) AS saving_per_1000, round(100 * (dn - cost_per_1000) / dn, 3) AS saving_pct FROM bb, cc, aa, n",
-    "cost_sensitivity": _H + f", {_WORLDS}, a AS (SELECT knob, setting, lo, hi, {_WT} / sum(pos + neg) * 1000 AS c, sum(CASE WHEN p >= lo AND p < hi THEN pos + neg ELSE 0 END)::DOUBLE / sum(pos + neg) AS rs, any_value(cap) AS cap FROM {_GRID(40)}, w, h GROUP BY knob, setting, lo, hi), b AS (SELECT * FROM a WHERE rs <= cap QUALIFY row_number() OVER (PARTITION BY knob, setting ORDER BY c, lo, hi) = 1), z AS (SELECT knob, setting, lo, {_WT} / sum(pos + neg) * 1000 AS c FROM (VALUES ({LO}, {HI}), (2.0, 2.0), (-1.0, -1.0)) AS v(lo, hi), w, h GROUP BY knob, setting, lo, hi) SELECT b.knob, b.setting, round(b.lo, 3) AS band_lo, round(b.hi, 3) AS band_hi, round(rs, 3) AS review_share, round(b.c, 3) AS cost_reselected, round(z1.c, 3) AS cost_as_shipped, round(z2.c, 3) AS cost_do_nothing, round(z3.c, 3) AS cost_block_all, b.c < z2.c AS beats_nothing FROM b JOIN z z1 ON z1.knob = b.knob AND z1.setting = b.setting AND z1.lo = {LO} JOIN z z2 ON z2.knob = b.knob AND z2.setting = b.setting AND z2.lo = 2 JOIN z z3 ON z3.knob = b.knob AND z3.setting = b.setting AND z3.lo = -1",
+    "cost_sensitivity": _H + f", {_WORLDS}, a AS (SELECT knob, setting, lo, hi, {_WT} / sum(pos + neg) * 1000 AS c, sum(CASE WHEN p >= lo AND p < hi THEN pos + neg ELSE 0 END)::DOUBLE / sum(pos + neg) AS rs, any_value(cap) AS cap FROM {_GRID(40)}, w, h GROUP BY knob, setting, lo, hi), b AS (SELECT * FROM a WHERE rs <= cap QUALIFY row_number() OVER (PARTITION BY knob, setting ORDER BY c, lo, hi) = 1), tc AS (SELECT DISTINCT least(greatest(x, 0), 1)::DOUBLE AS lo FROM (SELECT unnest(quantile_cont(p, {_Q200})) AS x FROM scored UNION ALL SELECT 0.0 UNION ALL SELECT 1.0)), sg AS (SELECT knob, setting, min(c) AS c FROM (SELECT knob, setting, lo, {_WT} / sum(pos + neg) * 1000 AS c FROM (SELECT lo, lo AS hi FROM tc), w, h GROUP BY knob, setting, lo, hi) GROUP BY knob, setting), z AS (SELECT knob, setting, lo, {_WT} / sum(pos + neg) * 1000 AS c FROM (VALUES ({LO}, {HI}), (2.0, 2.0), (-1.0, -1.0)) AS v(lo, hi), w, h GROUP BY knob, setting, lo, hi) SELECT b.knob, b.setting, round(b.lo, 3) AS band_lo, round(b.hi, 3) AS band_hi, round(rs, 3) AS review_share, round(b.c, 3) AS cost_reselected, round(z1.c, 3) AS cost_as_shipped, round(z2.c, 3) AS cost_do_nothing, round(z3.c, 3) AS cost_block_all, b.c < z2.c AS beats_nothing, round(sg.c, 3) AS cost_single, b.c < sg.c AS beats_single, z1.c < sg.c AS shipped_beats_single, z1.c < z2.c AS shipped_beats_nothing, round(z1.c - b.c, 3) AS regret, b.lo < b.hi AND rs > 0.0005 AS band_survives FROM b JOIN sg ON sg.knob = b.knob AND sg.setting = b.setting JOIN z z1 ON z1.knob = b.knob AND z1.setting = b.setting AND z1.lo = {LO} JOIN z z2 ON z2.knob = b.knob AND z2.setting = b.setting AND z2.lo = 2 JOIN z z3 ON z3.knob = b.knob AND z3.setting = b.setting AND z3.lo = -1",
     "pr_auc": _TH + f"SELECT round({_AP}, 6) AS pr_auc",
     "roc_auc": _TH + f"SELECT round({_ROC}, 6) AS roc_auc",
     "brier": CTES + "SELECT round(avg((p - is_abuse) * (p - is_abuse)), 6) AS brier FROM scored",
@@ -274,14 +296,14 @@ SQL = {
     "fp_by_population": CTES + f"SELECT coalesce(hn_type, 'none') AS population, count(*) AS n, round(avg(CASE WHEN p >= {HI} THEN 1.0 ELSE 0 END), 6) AS fp_rate, round(avg(CASE WHEN p >= {LO} AND p < {HI} THEN 1.0 ELSE 0 END), 6) AS review_rate, count(*) FILTER (WHERE p >= {HI}) AS n_fp, round(quantile_cont(p, 0.5), 6) AS median_score FROM scored WHERE is_abuse = 0 GROUP BY 1",
     "evaluation_summary": _TH + f", {_BINS}, m AS (SELECT count(*) AS n, sum(is_abuse)::BIGINT AS positives, avg(is_abuse) AS br, count(*) FILTER (WHERE p >= {HI} AND is_abuse = 1)::DOUBLE AS tp, count(*) FILTER (WHERE p >= {HI}) AS na, avg((p - is_abuse) * (p - is_abuse)) AS bs, {_ALL['cost_per_1000'].replace(', 3)', ', 12)')} AS c, avg(CASE WHEN p >= {LO} AND p < {HI} THEN 1.0 ELSE 0 END) AS rs, {_policy(str(HI), str(HI))['cost_per_1000'].replace(', 3)', ', 12)')} AS sc, avg(CASE WHEN is_abuse = 1 THEN 200 + 0.72::DOUBLE * value_inr ELSE 0 END) * 1000 AS dn, avg(CASE WHEN is_abuse = 0 THEN 0.0612::DOUBLE * value_inr + 319 ELSE 0 END) * 1000 AS ba FROM scored) SELECT n, positives, round(br, 4) AS base_rate, round(tp / greatest(na, 1), 4) AS precision, round(tp / greatest(positives, 1), 4) AS recall, round({_AP}, 4) AS pr_auc, round({_ROC}, 4) AS roc_auc, round(bs, 4) AS brier, round((SELECT sum(n * abs(mp - ob)) / sum(n) FROM bb), 4) AS ece, round(c, 4) AS cost_per_1000, round(rs, 4) AS review_share, round(sc, 4) AS single_cost_per_1000, round(dn, 4) AS do_nothing_per_1000, round(ba, 4) AS block_all_per_1000, round(dn - c, 4) AS saving_per_1000 FROM m",
     "compare_runs": CTES + f", a AS (SELECT {_cols(_ALL).replace(', 3)', ', 9)')} FROM scored), b AS (SELECT {_cols(_TRUE).replace(', 3)', ', 9)')} FROM scored) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(a.{m}::DOUBLE, 3) AS first, round(b.{m}::DOUBLE, 3) AS second, round(b.{m}::DOUBLE - a.{m}::DOUBLE, 3) AS delta FROM a, b" for m in _ALL),
-    "dataset_stats": CTES + "SELECT count(*) AS n_orders, count(DISTINCT customer_id) AS n_customers, round(avg(CASE WHEN payment_mode = 'COD' THEN 1.0 ELSE 0 END), 6) AS cod_share, round(avg(is_abuse), 6) AS abuse_rate, round(avg(is_abuse) FILTER (WHERE payment_mode = 'COD'), 6) AS cod_abuse_rate, count(*) FILTER (WHERE ring_id >= 0) AS ring_orders, round(avg(is_abuse_true), 6) AS true_abuse_rate FROM truth",
+    "dataset_stats": CTES + "SELECT count(*) AS n_orders, count(DISTINCT customer_id) AS n_customers, round(avg(CASE WHEN payment_mode = 'COD' THEN 1.0 ELSE 0 END), 6) AS cod_share, round(avg(is_abuse), 6) AS abuse_rate, round(avg(is_abuse) FILTER (WHERE payment_mode = 'COD'), 6) AS cod_abuse_rate, count(*) FILTER (WHERE ring_id >= 0) AS ring_orders, round(avg(is_abuse_true), 6) AS true_abuse_rate, count(*) FILTER (WHERE payment_mode = 'COD') AS cod_orders, sum(is_abuse)::BIGINT AS abuse_orders, sum(is_abuse_true)::BIGINT AS true_abuse_orders, round(avg(is_abuse_true) FILTER (WHERE payment_mode = 'COD'), 6) AS cod_true_abuse_rate, round(avg(is_abuse_true) FILTER (WHERE payment_mode <> 'COD'), 6) AS prepaid_true_abuse_rate, (sum(is_abuse_true) FILTER (WHERE payment_mode <> 'COD'))::BIGINT AS prepaid_true_abuse_orders, (SELECT round(avg(bad), 6) FROM (SELECT max(is_abuse) AS bad FROM truth GROUP BY customer_id)) AS customer_rate, (SELECT round(avg(bad), 6) FROM (SELECT max(is_abuse) AS bad FROM truth GROUP BY customer_id HAVING max(CASE WHEN payment_mode = 'COD' THEN 1 ELSE 0 END) = 1)) AS cod_customer_rate, (SELECT string_agg(split || '=' || n, ',' ORDER BY split) FROM (" + _GROUPS + " SELECT split, count(*) AS n FROM truth JOIN gs USING (group_key) GROUP BY split)) AS split_counts, (SELECT string_agg(split || '=' || n, ',' ORDER BY split) FROM (WITH " + _SPLIT + " SELECT split, count(*) AS n FROM sp GROUP BY split)) AS temporal_counts, (SELECT string_agg(ring_type || '=' || n, ',' ORDER BY ring_type) FROM (SELECT ring_type, count(*) AS n FROM truth WHERE is_abuse_true = 1 GROUP BY ring_type)) AS ring_type_orders FROM truth",
     "monthly_profile": CTES + "SELECT strftime(make_timestamp(ts_sec * 1000000), '%Y-%m') AS month, count(*) AS n, round(avg(is_abuse), 6) AS abuse_rate FROM truth GROUP BY 1",
     "customer_base_rate": CTES + ", c AS (SELECT customer_id, max(is_abuse) AS bad, max(CASE WHEN payment_mode = 'COD' THEN 1 ELSE 0 END) AS cod FROM truth GROUP BY 1) SELECT round(avg(bad), 6) AS all_rate, round(avg(bad) FILTER (WHERE cod = 1), 6) AS cod_active_rate FROM c",
     "temporal_split": CTES + f", {_SPLIT} SELECT order_id, split FROM sp",
     "drop_crossing_groups": CTES + f"SELECT order_id FROM truth WHERE ts_sec >= {_CUT} AND (ring_id < 0 OR ring_id NOT IN (SELECT ring_id FROM truth WHERE ts_sec < {_CUT}))",
-    "group_split": CTES + ", k AS (SELECT DISTINCT group_key FROM truth), r AS (SELECT group_key, (row_number() OVER (ORDER BY left(md5('7|' || group_key), 13), group_key) - 1)::DOUBLE / count(*) OVER () AS s FROM k) SELECT group_key, CASE WHEN s < 0.6 THEN 'train' WHEN s < 0.6 + 0.2 THEN 'val' ELSE 'test' END AS split FROM r",
+    "group_split": CTES + "SELECT * FROM (" + _GROUPS + " SELECT * FROM gs)",
     "carve_validation": CTES + ", c AS (SELECT quantile_cont(ts_sec, 0.8) AS cut FROM truth) SELECT order_id, CASE WHEN ts_sec >= cut THEN 'val' ELSE 'train' END AS split FROM truth, c WHERE ts_sec >= cut OR group_key NOT IN (SELECT group_key FROM truth, c WHERE ts_sec >= cut)",
-    "dataset_fingerprint": CTES + "SELECT order_id // 1000 AS range, count(*) AS n, sha256(string_agg(order_id::VARCHAR, ',' ORDER BY order_id)) AS digest FROM ords GROUP BY 1",
+    "dataset_fingerprint": CTES + "SELECT order_id // 1000 AS range, count(*) AS n, sha256(string_agg(order_id::VARCHAR, ',' ORDER BY order_id)) AS digest, sha256(string_agg(sha256(concat_ws('|', order_id, customer_id, payment_mode, category, is_abuse)), ',' ORDER BY order_id)) AS rows_digest FROM truth JOIN (" + _GROUPS + " SELECT group_key FROM gs WHERE split = 'test') USING (group_key) GROUP BY 1",
     "unseen_customer_share": CTES + f", {_SPLIT} SELECT round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont((truth.ts_sec - signup_sec) / 86400.0, 0.5), 5)::DOUBLE AS median_tenure FROM truth JOIN sp ON sp.order_id = truth.order_id JOIN custs ON custs.customer_id = truth.customer_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = truth.customer_id WHERE split = 'test' AND is_abuse = 0",
-    "fp_profile": CTES + f", {_SPLIT} SELECT count(*) AS n, round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont(value_inr, 0.5), 5) AS median_value FROM scored JOIN sp ON sp.order_id = scored.order_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = scored.customer_id WHERE split = 'test' AND is_abuse = 0 AND p >= {HI}",
+    "fp_profile": CTES + f", {_SPLIT} SELECT count(*) AS n, round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont(scored.value_inr, 0.5), 5) AS median_value, round(quantile_cont(greatest((scored.ts_sec - signup_sec) / 86400.0::DOUBLE, 0), 0.5), 5) AS median_tenure FROM scored JOIN sp ON sp.order_id = scored.order_id JOIN custs ON custs.customer_id = scored.customer_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = scored.customer_id WHERE split = 'test' AND is_abuse = 0 AND p >= {HI}",
 }
