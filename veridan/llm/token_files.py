@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Interned, dropped, gathered, kept_columns, scratch, slices, trim
 
-SCALE_BITS, LANES, CHECKPOINT, BLOCK = 20, 1024, 256, 1 << 20
+SCALE_BITS, LANES, CHECKPOINT, BLOCK = 20, 4096, 64, 1 << 20
 END_ID = 1
 _LOW = np.uint64(1 << 32)
 
@@ -143,13 +143,14 @@ class Pieces:
     """
 
     #: Pieces that are kept; beyond them all go that the last call didn't use.
-    limit = 500_000
+    limit = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -183,13 +184,25 @@ class Pieces:
                 left += range(i, i + len(part))
         return left
 
+    def _one_by_one(self, words: list[bytes], at: np.ndarray) -> None:
+        """Encodes words of the letters a-z, which normalising and cutting leave as they are, by the model itself."""
+        ids, sizes = [], []
+        for w in words:
+            own = [t.id for t in self.model.tokenize(w.decode())]
+            ids += own
+            sizes.append(len(own))
+        self._added(np.array(ids, "<u2"), at, np.array(sizes, np.int64))
+
     def _learn(self, known: int) -> None:
         new = list(self.index)[known:]
         more = np.zeros(len(new), np.int64)
         self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
-        plain = [i for i, w in enumerate(new) if w.isalpha() or (not w.isascii() and w.decode("utf-8", "surrogatepass").isalpha())]
+        letters = [i for i, w in enumerate(new) if w.isalpha() and w.islower()]
+        self._one_by_one([new[i] for i in letters], np.array(letters, np.int64) + known)
+        others = sorted(set(range(len(new))).difference(letters))
+        plain = [i for i in others if new[i].decode("utf-8", "surrogatepass").isalpha()]
         left = self._together([new[i] for i in plain], np.array(plain, np.int64) + known)
-        rest = sorted(set(range(len(new))).difference(plain).union(plain[i] for i in left))
+        rest = sorted(set(others).difference(plain).union(plain[i] for i in left))
         parts = []
         for i in rest:
             m = None if new[i].isalnum() else _TAILED.fullmatch(new[i].decode("utf-8", "surrogatepass"))
