@@ -126,10 +126,7 @@ class Coder:
 #: Letters and digits that stay what they are under NFC and lower-casing, alone and before any mark: after one of
 #: them, and only there, the text is cut before punctuation without asking the tokenizer.
 _PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-#: A full stop or comma that follows something else, and may be one pre-token with what it follows.
-_MARKS = re.compile(rf"[.,](?<![{_PLAIN}][.,])")
-#: Marks that may make one letter with the letter before them.
-_COMBINING = re.compile("[\u0300-\u036f]")
+_PLAIN_SET = frozenset(c for c in map(chr, range(256)) if re.fullmatch(f"[{_PLAIN}]", c))
 _TAILED = re.compile(rf"(.*[{_PLAIN}])([.,!?;:*&%$#|]+)", re.DOTALL)
 
 
@@ -219,14 +216,17 @@ class Pieces:
     @staticmethod
     def _split(text: str) -> list[bytes]:
         data = text.encode("utf-8", "surrogatepass")
-        if text.isascii() or not _COMBINING.search(text):
+        # 0xCC and 0xCD lead the marks U+0300 to U+036F, which may make one letter with the letter before them.
+        if b"\xcc" not in data and b"\xcd" not in data:
             data = data.lower()
-        if not _MARKS.search(text):
+        # A full stop or comma that follows something else may be one pre-token with it.
+        if _PLAIN_SET.issuperset([p[-1:] for p in text.split(".")[:-1]]) and _PLAIN_SET.issuperset([p[-1:] for p in text.split(",")[:-1]]):
             # After a plain letter or digit a full stop or comma is a pre-token of its own: far fewer pieces differ.
             data = data.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ").replace(b",\n", b" , ")
         return data.split()
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, with ``end`` after them if given."""
         if len(self.index) > self.limit:
             self._forget()
         known, number = len(self.index), self.index.__getitem__
@@ -238,8 +238,12 @@ class Pieces:
             self._learn(known)
         self.used = np.concatenate(places) if places else np.empty(0, np.int64)
         every = gathered(self.flat, self.start, self.size, self.used)
-        ends = np.concatenate([[0], np.cumsum(self.size[self.used])])[np.cumsum([0, *map(len, places)])].tolist()
-        return [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        ends = np.concatenate([[0], np.cumsum(self.size[self.used])])[np.cumsum([0, *map(len, places)])]
+        if end is not None:
+            every = np.insert(every, ends[1:], end)
+            ends = ends + np.arange(len(ends))
+        at = ends.tolist()
+        return [every[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -265,10 +269,10 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: i
 
         for pdf in batches:
             for part in slices(pdf):
-                for name, own_ids in zip(part["doc_id"], pieces.ids(part["text"].tolist()), strict=True):
+                for name, own_ids in zip(part["doc_id"], pieces.ids(part["text"].tolist(), end_id), strict=True):
                     names.append(None if pd.isna(name) else int(name))
-                    ids.append(np.append(own_ids, np.uint16(end_id)))
-                    size += len(own_ids) + 1
+                    ids.append(own_ids)
+                    size += len(own_ids)
                     if size >= block:
                         yield row()
                         no, names, ids, size = no + 1, [], [], 0
@@ -283,7 +287,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
     """Tokenize, count, encode; ``vocabulary`` (at most 65,536) bounds the ids."""
     spark = docs.sparkSession
     target = scratch(spark, "token-blocks")
-    token_blocks(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(target)
+    token_blocks(docs, tokenizer, end_id).write.parquet(target)
     blocks = spark.read.schema("shard int, block int, doc_ids array<long>, lengths array<int>, ids binary").parquet(target)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +317,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
             yield out
 
     schema = "shard int, block int, doc_ids array<long>, lengths array<int>, words binary, states binary, places array<int>, words_crc32 long, ids_crc32 array<long>"
-    blocks.mapInPandas(encode, schema).write.option("compression", "zstd").parquet(f"{path}/data")
+    blocks.mapInPandas(encode, schema).write.option("compression", "none").parquet(f"{path}/data")  # coded words don't get smaller
     sizes = spark.read.parquet(f"{path}/data").select("shard", "block", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n_ids"))
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("total"))  # a row a shard: small enough for one window
     shards = shards.select("shard", F.expr("coalesce(sum(total) over (order by shard rows between unbounded preceding and 1 preceding), 0)").alias("before"))
