@@ -36,6 +36,8 @@ from .common import WordHashes, _mixed, kept_columns, slices, trim
 HASHES, PROBABILITY, CONTAINED = 32, 0.999, 0.8
 #: Words of one stretch of text, about, that is looked at at once.
 AT_ONCE = 60_000
+#: Bits of a shingle's hash that tell whether it may be a template's.
+MARK_BITS = 20
 #: Characters of text that are cut into words at once.
 CHARS = 2_000_000
 
@@ -246,6 +248,12 @@ def _matches(s: np.ndarray, bounds: np.ndarray, groups: list[Group], contained:
     out: list[Match] = []
     if not len(s):
         return out
+    # Shingles that may be a template's, counted up: most windows with a hash in common hold too few of them.
+    marks = np.zeros(1 << MARK_BITS, bool)
+    for g in groups:
+        for x in g.sets:
+            marks[x >> np.uint64(64 - MARK_BITS)] = True
+    marked = np.concatenate([[0], np.cumsum(marks[s >> np.uint64(64 - MARK_BITS)])])
     m, sizes = minhashes(s), np.diff(bounds)
     own = np.flatnonzero(sizes)
     for g in groups:
@@ -255,11 +263,16 @@ def _matches(s: np.ndarray, bounds: np.ndarray, groups: list[Group], contained:
         text = np.repeat(np.arange(len(own)), blocks)
         inside = (np.arange(int(ends[-1])) - begins[text]) * g.block
         low = np.minimum.reduceat(m, bounds[own][text] + inside, axis=1)
-        keys = _band_keys(_windows(low, ends[text]), g.rows)
+        begin = bounds[own][text] + inside
+        held = marked[np.minimum(begin + 3 * g.block, bounds[own + 1][text])] - marked[begin]
+        able = np.flatnonzero(held >= contained * min(len(x) for x in g.sets))
+        if not len(able):
+            continue
+        keys = _band_keys(_windows(low, ends[text])[:, able], g.rows)
         known = np.sort(np.fromiter(g.keys, np.uint64, len(g.keys)))
         at = np.searchsorted(known, keys)
         at[at == len(known)] = 0
-        hits = {(int(w), i) for b, w in np.argwhere(known[at] == keys) for i in g.keys[int(keys[b, w])]}
+        hits = {(int(able[w]), i) for b, w in np.argwhere(known[at] == keys) for i in g.keys[int(keys[b, w])] if held[able[w]] >= contained * len(g.sets[i])}
         for w, i in sorted(hits):
             t = int(own[text[w]])
             begin = int(inside[w])
