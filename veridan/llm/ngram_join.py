@@ -12,8 +12,8 @@ exact; no pair is lost to a cap and no key is dropped.
    link lies inside one cluster.
 4. A task gets the documents of one cluster (or two blocks of a large one), builds signature trees,
    whose nodes hold OR-combined token bitmaps and size ranges, and descends two trees at once. A node
-   pair goes when its largest possible overlap is too small or when all below is linked already.
-   Pairs of leaves are verified on the exact sets.
+   pair goes when its largest possible overlap is too small or, where links aren't counted, when all below is
+   linked already. Pairs of leaves are verified on the exact sets.
 5. Links become components.
 
 Defined cases: null or word-less text: empty set, linked with nothing. Rows with the same doc_id are one
@@ -23,7 +23,7 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,8 @@ HOT_KEYS, SALTS = 100_000, 256
 BITMAP = 1 << 19
 #: Sets below a lowest node, and nodes below a higher one.
 LEAF, FANOUT = 64, 8
+#: Common shingles whose 0/1 matrices are multiplied at once (16 MB a side).
+COLUMNS = 1 << 16
 
 
 def _least_overlap(n, num: int, den: int):
@@ -129,49 +131,29 @@ def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def tree_links(sets: list[np.ndarray], split: int, num: int, den: int, joined: list[int]) -> list[tuple[int, int]]:
-    """Verified links (i, j) that connect all similar sets: between the first ``split`` sets and the rest, or
-    among all when ``split`` is 0. ``joined`` numbers sets that are known to be connected alike.
-    Links inside what is connected already are not looked for.
-    """
-    n = len(sets)
-    if n < 2:
-        return []
+def _trees(sets: list[np.ndarray], split: int) -> tuple[list[SignatureTree], list[np.ndarray]]:
+    """A tree over all sets, or one over the first ``split`` and one over the rest; and the places of their sets in order."""
     mean = max(64, int(np.mean([len(s) for s in sets])))
     bits = 1 << int(np.ceil(np.log2(8 * min(mean, 8192))))
     trees, orders = [], []
-    for a, b in [(0, n)] if not split else [(0, split), (split, n)]:
+    for a, b in [(0, len(sets))] if not split else [(0, split), (split, len(sets))]:
         # Near copies share their smallest hashes: they come to lie beside each other.
         order = sorted(range(a, b), key=lambda i: (int(sets[i][0]), int(sets[i][min(1, len(sets[i]) - 1)]), len(sets[i])))
         orders.append(np.array(order))
         trees.append(SignatureTree([sets[i] for i in order], bits))
-    left, right, same = trees[0], trees[-1], not split
-    left_order, right_order = orders[0], orders[-1]
-    union = _Union(n)
-    first: dict[int, int] = {}
-    for i, c in enumerate(joined):
-        union.join(first.setdefault(c, i), i)
-    root = np.vectorize(union.root, otypes=[np.int64])
-    links = []
+    return trees, orders
+
+
+def _descend(left: SignatureTree, right: SignatureTree, num: int, den: int, done: Callable[[int, int, int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Pairs of lowest nodes that may hold similar sets. ``done`` names node pairs that need no look."""
+    same = left is right
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         la, a, lb, b = stack.pop()
-        ra, rb = root(left_order[left.own(la, a)]), root(right_order[right.own(lb, b)])
-        if (ra == ra[0]).all() and (rb == ra[0]).all():
+        if done(la, a, lb, b):
             continue
         if la == 1 and lb == 1:
-            x, y = left.kids(1, a), right.kids(1, b)
-            todo = _fits(left.levels[0], x, right.levels[0], y, num, den) & (ra[:, None] != rb[None])
-            if same and a == b:
-                todo &= np.tri(len(x), k=-1, dtype=bool)
-            while todo.any():
-                i, j = np.unravel_index(todo.argmax(), todo.shape)
-                todo[i, j] = False
-                p, q = int(left_order[x[i]]), int(right_order[y[j]])
-                if _similar(sets[p], sets[q], num, den):
-                    union.join(p, q)
-                    links.append((p, q))
-                    todo &= root(left_order[x])[:, None] != root(right_order[y])[None]
+            yield a, b
         elif same and la == lb and a == b:
             kids = left.kids(la, a)
             ok = _fits(left.levels[la - 1], kids, left.levels[la - 1], kids, num, den)
@@ -187,9 +169,110 @@ def tree_links(sets: list[np.ndarray], split: int, num: int, den: int, joined: l
             kids = right.kids(lb, b)
             ok = _fits(left.levels[la], np.array([a]), right.levels[lb - 1], kids, num, den)[0]
             stack += [(la, a, lb - 1, int(k)) for k in kids[ok]]
+
+
+def tree_links(sets: list[np.ndarray], split: int, num: int, den: int, joined: list[int]) -> list[tuple[int, int]]:
+    """Verified links (i, j) that connect all similar sets: between the first ``split`` sets and the rest, or
+    among all when ``split`` is 0. ``joined`` numbers sets that are known to be connected alike.
+    Links inside what is connected already are not looked for.
+    """
+    if len(sets) < 2:
+        return []
+    trees, orders = _trees(sets, split)
+    left, right, same = trees[0], trees[-1], not split
+    left_order, right_order = orders[0], orders[-1]
+    union = _Union(len(sets))
+    first: dict[int, int] = {}
+    for i, c in enumerate(joined):
+        union.join(first.setdefault(c, i), i)
+    root = np.vectorize(union.root, otypes=[np.int64])
+
+    def connected(la: int, a: int, lb: int, b: int) -> bool:
+        ra, rb = root(left_order[left.own(la, a)]), root(right_order[right.own(lb, b)])
+        return bool((ra == ra[0]).all() and (rb == ra[0]).all())
+
+    links = []
+    for a, b in _descend(left, right, num, den, connected):
+        x, y = left.kids(1, a), right.kids(1, b)
+        todo = _fits(left.levels[0], x, right.levels[0], y, num, den) & (root(left_order[x])[:, None] != root(right_order[y])[None])
+        if same and a == b:
+            todo &= np.tri(len(x), k=-1, dtype=bool)
+        while todo.any():
+            i, j = np.unravel_index(todo.argmax(), todo.shape)
+            todo[i, j] = False
+            p, q = int(left_order[x[i]]), int(right_order[y[j]])
+            if _similar(sets[p], sets[q], num, den):
+                union.join(p, q)
+                links.append((p, q))
+                todo &= root(left_order[x])[:, None] != root(right_order[y])[None]
     return links
 
 
+def _overlaps(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the intersections' sizes, by a product of 0/1 matrices, ``COLUMNS`` common shingles at a time."""
+    x, y = np.concatenate(one), np.concatenate(other)
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(one), len(other)), np.int64)
+    if not len(common):
+        return out
+    places = []
+    for flat, sets in ((x, one), (y, other)):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        held = common[at] == flat
+        places.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[held], at[held]))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for (row, at), n in zip(places, out.shape, strict=True):
+            here = (at >= start) & (at < start + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(common) - start)), np.float32)
+            m[row[here], at[here] - start] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def tree_counts(sets: list[np.ndarray], split: int, num: int, den: int, weights: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The weights of all sets similar to each set, summed, and links that connect similar sets.
+
+    Every pair that the trees leave is verified: between the first ``split`` sets and the rest, or among all when
+    ``split`` is 0. Pairs of two sets that are not ``low`` are left to another cluster.
+    """
+    counts = np.zeros(len(sets), np.int64)
+    if len(sets) < 2:
+        return counts, []
+    trees, orders = _trees(sets, split)
+    left, right, same = trees[0], trees[-1], not split
+    left_order, right_order = orders[0], orders[-1]
+    union = _Union(len(sets))
+    root = np.vectorize(union.root, otypes=[np.int64])
+    links = []
+    for a, b in _descend(left, right, num, den, lambda la, a, lb, b: False):
+        x, y = left.kids(1, a), right.kids(1, b)
+        p, q = left_order[x], right_order[y]
+        found = _fits(left.levels[0], x, right.levels[0], y, num, den) & (low[p][:, None] | low[q][None])
+        if same and a == b:
+            found &= np.tri(len(x), k=-1, dtype=bool)
+        i, j = np.nonzero(found)
+        if len(i) <= 32:
+            for m, n in zip(i, j, strict=True):
+                found[m, n] = _similar(sets[p[m]], sets[q[n]], num, den)
+        else:
+            at, to = np.unique(i), np.unique(j)
+            both = _overlaps([sets[m] for m in p[at]], [sets[n] for n in q[to]])
+            sizes = left.levels[0][1][x[at]][:, None] + right.levels[0][1][y[to]][None]
+            found[np.ix_(at, to)] &= den * both >= num * (sizes - both)
+        if not found.any():
+            continue
+        np.add.at(counts, p, found @ weights[q])
+        np.add.at(counts, q, weights[p] @ found)
+        found &= root(p)[:, None] != root(q)[None]
+        for m, n in zip(*np.nonzero(found), strict=True):
+            if union.root(int(p[m])) != union.root(int(q[n])):
+                union.join(int(p[m]), int(q[n]))
+                links.append((int(p[m]), int(q[n])))
+    return counts, links
+
+
 # --- the job ------------------------------------------------------------------------------------
 
 
@@ -214,10 +297,15 @@ def _base(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return kept_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, keys array<long>")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
+def jaccard_components(
+    docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, block_shingles: int = BLOCK_SHINGLES, count_links: bool = False
+) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    ``n_links``: verified links of the document's set that were needed to connect its component, not all links.
+    With ``count_links`` also n_links: how many other documents (distinct pairs of doc_id and set) the row's set links
+    with, copies included. Every similar pair of different sets is then verified, where components alone need only as
+    many links as connect them; no pair leaves its task, only sums by set do. A cluster of many blocks is
+    compared block by block, each pair of blocks in its own task.
     """
     spark = docs.sparkSession
     base = stored(_base(docs, k, num, den), "jaccard-base")
@@ -247,33 +335,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     clusters = stored(components(edges.select("a", "b").union(salted)), "jaccard-clusters")
 
     # Blocks of a cluster, by a hash of the document; most clusters have one block.
-    sized = windows.select("node", "rep", "n").distinct().join(clusters, "node")
+    sized = windows.select("node", "rep", "n", (size_class == F.col("window")).alias("low")).distinct().join(clusters, "node")
     big = sized.groupBy("component").agg(F.sum("n").alias("total"))
     sized = sized.join(big, "component").withColumn("blocks", F.ceil(F.col("total") / block_shingles).cast("int"))
-    sized = sized.select(F.col("rep").alias("node"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = stored(sized.distinct(), "jaccard-members")
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    named = base.where("n > 0 AND doc_id IS NOT NULL")
+    copies = named.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count("*").alias("copies"))
+    if count_links:
+        of_set = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).join(copies, "digest")
+        sized = sized.join(of_set, ["rep", "n"])
+        members = sized.select(F.col("rep").alias("node"), "component", "blocks", "block", "digest", "copies", "low")
+    else:
+        members = sized.select(F.col("rep").alias("node"), "component", "blocks", "block")
+    members = stored(members.distinct(), "jaccard-members")
     dropped(rows)
-    texts = _likely(kept_columns(docs, "doc_id", "text"), members.select("node")).join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "component", "block", "blocks")
-    task = texts.select("component", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", "text", F.col("doc_id").alias("known"))
-    links = stored(_linked(task, k, num, den), "jaccard-links")
-    if members.where("blocks > 1").limit(1).count():
-        links = _across_blocks(texts, links, k, num, den)
+    texts = _likely(kept_columns(docs, "doc_id", "text"), members.select("node")).join(members, F.col("doc_id") == F.col("node")).drop("node")
+    if count_links:
+        found = stored(_counted(texts, k, num, den), "jaccard-counted")
+        links, counted = found.where("a IS NOT NULL").select("a", "b"), found.where("a IS NULL")
+    else:
+        links, counted = _connecting(texts, members, k, num, den), None
     links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "jaccard-pairs")
     # A doc_id with several texts ties the representatives of these together.
-    named = base.where("n > 0 AND doc_id IS NOT NULL")
     several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     of_digest = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     ties = named.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(of_digest, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = stored(components(links.union(ties)), "jaccard-final")
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = (
-        of_digest.join(final.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
-        .select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    linked = of_digest.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    if count_links:
+        degree = counted.groupBy("digest").agg(F.sum("links").alias("others"))
+        linked = linked.join(copies, "digest").join(degree, "digest", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
     out = base.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest"))
-    return out.join(linked, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    count = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.join(linked, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *count)
 
 
 def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -342,6 +436,72 @@ def _linked(task: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return near.mapInPandas(run, "a long, b long")
 
 
+def _connecting(texts: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links that connect what is similar, within blocks and between them."""
+    task = texts.select("component", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id", "text", F.col("doc_id").alias("known"))
+    links = stored(_linked(task, k, num, den), "jaccard-links")
+    if members.where("blocks > 1").limit(1).count():
+        links = _across_blocks(texts, links, k, num, den)
+    return links
+
+
+def _counted(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Rows (a, b) of connecting links, and rows (digest, links) with a part of the links of a set.
+
+    A block goes to the task of each pair of blocks that it is in: as side 0 with itself and all later ones, as side 1
+    with all earlier ones. Two sets of similar size stand in the clusters of two size windows; their pair counts in
+    the window of the smaller one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(key, rows, sets):
+            at = sorted(range(len(rows)), key=lambda x: rows[x][1])
+            split = sum(r[1] == 0 for r in rows) if key is not None and key[1] != key[2] else 0
+            if split == len(rows):
+                return [], []  # a pair of blocks with one side only
+            weights, low = np.array([rows[x][3] for x in at], np.int64), np.array([rows[x][4] for x in at], bool)
+            counts, links = tree_counts([sets[x] for x in at], split, num, den, weights, low)
+            return [(rows[at[i]][0], rows[at[j]][0]) for i, j in links], [(rows[at[i]][2], int(counts[i])) for i in np.nonzero(counts)[0]]
+
+        def frame(links, sums):
+            return pd.DataFrame(
+                {
+                    "a": pd.array([x for x, _ in links] + [None] * len(sums), "Int64"), "b": pd.array([x for _, x in links] + [None] * len(sums), "Int64"),
+                    "digest": [None] * len(links) + [x for x, _ in sums], "links": pd.array([None] * len(links) + [x for _, x in sums], "Int64"),
+                }
+            )
+
+        key, rows, sets, links, sums = None, [], [], [], []
+        for pdf in batches:
+            for part in slices(pdf, CHARS):
+                made = shingle_sets(part["text"], k)
+                for r, s in zip(part.itertuples(index=False), made, strict=True):
+                    if (r.component, r.i, r.j) != key:
+                        more = found(key, rows, sets) if rows else ([], [])
+                        links += more[0]
+                        sums += more[1]
+                        key, rows, sets = (r.component, r.i, r.j), [], []
+                    # Other texts of the same doc_id, and repeated rows, have their own rows or none.
+                    row = (r.doc_id, r.side, bytes(r.digest), r.copies, r.low)
+                    if xxhash.xxh3_128_digest(s.tobytes()) == row[2] and not (rows and rows[-1] == row):
+                        rows.append(row)
+                        sets.append(s)
+                del made
+            if links or sums:
+                yield frame(links, sums)
+                links, sums = [], []
+            trim()
+        if rows:
+            yield frame(*found(key, rows, sets))
+
+    later = texts.withColumn("j", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumns({"i": F.col("block"), "side": F.lit(0)})
+    earlier = texts.where("block > 0").withColumn("i", F.explode(F.expr("sequence(0, block - 1)"))).withColumns({"j": F.col("block"), "side": F.lit(1)})
+    task = later.unionByName(earlier).select("component", "i", "j", "side", "doc_id", "text", "digest", "copies", "low")
+    parts = int(task.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = task.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id", "digest")
+    return near.mapInPandas(run, "a long, b long, digest binary, links long")
+
+
 def _across_blocks(texts: DataFrame, links: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Adds the links between blocks of large clusters.
 

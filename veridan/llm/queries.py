@@ -17,8 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100, count_links=True)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +99,10 @@ p AS MATERIALIZED (
   JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(node, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node),
-m AS (SELECT node, min(c) AS c FROM r GROUP BY node)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+m AS (SELECT node, min(c) AS c FROM r GROUP BY node),
+g AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(links, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id LEFT JOIN g ON g.a = d.doc_id
 """
 
 WARC_SQL = """
