@@ -108,21 +108,34 @@ def explanation_payload(spark, sf_dir):
     return explain.payload(flagged, explain.top_evidence(_attributions(spark, sf_dir)), f)
 
 
-def _stream_events(spark, sf_dir, item: str):
-    """The events table as a stream: purchases are orders, errors are returns."""
+def _stream_events(spark, sf_dir, item: str, slices: int = 2):
+    """The events table as a stream, purchases as orders and errors as returns; and the bound of its lateness.
+
+    It lands in ``slices`` of equal time, one after the other, and in any order inside a slice; about half the files of
+    a slice come in one trigger. So a row can be late by a slice at most. A heartbeat closes the stream.
+    """
     events = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')")
-    landing = graph.scratch(spark, "landing")  # a folder, as a file stream needs one
-    events.write.parquet(landing)
-    s = spark.readStream.schema(events.schema).parquet(landing)
-    return s.select(
+    events = events.select(
         F.col("event_id").alias("order_id"), F.expr("timestamp_seconds(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)))").alias("ts"),
         F.expr("if(event_type = 'purchase', 1, 0)").alias("kind"), F.col("user_id").alias("key") if item == "value" else F.expr("user_id % 20").alias("key"),
         F.expr("cast(floor(value) AS long)").alias("item") if item == "value" else F.col("user_id").alias("item"), F.coalesce("value", F.lit(0.0)).alias("value"), F.expr("int(event_id % 2)").alias("cod"),
     )
+    landing = graph.scratch(spark, "landing")  # a folder, as a file stream needs one
+    low, high = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    low, high = (low, high) if low is not None else (0, 0)
+    width = (high - low) // slices + 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    place = F.unix_seconds("ts")
+    for i in range(slices):
+        events.where((place >= low + i * width) & (place < low + (i + 1) * width)).repartition(parts, "order_id").write.mode("append").parquet(landing)
+    end = events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    beat = spark.range(1).select(F.timestamp_seconds(F.lit(high + 2 * width + 60)).alias("ts"), F.lit(2).alias("kind"), F.lit(-1).alias("key"))
+    spark.createDataFrame([], end).unionByName(beat, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(landing)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", (parts + 1) // 2).parquet(landing), f"{width + 1} seconds"
 
 
 def _streamed(spark, sf_dir, item: str):
-    out = stream_features(_stream_events(spark, sf_dir, item))
+    out = stream_features(*_stream_events(spark, sf_dir, item))
     return _rounded(run_to_table(out, graph.scratch(spark, "stream"), graph.scratch(spark, "stream-checkpoint")), 4)
 
 
