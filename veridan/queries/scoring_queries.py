@@ -2,66 +2,66 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from ..functions.columns import band
 from ..operators import asof, features, graph
 from ..plans import explain, model, splits
 from ..sources.driver_tables import table, world
 from ..streaming.features import run_to_table, stream_features
-from .asof_queries import BASE, _o, _rounded, _w
+from .asof_queries import BASE, CATEGORIES, _inputs, _o, _rounded, _w
 from .decision_queries import HI, LO
 
-#: Features of the scoring queries: those that need no replay of the graph.
-COLUMNS = ["value_inr", "item_count", "promo_used", "cust_prior_orders", "cust_cod_share", "cust_mean_value", "cust_prior_returns", "cust_return_rate", "dev_return_rate", "addr_return_rate"]
-
-
 def _frame(spark, sf_dir):
-    """COD orders with features, label, and a split of whole groups; in order of id, as sampling goes by place."""
-    w, o = _o(spark, sf_dir)
-    e = asof.event_stream(o, w["returns"])
-    f = asof.asof_customer(o).join(asof.asof_return_rates(e), "order_id")
-    t = w["truth"].where("payment_mode = 'COD'").select("order_id", "customer_id", "category", "group_key", "is_abuse", "value_inr")
-    t = t.join(splits.group_split(w["truth"]), "group_key")
-    frame = t.join(o.select("order_id", "item_count", "promo_used"), "order_id").join(f, "order_id")
-    return graph.stored(frame.select("order_id", "customer_id", "category", "is_abuse", "split", *COLUMNS).orderBy("order_id"), "frame")
+    """COD orders with all features, label, and a split of whole groups, in order of id, as sampling goes by place; and the
+    names of the features that do not grow with the age of the data."""
+    w = world(spark, sf_dir)
+    f = features.build_features(**_inputs(w), categories=CATEGORIES)
+    t = w["truth"].where("payment_mode = 'COD'").select("order_id", "customer_id", "category", "group_key", "is_abuse")
+    t = t.join(splits.group_split(w["truth"]), "group_key").drop("group_key")
+    return graph.stored(t.join(f, "order_id").orderBy("order_id"), "frame"), features.feature_set([c for c in f.columns if c != "order_id"], "stable")
 
 
+@functools.lru_cache(maxsize=1)
 def _fitted(spark, sf_dir):
-    frame = _frame(spark, sf_dir)
-    m = model.train_scorer(frame.where("split = 'train'"), COLUMNS, trees=20)
-    return frame, m
+    """Frame, features and model. The last one is kept, as all queries of a session over one folder share it."""
+    frame, columns = _frame(spark, sf_dir)
+    return frame, columns, model.train_scorer(frame.where("split = 'train'"), columns, trees=20)
+
+
+def _banded(frame, columns, m):
+    """The test fold with p and band; the calibration comes from the validation fold."""
+    iso = model.calibrate(model.raw_scores(m, frame.where("split = 'val'"), columns))
+    return model.score_orders(m, iso, frame.where("split = 'test'"), columns, LO, HI)
 
 
 def train_scorer(spark, sf_dir):
     """Raw scores of the validation fold by trees fitted on the train fold."""
-    frame, m = _fitted(spark, sf_dir)
-    return _rounded(model.raw_scores(m, frame.where("split = 'val'"), COLUMNS).select("order_id", "is_abuse", "raw_p"))
+    frame, columns, m = _fitted(spark, sf_dir)
+    return _rounded(model.raw_scores(m, frame.where("split = 'val'"), columns).select("order_id", "is_abuse", "raw_p"))
 
 
 def calibrate_scorer(spark, sf_dir):
     """Boundaries and values of the isotonic map fitted on the validation fold."""
-    frame, m = _fitted(spark, sf_dir)
-    iso = model.calibrate(model.raw_scores(m, frame.where("split = 'val'"), COLUMNS))
+    frame, columns, m = _fitted(spark, sf_dir)
+    iso = model.calibrate(model.raw_scores(m, frame.where("split = 'val'"), columns))
     return spark.createDataFrame(list(zip(iso.boundaries.toArray().tolist(), iso.predictions.toArray().tolist(), strict=True)), "raw_p double, p double")
 
 
 def score_orders(spark, sf_dir):
-    frame, m = _fitted(spark, sf_dir)
-    iso = model.calibrate(model.raw_scores(m, frame.where("split = 'val'"), COLUMNS))
-    return _rounded(model.score_orders(m, iso, frame.where("split = 'test'"), COLUMNS, LO, HI).select("order_id", "is_abuse", "p", "band"))
+    return _rounded(_banded(*_fitted(spark, sf_dir)).select("order_id", "is_abuse", "p", "band"))
 
 
 def feature_importance(spark, sf_dir):
-    _, m = _fitted(spark, sf_dir)
-    return spark.createDataFrame([(i, f, g) for i, (f, g) in enumerate(model.feature_importance(m, COLUMNS))], "rank int, feature string, gain double")
+    _, columns, m = _fitted(spark, sf_dir)
+    return spark.createDataFrame([(i, f, g) for i, (f, g) in enumerate(model.feature_importance(m, columns))], "rank int, feature string, gain double")
 
 
 def tree_attribution(spark, sf_dir):
-    frame, m = _fitted(spark, sf_dir)
-    iso = model.calibrate(model.raw_scores(m, frame.where("split = 'val'"), COLUMNS))
-    flagged = model.score_orders(m, iso, frame.where("split = 'test'"), COLUMNS, LO, HI).where("band <> 'pass'")
-    return model.tree_attribution(m, flagged, COLUMNS)
+    """Exact attribution of every flagged order of the test fold, a row a feature."""
+    frame, columns, m = _fitted(spark, sf_dir)
+    return model.tree_attribution(m, _banded(frame, columns, m).where("band <> 'pass'"), columns)
 
 
 def _attributions(spark, sf_dir):
@@ -95,17 +95,18 @@ def _facts(spark, sf_dir):
     f = asof.asof_customer(o).select("order_id", "cust_prior_orders").join(asof.running_distinct(o, "cluster", "customer_id", "addr_distinct_customers", "customer_id"), "order_id")
     f = f.join(asof.asof_address(o).select("order_id", "addr_is_new_variant_of_known_cluster", "addr_age_days"), "order_id").join(asof.asof_phone_neighbours(o, asof.phone_neighbours(w["phones"])), "order_id")
     # The age of the door stands in for the component's here, so that SQL can follow.
-    return w, f.withColumn("comp_max_tenure_days", F.col("addr_age_days")).withColumn("comp_size", F.col("addr_distinct_customers") + 1)
+    return f.withColumn("comp_max_tenure_days", F.col("addr_age_days")).withColumn("comp_size", F.col("addr_distinct_customers") + 1)
 
 
 def caveats(spark, sf_dir):
-    return _facts(spark, sf_dir)[1].select("order_id", F.array_join(explain.caveats(), " ").alias("caveats"))
+    return _facts(spark, sf_dir).select("order_id", F.array_join(explain.caveats(), " ").alias("caveats"))
 
 
 def explanation_payload(spark, sf_dir):
-    w, f = _facts(spark, sf_dir)
-    flagged = w["scored"].withColumn("band", band("p", LO, HI)).where("band <> 'pass'")
-    return explain.payload(flagged, explain.top_evidence(_attributions(spark, sf_dir)), f)
+    """Payload of every flagged order of the test fold, from the attribution of its own score and its own features."""
+    frame, columns, m = _fitted(spark, sf_dir)
+    flagged = graph.stored(_banded(frame, columns, m).where("band <> 'pass'"), "flagged")
+    return explain.payload(flagged.select("order_id", "customer_id", "value_inr", "category", "p", "band"), explain.top_evidence(model.tree_attribution(m, flagged, columns)), flagged)
 
 
 def _stream_events(spark, sf_dir, item: str, slices: int = 2):
