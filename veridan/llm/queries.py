@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe, chat, decontaminate, langid, license_scan, ngram_join, quality, token_files, warc
+from . import ann_forest, bpe, chat, decontaminate, langid, license_scan, merkle, ngram_join, quality, runs, token_files, url_filter, warc
 from .common import scratch
 
 
@@ -73,6 +73,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (quality.fold() == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.manifest(_table(spark, sf_dir, "documents"))).drop("nodes_copied")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text, some of which the contract makes periodic first."""
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the rules; what no rule fits is allowed."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard, op2_license_scan, op3_ann_forest, op4_token_rans, op5_warc, op6_quality, op7_byte_bpe, op8_decontamination, op9_chat_rotation, op10_language_id, pipeline)
+        for f in (op1_ngram_jaccard, op2_license_scan, op3_ann_forest, op4_token_rans, op5_warc, op6_quality, op7_byte_bpe, op8_decontamination, op9_chat_rotation, op10_language_id, op11_merkle_manifest, op12_periodic_runs, op13_url_filter, pipeline)
     }
 
 
@@ -127,5 +147,53 @@ SELECT doc_id, item_id, max(c) AS matched, any_value(k) AS compared FROM x WHERE
 """
 
 
+
+def _merkle_sql(levels: int = 5) -> str:
+    """Levels one by one, as deep as ``levels`` (16 ** levels leaves a source and sources); a group's highest node goes on by itself."""
+
+    def tree(rows: str, tag: str) -> str:
+        """Nodes {tag}0 .. {tag}levels over ``rows`` (g, i, n, h), and a leaf's neighbours at each level."""
+        out = f"{tag}0 AS MATERIALIZED ({rows})"
+        for k in range(levels):
+            w = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+            out += f""",
+{tag}s{k} AS MATERIALIZED (SELECT g, i, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {tag}{k}),
+{tag}{k + 1} AS MATERIALIZED (SELECT g, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {tag}{k} GROUP BY g, i // 16, n)"""
+        return out
+
+    enc = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    head, low = "".join(f"{enc(c)} || " for c in merkle.FIELDS[:-1]), f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')"
+    crc = "(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)))"
+    path = " ".join(f"JOIN {t}s{k} AS {t}x{k} ON {t}x{k}.g = y.{t} AND {t}x{k}.i = y.{t}i // {16**k}" for t in "ab" for k in range(levels))
+    fold, steps = "CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN changed ELSE h END AS v0", ""
+    for j, (t, k) in enumerate((t, k) for t in "ab" for k in range(levels)):
+        steps += f", f{j} AS (SELECT *, CASE WHEN {t}n{k} > 1 THEN sha256({t}l{k} || v{j} || {t}r{k}) ELSE v{j} END AS v{j + 1} FROM {f'f{j - 1}' if j else 'z'})"
+    sides = ", ".join(f"{t}x{k}.n AS {t}n{k}, {t}x{k}.l AS {t}l{k}, {t}x{k}.r AS {t}r{k}" for t in "ab" for k in range(levels))
+    proof = " || ".join(f"{t}l{k} || {t}r{k}" for t in "ab" for k in range(levels))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('x' || source, '') AS g, sha256({head}{enc('text')}) AS h, sha256({head}{enc(low)}) AS changed, {crc} AS crc FROM documents),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{tree("SELECT g, i, n, h FROM e", "a")},
+t AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM a{levels}),
+{tree("SELECT 'all' AS g, i, (SELECT count(*) FROM t) AS n, h FROM t", "b")},
+y AS (SELECT e.*, e.g AS a, e.i AS ai, 'all' AS b, t.i AS bi, t.h AS subroot FROM e JOIN t ON t.g = e.g),
+z AS (SELECT y.doc_id, y.h, y.subroot, {fold}, {sides} FROM y {path}){steps}
+SELECT doc_id, f{2 * levels - 1}.h AS leaf, subroot, b{levels}.h AS root, sha256({proof}) AS proof_sha256, v{2 * levels} AS folded_root, v{2 * levels} = b{levels}.h AS verified FROM f{2 * levels - 1}, b{levels}
+"""
+
+
+URL_SQL = f"""
+WITH c AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{merkle._UPPER}', '{merkle._LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM c),
+r(verdict, host, path) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+f AS (SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict FROM u LEFT JOIN r ON ends_with('.' || u.host, '.' || r.host) AND starts_with(u.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": JACCARD_SQL, "op5_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op9_chat_rotation": chat.ROTATION_SQL}
+    return {
+        "op1_ngram_jaccard": JACCARD_SQL, "op5_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op9_chat_rotation": chat.ROTATION_SQL,
+        "op11_merkle_manifest": _merkle_sql(), "op13_url_filter": URL_SQL,
+    }
