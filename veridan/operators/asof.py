@@ -1,11 +1,10 @@
 """Point-in-time aggregates: for each order only what came before it.
 
 Orders of one second follow each other by order_id; a return counts from its own second on, before that
-second's orders. Every window ends one row before the current one. Keys with few rows each (customer,
-device, address cluster, phone) use one window a key; keys that hold a large share of all rows (pincode,
-category, the whole marketplace) use two levels: totals a bucket of time, their running sum, and a window within
-the bucket, so no task holds a key's whole history. A bucket is a day, or an equal part of it where a key's day has too
-many rows.
+second's orders. All features of a key (customer, device, address cluster, phone number, pincode, category, the whole
+marketplace) come from one prefix scan over the key's events (``operators.scan``), which splits any key by its rows.
+Distinct counts are sums of first occurrences, which are minima by (key, item): rows of their own in the key's
+stream, beside the order that they belong to, so neither a set nor a window over a pair of keys is needed.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY, safe_ratio, seconds, smoothed_rate
+from .scan import Prefix, prefix
 
 TAU7, TAU30 = 7 * DAY, 30 * DAY
 #: Rows of a key's bucket beyond which it is cut further.
@@ -118,135 +118,219 @@ def exact_quantiles(rows: DataFrame, value: str, probs: list[float], by: list[st
 
 
 _IS_ORDER, _IS_RETURN = "if(kind = 1, 1, 0)", "if(kind = 0, 1, 0)"
+#: Place of a row within its event: ahead of the order itself, the order, after it.
+AHEAD, SELF, AFTER = 0, 1, 2
+_PLACES = ["ts_sec", "kind", "order_id", "sub"]
+_SELF = f"kind = 1 AND sub = {SELF}"
 
 
-def asof_customer(orders: DataFrame) -> DataFrame:
-    """Earlier orders of the customer: count, COD count, mean, maximum, z-score of this value, days since the last."""
-    w = prior("customer_id", ["ts_sec", "order_id"])
-    o = orders.withColumns({
-        "cust_prior_orders": F.count("*").over(w), "cust_prior_cod": _zero(F.sum("cod").over(w)), "_s": F.sum("value_inr").over(w),
-        "_sd": F.stddev_samp("value_inr").over(w), "cust_max_value": F.coalesce(F.max("value_inr").over(w), F.lit(0.0)), "_last": F.max("ts_sec").over(w),
-    })
-    n = F.col("cust_prior_orders")
-    mean = F.when(n > 0, F.col("_s") / n).otherwise(0.0)
-    return o.select(
-        "order_id", "cust_prior_orders", "cust_prior_cod", ((F.col("cust_prior_cod") + 1) / (n + 2)).alias("cust_cod_share"),
-        F.coalesce((F.col("ts_sec") - F.col("_last")) / DAY, F.lit(999.0)).alias("cust_days_since_last"), mean.alias("cust_mean_value"),
-        F.when((n > 1) & (F.col("_sd") > 1e-6), (F.col("value_inr") - mean) / F.col("_sd")).otherwise(0.0).alias("cust_value_z"), "cust_max_value",
+def first_uses(orders: DataFrame, key: list[str], item: list[str]) -> DataFrame:
+    """(key, item, ts_sec, order_id): the first order of each item with each key. A minimum, so no pair passes one task."""
+    n = orders.groupBy(*key, *item).agg(F.min(F.struct("ts_sec", "order_id")).alias("_at"))
+    return n.select(*key, *item, "_at.ts_sec", "_at.order_id")
+
+
+def with_firsts(events: DataFrame, orders: DataFrame, key: str, firsts: dict[str, tuple[str, int]]) -> DataFrame:
+    """``events`` and a row for each first occurrence of an item in the orders of ``key``.
+
+    ``firsts``: name of a column that is 1 in these rows, to (item, place): AHEAD counts the order's own item, AFTER doesn't.
+    """
+    out = events.withColumn("sub", F.lit(SELF))
+    for name, (item, place) in firsts.items():
+        own = first_uses(orders, [key], [item])
+        out = out.unionByName(own.select(key, "ts_sec", "order_id", F.lit(1).alias("kind"), F.lit(place).alias("sub"), F.lit(1).alias(name)), allowMissingColumns=True)
+    return out
+
+
+def _scan(rows: DataFrame, key: list[str], what: Prefix, name: str) -> DataFrame:
+    return prefix(rows, key, _PLACES, what, f"asof-{name}", _SELF)
+
+
+def _only_orders(orders: DataFrame) -> DataFrame:
+    return orders.withColumn("kind", F.lit(1))
+
+
+_VALUE = "if(kind = 1 AND sub = 1, value_inr, null)"
+_ORDERS = {"_n": f"if({_SELF}, 1, 0)"}
+_RETURNS = {"_r": _IS_RETURN}
+
+
+def customer_part(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """All features of the customer's own past, from one scan."""
+    e = events.select("order_id", "ts_sec", "kind", "customer_id", "cod", "value_inr")
+    e = with_firsts(e, orders, "customer_id", {"_device": ("device_id", AFTER), "_cluster": ("cluster", AFTER)})
+    own = f"if({_SELF}, 1D, 0D)"
+    got = _scan(e, ["customer_id"], Prefix(
+        sums=_ORDERS | _RETURNS | {"_c": f"if({_SELF}, cod, 0)", "_s": _VALUE, "_dd": "_device", "_dc": "_cluster"}, most={"_max": _VALUE, "_last": f"if({_SELF}, ts_sec, null)"},
+        fades={"cust_orders_d7": (own, "ts_sec", TAU7), "cust_orders_d30": (own, "ts_sec", TAU30)}, moments={("_vn", "_vm", "_v2"): _VALUE},
+    ), "customer")
+    n = F.col("_n")
+    mean, sd = F.when(n > 0, F.col("_s") / n).otherwise(0.0), F.sqrt(F.col("_v2") / (F.col("_vn") - 1))
+    return got.select(
+        "order_id", n.alias("cust_prior_orders"), F.col("_c").alias("cust_prior_cod"), ((F.col("_c") + 1) / (n + 2)).alias("cust_cod_share"),
+        F.col("_r").alias("cust_prior_returns"), smoothed_rate(F.col("_r"), n).alias("cust_return_rate"),
+        F.coalesce((F.col("ts_sec") - F.col("_last")) / DAY, F.lit(999.0)).alias("cust_days_since_last"), "cust_orders_d7", "cust_orders_d30", mean.alias("cust_mean_value"),
+        F.when((F.col("_vn") > 1) & (sd > 1e-6), (F.col("value_inr") - mean) / sd).otherwise(0.0).alias("cust_value_z"), F.coalesce("_max", F.lit(0.0)).alias("cust_max_value"),
+        F.col("_dd").alias("cust_distinct_devices"), F.col("_dc").alias("cust_distinct_addr_clusters"),
     )
 
 
-def decayed(key: str, tau: int, order: list[str] = ("ts_sec", "order_id")) -> Column:
-    """Sum of exp(-(T - t)/tau) over the key's earlier rows. Each key's own first time is the origin; a key's
-    history may span 700 tau (13 years at 7 days) before the scaled terms overflow."""
-    origin = F.min("ts_sec").over(Window.partitionBy(key))
-    w = prior(key, list(order))
-    return _zero(F.sum(F.exp((F.col("ts_sec") - origin) / tau)).over(w)) * F.exp(-(F.col("ts_sec") - origin) / tau)
+def _age() -> Column:
+    return F.coalesce((F.col("ts_sec") - F.col("_first")) / DAY, F.lit(0.0))
 
 
-def asof_decayed_counts(orders: DataFrame) -> DataFrame:
-    return orders.select("order_id", decayed("customer_id", TAU7).alias("cust_orders_d7"), decayed("customer_id", TAU30).alias("cust_orders_d30"))
+_FIRST = {"_first": f"if({_SELF}, ts_sec, null)"}
 
 
-def running_distinct(orders: DataFrame, key: str, item: str, name: str, others: str | None = None) -> DataFrame:
-    """order_id and the number of distinct items in the key's earlier orders; without ``others`` (the current one's) if given.
+def device_part(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Other customers, orders, return rate and age of the device."""
+    e = with_firsts(events.select("order_id", "ts_sec", "kind", "device_id"), orders, "device_id", {"_customer": ("customer_id", AHEAD)})
+    got = _scan(e, ["device_id"], Prefix(sums=_ORDERS | _RETURNS | {"_u": "_customer"}, least=_FIRST), "device")
+    return got.select(
+        "order_id", (F.col("_u") - 1).alias("dev_distinct_customers"), F.col("_n").alias("dev_prior_orders"), smoothed_rate(F.col("_r"), F.col("_n")).alias("dev_return_rate"), _age().alias("dev_age_days")
+    )
+
+
+def cluster_part(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Other customers, orders, return rate and age of the door, its spellings, and whether this one is new to a known door."""
+    e = with_firsts(
+        events.select("order_id", "ts_sec", "kind", "cluster"), orders, "cluster",
+        {"_customer": ("customer_id", AHEAD), "_known": ("address_id", AFTER), "_spelled": ("address_id", AHEAD)},
+    )
+    got = _scan(e, ["cluster"], Prefix(sums=_ORDERS | _RETURNS | {"_u": "_customer", "_a": "_known", "_b": "_spelled"}, least=_FIRST), "cluster")
+    return got.select(
+        "order_id", (F.col("_u") - 1).alias("addr_distinct_customers"), F.col("_n").alias("addr_prior_orders"), smoothed_rate(F.col("_r"), F.col("_n")).alias("addr_return_rate"),
+        F.col("_a").alias("addr_variant_count"), ((F.col("_b") > F.col("_a")) & (F.col("_n") > 0)).cast("int").alias("addr_is_new_variant_of_known_cluster"), _age().alias("addr_age_days"),
+    )
 
-    First occurrences are flagged and summed, so no set grows along a window.
-    """
-    first = (F.row_number().over(Window.partitionBy(key, item).orderBy("ts_sec", "order_id")) == 1).cast("int")
-    o = orders.select("order_id", "ts_sec", key, item, first.alias("_new")).withColumn("_n", _zero(F.sum("_new").over(prior(key, ["ts_sec", "order_id"]))))
-    n = F.col("_n") - (1 - F.col("_new")) if others else F.col("_n")
-    return o.select("order_id", n.alias(name))
+
+def pincode_part(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Earlier orders, distinct earlier customers and return rate of the pincode."""
+    e = with_firsts(events.select("order_id", "ts_sec", "kind", "pincode"), orders, "pincode", {"_customer": ("customer_id", AFTER)})
+    got = _scan(e, ["pincode"], Prefix(sums=_ORDERS | _RETURNS | {"_u": "_customer"}), "pincode")
+    return got.select("order_id", F.col("_u").alias("pin_distinct_customers"), F.col("_n").alias("pin_prior_orders"), smoothed_rate(F.col("_r"), F.col("_n")).alias("pin_return_rate"))
+
+
+def asof_customer(orders: DataFrame) -> DataFrame:
+    """Earlier orders of the customer: count, COD count, mean, maximum, z-score of this value, days since the last."""
+    out = customer_part(_only_orders(orders), orders)
+    return out.select("order_id", "cust_prior_orders", "cust_prior_cod", "cust_cod_share", "cust_days_since_last", "cust_mean_value", "cust_value_z", "cust_max_value")
+
+
+def asof_decayed_counts(orders: DataFrame) -> DataFrame:
+    """Earlier orders of the customer, each fading with 7 and 30 days; any span of history."""
+    return customer_part(_only_orders(orders), orders).select("order_id", "cust_orders_d7", "cust_orders_d30")
 
 
 def asof_distinct(orders: DataFrame) -> DataFrame:
     """Running distinct devices and clusters of the customer; other customers of device and cluster; spellings."""
+    e = _only_orders(orders)
     parts = [
-        running_distinct(orders, "customer_id", "device_id", "cust_distinct_devices"),
-        running_distinct(orders, "customer_id", "cluster", "cust_distinct_addr_clusters"),
-        running_distinct(orders, "device_id", "customer_id", "dev_distinct_customers", "customer_id"),
-        running_distinct(orders, "cluster", "customer_id", "addr_distinct_customers", "customer_id"),
-        running_distinct(orders, "cluster", "address_id", "addr_variant_count"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "order_id")
-    return out
-
-
-def _rate(events: DataFrame, key: str, name: str, big: bool) -> DataFrame:
-    sums = {"_n": _IS_ORDER, "_r": _IS_RETURN}
-    e = events.select("order_id", "ts_sec", "kind", key)
-    e = running_two_level(e, [key], sums) if big else running(e, key, sums)
-    return e.select("order_id", smoothed_rate(F.col("_r"), F.col("_n")).alias(name), F.col("_r").alias(f"{name}_returns"))
+        customer_part(e, orders).select("order_id", "cust_distinct_devices", "cust_distinct_addr_clusters"), device_part(e, orders).select("order_id", "dev_distinct_customers"),
+        cluster_part(e, orders).select("order_id", "addr_distinct_customers", "addr_variant_count"),
+    ]
+    return together(parts)
 
 
 def asof_return_rates(events: DataFrame) -> DataFrame:
     """Smoothed return rates of customer, device, cluster, pincode and category as known at each order."""
-    out = None
-    for key, name, big in (
-        ("customer_id", "cust_return_rate", False), ("device_id", "dev_return_rate", False), ("cluster", "addr_return_rate", False),
-        ("pincode", "pin_return_rate", True), ("category", "cat_return_rate_prior", True),
-    ):
-        p = _rate(events, key, name, big)
-        p = p.withColumnRenamed(f"{name}_returns", "cust_prior_returns") if key == "customer_id" else p.drop(f"{name}_returns")
-        out = p if out is None else out.join(p, "order_id")
-    return out
+    parts = []
+    for key, name in (("customer_id", "cust"), ("device_id", "dev"), ("cluster", "addr"), ("pincode", "pin"), ("category", "cat")):
+        e = events.select("order_id", "ts_sec", "kind", key).withColumn("sub", F.lit(SELF))
+        p = _scan(e, [key], Prefix(sums=_ORDERS | _RETURNS), name)
+        rate = smoothed_rate(F.col("_r"), F.col("_n")).alias(f"{name}_return_rate" + ("_prior" if name == "cat" else ""))
+        parts.append(p.select("order_id", rate, *([F.col("_r").alias("cust_prior_returns")] if name == "cust" else [])))
+    return together(parts)
 
 
 def asof_entity(orders: DataFrame, key: str, prefix: str) -> DataFrame:
     """Earlier orders of a device or cluster, and its age in days (0 when new)."""
-    w = prior(key, ["ts_sec", "order_id"])
-    return orders.select(
-        "order_id", F.count("*").over(w).alias(f"{prefix}_prior_orders"), F.coalesce((F.col("ts_sec") - F.min("ts_sec").over(w)) / DAY, F.lit(0.0)).alias(f"{prefix}_age_days")
-    )
+    e = _only_orders(orders).select("order_id", "ts_sec", "kind", key).withColumn("sub", F.lit(SELF))
+    return _scan(e, [key], Prefix(sums=_ORDERS, least=_FIRST), prefix).select("order_id", F.col("_n").alias(f"{prefix}_prior_orders"), _age().alias(f"{prefix}_age_days"))
 
 
 def asof_address(orders: DataFrame) -> DataFrame:
     """``asof_entity`` of the cluster, and whether a known cluster is spelled by an address not seen in it."""
-    new = F.row_number().over(Window.partitionBy("cluster", "address_id").orderBy("ts_sec", "order_id")) == 1
-    n = F.count("*").over(prior("cluster", ["ts_sec", "order_id"]))
-    flag = orders.select("order_id", new.alias("_new"), n.alias("_n"))
-    flag = flag.select("order_id", (F.col("_new") & (F.col("_n") > 0)).cast("int").alias("addr_is_new_variant_of_known_cluster"))
-    return asof_entity(orders, "cluster", "addr").join(flag, "order_id")
+    return cluster_part(_only_orders(orders), orders).select("order_id", "addr_prior_orders", "addr_age_days", "addr_is_new_variant_of_known_cluster")
 
 
 def asof_pincode(orders: DataFrame) -> DataFrame:
     """Earlier orders and distinct earlier customers of the pincode."""
-    new = (F.row_number().over(Window.partitionBy("pincode", "customer_id").orderBy("ts_sec", "order_id")) == 1).cast("int")
-    o = orders.select("order_id", "ts_sec", F.lit(1).alias("kind"), "pincode", new.alias("_new"))
-    o = running_two_level(o, ["pincode"], {"pin_prior_orders": F.lit(1), "pin_distinct_customers": F.col("_new")})
-    return o.select("order_id", "pin_prior_orders", "pin_distinct_customers")
+    return pincode_part(_only_orders(orders), orders).select("order_id", "pin_prior_orders", "pin_distinct_customers")
 
 
-def phone_neighbours(phones: DataFrame, window: int = 5) -> DataFrame:
-    """(phone_id, neighbour_id): other phones whose number differs by ``window`` at most.
+def together(parts: list[DataFrame]) -> DataFrame:
+    """One row an order with the columns of all parts, which have a row for each order at most.
 
-    Numbers fall into buckets one wider than the window; each looks into its own and both next ones.
+    The parts' values go packed, each in an array of its part, through one shuffle by order_id; there is no join.
     """
-    n = phones.select("phone_id", F.col("msisdn").cast("long").alias("num")).where("num IS NOT NULL")
-    n = n.withColumn("b", F.floor(F.col("num") / (window + 1)))
-    left = n.select("phone_id", "num", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    right = n.select(F.col("phone_id").alias("neighbour_id"), F.col("num").alias("num2"), "b")
-    near = left.join(right, "b").where((F.abs(F.col("num") - F.col("num2")) <= window) & (F.col("phone_id") != F.col("neighbour_id")))
-    return near.select("phone_id", "neighbour_id")
+    every, kinds = None, []
+    for i, p in enumerate(parts):
+        own = [(c, t) for c, t in p.dtypes if c != "order_id"]
+        kinds.append(own)
+        row = p.select("order_id", F.array(*[F.col(c).cast("double") for c, _ in own]).alias(f"_p{i}"))
+        every = row if every is None else every.unionByName(row, allowMissingColumns=True)
+    g = every.groupBy("order_id").agg(*[F.first(f"_p{i}", ignorenulls=True).alias(f"_p{i}") for i in range(len(parts))])
+    return g.select("order_id", *[F.col(f"_p{i}")[j].cast(t).alias(c) for i, own in enumerate(kinds) for j, (c, t) in enumerate(own)])
+
+
+def phone_numbers(phones: DataFrame) -> DataFrame:
+    """(phone_id, num, several): the number of each phone, and whether other phones have it too. Phones without a number are absent."""
+    n = phones.select("phone_id", F.col("msisdn").cast("long").alias("num")).where("num IS NOT NULL").distinct()
+    many = n.groupBy(F.col("num").alias("_m")).agg((F.count("*") > 1).alias("several"))
+    return n.join(many, F.col("num") == F.col("_m")).drop("_m")
+
+
+def near_numbers(numbers: DataFrame, window: int = 5) -> DataFrame:
+    """(num, near): other numbers that some phone has and that differ by ``window`` at most: 2 * window for each at most."""
+    n = numbers.select("num").distinct()
+    near = n.select("num", F.explode(F.expr(f"filter(sequence(num - {window}, num + {window}), x -> x <> num)")).alias("near"))
+    return near.join(n.select(F.col("num").alias("_n")), F.col("near") == F.col("_n"), "left_semi")
 
 
-def asof_phone_neighbours(orders: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Earlier orders on adjacent phones, and their customers, counted once for each phone."""
-    new = (F.row_number().over(Window.partitionBy("phone_id", "customer_id").orderBy("ts_sec", "order_id")) == 1).cast("int")
-    own = orders.select("order_id", "ts_sec", "phone_id", new.alias("_new"))
-    seen = own.join(neighbours, "phone_id").select("order_id", "ts_sec", F.col("neighbour_id").alias("observer"), F.lit(1).alias("_o"), "_new", F.lit(0).alias("_own"))
-    both = seen.unionByName(own.select("order_id", "ts_sec", F.col("phone_id").alias("observer"), F.lit(0).alias("_o"), F.lit(0).alias("_new"), F.lit(1).alias("_own")))
-    w = prior("observer", ["ts_sec", "order_id", "_own"])
-    both = both.withColumns({"phone_neighbours_active": _zero(F.sum("_new").over(w)), "phone_neighbour_orders": _zero(F.sum("_o").over(w))})
-    return both.where("_own = 1").select("order_id", "phone_neighbours_active", "phone_neighbour_orders")
+def phone_neighbours(phones: DataFrame, window: int = 5) -> DataFrame:
+    """(phone_id, neighbour_id): other phones whose number differs by ``window`` at most. As many rows as there are pairs."""
+    n = phone_numbers(phones)
+    other = n.select(F.col("phone_id").alias("neighbour_id"), F.col("num").alias("_n"))
+    near = n.join(near_numbers(n, window), "num").join(other, F.col("near") == F.col("_n")).select("phone_id", "neighbour_id")
+    same = n.where("several").join(other, F.col("num") == F.col("_n")).where("phone_id <> neighbour_id").select("phone_id", "neighbour_id")
+    return near.unionByName(same)
+
+
+def phone_part(orders: DataFrame, phones: DataFrame, window: int = 5) -> DataFrame:
+    """Earlier orders on adjacent phones, and their customers, counted once for each phone.
+
+    Phones meet by number: an order is seen by the numbers near its own, of which there are few, however many phones share
+    one. A number that several phones have sees its own orders too, less those of the order's own phone.
+    """
+    n = phone_numbers(phones)
+    o = orders.select("order_id", "ts_sec", "phone_id", "customer_id").join(n, "phone_id")
+    new = first_uses(o, ["phone_id", "num", "several"], ["customer_id"])
+    seen = o.select("ts_sec", "order_id", "num", "several", "phone_id", F.lit(1).alias("_o"), F.lit(0).alias("_new"))
+    seen = seen.unionByName(new.select("ts_sec", "order_id", "num", "several", "phone_id", F.lit(0).alias("_o"), F.lit(1).alias("_new")))
+    far = seen.join(near_numbers(n, window), "num").select("ts_sec", "order_id", "_o", "_new", F.lit(AFTER).alias("sub"), F.lit(0).alias("of"), F.col("near").alias("id"))
+    # of: 0 a number, 1 a phone of a number that several have.
+    same = seen.where("several").select("ts_sec", "order_id", "_o", "_new", F.lit(AFTER).alias("sub"), F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("num").alias("id")), F.struct(F.lit(1).alias("of"), F.col("phone_id").alias("id")))).alias("k"))
+    same = same.select("ts_sec", "order_id", "_o", "_new", "sub", "k.of", "k.id")
+    ask = o.select("ts_sec", "order_id", F.lit(0).alias("_o"), F.lit(0).alias("_new"), F.lit(SELF).alias("sub"), F.explode(F.filter(F.array(F.struct(F.lit(0).alias("of"), F.col("num").alias("id")), F.when(F.col("several"), F.struct(F.lit(1).alias("of"), F.col("phone_id").alias("id")))), lambda x: x.isNotNull())).alias("k"))
+    ask = ask.select("ts_sec", "order_id", "_o", "_new", "sub", "k.of", "k.id")
+    # The number's row of an order and those of its first use share their place: a number tells them apart.
+    rows = far.unionByName(same).unionByName(ask).withColumns({"kind": F.lit(1), "tie": F.col("_new")})
+    got = prefix(rows, ["of", "id"], [*_PLACES, "tie"], Prefix(sums={"_a": "_new", "_b": "_o"}), "asof-phones", f"sub = {SELF}")
+    # Orders on phones without a number see nothing; each other order has one row, or two.
+    sign = F.when(F.col("of") == 0, 1).otherwise(-1)
+    rest = orders.join(n, "phone_id", "left_anti").select("order_id", F.lit(0).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b"), F.lit(0).alias("of"))
+    every = got.select("order_id", "_a", "_b", "of").unionByName(rest)
+    return every.groupBy("order_id").agg(F.sum(F.col("_a") * sign).alias("phone_neighbours_active"), F.sum(F.col("_b") * sign).alias("phone_neighbour_orders"))
+
+
+asof_phone_neighbours = phone_part
 
 
 def asof_category(events: DataFrame) -> DataFrame:
     """Return rate of the category, and this value over its running mean (1 without one)."""
-    e = events.select("order_id", "ts_sec", "kind", "category", "value_inr")
-    e = running_two_level(e, ["category"], {"_n": _IS_ORDER, "_r": _IS_RETURN, "_s": "if(kind = 1, value_inr, 0D)"})
+    e = events.select("order_id", "ts_sec", "kind", "category", "value_inr").withColumn("sub", F.lit(SELF))
+    e = _scan(e, ["category"], Prefix(sums=_ORDERS | _RETURNS | {"_s": _VALUE}), "category")
     mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
     return e.select(
         "order_id", smoothed_rate(F.col("_r"), F.col("_n")).alias("cat_return_rate_prior"),
@@ -256,10 +340,10 @@ def asof_category(events: DataFrame) -> DataFrame:
 
 def asof_global(orders: DataFrame) -> DataFrame:
     """Marketplace orders before this one, and customers up to and with this one."""
-    new = (F.row_number().over(Window.partitionBy("customer_id").orderBy("ts_sec", "order_id")) == 1).cast("int")
-    o = orders.select("order_id", "ts_sec", F.lit(1).alias("kind"), new.alias("_new"))
-    o = running_two_level(o, [], {"global_orders": F.lit(1), "_c": F.col("_new")})
-    return o.select("order_id", "global_orders", (F.col("_c") + F.col("_new")).alias("global_customers"))
+    new = first_uses(orders, ["customer_id"], []).select("ts_sec", "order_id", F.lit(1).alias("_new"), F.lit(AHEAD).alias("sub"))
+    o = orders.select("ts_sec", "order_id", F.lit(0).alias("_new"), F.lit(SELF).alias("sub")).unionByName(new).withColumn("kind", F.lit(1))
+    got = _scan(o, [], Prefix(sums=_ORDERS | {"_c": "_new"}), "global")
+    return got.select("order_id", F.col("_n").alias("global_orders"), F.col("_c").alias("global_customers"))
 
 
 def tenure(orders: DataFrame, customers: DataFrame) -> DataFrame:

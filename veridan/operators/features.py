@@ -37,23 +37,19 @@ def build_features(
 ) -> DataFrame:
     """order_id and its features. Inputs may hold placement-time columns only.
 
-    Each key's features come from one window over that key; the parts meet on order_id.
+    Each key's features come from one scan over that key's events; the parts meet in one shuffle by order_id.
     """
     for name, df in (("orders", orders), ("customers", customers), ("addresses", addresses), ("phones", phones), ("returns", returns)):
         guard(name, df)
     o = graph.stored(asof.resolved(orders, clusters(addresses)), "resolved")
-    e = asof.event_stream(o, returns)
-    near = asof.phone_neighbours(phones)
-    edges = graph.stored(graph.identity_edges(o, near), "edges")
+    e = graph.stored(asof.event_stream(o, returns), "events")
+    edges = graph.stored(graph.identity_edges(o, phones), "edges")
     flags = intrinsic(categories)
-    out = o.select("order_id", "value_inr", "item_count", "promo_used", *[c.alias(n) for n, c in flags.items()])
-    for part in (
-        asof.tenure(o, customers), asof.asof_customer(o), asof.asof_decayed_counts(o), asof.asof_distinct(o),
-        asof.asof_return_rates(e).drop("cat_return_rate_prior"), asof.asof_entity(o, "device_id", "dev"), asof.asof_address(o),
-        asof.asof_phone_neighbours(o, near), asof.asof_pincode(o), asof.asof_category(e), asof.asof_global(o),
+    out = asof.together([
+        o.select("order_id", "value_inr", "item_count", "promo_used", *[c.alias(n) for n, c in flags.items()]), asof.tenure(o, customers), asof.customer_part(e, o),
+        asof.device_part(e, o), asof.cluster_part(e, o), asof.phone_part(o, phones), asof.pincode_part(e, o), asof.asof_category(e), asof.asof_global(o),
         graph.component_features(o, returns, customers, edges),
-    ):
-        out = out.join(part, "order_id")
+    ])
     out = asof.asof_rates(out).withColumn("comp_orders_share", safe_ratio(F.col("comp_prior_orders"), F.col("global_orders")))
     return out.drop("global_orders", "global_customers")
 

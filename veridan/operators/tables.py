@@ -31,6 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like :func:`stored`, in buckets by ``key``: reading it, aggregates, windows and joins by the key need no shuffle.
+
+    The files lie in the shared folder. The catalog's entry is only needed to write and read buckets, so it goes at once.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    entry = "veridan_" + path.rsplit("-", 1)[1]
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(entry)
+    out = spark.table(entry)
+    out = out.select(*out.columns)
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`stored` that no later step reads."""
     for df in tables:

@@ -14,7 +14,7 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 def _o(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
     w = world(spark, sf_dir)
-    return w, asof.resolved(w["orders"], features.clusters(w["addresses"]))
+    return w, graph.stored(asof.resolved(w["orders"], features.clusters(w["addresses"])), "resolved")
 
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -79,7 +79,7 @@ def enrich_orders(spark, sf_dir):
 def asof_return_visibility(spark, sf_dir):
     w, o = _o(spark, sf_dir)
     e = asof.event_stream(o, w["returns"])
-    return asof.running(e.select("order_id", "ts_sec", "kind", "customer_id"), "customer_id", {"visible_returns": F.expr("if(kind = 0, 1, 0)")}).select("order_id", "visible_returns")
+    return asof.customer_part(e, o).select("order_id", F.col("cust_prior_returns").alias("visible_returns"))
 
 
 def phone_neighbours(spark, sf_dir):
@@ -132,7 +132,7 @@ def asof_pincode(spark, sf_dir):
 
 def asof_phone_neighbours(spark, sf_dir):
     w, o = _o(spark, sf_dir)
-    return asof.asof_phone_neighbours(o, asof.phone_neighbours(w["phones"]))
+    return asof.asof_phone_neighbours(o, w["phones"])
 
 
 def asof_category(spark, sf_dir):
@@ -146,9 +146,8 @@ def asof_global(spark, sf_dir):
 
 def asof_rates(spark, sf_dir):
     w, o = _o(spark, sf_dir)
-    f = asof.tenure(o, w["customers"])
-    for part in (asof.asof_customer(o), asof.asof_entity(o, "device_id", "dev"), asof.asof_address(o), asof.asof_pincode(o), asof.asof_global(o)):
-        f = f.join(part, "order_id")
+    e = asof.event_stream(o, w["returns"])
+    f = asof.together([asof.tenure(o, w["customers"]), asof.customer_part(e, o), asof.device_part(e, o), asof.cluster_part(e, o), asof.pincode_part(e, o), asof.asof_global(o)])
     return _rounded(asof.asof_rates(f).select("order_id", "cust_orders_per_day", "dev_orders_per_day", "addr_orders_per_day", "pin_orders_share", "pin_cust_share"))
 
 
@@ -167,7 +166,7 @@ def union_order_sources(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     w, o = _o(spark, sf_dir)
-    return w, o, graph.identity_edges(o, asof.phone_neighbours(w["phones"]))
+    return w, o, graph.identity_edges(o, w["phones"])
 
 
 def identity_edges(spark, sf_dir):
@@ -180,7 +179,7 @@ def identity_components(spark, sf_dir):
 
 def comp_features_asof(spark, sf_dir):
     w, o, e = _edges(spark, sf_dir)
-    o, e = graph.stored(o, "orders"), graph.stored(e, "edges")
+    e = graph.stored(e, "edges")
     return graph.component_features(o, w["returns"], w["customers"], e)
 
 

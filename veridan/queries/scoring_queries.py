@@ -92,8 +92,8 @@ def dedupe_sentences(spark, sf_dir):
 
 def _facts(spark, sf_dir):
     w, o = _o(spark, sf_dir)
-    f = asof.asof_customer(o).select("order_id", "cust_prior_orders").join(asof.running_distinct(o, "cluster", "customer_id", "addr_distinct_customers", "customer_id"), "order_id")
-    f = f.join(asof.asof_address(o).select("order_id", "addr_is_new_variant_of_known_cluster", "addr_age_days"), "order_id").join(asof.asof_phone_neighbours(o, asof.phone_neighbours(w["phones"])), "order_id")
+    f = asof.asof_customer(o).select("order_id", "cust_prior_orders").join(asof.asof_distinct(o).select("order_id", "addr_distinct_customers"), "order_id")
+    f = f.join(asof.asof_address(o).select("order_id", "addr_is_new_variant_of_known_cluster", "addr_age_days"), "order_id").join(asof.asof_phone_neighbours(o, w["phones"]), "order_id")
     # The age of the door stands in for the component's here, so that SQL can follow.
     return f.withColumn("comp_max_tenure_days", F.col("addr_age_days")).withColumn("comp_size", F.col("addr_distinct_customers") + 1)
 
