@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veridan.functions.columns import address_parts, split_unit
+from veridan.functions.columns import split_unit, with_address_parts
 from veridan.operators import asof, features, graph
 from veridan.plans import costs, explain, metrics, model, splits
 from veridan.sources.tables import guard
@@ -17,8 +17,8 @@ DAY = 86400
 def test_addresses(spark):
     same = ["Flat 4B, Sai Residency, MG Road", "Flt 4-B, SAI RES.  MG Road", "Apt 4 B , Sai Residency - MG Road", "No. 4B, Sai Residency, MG Road"]
     other = ["Flat 5B, Sai Residency, MG Road", "Flat 4B, Green Towers, MG Road", None, ""]
-    flat, rest = address_parts("raw")
-    rows = [tuple(r) for r in spark.createDataFrame([(x,) for x in same + other], "raw string").select(flat, F.array_join(rest, " ")).collect()]
+    parts = with_address_parts(spark.createDataFrame([(x,) for x in same + other], "raw string"), "raw", "flat", "words")
+    rows = [tuple(r) for r in parts.select("flat", F.array_join("words", " ")).collect()]
     assert len(set(rows[:4])) == 1 and rows[0] == ("4b", "mg residency road sai")
     assert len(set(rows)) == 4 and rows[-1] == ("?", "")
 

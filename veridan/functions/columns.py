@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86400
@@ -62,24 +62,29 @@ SYNONYMS = {
 FILLER = ["flat", "flt", "apt", "no", "number", "num", "house", "h", "the", "wing", "block", "blk", "door", "d"]
 
 
-def address_parts(raw: str) -> tuple[Column, Column]:
-    """(flat or '?', sorted distinct other words) of an address line.
-
-    Filler goes before synonyms are replaced, so a leading ``Apt`` is filler and ``Apts`` a word. The first
-    word like ``12b`` is the flat; later ones are words.
-    """
+def address_words(raw: str) -> Column:
+    """Words of an address line without filler, synonyms replaced. Filler goes first, so a leading ``Apt`` is filler and ``Apts`` a word."""
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(raw), F.lit(""))), "[^a-z0-9]+", " "))
     words = F.split(F.regexp_replace(clean, r"\b(\d+) ([a-z])\b", "$1$2"), " ")
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     words = F.filter(words, lambda w: (w != "") & ~w.isin(FILLER))
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(synonyms, w), w))
-    flat_at = F.array_position(F.transform(words, lambda w: w.rlike(r"^\d{1,4}[a-h]?$")), True)
-    flat = F.when(flat_at > 0, F.get(words, (flat_at - 1).cast("int"))).otherwise("?")
-    rest = F.filter(words, lambda w, i: (flat_at == 0) | (i != flat_at - 1))
-    return flat, F.array_sort(F.array_distinct(rest))
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(synonyms, w), w))
+
+
+def with_address_parts(addresses: DataFrame, raw: str, flat: str, words: str) -> DataFrame:
+    """``addresses`` with the flat ('?' without one) and the sorted distinct other words of an address line.
+
+    The first word like ``12b`` is the flat; later ones are words. The steps are columns of their own, so that each is
+    computed once a row.
+    """
+    out = addresses.withColumn("_words", address_words(raw))
+    out = out.withColumn("_flat", F.array_position(F.transform("_words", lambda w: w.rlike(r"^\d{1,4}[a-h]?$")), True).cast("int"))
+    rest = F.when(F.col("_flat") > 0, F.concat(F.slice("_words", 1, F.col("_flat") - 1), F.expr("slice(_words, _flat + 1, size(_words))"))).otherwise(F.col("_words"))
+    out = out.withColumns({flat: F.when(F.col("_flat") > 0, F.get("_words", F.col("_flat") - 1)).otherwise("?"), words: F.sort_array(F.array_distinct(rest))})
+    return out.drop("_words", "_flat")
 
 
-def address_cluster(pincode: str, raw: str) -> Column:
-    """One key for all spellings of a door: a function of the row alone."""
-    flat, rest = address_parts(raw)
-    return F.concat_ws("|", F.col(pincode), flat, F.array_join(rest, " "))
+def with_address_cluster(addresses: DataFrame, name: str = "cluster", pincode: str = "pincode", raw: str = "raw_line") -> DataFrame:
+    """``addresses`` with one key for all spellings of a door: a function of the row alone."""
+    out = with_address_parts(addresses, raw, "_door", "_rest")
+    return out.withColumn(name, F.concat_ws("|", F.col(pincode), "_door", F.array_join("_rest", " "))).drop("_door", "_rest")

@@ -9,6 +9,9 @@ stream, beside the order that they belong to, so neither a set nor a window over
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,22 +228,24 @@ def asof_decayed_counts(orders: DataFrame) -> DataFrame:
 def asof_distinct(orders: DataFrame) -> DataFrame:
     """Running distinct devices and clusters of the customer; other customers of device and cluster; spellings."""
     e = _only_orders(orders)
-    parts = [
-        customer_part(e, orders).select("order_id", "cust_distinct_devices", "cust_distinct_addr_clusters"), device_part(e, orders).select("order_id", "dev_distinct_customers"),
-        cluster_part(e, orders).select("order_id", "addr_distinct_customers", "addr_variant_count"),
-    ]
-    return together(parts)
+    return together([
+        lambda: customer_part(e, orders).select("order_id", "cust_distinct_devices", "cust_distinct_addr_clusters"),
+        lambda: device_part(e, orders).select("order_id", "dev_distinct_customers"),
+        lambda: cluster_part(e, orders).select("order_id", "addr_distinct_customers", "addr_variant_count"),
+    ])
 
 
 def asof_return_rates(events: DataFrame) -> DataFrame:
     """Smoothed return rates of customer, device, cluster, pincode and category as known at each order."""
-    parts = []
-    for key, name in (("customer_id", "cust"), ("device_id", "dev"), ("cluster", "addr"), ("pincode", "pin"), ("category", "cat")):
+
+    def part(key: str, name: str) -> DataFrame:
         e = events.select("order_id", "ts_sec", "kind", key).withColumn("sub", F.lit(SELF))
         p = _scan(e, [key], Prefix(sums=_ORDERS | _RETURNS), name)
         rate = smoothed_rate(F.col("_r"), F.col("_n")).alias(f"{name}_return_rate" + ("_prior" if name == "cat" else ""))
-        parts.append(p.select("order_id", rate, *([F.col("_r").alias("cust_prior_returns")] if name == "cust" else [])))
-    return together(parts)
+        return p.select("order_id", rate, *([F.col("_r").alias("cust_prior_returns")] if name == "cust" else []))
+
+    keys = (("customer_id", "cust"), ("device_id", "dev"), ("cluster", "addr"), ("pincode", "pin"), ("category", "cat"))
+    return together([lambda k=k, n=n: part(k, n) for k, n in keys])
 
 
 def asof_entity(orders: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -259,11 +264,14 @@ def asof_pincode(orders: DataFrame) -> DataFrame:
     return pincode_part(_only_orders(orders), orders).select("order_id", "pin_prior_orders", "pin_distinct_customers")
 
 
-def together(parts: list[DataFrame]) -> DataFrame:
+def together(makers: list[Callable[[], DataFrame]]) -> DataFrame:
     """One row an order with the columns of all parts, which have a row for each order at most.
 
-    The parts' values go packed, each in an array of its part, through one shuffle by order_id; there is no join.
+    The parts write their tables at the same time, as none waits for another. Their values go packed, each in an array of
+    its part, through one shuffle by order_id; there is no join.
     """
+    with ThreadPoolExecutor(len(makers)) as pool:
+        parts = [f.result() for f in [pool.submit(m) for m in makers]]
     every, kinds = None, []
     for i, p in enumerate(parts):
         own = [(c, t) for c, t in p.dtypes if c != "order_id"]

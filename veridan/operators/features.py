@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import address_cluster, intrinsic, safe_ratio, seconds
+from ..functions.columns import intrinsic, safe_ratio, seconds, with_address_cluster
 from ..sources.tables import guard
 from . import asof, graph
 
@@ -29,7 +29,7 @@ def feature_set(columns: list[str], name: str) -> list[str]:
 
 
 def clusters(addresses: DataFrame) -> DataFrame:
-    return addresses.select("address_id", address_cluster("pincode", "raw_line").alias("cluster"), "pincode")
+    return with_address_cluster(addresses.select("address_id", "raw_line", "pincode")).drop("raw_line")
 
 
 def build_features(
@@ -43,12 +43,12 @@ def build_features(
         guard(name, df)
     o = graph.stored(asof.resolved(orders, clusters(addresses)), "resolved")
     e = graph.stored(asof.event_stream(o, returns), "events")
-    edges = graph.stored(graph.identity_edges(o, phones), "edges")
     flags = intrinsic(categories)
     out = asof.together([
-        o.select("order_id", "value_inr", "item_count", "promo_used", *[c.alias(n) for n, c in flags.items()]), asof.tenure(o, customers), asof.customer_part(e, o),
-        asof.device_part(e, o), asof.cluster_part(e, o), asof.phone_part(o, phones), asof.pincode_part(e, o), asof.asof_category(e), asof.asof_global(o),
-        graph.component_features(o, returns, customers, edges),
+        lambda: graph.component_features(o, returns, customers, graph.stored(graph.identity_edges(o, phones), "edges")),
+        lambda: asof.customer_part(e, o), lambda: asof.phone_part(o, phones), lambda: asof.device_part(e, o), lambda: asof.cluster_part(e, o), lambda: asof.pincode_part(e, o),
+        lambda: asof.asof_category(e), lambda: asof.asof_global(o), lambda: asof.tenure(o, customers),
+        lambda: o.select("order_id", "value_inr", "item_count", "promo_used", *[c.alias(n) for n, c in flags.items()]),
     ])
     out = asof.asof_rates(out).withColumn("comp_orders_share", safe_ratio(F.col("comp_prior_orders"), F.col("global_orders")))
     return out.drop("global_orders", "global_customers")

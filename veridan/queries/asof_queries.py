@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import address_cluster, address_parts, intrinsic, split_unit
+from ..functions.columns import intrinsic, split_unit, with_address_cluster, with_address_parts
 from ..operators import asof, features, graph
 from ..sources.driver_tables import CTES, world
 
@@ -92,12 +92,12 @@ def address_lookup(spark, sf_dir):
 
 
 def normalise_address(spark, sf_dir):
-    flat, rest = address_parts("raw_line")
-    return world(spark, sf_dir)["addresses"].select("address_id", flat.alias("flat"), F.array_join(rest, " ").alias("words"))
+    a = with_address_parts(world(spark, sf_dir)["addresses"], "raw_line", "flat", "words")
+    return a.select("address_id", "flat", F.array_join("words", " ").alias("words"))
 
 
 def address_clusters(spark, sf_dir):
-    a = world(spark, sf_dir)["addresses"].withColumn("cluster", address_cluster("pincode", "raw_line"))
+    a = with_address_cluster(world(spark, sf_dir)["addresses"])
     return a.groupBy("cluster").agg(F.min("address_id").alias("first_address"), F.count("*").alias("n_addresses")).drop("cluster")
 
 
@@ -115,7 +115,7 @@ def asof_distinct(spark, sf_dir):
 
 def asof_return_rates(spark, sf_dir):
     w, o = _o(spark, sf_dir)
-    return _rounded(asof.asof_return_rates(asof.event_stream(o, w["returns"])))
+    return _rounded(asof.asof_return_rates(graph.stored(asof.event_stream(o, w["returns"]), "events")))
 
 
 def asof_device(spark, sf_dir):
@@ -146,8 +146,11 @@ def asof_global(spark, sf_dir):
 
 def asof_rates(spark, sf_dir):
     w, o = _o(spark, sf_dir)
-    e = asof.event_stream(o, w["returns"])
-    f = asof.together([asof.tenure(o, w["customers"]), asof.customer_part(e, o), asof.device_part(e, o), asof.cluster_part(e, o), asof.pincode_part(e, o), asof.asof_global(o)])
+    e = graph.stored(asof.event_stream(o, w["returns"]), "events")
+    f = asof.together([
+        lambda: asof.tenure(o, w["customers"]), lambda: asof.customer_part(e, o), lambda: asof.device_part(e, o), lambda: asof.cluster_part(e, o), lambda: asof.pincode_part(e, o),
+        lambda: asof.asof_global(o),
+    ])
     return _rounded(asof.asof_rates(f).select("order_id", "cust_orders_per_day", "dev_orders_per_day", "addr_orders_per_day", "pin_orders_share", "pin_cust_share"))
 
 
