@@ -7,9 +7,14 @@ bands; the rows of a band are as many as keep the probability that a window with
 a band at ``PROBABILITY`` or more (a template for which no choice does is an error). What is found is verified:
 the share of the template's shingles in the window must be ``CONTAINED`` or more.
 
-Licenses that differ in a few words (versions, families) match one passage together: ``best`` tells which of a text's
-licenses has a match that no other license's match in an overlapping window surpasses, by containment and then by
-the number of shingles matched.
+The words that carry a license's name, version or clauses are marked in its templates (braces): a match counts as that license
+only if these phrases stand in the window word for word, no further digit behind a version, and no phrase that the license
+bars (``BARRED``). Any other match of 0.8 is a text that resembles the license and is not it, or not known to be: it is reported
+as ``unknown variant of`` its family, as are passages that several licenses of a family begin with.
+
+Licenses that differ in a few words match one passage together: ``best`` tells which of a text's
+licenses has a match that no other license's match in an overlapping window surpasses: a decided one surpasses an
+undecided one, then containment counts, then the number of shingles matched.
 
 Texts are scanned whole, many at a time and a long one in overlapping stretches, so memory is bounded; only the
 templates, a fixed list, go to all tasks.
@@ -44,29 +49,36 @@ CHARS = 2_000_000
 
 def _gnu(name: str, version: str, program: str = "program") -> list[str]:
     """Notices of the GNU licenses, by their public wording."""
-    later = f"either version {version} of the License, or (at your option) any later version."
-    free = f"This {program} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
-    old = f"This {program} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; "
+    later = f"either {{version {version}}} of the License, or (at your option) any later version."
+    free = f"This {program} is free software: you can redistribute it and/or modify it under the terms of the {{{name}}} as published by the Free Software Foundation, "
+    old = f"This {program} is free software; you can redistribute it and/or modify it under the terms of the {{{name}}} as published by the Free Software Foundation; "
     return [
-        f"This work is licensed under the {name}, version {version}.", f"Licensed under the {name} version {version}.",
-        free + later, old + later, free + f"version {version}.", old + f"version {version}.", f"{name} Version {version}",
+        f"This work is licensed under the {{{name}, version {version}}}.", f"Licensed under the {{{name} version {version}}}.",
+        free + later, old + later, free + f"{{version {version}}}.", old + f"{{version {version}}}.", f"{{{name} Version {version}}}",
     ]
 
 
-def _creative(kind: str, short: str, version: str = "4.0") -> list[str]:
+def _creative(kind: str, short: str, version: str) -> list[str]:
+    place = {"4.0": "International ", "3.0": "Unported ", "2.0": "Generic ", "2.5": "Generic "}.get(version, "")
+    name = f"{{Creative Commons {kind} {version}}} {place}License"
     return [
-        f"Licensed under CC {short} {version}.", f"This work is licensed under a Creative Commons {kind} {version} International License.",
-        f"This work is licensed under the Creative Commons {kind} {version} International License. To view a copy of this license, visit",
+        f"Licensed under {{CC {short} {version}}}.", f"This work is licensed under a {name}.", f"This work is licensed under the {name}. To view a copy of this license, visit",
     ]
 
 
+#: The kinds and versions of the Creative Commons licenses.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
+
+
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution. "
 )
-_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_ADVERTISING = "All {advertising materials mentioning features} or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be {used to endorse or promote products} derived from this software without specific prior written permission. "
 _BSD_END = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
     "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
@@ -85,43 +97,64 @@ _MIT_END = (
     "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
     "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
-#: Fixed values, by their public wording: notices by which texts state their license, and bodies of short licenses.
+_ISC_END = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+    "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_NOTICE = "{provided that the above copyright notice} and this permission notice appear in all copies. "
+_MAY_NOT = "(the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+_UNKNOWN = "unknown variant of "
+#: Fixed values, by their public wording: notices by which texts state their license, and bodies of short licenses. In braces: what decides.
 TEMPLATES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
-        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ],
-    "MIT": [
-        "Released under the MIT License.", "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        _MIT_GRANT + _MIT_NOTICE + _MIT_END,
+    "Apache-2.0": ["Licensed under the {Apache License, Version 2.0}.", "Licensed under the {Apache License, Version 2.0} " + _MAY_NOT],
+    "Apache-1.1": [
+        "Licensed under the {Apache Software License, Version 1.1}.", "Licensed under the {Apache License, Version 1.1}.",
+        _BSD + "The end-user documentation included with the redistribution, if any, must include the following acknowledgment: This product includes software developed by the {Apache Software Foundation}. "
+        "Alternately, this acknowledgment may appear in the software itself, if and wherever such third-party acknowledgments normally appear. The names Apache and Apache Software Foundation must not be used to "
+        "endorse or promote products derived from this software without prior written permission. Products derived from this software {may not be called Apache}, nor may Apache appear in their name, without "
+        "prior written permission of the Apache Software Foundation.",
     ],
+    "Apache-1.0": ["Licensed under the {Apache License, Version 1.0}.", "Licensed under the {Apache Software License, Version 1.0}."],
+    "ECL-2.0": ["Licensed under the {Educational Community License, Version 2.0}.", "Licensed under the {Educational Community License, Version 2.0} " + _MAY_NOT],
+    "MIT": ["Released under the {MIT License}.", "Licensed under the {MIT License}.", _MIT_GRANT + _MIT_NOTICE.replace("this permission notice shall be included", "{this permission notice shall be included}") + _MIT_END],
     "MIT-0": [_MIT_GRANT.replace(", subject to the following conditions: ", ". ") + _MIT_END],
-    "ISC": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
-        "permission notice appear in all copies.", "Licensed under the ISC License.",
-    ],
-    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"],
-    "BSD-2-Clause": [_BSD + _BSD_END, "Licensed under the BSD 2-Clause License."],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that", _BSD + _BSD_NAMES + _BSD_END, "Licensed under the BSD 3-Clause License.",
-    ],
+    "ISC": ["Licensed under the {ISC License}.", _ISC_GRANT + ", " + _ISC_NOTICE, _ISC_GRANT + ", " + _ISC_NOTICE + _ISC_END],
+    "0BSD": [_ISC_GRANT.replace("fee is hereby granted", "{fee is hereby granted. THE SOFTWARE IS PROVIDED}").removesuffix("THE SOFTWARE IS PROVIDED") + _ISC_END.removeprefix("THE SOFTWARE IS PROVIDED")],
+    "BSD-2-Clause": [_BSD + _BSD_END, "Licensed under the {BSD 2-Clause License}."],
+    "BSD-3-Clause": [_BSD + _BSD_NAMES + _BSD_END, "Licensed under the {BSD 3-Clause License}."],
+    "BSD-4-Clause": [_BSD + _BSD_ADVERTISING + _BSD_NAMES + _BSD_END, "Licensed under the {BSD 4-Clause License}."],
+    "GPL-1.0": _gnu("GNU General Public License", "1"),
     "GPL-2.0": _gnu("GNU General Public License", "2"),
-    "GPL-3.0": [*_gnu("GNU General Public License", "3"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "GPL-3.0": _gnu("GNU General Public License", "3"),
+    "LGPL-2.0": _gnu("GNU Library General Public License", "2", "library"),
     "LGPL-2.1": _gnu("GNU Lesser General Public License", "2.1", "library"),
     "LGPL-3.0": _gnu("GNU Lesser General Public License", "3", "library"),
     "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
     "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Licensed under the {Mozilla Public License, version 2.0}.",
     ],
+    **{f"MPL-{v}": [
+        f"The contents of this file are subject to the {{Mozilla Public License Version {v}}} " + _MAY_NOT, f"Licensed under the {{Mozilla Public License, version {v}}}.",
+    ] for v in ("1.0", "1.1")},
     "EPL-2.0": [
-        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the {Eclipse Public License 2.0} which is available at",
+        "This program and the accompanying materials are made available under the terms of the {Eclipse Public License v. 2.0} which is available at", "Licensed under the {Eclipse Public License, version 2.0}.",
+    ],
+    "EPL-1.0": [
+        "This program and the accompanying materials are made available under the terms of the {Eclipse Public License v1.0} which accompanies this distribution, and is available at",
+        "This program and the accompanying materials are made available under the terms of the {Eclipse Public License 1.0} which accompanies this distribution, and is available at",
+        "Licensed under the {Eclipse Public License, version 1.0}.",
     ],
+    **{f"EUPL-{v}": [
+        f"Licensed under the {{EUPL, Version {v}}} or as soon they will be approved by the European Commission subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence.",
+        f"Licensed under the {{EUPL, Version {v}}}.", f"Licensed under the {{European Union Public Licence, version {v}}}.",
+    ] for v in ("1.0", "1.1", "1.2")},
+    **{f"Artistic-{v}": [f"Licensed under the {{Artistic License {v}}}.", f"This program is free software; you can redistribute it and/or modify it under the terms of the {{Artistic License {v}}}."] for v in ("1.0", "2.0")},
     "BSL-1.0": [
-        "Distributed under the Boost Software License, Version 1.0.",
+        "Distributed under the {Boost Software License, Version 1.0}.",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) "
         "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
         "furnished to do so, all subject to the following:",
@@ -139,15 +172,28 @@ TEMPLATES = {
     ],
     "CC0-1.0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", "Licensed under {CC0 1.0}.",
     ],
-    "CC-BY-4.0": _creative("Attribution", "BY"),
-    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "BY-SA"),
-    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "BY-NC"),
-    "CC-BY-ND-4.0": _creative("Attribution-NoDerivatives", "BY-ND"),
-    "CC-BY-NC-SA-4.0": _creative("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
-    "CC-BY-NC-ND-4.0": _creative("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
+    **{f"CC-{short}-{v}": _creative(kind, short, v) for short, kind in _CC.items() for v in _CC_VERSIONS},
+    # What several licenses of a family begin with.
+    _UNKNOWN + "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that"],
+    _UNKNOWN + "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    _UNKNOWN + "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
 }
+#: Phrases that show another license of the family.
+BARRED = {
+    "MIT": ["shall be used for good", "shall not be used in advertising"], "MIT-0": ["permission notice shall be included", "shall be used for good", "shall not be used in advertising"],
+    "ISC": ["the name of the author may not be used"], "0BSD": ["provided that the above copyright notice"],
+    "BSD-2-Clause": ["advertising materials", "to endorse or promote products", "patent rights", "end user documentation"],
+    "BSD-3-Clause": ["advertising materials", "patent rights", "end user documentation"], "BSD-4-Clause": ["patent rights"],
+}
+
+
+def family(name: str) -> str:
+    """The license's name without version and number of clauses."""
+    return re.sub(r"-(\d+(\.\d+)*)(-Clause)?$", "", name)
+
+
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLY = [np.uint64(xxhash.xxh3_64_intdigest(f"minhash {i}") | 1) for i in range(HASHES)]
 
@@ -178,15 +224,27 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Shingles of a phrase in order, and those that may not follow.
+Phrase = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Group:
-    """Templates of about the same length, the windows' block, the rows of a band, and the templates' band keys."""
+    """Templates of about the same length, the windows' block, the rows of a band, the templates' band keys, and what decides or bars each."""
 
     block: int
     rows: int
     keys: dict[int, list[int]]
     sets: list[np.ndarray]
     names: list[str]
+    decide: list[list[Phrase]]
+    bar: list[list[Phrase]]
+
+    def decided(self, i: int, window: np.ndarray) -> bool:
+        """Whether what decides template i stands in the window, and nothing that its license bars."""
+        if self.names[i].startswith(_UNKNOWN) or any(_stands(window, *x) for x in self.bar[i]):
+            return False
+        return all(_stands(window, *x) for x in self.decide[i])
 
 
 def _band_keys(m: np.ndarray, rows: int) -> np.ndarray:
@@ -209,8 +267,30 @@ def band_rows(template: int, window: int, contained: float, hashes: int = HASHES
     return max(able)
 
 
+def _phrase(text: str) -> Phrase:
+    """A phrase of two words or more; after a digit at its end no further one may follow: that is another version."""
+    last = _WORD.findall(text.lower())[-1]
+    return shingles(text), np.array([shingles(f"{last} {d}")[0] for d in range(1, 10)] if last[-1].isdigit() else [], np.uint64)
+
+
+def _stands(window: np.ndarray, phrase: np.ndarray, barred: np.ndarray) -> bool:
+    """Whether the phrase is in the window word for word, once at least without a ``barred`` shingle behind it."""
+    n = len(phrase)
+    at = np.flatnonzero(window[: max(0, len(window) - n + 1)] == phrase[0])
+    for j in range(1, n):
+        at = at[window[at + j] == phrase[j]]
+    after = at[at + n < len(window)]
+    return len(after) < len(at) or bool((~np.isin(window[after + n], barred)).any())
+
+
 def grouped(templates: dict[str, list[str]], contained: float = CONTAINED) -> list[Group]:
-    own = sorted(((name, np.unique(shingles(t)), len(shingles(t))) for name, ts in templates.items() for t in ts if len(shingles(t))), key=lambda x: x[2])
+    own = []
+    for name, ts in templates.items():
+        for t in ts:
+            s = shingles(re.sub("[{}]", "", t))
+            if len(s):
+                own.append((name, np.unique(s), len(s), [_phrase(x) for x in re.findall(r"\{([^}]*)\}", t)], [_phrase(x) for x in BARRED.get(name, [])]))
+    own.sort(key=lambda x: x[2])
     groups, at = [], 0
     while at < len(own):
         end = at
@@ -218,12 +298,12 @@ def grouped(templates: dict[str, list[str]], contained: float = CONTAINED) -> li
             end += 1
         part = own[at:end]
         block = -(-part[-1][2] // 2)
-        rows = min(band_rows(len(s), 3 * block, contained) for _, s, _ in part)
+        rows = min(band_rows(len(s), 3 * block, contained) for _, s, *_ in part)
         keys: dict[int, list[int]] = {}
-        for i, (_, s, _) in enumerate(part):
+        for i, (_, s, *_) in enumerate(part):
             for k in _band_keys(minhashes(s).min(1)[:, None], rows).ravel().tolist():
                 keys.setdefault(k, []).append(i)
-        groups.append(Group(block, rows, keys, [s for _, s, _ in part], [n for n, _, _ in part]))
+        groups.append(Group(block, rows, keys, [x[1] for x in part], [x[0] for x in part], [x[3] for x in part], [x[4] for x in part]))
         at = end
     return groups
 
@@ -237,11 +317,11 @@ def _windows(low: np.ndarray, first: np.ndarray) -> np.ndarray:
     return win
 
 
-Match = tuple[int, str, int, int, float, int]
+Match = tuple[int, str, int, int, float, int, bool]
 
 
 def _matches(s: np.ndarray, bounds: np.ndarray, groups: list[Group], contained: float) -> list[Match]:
-    """(text, license, first word, word after the last, containment, shingles matched) of verified windows.
+    """(text, license, first word, word after the last, containment, shingles matched, decided) of verified windows.
 
     ``s``: shingles of many texts, one after another; text i has those from bounds[i] to bounds[i + 1].
     """
@@ -277,9 +357,12 @@ def _matches(s: np.ndarray, bounds: np.ndarray, groups: list[Group], contained:
             t = int(own[text[w]])
             begin = int(inside[w])
             end = min(begin + 3 * g.block, int(sizes[t]))
-            same = int(np.isin(g.sets[i], s[bounds[t] + begin : bounds[t] + end]).sum())
+            window = s[bounds[t] + begin : bounds[t] + end]
+            same = int(np.isin(g.sets[i], window).sum())
             if same >= contained * len(g.sets[i]):
-                out.append((t, g.names[i], begin, end, same / len(g.sets[i]), same))
+                sure = g.decided(i, window)
+                name = g.names[i] if sure else _UNKNOWN + family(g.names[i].removeprefix(_UNKNOWN))
+                out.append((t, name, begin, end, same / len(g.sets[i]), same, sure))
     return out
 
 
@@ -288,13 +371,13 @@ def _decided(matches: list[Match]) -> list[tuple[str, float, int, bool]]:
     best: dict[str, tuple[bool, float, int]] = {}
     order = sorted(matches, key=lambda x: x[2])
     longest = max(x[3] - x[2] for x in order)
-    for j, (_, name, a, b, c, n) in enumerate(order):
+    for j, (_, name, a, b, c, n, sure) in enumerate(order):
         beaten = False
         for step in (-1, 1):
             k = j + step
             while not beaten and 0 <= k < len(order) and (order[k][2] < b if step > 0 else order[k][2] > a - longest):
-                _, other, a2, b2, c2, n2 = order[k]
-                beaten = other != name and a2 < b and a < b2 and (c2, n2) > (c, n)
+                _, other, a2, b2, c2, n2, sure2 = order[k]
+                beaten = other != name and a2 < b and a < b2 and (sure2, c2, n2) > (sure, c, n)
                 k += step
         best[name] = max(best.get(name, (False, 0.0, 0)), (not beaten, c, -a))
     return sorted((name, c, -at, first) for name, (first, c, at) in best.items())
@@ -325,7 +408,7 @@ def found(texts: list[str | None], groups: list[Group], contained: float = CONTA
                 for a in range(0, len(s), stretch):
                     part = s[a : a + stretch + 2 * g.block]
                     # Windows that begin in the overlap belong to the next stretch.
-                    own += [(0, n, b + a, e + a, c, k) for _, n, b, e, c, k in _matches(part, np.array([0, len(part)]), [g], contained) if b < stretch]
+                    own += [(0, n, b + a, e + a, c, k, d) for _, n, b, e, c, k, d in _matches(part, np.array([0, len(part)]), [g], contained) if b < stretch]
             if own:
                 yield from ((i, *x) for x in _decided(own))
             held, first = [], i + 1
