@@ -236,6 +236,7 @@ class Group:
     rows: int
     keys: dict[int, list[int]]
     sets: list[np.ndarray]
+    members: list[frozenset[int]]
     names: list[str]
     decide: list[list[Phrase]]
     bar: list[list[Phrase]]
@@ -303,7 +304,7 @@ def grouped(templates: dict[str, list[str]], contained: float = CONTAINED) -> li
         for i, (_, s, *_) in enumerate(part):
             for k in _band_keys(minhashes(s).min(1)[:, None], rows).ravel().tolist():
                 keys.setdefault(k, []).append(i)
-        groups.append(Group(block, rows, keys, [x[1] for x in part], [x[0] for x in part], [x[3] for x in part], [x[4] for x in part]))
+        groups.append(Group(block, rows, keys, [x[1] for x in part], [frozenset(x[1].tolist()) for x in part], [x[0] for x in part], [x[3] for x in part], [x[4] for x in part]))
         at = end
     return groups
 
@@ -353,12 +354,15 @@ def _matches(s: np.ndarray, bounds: np.ndarray, groups: list[Group], contained:
         at = np.searchsorted(known, keys)
         at[at == len(known)] = 0
         hits = {(int(able[w]), i) for b, w in np.argwhere(known[at] == keys) for i in g.keys[int(keys[b, w])] if held[able[w]] >= contained * len(g.sets[i])}
+        at_window, held_now = -1, frozenset()
         for w, i in sorted(hits):
             t = int(own[text[w]])
             begin = int(inside[w])
             end = min(begin + 3 * g.block, int(sizes[t]))
             window = s[bounds[t] + begin : bounds[t] + end]
-            same = int(np.isin(g.sets[i], window).sum())
+            if w != at_window:
+                at_window, held_now = w, frozenset(window.tolist())
+            same = len(g.members[i] & held_now)
             if same >= contained * len(g.sets[i]):
                 sure = g.decided(i, window)
                 name = g.names[i] if sure else _UNKNOWN + family(g.names[i].removeprefix(_UNKNOWN))
