@@ -105,10 +105,31 @@ def test_features_equal_a_naive_replay(spark, seed):
             assert got[i][k] == pytest.approx(v, abs=1e-9), (i, k)
 
 
+def _at(half_days):
+    return F.timestamp_seconds(F.lit(10**9 + half_days * 43200))
+
+
 def test_gate(spark):
     tables, _, _ = _world(spark, 3, 40)
-    d = features.causality_gate(tables, F.timestamp_seconds(F.lit(10**9 + 20 * 43200)), categories=["a", "b"])
-    assert d.count() > 50
+    d = features.causality_gate(tables, [_at(8), _at(20), _at(33)], categories=["a", "b"])
+    assert d.count() == 3 * 60 and d.where("rows_differing > 0").count() == 0
+    assert features.causality_gate(tables, _at(20), categories=["a", "b"]).count() == 60
+
+
+def test_gate_finds_a_leak_at_one_cut(spark):
+    """A part that counts the orders from the 20th to the 23rd half day, whenever its order was placed: only a cut among these shows it."""
+    tables, o, _ = _world(spark, 3, 40)
+    window = F.col("ts_sec").between(10**9 + 20 * 43200, 10**9 + 23 * 43200)
+
+    def leak(orders, events):
+        n = orders.groupBy("world").agg(F.sum(window.cast("int")).alias("soon"))
+        return orders.select("order_id", "world").join(n, "world").select("order_id", "soon")
+
+    assert sum(10**9 + 20 * 43200 <= x[5] <= 10**9 + 23 * 43200 for x in o) > 0
+    d = {(r["cut"], r["feature"]): r["rows_differing"] for r in features.gate_table(tables, [_at(22), _at(30)], categories=["a", "b"], extra=(leak,)).collect()}
+    assert {k for k, n in d.items() if n} == {(1, "soon")} and d[1, "soon"] == sum(x[5] < 10**9 + 22 * 43200 for x in o)
+    with pytest.raises(ValueError, match="soon"):
+        features.causality_gate(tables, [_at(22)], categories=["a", "b"], extra=(leak,))
 
 
 def test_equal_seconds_and_returns(spark):

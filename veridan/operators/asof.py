@@ -41,7 +41,7 @@ def resolved(orders: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def event_stream(orders: DataFrame, returns: DataFrame) -> DataFrame:
     """Order rows (kind 1) and the returns of known orders (kind 0), which carry their order's ids."""
-    keys = [c for c in ("customer_id", "device_id", "address_id", "phone_id", "category", "value_inr", "cod", "cluster", "pincode") if c in orders.columns]
+    keys = [c for c in ("customer_id", "device_id", "address_id", "phone_id", "category", "value_inr", "cod", "cluster", "pincode", "world") if c in orders.columns]
     placed = orders.select("order_id", "ts_sec", F.lit(1).alias("kind"), *keys)
     back = latest_returns(returns).join(orders.select("order_id", *keys), "order_id")
     return placed.unionByName(back.select("order_id", seconds("return_ts").alias("ts_sec"), F.lit(0).alias("kind"), *keys))
@@ -264,11 +264,12 @@ def asof_pincode(orders: DataFrame) -> DataFrame:
     return pincode_part(_only_orders(orders), orders).select("order_id", "pin_prior_orders", "pin_distinct_customers")
 
 
-def together(makers: list[Callable[[], DataFrame]]) -> DataFrame:
+def together(makers: list[Callable[[], DataFrame]], key: Column | None = None) -> DataFrame:
     """One row an order with the columns of all parts, which have a row for each order at most.
 
     The parts write their tables at the same time, as none waits for another. Their values go packed, each in an array of
-    its part, through one shuffle by order_id; there is no join.
+    its part, through one shuffle by order_id; there is no join. The result is dealt by ``key``, a function of
+    order_id (itself if none is given), so a join on it or a table in buckets by it needs no further shuffle.
     """
     with ThreadPoolExecutor(len(makers)) as pool:
         parts = [f.result() for f in [pool.submit(m) for m in makers]]
@@ -278,8 +279,10 @@ def together(makers: list[Callable[[], DataFrame]]) -> DataFrame:
         kinds.append(own)
         row = p.select("order_id", F.array(*[F.col(c).cast("double") for c, _ in own]).alias(f"_p{i}"))
         every = row if every is None else every.unionByName(row, allowMissingColumns=True)
-    g = every.groupBy("order_id").agg(*[F.first(f"_p{i}", ignorenulls=True).alias(f"_p{i}") for i in range(len(parts))])
-    return g.select("order_id", *[F.col(f"_p{i}")[j].cast(t).alias(c) for i, own in enumerate(kinds) for j, (c, t) in enumerate(own)])
+    n = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = every.withColumn("_key", F.col("order_id") if key is None else key)
+    g = every.repartition(n, "_key").groupBy("_key", "order_id").agg(*[F.first(f"_p{i}", ignorenulls=True).alias(f"_p{i}") for i in range(len(parts))])
+    return g.select("order_id", *([] if key is None else ["_key"]), *[F.col(f"_p{i}")[j].cast(t).alias(c) for i, own in enumerate(kinds) for j, (c, t) in enumerate(own)])
 
 
 def phone_numbers(phones: DataFrame) -> DataFrame:
@@ -335,10 +338,11 @@ def phone_part(orders: DataFrame, phones: DataFrame, window: int = 5) -> DataFra
 asof_phone_neighbours = phone_part
 
 
-def asof_category(events: DataFrame) -> DataFrame:
-    """Return rate of the category, and this value over its running mean (1 without one)."""
-    e = events.select("order_id", "ts_sec", "kind", "category", "value_inr").withColumn("sub", F.lit(SELF))
-    e = _scan(e, ["category"], Prefix(sums=_ORDERS | _RETURNS | {"_s": _VALUE}), "category")
+def asof_category(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Return rate of the category, and this value over its running mean (1 without one). ``scope``: columns that part worlds."""
+    key = [*(scope or []), "category"]
+    e = events.select("order_id", "ts_sec", "kind", *key, "value_inr").withColumn("sub", F.lit(SELF))
+    e = _scan(e, key, Prefix(sums=_ORDERS | _RETURNS | {"_s": _VALUE}), "category")
     mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
     return e.select(
         "order_id", smoothed_rate(F.col("_r"), F.col("_n")).alias("cat_return_rate_prior"),
@@ -346,11 +350,12 @@ def asof_category(events: DataFrame) -> DataFrame:
     )
 
 
-def asof_global(orders: DataFrame) -> DataFrame:
-    """Marketplace orders before this one, and customers up to and with this one."""
-    new = first_uses(orders, ["customer_id"], []).select("ts_sec", "order_id", F.lit(1).alias("_new"), F.lit(AHEAD).alias("sub"))
-    o = orders.select("ts_sec", "order_id", F.lit(0).alias("_new"), F.lit(SELF).alias("sub")).unionByName(new).withColumn("kind", F.lit(1))
-    got = _scan(o, [], Prefix(sums=_ORDERS | {"_c": "_new"}), "global")
+def asof_global(orders: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Marketplace orders before this one, and customers up to and with this one. ``scope``: columns that part worlds."""
+    key = scope or []
+    new = first_uses(orders, key, ["customer_id"]).select(*key, "ts_sec", "order_id", F.lit(1).alias("_new"), F.lit(AHEAD).alias("sub"))
+    o = orders.select(*key, "ts_sec", "order_id", F.lit(0).alias("_new"), F.lit(SELF).alias("sub")).unionByName(new).withColumn("kind", F.lit(1))
+    got = _scan(o, key, Prefix(sums=_ORDERS | {"_c": "_new"}), "global")
     return got.select("order_id", F.col("_n").alias("global_orders"), F.col("_c").alias("global_customers"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import intrinsic, safe_ratio, seconds, with_address_cluster
 from ..sources.tables import guard
 from . import asof, graph
+from .tables import stored_by
 
 #: Running totals that grow with the age of the data, and the rates that stand in for them.
 RUNNING_TOTALS = [
@@ -32,24 +36,34 @@ def clusters(addresses: DataFrame) -> DataFrame:
     return with_address_cluster(addresses.select("address_id", "raw_line", "pincode")).drop("raw_line")
 
 
+KINDS = ("orders", "customers", "addresses", "phones", "returns")
+#: A further part: of resolved orders and their events to order_id and columns.
+Part = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 def build_features(
-    orders: DataFrame, customers: DataFrame, addresses: DataFrame, phones: DataFrame, returns: DataFrame, categories: list[str] = CATEGORIES
+    orders: DataFrame, customers: DataFrame, addresses: DataFrame, phones: DataFrame, returns: DataFrame, categories: list[str] = CATEGORIES, extra: tuple[Part, ...] = ()
 ) -> DataFrame:
     """order_id and its features. Inputs may hold placement-time columns only.
 
-    Each key's features come from one scan over that key's events; the parts meet in one shuffle by order_id.
+    Each key's features come from one scan over that key's events; the parts meet in one shuffle by order_id. ``extra``: further parts.
     """
-    for name, df in (("orders", orders), ("customers", customers), ("addresses", addresses), ("phones", phones), ("returns", returns)):
+    tables = {"orders": orders, "customers": customers, "addresses": addresses, "phones": phones, "returns": returns}
+    for name, df in tables.items():
         guard(name, df)
-    o = graph.stored(asof.resolved(orders, clusters(addresses)), "resolved")
-    e = graph.stored(asof.event_stream(o, returns), "events")
+    return _built(tables, categories, extra)
+
+
+def _built(t: dict[str, DataFrame], categories: list[str], extra: tuple[Part, ...], scope: list[str] | None = None, key: Column | None = None) -> DataFrame:
+    o = graph.stored(asof.resolved(t["orders"], clusters(t["addresses"])), "resolved")
+    e = graph.stored(asof.event_stream(o, t["returns"]), "events")
     flags = intrinsic(categories)
     out = asof.together([
-        lambda: graph.component_features(o, returns, customers, graph.stored(graph.identity_edges(o, phones), "edges")),
-        lambda: asof.customer_part(e, o), lambda: asof.phone_part(o, phones), lambda: asof.device_part(e, o), lambda: asof.cluster_part(e, o), lambda: asof.pincode_part(e, o),
-        lambda: asof.asof_category(e), lambda: asof.asof_global(o), lambda: asof.tenure(o, customers),
-        lambda: o.select("order_id", "value_inr", "item_count", "promo_used", *[c.alias(n) for n, c in flags.items()]),
-    ])
+        lambda: graph.component_features(o, t["returns"], t["customers"], graph.stored(graph.identity_edges(o, t["phones"]), "edges")),
+        lambda: asof.customer_part(e, o), lambda: asof.phone_part(o, t["phones"]), lambda: asof.device_part(e, o), lambda: asof.cluster_part(e, o), lambda: asof.pincode_part(e, o),
+        lambda: asof.asof_category(e, scope), lambda: asof.asof_global(o, scope), lambda: asof.tenure(o, t["customers"]),
+        lambda: o.select("order_id", "value_inr", "item_count", "promo_used", *[c.alias(n) for n, c in flags.items()]), *[lambda part=p: part(o, e) for p in extra],
+    ], key)
     out = asof.asof_rates(out).withColumn("comp_orders_share", safe_ratio(F.col("comp_prior_orders"), F.col("global_orders")))
     return out.drop("global_orders", "global_customers")
 
@@ -66,31 +80,78 @@ def prefix_truncate(tables: dict[str, DataFrame], cut) -> dict[str, DataFrame]:
     }
 
 
-def feature_diff(full: DataFrame, cut: DataFrame) -> DataFrame:
-    """feature, rows_differing, max_abs_delta over the orders of ``cut``, most first. Nulls equal nulls."""
+def _compared(pairs: DataFrame, columns: list[str], by: list[str], tolerance: float) -> DataFrame:
+    """``by``, feature, rows_differing, max_abs_delta of rows that hold each column and its counterpart ``_f_``. Nulls equal nulls."""
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(f"_f_{c}").cast("double").alias("y")) for c in columns])).alias("p")
+    x, y = F.col("p.x"), F.col("p.y")
+    same = F.coalesce(F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x)), x.isNull() & y.isNull())
+    return pairs.select(*by, both).groupBy(*by, "p.feature").agg(F.sum((~same).cast("long")).alias("rows_differing"), F.max(F.abs(x - y)).alias("max_abs_delta"))
+
+
+def feature_diff(full: DataFrame, cut: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """feature, rows_differing, max_abs_delta over the orders of ``cut``, most first.
+
+    ``tolerance``: how much values may differ, relative to values above 1 (sums of doubles round by their order).
+    """
     cols = [c for c in cut.columns if c != "order_id"]
     both = cut.join(full.select("order_id", *[F.col(c).alias(f"_f_{c}") for c in cols]), "order_id", "left")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(f"_f_{c}").cast("double").alias("y")) for c in cols])).alias("p")
-    d = both.select(pairs).groupBy("p.feature").agg(
-        F.sum((~F.col("p.x").eqNullSafe(F.col("p.y"))).cast("long")).alias("rows_differing"), F.max(F.abs(F.col("p.x") - F.col("p.y"))).alias("max_abs_delta")
-    )
-    return d.orderBy(F.desc("rows_differing"), "feature")
+    return _compared(both, cols, [], tolerance).orderBy(F.desc("rows_differing"), "feature")
+
+
+#: What parts the phone numbers of two worlds: more than any number has digits.
+_FAR = 10**15
+
+
+def _worlds(tables: dict[str, DataFrame], cuts: list[Column]) -> dict[str, DataFrame]:
+    """The whole world (0) and the world before each cut (1, 2, ...) as one, each id with its world's number in it.
+
+    An id becomes id * worlds + world, so ids keep their order in a world and no two worlds share a key.
+    """
+    k = len(cuts) + 1
+
+    def own(w: int, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        mine = lambda df, *ids: df.withColumns({i: F.col(i) * k + w for i in ids if i in df.columns})
+        return {
+            "orders": mine(t["orders"], "order_id", "customer_id", "device_id", "address_id", "phone_id").withColumn("world", F.lit(w)), "customers": mine(t["customers"], "customer_id"),
+            "addresses": mine(t["addresses"], "address_id").withColumn("pincode", F.col("pincode").cast("long") * k + w),
+            "phones": mine(t["phones"], "phone_id").withColumn("msisdn", (F.col("msisdn").cast("long") + w * _FAR).cast("string")), "returns": mine(t["returns"], "order_id"),
+        }
+
+    every = [own(0, tables), *[own(w + 1, prefix_truncate(tables, cut)) for w, cut in enumerate(cuts)]]
+    return {name: reduce(DataFrame.unionByName, [w[name] for w in every]) for name in KINDS}
+
+
+def world_features(tables: dict[str, DataFrame], cuts: list[Column], categories: list[str] = CATEGORIES, extra: tuple[Part, ...] = ()) -> DataFrame:
+    """order_id, world and the features of each order in each world that has it, from one build; a table in buckets by order_id."""
+    k = len(cuts) + 1
+    out = _built(_worlds(tables, cuts), categories, extra, ["world"], F.expr(f"order_id div {k}"))
+    out = out.withColumn("world", (F.col("order_id") % k).cast("int")).withColumn("order_id", F.col("_key")).drop("_key")
+    return stored_by(out, "worlds", "order_id")
 
 
-def causality_gate(tables: dict[str, DataFrame], cut, tolerance: float = 1e-9, **parameters) -> DataFrame:
-    """Features of the whole and of the cut world must agree on every order before ``cut``; ValueError names the others.
+def gate_table(tables: dict[str, DataFrame], cuts: list[Column], tolerance: float = 1e-9, **parameters) -> DataFrame:
+    """cut (its number, from 1), feature, rows_differing, max_abs_delta of each cut world against the whole one.
 
-    Sums of doubles may round differently in another order, hence the tolerance.
+    All worlds come from one build, and the comparison meets the table's buckets, so k cuts cost one pass and no further shuffle of features.
+    ValueError where a world lacks orders.
     """
-    kinds = ("orders", "customers", "addresses", "phones", "returns")
-    full = build_features(**{k: tables[k] for k in kinds}, **parameters)
-    part = graph.stored(build_features(**{k: prefix_truncate(tables, cut)[k] for k in kinds}, **parameters), "gate")
-    n, m = part.count(), tables["orders"].where(F.col("order_ts") < cut).count()
-    if n != m:
-        raise ValueError(f"{n} rows for {m} orders")
-    diff = feature_diff(full, part).withColumn("max_abs_delta", F.coalesce("max_abs_delta", F.lit(0.0)))
-    diff = graph.stored(diff, "gate-diff")
-    bad = [r["feature"] for r in diff.where(F.col("max_abs_delta") > tolerance).collect()]  # a row a feature
+    for name in KINDS:
+        guard(name, tables[name])
+    f = world_features({k: tables[k] for k in KINDS}, cuts, **parameters)
+    cols = [c for c in f.columns if c not in ("order_id", "world")]
+    n = {r[0]: r[1] for r in f.groupBy("world").count().collect()}  # a row a world
+    want = tables["orders"].agg(F.count("*"), *[F.count(F.when(F.col("order_ts") < c, 1)) for c in cuts]).first()
+    if any(n.get(w, 0) != m for w, m in enumerate(want)):
+        raise ValueError(f"{n} rows for {list(want)} orders")
+    whole = f.where("world = 0").select("order_id", *[F.col(c).alias(f"_f_{c}") for c in cols])
+    return _compared(f.where("world > 0").join(whole, "order_id"), cols, ["world"], tolerance).withColumnRenamed("world", "cut")
+
+
+def causality_gate(tables: dict[str, DataFrame], cuts: Column | list[Column], tolerance: float = 1e-9, **parameters) -> DataFrame:
+    """The rows of :func:`gate_table`; ValueError names each cut and feature whose values before the cut depend on what comes after."""
+    diff = gate_table(tables, cuts if isinstance(cuts, list) else [cuts], tolerance, **parameters)
+    diff = graph.stored(diff.withColumn("max_abs_delta", F.coalesce("max_abs_delta", F.lit(0.0))), "gate-diff")
+    bad = [(r["cut"], r["feature"]) for r in diff.where("rows_differing > 0").orderBy("cut", "feature").collect()]  # a row a cut and feature
     if bad:
         raise ValueError(f"features that read the future: {bad}")
     return diff

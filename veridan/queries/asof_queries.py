@@ -204,20 +204,19 @@ def prefix_truncate(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).groupBy("input").agg(F.count("*").alias("n"))
 
 
-def feature_diff(spark, sf_dir):
-    """Customer features of the whole against those of the world before 1999."""
-    w = world(spark, sf_dir)
-    cut = features.prefix_truncate(w, F.lit("1999-01-01").cast("timestamp"))
+def _cut(day: str):
+    return F.lit(day).cast("timestamp")
 
-    def part(t):
-        o = asof.resolved(t["orders"], features.clusters(t["addresses"]))
-        return asof.asof_customer(o).join(asof.asof_return_rates(asof.event_stream(o, t["returns"])), "order_id")
 
-    return features.feature_diff(part(w), part(cut)).select("feature", "rows_differing")
+def feature_diff(spark, sf_dir):
+    """All features of the whole against those of the world before 1999."""
+    diff = features.gate_table(_inputs(world(spark, sf_dir)), [_cut("1999-01-01")], tolerance=1e-9, categories=CATEGORIES)
+    return diff.select("feature", "rows_differing", F.round("max_abs_delta", 5).alias("max_abs_delta"))
 
 
 def causality_gate(spark, sf_dir):
-    return features.causality_gate(_inputs(world(spark, sf_dir)), F.lit("1999-01-01").cast("timestamp"), tolerance=1e-6, categories=CATEGORIES)
+    """Three cuts, of which the last one lies behind nearly all orders, in one build."""
+    return features.causality_gate(_inputs(world(spark, sf_dir)), [_cut(d) for d in ("1994-01-01", "1996-07-01", "1999-01-01")], tolerance=1e-9, categories=CATEGORIES)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -243,6 +242,13 @@ raw_edges AS (
 edges AS (SELECT greatest(a, b) AS a, least(a, b) AS b, min(t) AS t FROM raw_edges WHERE a <> b GROUP BY 1, 2)
 """
 _CUT = "915148800"  # 1999-01-01
+ALL_FEATURES = [
+    "value_inr", "item_count", "promo_used", *intrinsic(CATEGORIES), "cust_tenure_days", "cust_prior_orders", "cust_prior_cod", "cust_cod_share", "cust_prior_returns", "cust_return_rate",
+    "cust_days_since_last", "cust_orders_d7", "cust_orders_d30", "cust_mean_value", "cust_value_z", "cust_max_value", "cust_distinct_devices", "cust_distinct_addr_clusters",
+    "dev_distinct_customers", "dev_prior_orders", "dev_return_rate", "dev_age_days", "addr_distinct_customers", "addr_prior_orders", "addr_return_rate", "addr_variant_count",
+    "addr_is_new_variant_of_known_cluster", "addr_age_days", "phone_neighbours_active", "phone_neighbour_orders", "pin_distinct_customers", "pin_prior_orders", "pin_return_rate",
+    *graph.COMPONENT_FEATURES, "cat_return_rate_prior", "value_over_cat_mean", "cust_orders_per_day", "dev_orders_per_day", "addr_orders_per_day", "pin_orders_share", "pin_cust_share", "comp_orders_share",
+]
 
 SQL = {
     "order_intrinsic": CTES + "SELECT order_id, round(value_inr, 5) AS value_inr, item_count, promo_used, round(ln(1 + value_inr), 5) AS log_value, CAST((ts_sec % 86400) // 3600 AS INTEGER) AS hour_of_day, CAST((ts_sec // 86400 + 4) % 7 AS INTEGER) AS day_of_week, CASE WHEN (ts_sec % 86400) // 3600 < 6 THEN 1 ELSE 0 END AS is_night, " + ", ".join(f"CASE WHEN category = '{c}' THEN 1 ELSE 0 END AS cat_{c.lower()}" for c in CATEGORIES) + " FROM ords",
@@ -270,7 +276,7 @@ SQL = {
     "union_order_sources": CTES + "SELECT order_id, row_number() OVER (ORDER BY ts_sec, order_id) - 1 AS number FROM ords",
     "identity_edges": BASE + _EDGE + "SELECT a, b, (t // 10000000000)::BIGINT AS ts_sec, (t % 10000000000)::BIGINT AS order_id FROM edges",
     "prefix_truncate": BASE + f", k AS (SELECT * FROM o WHERE ts_sec < {_CUT}) SELECT 'orders' AS input, count(*) AS n FROM k UNION ALL SELECT 'returns', count(*) FROM rets WHERE ret_sec < {_CUT} AND order_id IN (SELECT order_id FROM k) UNION ALL SELECT 'customers', count(DISTINCT customer_id) FROM k UNION ALL SELECT 'addresses', count(DISTINCT address_id) FROM k UNION ALL SELECT 'phones', count(DISTINCT phone_id) FROM k",
-    "feature_diff": "SELECT unnest(['cust_prior_orders', 'cust_prior_cod', 'cust_cod_share', 'cust_days_since_last', 'cust_mean_value', 'cust_value_z', 'cust_max_value', 'cust_return_rate', 'cust_prior_returns', 'dev_return_rate', 'addr_return_rate', 'pin_return_rate', 'cat_return_rate_prior']) AS feature, 0::BIGINT AS rows_differing",
+    "feature_diff": f"SELECT unnest({ALL_FEATURES}) AS feature, 0::BIGINT AS rows_differing, 0.0::DOUBLE AS max_abs_delta",
 }
 SQL["asof_rates"] = BASE + f""", {_DIST('pincode', 'customer_id', 'p')},
 g AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY customer_id ORDER BY ts_sec, order_id) = 1 THEN 1 ELSE 0 END AS new FROM o),
