@@ -243,7 +243,7 @@ edges AS (SELECT greatest(a, b) AS a, least(a, b) AS b, min(t) AS t FROM raw_edg
 """
 _CUT = "915148800"  # 1999-01-01
 ALL_FEATURES = [
-    "value_inr", "item_count", "promo_used", *intrinsic(CATEGORIES), "cust_tenure_days", "cust_prior_orders", "cust_prior_cod", "cust_cod_share", "cust_prior_returns", "cust_return_rate",
+    "value_inr", "item_count", "promo_used", "log_value", "hour_of_day", "day_of_week", "is_night", *[f"cat_{c.lower()}" for c in CATEGORIES], "cust_tenure_days", "cust_prior_orders", "cust_prior_cod", "cust_cod_share", "cust_prior_returns", "cust_return_rate",
     "cust_days_since_last", "cust_orders_d7", "cust_orders_d30", "cust_mean_value", "cust_value_z", "cust_max_value", "cust_distinct_devices", "cust_distinct_addr_clusters",
     "dev_distinct_customers", "dev_prior_orders", "dev_return_rate", "dev_age_days", "addr_distinct_customers", "addr_prior_orders", "addr_return_rate", "addr_variant_count",
     "addr_is_new_variant_of_known_cluster", "addr_age_days", "phone_neighbours_active", "phone_neighbour_orders", "pin_distinct_customers", "pin_prior_orders", "pin_return_rate",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import band
 from ..operators import asof, features, graph
-from ..plans import costs, feature_choice, metrics, splits
+from ..plans import costs, feature_choice, integrity, metrics, splits
+from ..sources import contract
 from ..sources.driver_tables import CTES, world
 from .asof_queries import CATEGORIES, _inputs, _rounded
 
@@ -172,9 +173,26 @@ def carve_validation(spark, sf_dir):
 
 def dataset_fingerprint(spark, sf_dir):
     """The held-out set: orders of the groups in the test split."""
+    return splits.fingerprint(_held(spark, sf_dir), "order_id")
+
+
+def _held(spark, sf_dir):
     t = _truth(spark, sf_dir)
-    held = t.join(splits.group_split(t).where("split = 'test'"), "group_key").select("order_id", "customer_id", "payment_mode", "category", "is_abuse")
-    return splits.fingerprint(held, "order_id")
+    return t.join(splits.group_split(t).where("split = 'test'"), "group_key").select("order_id", "customer_id", "payment_mode", "category", "is_abuse")
+
+
+def verify_fingerprint(spark, sf_dir):
+    """The held-out set against a copy with planted changes: a label turned, orders lost, an order too many; by its tree of digests."""
+    held = graph.stored(_held(spark, sf_dir), "held")
+    now = held.where("order_id % 977 <> 5").withColumn("is_abuse", F.expr("if(order_id % 1013 = 7, 1 - is_abuse, is_abuse)"))
+    now = now.unionByName(held.where("order_id % 2003 = 9").withColumn("order_id", -F.col("order_id")))
+    return integrity.changed_ids(integrity.DigestTree(held, "order_id"), integrity.DigestTree(now, "order_id"), spark)
+
+
+def input_contract(spark, sf_dir):
+    """How many rows of each input break which rule of its contract."""
+    w = world(spark, sf_dir)
+    return contract.report({name: contract.reasons(name, w[name]) for name in contract.CONTRACT})
 
 
 def unseen_customer_share(spark, sf_dir):
@@ -225,7 +243,7 @@ QUERIES = {f.__name__: f for f in (
     band_of, batch_view, review_queue, review_queue_stats, order_costs, policy_cost, baseline_costs, cost_curve, band_sweep, select_policy, cost_sensitivity,
     sensitivity_verdict, pr_auc, roc_auc, brier, precision_at_recall, reliability_bins, recall_by_ring_type, fp_by_population, evaluation_summary, compare_runs,
     dataset_stats, monthly_profile, customer_base_rate, temporal_split, drop_crossing_groups, group_split, carve_validation, dataset_fingerprint,
-    unseen_customer_share, fp_profile, featureset_experiment,
+    unseen_customer_share, fp_profile, featureset_experiment, verify_fingerprint, input_contract,
 )}
 
 _BAND = f"CASE WHEN p >= {HI} THEN 'auto_action' WHEN p >= {LO} THEN 'review' ELSE 'pass' END"
@@ -306,4 +324,13 @@ SQL = {
     "dataset_fingerprint": CTES + "SELECT order_id // 1000 AS range, count(*) AS n, sha256(string_agg(order_id::VARCHAR, ',' ORDER BY order_id)) AS digest, sha256(string_agg(sha256(concat_ws('|', order_id, customer_id, payment_mode, category, is_abuse)), ',' ORDER BY order_id)) AS rows_digest FROM truth JOIN (" + _GROUPS + " SELECT group_key FROM gs WHERE split = 'test') USING (group_key) GROUP BY 1",
     "unseen_customer_share": CTES + f", {_SPLIT} SELECT round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont((truth.ts_sec - signup_sec) / 86400.0, 0.5), 5)::DOUBLE AS median_tenure FROM truth JOIN sp ON sp.order_id = truth.order_id JOIN custs ON custs.customer_id = truth.customer_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = truth.customer_id WHERE split = 'test' AND is_abuse = 0",
     "fp_profile": CTES + f", {_SPLIT} SELECT count(*) AS n, round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont(scored.value_inr, 0.5), 5) AS median_value, round(quantile_cont(greatest((scored.ts_sec - signup_sec) / 86400.0::DOUBLE, 0), 0.5), 5) AS median_tenure FROM scored JOIN sp ON sp.order_id = scored.order_id JOIN custs ON custs.customer_id = scored.customer_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = scored.customer_id WHERE split = 'test' AND is_abuse = 0 AND p >= {HI}",
+    "verify_fingerprint": CTES + ", h AS (SELECT order_id, customer_id, payment_mode, category, is_abuse FROM truth JOIN (" + _GROUPS + """ SELECT group_key FROM gs WHERE split = 'test') USING (group_key)),
+now AS (SELECT order_id, customer_id, payment_mode, category, CASE WHEN order_id % 1013 = 7 THEN 1 - is_abuse ELSE is_abuse END AS is_abuse FROM h WHERE order_id % 977 <> 5
+  UNION ALL SELECT -order_id, customer_id, payment_mode, category, is_abuse FROM h WHERE order_id % 2003 = 9)
+SELECT coalesce(h.order_id, now.order_id) AS id, CASE WHEN h.order_id IS NULL THEN 'added' WHEN now.order_id IS NULL THEN 'missing' ELSE 'changed' END AS change
+FROM h FULL JOIN now ON h.order_id = now.order_id WHERE h IS DISTINCT FROM now""",
+    "input_contract": CTES + """, r AS (SELECT 'orders' AS input, ['rows'] || CASE WHEN item_count < 1 THEN ['rejected', 'item_count: below 1'] ELSE [] END AS m FROM ords
+UNION ALL SELECT 'returns', ['rows'] FROM rets UNION ALL SELECT 'customers', ['rows'] FROM custs UNION ALL SELECT 'phones', ['rows'] FROM fones
+UNION ALL SELECT 'addresses', ['rows'] || CASE WHEN pincode NOT BETWEEN 100000 AND 999999 THEN ['rejected', 'pincode'] ELSE [] END FROM doors)
+SELECT input, reason, count(*) AS n FROM (SELECT input, unnest(m) AS reason FROM r) GROUP BY ALL""",
 }
