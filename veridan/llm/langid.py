@@ -5,9 +5,9 @@ each bit. Decoding is loss-weighted: a codeword's distance is the sum over bits
 well its classifier separates the training texts) times the logistic loss of its margin. The nearest
 codeword names the language; a small gap to the second nearest flags an ambiguous text.
 
-The classifiers are fitted on the driver on a bounded sample: ``SAMPLE`` texts, shared by the languages (20 of
-each at least), those with the smallest hash of doc_id. The ``MOST_LANGUAGES`` most frequent values of lang are learned
-(ties: by name), so dirty labels can't grow the model. Prediction reads whole texts.
+The classifiers are fitted on a bounded sample: ``SAMPLE`` texts, shared by the languages (20 of each at least), those with
+the smallest hash of doc_id. Every value of lang is learned. N-grams are counted and classifiers tried in tasks; to the driver
+come one table of n-grams for each language, one after another, and the sample's margins, never texts. Prediction reads whole texts.
 
 Defined cases: of several texts of one doc_id and lang the one with the least hash teaches; a null text and one without a letter get ``und``, score 0 and not ambiguous; a single
 learned language wins with its own confidence; without any labelled text ValueError is raised. Columns
@@ -25,12 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, slices, stored
 from .quality import fold
 
 #: Bits of a codeword, hashed n-gram buckets, lengths of n-grams, rows of the sample (shared by the languages).
 BITS, BUCKETS, LENGTHS, SAMPLE = 15, 1 << 15, (1, 2, 3, 4), 8000
-#: Values of lang that are learned at most.
-MOST_LANGUAGES = 400
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -102,39 +101,67 @@ class CodeModel:
         return best, top[:, -1], top[:, -1] - second < self.gap
 
 
+def _gram_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each lang of a slice: the sum of its texts' n-gram shares, so each text weighs alike."""
+    for pdf in batches:
+        for part in slices(pdf):
+            sums: dict[str, np.ndarray] = {}
+            for lang, text in zip(part["lang"], part["text"], strict=True):
+                c = gram_counts(text)
+                sums[lang] = sums.get(lang, 0) + c / c.sum()
+            yield pd.DataFrame({"lang": list(sums), "share": list(sums.values())})
+
+
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> CodeModel:
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(fold() != 2)
     rows = rows.where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").alias("p_id"), F.col("lang").alias("p_lang"), F.xxhash64("doc_id").alias("h"))
-    # MOST_LANGUAGES rows at most come to the driver, whatever stands in lang.
-    sizes = {r["p_lang"]: r["count"] for r in rows.groupBy("p_lang").count().orderBy(F.desc("count"), "p_lang").limit(MOST_LANGUAGES).collect()}
-    langs = sorted(sizes)
+    sizes = rows.groupBy(F.col("p_lang").alias("s_lang")).count()
+    sizes = stored(sizes, "languages")
+    langs = [r["s_lang"] for r in sizes.orderBy("s_lang").collect()]  # the model has a codeword for each
     if not langs:
         raise ValueError("language identification needs labelled texts")
     each = max(20, sample // len(langs))
     # A first cut on the hash, at several times the rows wanted, leaves the ranking little to do.
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, 4 * (each + 25) / v))])
-    picked = rows.where(F.col("p_lang").isin(langs)).where(F.pmod("h", F.lit(1_000_003)) <= F.element_at(share, F.col("p_lang")) * 1_000_003).distinct()
+    share = F.broadcast(sizes.select("s_lang", F.least(F.lit(1.0), F.lit(4.0 * (each + 25)) / F.col("count")).alias("share")))  # a row a language
+    picked = rows.join(share, F.col("p_lang") == F.col("s_lang")).where(F.pmod("h", F.lit(1_000_003)) <= F.col("share") * 1_000_003).select("p_id", "p_lang", "h").distinct()
     picked = picked.withColumn("r", F.expr("row_number() over (partition by p_lang order by h, p_id)")).where(F.col("r") <= each)
     got = docs.select("doc_id", "text", "lang").join(
         F.broadcast(picked.select("p_id", "p_lang")), (F.col("doc_id") == F.col("p_id")) & (F.col("lang") == F.col("p_lang"))  # ``each`` rows a language
     ).where(F.col("text").rlike(r"\p{L}"))
     # One text for each id and language, however often rows are repeated.
-    got = got.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text"))["text"].alias("text")).toPandas().sort_values(["doc_id", "lang"])
+    got = stored(got.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text"))["text"].alias("text")), "language-sample")
 
     at = {x: i for i, x in enumerate(langs)}
-    y = np.array([at[x] for x in got["lang"]])
-    counts = np.zeros((len(langs), BUCKETS))
-    for lang, text in zip(y, got["text"], strict=True):
-        c = gram_counts(text)
-        counts[lang] += c / c.sum()  # each document weighs alike: a few long ones don't make the model
     codes = codewords(len(langs))
-    share = counts / np.maximum(counts.sum(1, keepdims=True), 1e-12) + 1e-6
+    # A bit's table: the mean share of the languages with +1 against that of those with -1.
+    sides = {1: np.zeros((BUCKETS, codes.shape[1])), -1: np.zeros((BUCKETS, codes.shape[1]))}
+    own, name = None, None
+
+    def add() -> None:
+        own_share = own / max(own.sum(), 1e-12) + 1e-6
+        for side, table in sides.items():
+            table[:, codes[at[name]] == side] += own_share[:, None]
+
+    for r in got.select("lang", "text").mapInPandas(_gram_sums, "lang string, share array<double>").orderBy("lang").toLocalIterator():
+        if r["lang"] != name:
+            if name is not None:
+                add()
+            own, name = np.zeros(BUCKETS), r["lang"]
+        own += np.array(r["share"])
+    add()
+    n = {side: (codes == side).sum(0) for side in sides}
+    both = (n[1] > 0) & (n[-1] > 0)
     tables = np.zeros((BUCKETS, codes.shape[1]), np.float32)
-    for b in range(codes.shape[1]):
-        pos, neg = codes[:, b] > 0, codes[:, b] < 0
-        if pos.any() and neg.any():
-            tables[:, b] = np.log(share[pos].mean(0)) - np.log(share[neg].mean(0))
-    s = np.array([c.astype(np.float32) @ tables / c.sum() for c in map(gram_counts, got["text"])])
+    tables[:, both] = np.log(sides[1][:, both] / n[1][both]) - np.log(sides[-1][:, both] / n[-1][both])
+    trial = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "lang"]].assign(s=[c.astype(np.float32) @ trial.value / c.sum() for c in map(gram_counts, pdf["text"])])
+
+    tried = got.mapInPandas(margins, "doc_id long, lang string, s array<double>").toPandas().sort_values(["doc_id", "lang"])
+    dropped(got, sizes)
+    y, s = np.array([at[x] for x in tried["lang"]]), np.array(tried["s"].tolist())
     offset, slope, weight = np.zeros(codes.shape[1]), np.ones(codes.shape[1]), np.ones(codes.shape[1])
     for b in range(codes.shape[1]):
         hi, lo = s[codes[y, b] > 0, b], s[codes[y, b] < 0, b]

@@ -6,8 +6,9 @@ size, is all that the score knows. A short text says little: to every text ``FLO
 text are added. A logistic map, fitted on labelled texts that built no dictionary and weighted to the labels' own
 shares, calibrates the difference to the share of good texts.
 
-The model is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled doc_ids of each class,
-those with the smallest hash of doc_id. Every text is scored as a whole, in tasks.
+The model is fitted on a bounded sample: at most ``SAMPLE`` labelled doc_ids of each class, those with the smallest
+hash of doc_id, and at most ``PIECES`` pieces of their texts for each dictionary, again by hash. Texts are cut and
+compressed in tasks; every text is scored as a whole.
 
 Defined cases: null, empty and blank texts count as the average labelled text; rows of the label
 table without a 0/1 label or text, and doc_ids labelled both 0 and 1, teach nothing; of several documents of one
@@ -23,12 +24,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE = 4000
+from .common import dropped, slices, stored
+
+#: Labelled rows of each class that the model is fitted on, at most, and pieces of their texts that make one dictionary, at most.
+SAMPLE, PIECES = 4000, 20_000
 #: Bytes of one dictionary, of one compressed piece, those added to a text's size, and zstandard's level.
 DICT_BYTES, PIECE, FLOOR, LEVEL = 110_000, 1024, 256, 3
 
@@ -66,7 +70,7 @@ class CompressionModel:
         good, bad = (sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in self._c)
         return bad - good, len(data)
 
-    def differences(self, sizes: list[tuple[int, int]]) -> np.ndarray:
+    def differences(self, sizes: list[tuple[int, int]] | np.ndarray) -> np.ndarray:
         x = np.array(sizes, float).reshape(-1, 2)
         return (x[:, 0] + self.average * FLOOR) / (x[:, 1] + FLOOR)
 
@@ -90,38 +94,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return float(w[0] - w[1] * mean / scale), float(w[1] / scale)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
-    """Fit on labelled rows outside the held-out fold: half of the sample makes the dictionaries, half calibrates."""
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of whole texts, each with a hash of its place."""
+    for pdf in batches:
+        for part in slices(pdf):
+            rows = []
+            for q, doc, text in zip(part["q"], part["doc_id"], part["text"], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                rows += [(q, xxhash.xxh3_64_intdigest(f"{doc} {i}") >> 1, data[i : i + PIECE]) for i in range(0, len(data), PIECE)]
+            yield pd.DataFrame(rows, columns=["q", "x", "piece"])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> CompressionModel:
+    """Fit on labelled rows outside the held-out fold: half of the sample makes the dictionaries, half calibrates.
+
+    Texts stay in tasks. To the driver come at most ``pieces`` pieces of each class, those with the least hashes, and two sizes for each
+    calibrating text.
+    """
     lab = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("q"))
     lab = lab.where(fold("l_id") != 2).groupBy("l_id").agg(F.min("q").alias("q"), F.max("q").alias("q2")).where("q = q2").drop("q2").withColumn("h", F.xxhash64("l_id"))
     # The least hashes of each class: a top-k, so neither side is sorted as a whole.
     picked = lab.where("q = 1").orderBy("h", "l_id").limit(sample).union(lab.where("q = 0").orderBy("h", "l_id").limit(sample))
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))  # 2 * sample rows
-    # One text an id, however often it is repeated.
-    rows = rows.groupBy("h", "doc_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text"))["text"].alias("text")).toPandas().sort_values(["h", "doc_id"])
-    texts = {q: rows.loc[rows["q"] == q, "text"].tolist() for q in (0, 1)}
-    if min(map(len, texts.values())) < 8:
+    # One text an id, however often it is repeated; every other one of a class makes the dictionary.
+    rows = rows.groupBy("h", "doc_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text"))["text"].alias("text"))
+    rows = stored(rows, "quality-sample")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("h", "doc_id")) % 2
+    half = F.broadcast(rows.select(F.col("doc_id").alias("l_id"), F.col("q").alias("l_q"), place.alias("half")))  # 2 * sample rows of numbers
+    rows = stored(rows.join(half, (F.col("doc_id") == F.col("l_id")) & (F.col("q") == F.col("l_q"))).select("h", "doc_id", "q", "half", "text"), "quality-sample")
+    held = {r["q"]: r["count"] for r in rows.groupBy("q").count().collect()}  # two rows
+    if min(held.get(q, 0) for q in (0, 1)) < 8:
         raise ValueError("the quality classifier needs at least 8 labelled documents of each class")
+    every = rows.where("half = 1").select("q", "doc_id", "text").mapInPandas(_pieces, "q int, x long, piece binary")
     dicts = {}
-    for q, own in texts.items():
-        data = [t.encode("utf-8", "surrogatepass") for t in own[::2]]
-        pieces = [d[i : i + PIECE] for d in data for i in range(0, len(d), PIECE)]
-        order = np.random.default_rng(7).permutation(len(pieces))[:20_000]
-        pieces = [pieces[i] for i in order]
+    for q in (0, 1):
+        own = [bytes(r["piece"]) for r in every.where(F.col("q") == q).orderBy("x", "piece").limit(pieces).collect()]
         try:
-            dicts[q] = zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
+            dicts[q] = zstandard.train_dictionary(DICT_BYTES, own).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
-            dicts[q] = b"".join(pieces)[:DICT_BYTES]
+            dicts[q] = b"".join(own)[:DICT_BYTES]
     model = CompressionModel(dicts[1], dicts[0])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = np.array([shared.value.sizes(t) for t in pdf["text"]], np.int64).reshape(-1, 2)
+            yield pdf[["h", "doc_id", "q"]].assign(diff=both[:, 0], size=both[:, 1])
+
+    got = rows.where("half = 0").select("h", "doc_id", "q", "text").mapInPandas(measured, "h long, doc_id long, q int, diff long, size long").toPandas().sort_values(["q", "h", "doc_id"])
+    dropped(rows)
     # Calibrated to the labels' own shares: the sample holds the classes in other shares.
     share = lab.groupBy("q").count().toPandas().set_index("q")["count"].to_dict()
-    sizes = {q: [model.sizes(t) for t in own[1::2]] for q, own in texts.items()}
-    y = np.repeat([0.0, 1.0], [len(sizes[0]), len(sizes[1])])
-    weight = np.repeat([share[q] / len(sizes[q]) for q in (0, 1)], [len(sizes[0]), len(sizes[1])])
+    y, n = got["q"].to_numpy(float), got.groupby("q").size().to_dict()
+    weight = np.array([share[q] / n[q] for q in got["q"]])
     weight *= len(y) / weight.sum()
-    every = np.array(sizes[0] + sizes[1], float)
-    model.average = float(np.average(every[:, 0] / np.maximum(every[:, 1], 1), weights=weight))
-    model.intercept, model.slope = _logistic(model.differences(sizes[0] + sizes[1]), y, weight)
+    sizes = got[["diff", "size"]].to_numpy(float)
+    model.average = float(np.average(sizes[:, 0] / np.maximum(sizes[:, 1], 1), weights=weight))
+    model.intercept, model.slope = _logistic(model.differences(sizes), y, weight)
     return model
 
 
