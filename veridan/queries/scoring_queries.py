@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import functions as F
 
 from ..operators import asof, features, graph
@@ -23,11 +24,36 @@ def _frame(spark, sf_dir):
     return graph.stored(t.join(f, "order_id").orderBy("order_id"), "frame"), features.feature_set([c for c in f.columns if c != "order_id"], "stable")
 
 
-@functools.lru_cache(maxsize=1)
+#: The tables that the frame is made of.
+_INPUTS = ("orders", "lineitem", "part", "customer")
+
+
+def _state(spark, sf_dir) -> str:
+    """A name for the inputs as they are: it changes with any of their files."""
+    conf, every = spark._jsc.hadoopConfiguration(), []
+    for name in _INPUTS:
+        for uri in table(spark, sf_dir, name).inputFiles():
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            status = path.getFileSystem(conf).getFileStatus(path)
+            every.append(f"{uri} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(every)).encode()).hexdigest()[:32]
+
+
 def _fitted(spark, sf_dir):
-    """Frame, features and model. The last one is kept, as all queries of a session over one folder share it."""
-    frame, columns = _frame(spark, sf_dir)
-    return frame, columns, model.train_scorer(frame.where("split = 'train'"), columns, trees=20)
+    """Frame, features and model: read from where an earlier query saved them for the inputs as they are, else made and saved."""
+    graph.scratch(spark, "scoring")  # sets the shared folder where a local session names none
+    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/scoring-{_state(spark, sf_dir)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/columns/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        frame, columns = _frame(spark, sf_dir)
+        frame.write.mode("overwrite").parquet(f"{base}/frame")
+        graph.dropped(frame)
+        frame = spark.read.parquet(f"{base}/frame")
+        model.train_scorer(frame.where("split = 'train'").orderBy("order_id"), columns, trees=20).write().overwrite().save(f"{base}/model")
+        # Last, as it tells that the others are whole.
+        spark.createDataFrame([(columns,)], "columns array<string>").coalesce(1).write.mode("overwrite").parquet(f"{base}/columns")
+    columns = list(spark.read.parquet(f"{base}/columns").first()[0])
+    return spark.read.parquet(f"{base}/frame"), columns, GBTClassificationModel.load(f"{base}/model")
 
 
 def _banded(frame, columns, m):
@@ -64,6 +90,31 @@ def tree_attribution(spark, sf_dir):
     return model.tree_attribution(m, _banded(frame, columns, m).where("band <> 'pass'"), columns)
 
 
+def _flagged(spark, sf_dir):
+    """The flagged orders of the test fold with all their features, and the attribution of their scores."""
+    frame, columns, m = _fitted(spark, sf_dir)
+    flagged = graph.stored(_banded(frame, columns, m).where("band <> 'pass'"), "flagged")
+    return flagged, model.tree_attribution(m, flagged, columns)
+
+
+def flagged_evidence(spark, sf_dir):
+    """Of every flagged order the five strongest contributions for its score and the two against it, as sentences without repetition."""
+    e = explain.top_evidence(_flagged(spark, sf_dir)[1])
+    says = lambda c: F.array_join(F.array_distinct(F.transform(c, lambda x: x["sentence"])), "; ")
+    return e.select("order_id", says("evidence").alias("evidence"), says("counter_evidence").alias("counter_evidence"), F.size("evidence").alias("n_evidence"))
+
+
+def flagged_sentences(spark, sf_dir):
+    """A sentence for each feature of each flagged order, from the feature's own value."""
+    a = _flagged(spark, sf_dir)[1]
+    return a.select("order_id", "feature", explain.sentence(F.col("feature"), F.col("value")).alias("sentence"))
+
+
+def flagged_caveats(spark, sf_dir):
+    """What the flag of each order does not establish, from its own component, door, phone and history."""
+    return _flagged(spark, sf_dir)[0].select("order_id", F.array_join(explain.caveats(), " ").alias("caveats"))
+
+
 def _attributions(spark, sf_dir):
     """Stand-in contributions that SQL can make too: each feature's value against its typical one."""
     w, o = _o(spark, sf_dir)
@@ -80,13 +131,16 @@ def top_evidence(spark, sf_dir):
 
 
 def evidence_sentences(spark, sf_dir):
-    a = _attributions(spark, sf_dir)
+    a = _attributions(spark, sf_dir).withColumn("value", F.round("value", 4))
     return a.select("order_id", "feature", explain.sentence(F.col("feature"), F.col("value")).alias("sentence"))
 
 
 def dedupe_sentences(spark, sf_dir):
-    """Number of distinct sentences of each order, in order of strength."""
-    e = explain.top_evidence(_attributions(spark, sf_dir))
+    """Number of distinct sentences among each order's strongest contributions; the cart's value and its logarithm say the same."""
+    cart = _o(spark, sf_dir)[1].select("order_id", F.floor("value_inr").cast("double").alias("v"))
+    both = F.explode(F.array(F.struct(F.lit("value_inr").alias("feature"), F.col("v").alias("value")), F.struct(F.lit("log_value").alias("feature"), F.log1p("v").alias("value")))).alias("r")
+    cart = cart.select("order_id", ((F.col("v") - 150000) / 70000).alias("contribution"), both).select("order_id", "r.feature", "r.value", "contribution")
+    e = explain.top_evidence(_attributions(spark, sf_dir).unionByName(cart))
     return e.select("order_id", F.size(F.array_distinct(F.transform("evidence", lambda x: x["sentence"]))).alias("n_sentences"))
 
 
@@ -104,9 +158,8 @@ def caveats(spark, sf_dir):
 
 def explanation_payload(spark, sf_dir):
     """Payload of every flagged order of the test fold, from the attribution of its own score and its own features."""
-    frame, columns, m = _fitted(spark, sf_dir)
-    flagged = graph.stored(_banded(frame, columns, m).where("band <> 'pass'"), "flagged")
-    return explain.payload(flagged.select("order_id", "customer_id", "value_inr", "category", "p", "band"), explain.top_evidence(model.tree_attribution(m, flagged, columns)), flagged)
+    flagged, a = _flagged(spark, sf_dir)
+    return explain.payload(flagged.select("order_id", "customer_id", "value_inr", "category", "p", "band"), explain.top_evidence(a), flagged)
 
 
 def _stream_events(spark, sf_dir, item: str, slices: int = 2):
@@ -155,7 +208,7 @@ def stream_return_settlement(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     train_scorer, calibrate_scorer, score_orders, feature_importance, tree_attribution, top_evidence, evidence_sentences, dedupe_sentences, caveats,
-    explanation_payload, stream_customer_features, stream_entity_features, stream_return_settlement,
+    flagged_evidence, flagged_sentences, flagged_caveats, explanation_payload, stream_customer_features, stream_entity_features, stream_return_settlement,
 )}
 
 _W = _w("customer_id")
@@ -178,7 +231,14 @@ SELECT order_id, CASE WHEN len(l) = 0 THEN '{explain.NO_CAVEAT}' ELSE array_to_s
 
 SQL = {
     "top_evidence": _ATT + ", u AS (SELECT order_id, feature, row_number() OVER (PARTITION BY order_id ORDER BY -contribution, feature) AS k FROM r WHERE contribution > 0), w AS (SELECT order_id, feature, row_number() OVER (PARTITION BY order_id ORDER BY -contribution DESC, feature DESC) AS k FROM r WHERE contribution < 0) SELECT order_id, coalesce((SELECT string_agg(feature, ',' ORDER BY k) FROM u WHERE u.order_id = v.order_id AND k <= 3), '') AS up, coalesce((SELECT string_agg(feature, ',' ORDER BY k) FROM w WHERE w.order_id = v.order_id AND k <= 2), '') AS down FROM v",
-    "dedupe_sentences": _ATT + "SELECT order_id, CAST(count(*) FILTER (WHERE contribution > 0) AS INTEGER) AS n_sentences FROM r GROUP BY order_id",
+    "evidence_sentences": _ATT + """SELECT order_id, feature, CASE feature WHEN 'cust_prior_orders' THEN 'the account has ' || value::BIGINT || ' prior orders'
+  WHEN 'cust_cod_share' THEN floor(x * 100 + 0.5::DOUBLE)::BIGINT || '% of the account''s prior orders were cash-on-delivery' WHEN 'cust_mean_value' THEN 'the account''s prior orders average Rs ' || floor(x + 0.5::DOUBLE)::BIGINT
+  WHEN 'cust_max_value' THEN 'the account''s largest prior order was Rs ' || floor(x + 0.5::DOUBLE)::BIGINT
+  ELSE CASE WHEN x > 900 THEN 'this is the account''s first order' ELSE 'the previous order was ' || printf('%.1f', floor(x * 10 + 0.5::DOUBLE) / 10) || ' days ago' END END AS sentence FROM (SELECT *, round(value, 4) AS x FROM r)""",
+    "dedupe_sentences": _ATT + """, c AS (SELECT order_id, floor(value_inr)::DOUBLE AS v FROM o), s AS (SELECT order_id, feature, feature AS says, contribution FROM r
+  UNION ALL SELECT order_id, 'value_inr', 'cart', (v - 150000) / 70000 FROM c UNION ALL SELECT order_id, 'log_value', 'cart', (v - 150000) / 70000 FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY -contribution, feature) AS k FROM s WHERE contribution > 0)
+SELECT o.order_id, CAST(count(DISTINCT says) AS INTEGER) AS n_sentences FROM o LEFT JOIN k ON k.order_id = o.order_id AND k <= 5 GROUP BY o.order_id""",
     "caveats": _FACTS,
     "stream_customer_features": _EV("user_id", "CAST(floor(value) AS BIGINT)") + _ES,
     "stream_entity_features": _EV("user_id % 20", "user_id") + _ES,
