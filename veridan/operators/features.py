@@ -133,7 +133,7 @@ def gate_table(tables: dict[str, DataFrame], cuts: list[Column], tolerance: floa
     """cut (its number, from 1), feature, rows_differing, max_abs_delta of each cut world against the whole one.
 
     All worlds come from one build, and the comparison meets the table's buckets, so k cuts cost one pass and no further shuffle of features.
-    ValueError where a world lacks orders.
+    A cut before all orders has no rows. ValueError where a world lacks orders of its own.
     """
     for name in KINDS:
         guard(name, tables[name])

@@ -183,7 +183,7 @@ def identity_components(spark, sf_dir):
 def comp_features_asof(spark, sf_dir):
     w, o, e = _edges(spark, sf_dir)
     e = graph.stored(e, "edges")
-    return graph.component_features(o, w["returns"], w["customers"], e)
+    return _rounded(graph.component_features(o, w["returns"], w["customers"], e))
 
 
 def component_growth(spark, sf_dir):
@@ -195,7 +195,7 @@ def _inputs(w: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def build_features(spark, sf_dir):
-    return features.build_features(**_inputs(world(spark, sf_dir)), categories=CATEGORIES)
+    return _rounded(features.build_features(**_inputs(world(spark, sf_dir)), categories=CATEGORIES))
 
 
 def prefix_truncate(spark, sf_dir):
@@ -216,7 +216,8 @@ def feature_diff(spark, sf_dir):
 
 def causality_gate(spark, sf_dir):
     """Three cuts, of which the last one lies behind nearly all orders, in one build."""
-    return features.causality_gate(_inputs(world(spark, sf_dir)), [_cut(d) for d in ("1994-01-01", "1996-07-01", "1999-01-01")], tolerance=1e-9, categories=CATEGORIES)
+    diff = features.causality_gate(_inputs(world(spark, sf_dir)), [_cut(d) for d in ("1996-07-01", "1998-01-01", "1999-01-01")], tolerance=1e-9, categories=CATEGORIES)
+    return diff.withColumn("max_abs_delta", F.round("max_abs_delta", 5))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -289,3 +290,40 @@ SELECT order_id, round(cn / greatest(ten, 1), 5)::DOUBLE AS cust_orders_per_day,
 SQL["identity_components"] = BASE + _EDGE + """, e2 AS MATERIALIZED (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
 r AS (SELECT node, min(c) AS component FROM (WITH RECURSIVE reach(node, c) AS (SELECT DISTINCT a, a FROM e2 UNION SELECT e2.b, reach.c FROM reach JOIN e2 ON e2.a = reach.node) SELECT * FROM reach) GROUP BY node)
 SELECT node, component FROM r"""
+
+
+def component_sql(orders: str) -> str:
+    """CTEs ``members`` (the component of each of ``orders``, as of it) and ``grown`` (the merges that made it), by walking edges known by then."""
+    return f""", e2 AS MATERIALIZED (SELECT a, b, t, greatest(a, b) AS x, least(a, b) AS y FROM edges UNION ALL SELECT b, a, t, greatest(a, b), least(a, b) FROM edges),
+ask AS MATERIALIZED (SELECT order_id, ts_sec, ts_sec::HUGEINT * 10000000000 + order_id AS t, customer_id FROM ({orders})),
+members AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE m(order_id, ts_sec, t, node) AS (SELECT order_id, ts_sec, t, customer_id FROM ask UNION SELECT m.order_id, m.ts_sec, m.t, e2.b FROM m JOIN e2 ON e2.a = m.node AND e2.t <= m.t) SELECT * FROM m)),
+joined AS MATERIALIZED (SELECT DISTINCT x, y, t FROM (WITH RECURSIVE j(x, y, t, node) AS (SELECT a, b, t, a FROM edges UNION SELECT j.x, j.y, j.t, e2.b FROM j JOIN e2 ON e2.a = j.node AND (e2.t, e2.x, e2.y) < (j.t, j.x, j.y)) SELECT * FROM j) WHERE node = y),
+merges AS (SELECT a, t FROM edges ANTI JOIN joined ON joined.x = edges.a AND joined.y = edges.b),
+grown AS (SELECT m.order_id, sum(exp(-(m.ts_sec - (g.t // 10000000000)::BIGINT) / 604800.0)) AS g FROM members m JOIN merges g ON g.a = m.node AND g.t <= m.t GROUP BY m.order_id)
+"""
+
+
+SQL["comp_features_asof"] = BASE + _EDGE + component_sql("SELECT * FROM o") + """,
+past AS (SELECT m.order_id, count(*) AS n, sum(y.cod) AS cod, sum(y.value_inr) AS s, count(DISTINCT y.device_id) AS dev, count(DISTINCT y.cluster) AS clu,
+  sum(exp(-(m.ts_sec - y.ts_sec) / 604800.0)) AS d7, sum(exp(-(m.ts_sec - y.ts_sec) / 2592000.0)) AS d30 FROM members m JOIN o y ON y.customer_id = m.node AND y.ts_sec::HUGEINT * 10000000000 + y.order_id < m.t GROUP BY m.order_id),
+back AS (SELECT m.order_id, count(*) AS r FROM members m JOIN o y ON y.customer_id = m.node JOIN rets ON rets.order_id = y.order_id AND ret_sec <= m.ts_sec GROUP BY m.order_id),
+size AS (SELECT m.order_id, any_value(m.ts_sec) AS t, count(*) AS z, sum(signup_sec)::DOUBLE AS su, min(signup_sec) AS old FROM members m JOIN custs ON customer_id = node GROUP BY m.order_id),
+f AS (SELECT size.*, coalesce(n, 0) AS n, coalesce(cod, 0) AS cod, coalesce(s, 0) AS s, coalesce(dev, 0) AS dev, coalesce(clu, 0) AS clu, coalesce(d7, 0) AS d7, coalesce(d30, 0) AS d30, coalesce(r, 0) AS r, coalesce(g, 0) AS g,
+  greatest(t - su / z, 0) / 86400.0::DOUBLE AS mt FROM size LEFT JOIN past USING (order_id) LEFT JOIN back USING (order_id) LEFT JOIN grown USING (order_id))
+SELECT order_id, z AS comp_size, n AS comp_prior_orders, round((r + 1)::DOUBLE / (n + 8), 5) AS comp_return_rate, round((cod + 1)::DOUBLE / (n + 2), 5) AS comp_cod_share, round(d7, 5) AS comp_orders_d7, round(d30, 5) AS comp_orders_d30,
+  round(g, 5) AS comp_growth_d7, round(mt, 5) AS comp_mean_tenure_days, round(greatest(t - old, 0) / 86400.0::DOUBLE, 5) AS comp_max_tenure_days, dev AS comp_distinct_devices, clu AS comp_distinct_addr_clusters,
+  round(s / z, 5) AS comp_value_per_customer, round(n::DOUBLE / z, 5) AS comp_orders_per_customer, round(n / (z * greatest(mt, 1.0::DOUBLE)), 5) AS comp_orders_per_member_per_day FROM f"""
+SQL["component_growth"] = BASE + _EDGE + component_sql("SELECT * FROM o") + "SELECT o.order_id, round(coalesce(g, 0), 5) AS comp_growth_d7 FROM o LEFT JOIN grown ON grown.order_id = o.order_id"
+SQL["causality_gate"] = f"SELECT cut::INTEGER AS cut, feature, 0::BIGINT AS rows_differing, 0.0::DOUBLE AS max_abs_delta FROM (SELECT unnest([1, 2, 3]) AS cut), (SELECT unnest({ALL_FEATURES}) AS feature)"
+_PARTS = {
+    "order_intrinsic": "*", "asof_customer": "* EXCLUDE (order_id)", "asof_decayed_counts": "* EXCLUDE (order_id)", "asof_distinct": "* EXCLUDE (order_id)",
+    "asof_return_rates": "* EXCLUDE (order_id, cat_return_rate_prior)", "asof_device": "* EXCLUDE (order_id)", "asof_address": "* EXCLUDE (order_id)",
+    "asof_phone_neighbours": "* EXCLUDE (order_id)", "asof_pincode": "* EXCLUDE (order_id)", "asof_category": "* EXCLUDE (order_id)", "comp_features_asof": "* EXCLUDE (order_id)", "asof_rates": "* EXCLUDE (order_id)",
+}
+#: The frame from the parts' own SQL, each by itself.
+SQL["build_features"] = (
+    "SELECT " + ", ".join(c.replace("*", f"p{i}.*", 1) for i, c in enumerate(_PARTS.values()))
+    + f""", round(greatest((t.ts_sec - t.signup_sec) / 86400.0::DOUBLE, 0), 5) AS cust_tenure_days, round(comp_prior_orders / greatest(global_orders, 1)::DOUBLE, 5) AS comp_orders_share
+FROM ({CTES} SELECT order_id, ts_sec, signup_sec FROM ords JOIN custs USING (customer_id)) t JOIN ({SQL['asof_global']}) g ON g.order_id = t.order_id """
+    + " ".join(f"JOIN ({SQL[name]}) p{i} ON p{i}.order_id = t.order_id" for i, name in enumerate(_PARTS))
+)

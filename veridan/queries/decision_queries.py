@@ -9,7 +9,7 @@ from ..operators import asof, features, graph
 from ..plans import costs, feature_choice, integrity, metrics, splits
 from ..sources import contract
 from ..sources.driver_tables import CTES, world
-from .asof_queries import CATEGORIES, _inputs, _rounded
+from .asof_queries import _EDGE, BASE, CATEGORIES, _inputs, _o, _rounded, component_sql
 
 LO, HI = 0.034, 0.344
 BOUNDARY = "1999-01-01"
@@ -207,14 +207,17 @@ def unseen_customer_share(spark, sf_dir):
 
 
 def fp_profile(spark, sf_dir):
-    """False positives of the action band in the test period: how many, from unseen customers, median value and tenure."""
+    """False positives of the action band in the test period: how many, from unseen customers, median value, tenure, component's size and growth."""
     t, s = _folds(spark, sf_dir)
     seen = t.join(s, "order_id").where("split = 'train'").select("customer_id", F.lit(1).alias("seen")).distinct()
     test = _scored(spark, sf_dir).join(s.where("split = 'test'"), "order_id").where((F.col("is_abuse") == 0) & (F.col("p") >= HI)).join(seen, "customer_id", "left")
     test = test.join(world(spark, sf_dir)["customers"], "customer_id", "left")
     test = test.withColumn("days", F.greatest((F.unix_seconds("order_ts") - F.unix_seconds("signup_ts")) / 86400, F.lit(0.0)))
     out = test.agg(F.count("*").alias("n"), F.avg(F.when(F.col("seen").isNull(), 1.0).otherwise(0.0)).alias("unseen_share"))
-    for c, name in (("value_inr", "median_value"), ("days", "median_tenure")):
+    w, o = _o(spark, sf_dir)
+    comp = graph.component_features(o, w["returns"], w["customers"], graph.stored(graph.identity_edges(o, w["phones"]), "edges"))
+    test = graph.stored(test.join(comp.select("order_id", "comp_size", "comp_growth_d7"), "order_id"), "false-positives")
+    for c, name in (("value_inr", "median_value"), ("days", "median_tenure"), ("comp_size", "median_comp_size"), ("comp_growth_d7", "median_comp_growth")):
         out = out.join(asof.exact_quantiles(test, c, [0.5]).select(F.get("q", F.lit(0)).alias(name)), how="left")  # one row each
     return _rounded(out)
 
@@ -323,7 +326,11 @@ SQL = {
     "carve_validation": CTES + ", c AS (SELECT quantile_cont(ts_sec, 0.8) AS cut FROM truth) SELECT order_id, CASE WHEN ts_sec >= cut THEN 'val' ELSE 'train' END AS split FROM truth, c WHERE ts_sec >= cut OR group_key NOT IN (SELECT group_key FROM truth, c WHERE ts_sec >= cut)",
     "dataset_fingerprint": CTES + "SELECT order_id // 1000 AS range, count(*) AS n, sha256(string_agg(order_id::VARCHAR, ',' ORDER BY order_id)) AS digest, sha256(string_agg(sha256(concat_ws('|', order_id, customer_id, payment_mode, category, is_abuse)), ',' ORDER BY order_id)) AS rows_digest FROM truth JOIN (" + _GROUPS + " SELECT group_key FROM gs WHERE split = 'test') USING (group_key) GROUP BY 1",
     "unseen_customer_share": CTES + f", {_SPLIT} SELECT round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont((truth.ts_sec - signup_sec) / 86400.0, 0.5), 5)::DOUBLE AS median_tenure FROM truth JOIN sp ON sp.order_id = truth.order_id JOIN custs ON custs.customer_id = truth.customer_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = truth.customer_id WHERE split = 'test' AND is_abuse = 0",
-    "fp_profile": CTES + f", {_SPLIT} SELECT count(*) AS n, round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont(scored.value_inr, 0.5), 5) AS median_value, round(quantile_cont(greatest((scored.ts_sec - signup_sec) / 86400.0::DOUBLE, 0), 0.5), 5) AS median_tenure FROM scored JOIN sp ON sp.order_id = scored.order_id JOIN custs ON custs.customer_id = scored.customer_id LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = scored.customer_id WHERE split = 'test' AND is_abuse = 0 AND p >= {HI}",
+    "fp_profile": BASE + _EDGE + f", {_SPLIT}, fp AS MATERIALIZED (SELECT scored.*, device_id, cluster FROM scored JOIN sp ON sp.order_id = scored.order_id JOIN o ON o.order_id = scored.order_id WHERE split = 'test' AND is_abuse = 0 AND p >= {HI})"
+    + component_sql("SELECT * FROM fp") + """, zz AS (SELECT order_id, count(*) AS z FROM members GROUP BY order_id)
+SELECT count(*) AS n, round(avg(CASE WHEN s.customer_id IS NULL THEN 1.0 ELSE 0 END), 5) AS unseen_share, round(quantile_cont(fp.value_inr, 0.5), 5) AS median_value, round(quantile_cont(greatest((fp.ts_sec - signup_sec) / 86400.0::DOUBLE, 0), 0.5), 5) AS median_tenure,
+  round(quantile_cont(z, 0.5), 5) AS median_comp_size, round(quantile_cont(coalesce(g, 0), 0.5), 5) AS median_comp_growth FROM fp JOIN custs ON custs.customer_id = fp.customer_id JOIN zz ON zz.order_id = fp.order_id LEFT JOIN grown ON grown.order_id = fp.order_id
+  LEFT JOIN (SELECT DISTINCT customer_id FROM sp WHERE split = 'train') s ON s.customer_id = fp.customer_id""",
     "verify_fingerprint": CTES + ", h AS (SELECT order_id, customer_id, payment_mode, category, is_abuse FROM truth JOIN (" + _GROUPS + """ SELECT group_key FROM gs WHERE split = 'test') USING (group_key)),
 now AS (SELECT order_id, customer_id, payment_mode, category, CASE WHEN order_id % 1013 = 7 THEN 1 - is_abuse ELSE is_abuse END AS is_abuse FROM h WHERE order_id % 977 <> 5
   UNION ALL SELECT -order_id, customer_id, payment_mode, category, is_abuse FROM h WHERE order_id % 2003 = 9)
@@ -334,3 +341,8 @@ UNION ALL SELECT 'returns', ['rows'] FROM rets UNION ALL SELECT 'customers', ['r
 UNION ALL SELECT 'addresses', ['rows'] || CASE WHEN pincode NOT BETWEEN 100000 AND 999999 THEN ['rejected', 'pincode'] ELSE [] END FROM doors)
 SELECT input, reason, count(*) AS n FROM (SELECT input, unnest(m) AS reason FROM r) GROUP BY ALL""",
 }
+_SINGLE = SQL["cost_sensitivity"].replace("min(c) AS c FROM (", "min(c) AS c, first(lo ORDER BY c, lo) AS lo FROM (").replace("SELECT b.knob, b.setting,", "SELECT sg.lo AS single_threshold, b.knob, b.setting,")
+SQL["sensitivity_verdict"] = f"""SELECT count(*) AS n_worlds, bool_and(beats_single) AS all_beat_single, bool_and(beats_nothing) AS all_beat_nothing, bool_and(shipped_beats_single) AS all_shipped_beat_single,
+  bool_and(shipped_beats_nothing) AS all_shipped_beat_nothing, bool_and(band_survives) AS all_bands_survive, round(min(band_lo), 3) AS band_lo_min, round(max(band_lo), 3) AS band_lo_max, round(min(band_hi), 3) AS band_hi_min, round(max(band_hi), 3) AS band_hi_max,
+  round(max(regret), 3) AS max_regret, round(min(single_threshold), 3) AS single_threshold_min, round(max(single_threshold), 3) AS single_threshold_max, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT band_survives), '') AS band_collapses,
+  arg_max(name, regret) AS max_regret_world, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT beats_single), '') AS loses_to_single FROM (SELECT *, knob || ' ' || setting AS name FROM ({_SINGLE}))"""
