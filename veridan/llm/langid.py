@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, slices, stored
+from .common import dropped, slices, stored, trim
 from .quality import fold
 
 #: Bits of a codeword, hashed n-gram buckets, lengths of n-grams, rows of the sample (shared by the languages).
@@ -110,6 +110,7 @@ def _gram_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 c = gram_counts(text)
                 sums[lang] = sums.get(lang, 0) + c / c.sum()
             yield pd.DataFrame({"lang": list(sums), "share": list(sums.values())})
+        trim()
 
 
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> CodeModel:
@@ -158,6 +159,7 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> CodeModel:
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[["doc_id", "lang"]].assign(s=[c.astype(np.float32) @ trial.value / c.sum() for c in map(gram_counts, pdf["text"])])
+            trim()
 
     tried = got.mapInPandas(margins, "doc_id long, lang string, s array<double>").toPandas().sort_values(["doc_id", "lang"])
     dropped(got, sizes)
@@ -187,6 +189,8 @@ def identify(docs: DataFrame, model: CodeModel) -> DataFrame:
             yield pd.DataFrame(
                 {"lang_pred": np.where(has, names[best], "und"), "score": np.where(has, score, 0.0), "ambiguous": has & unsure}
             )
+            del s, sums
+            trim()
 
     out = docs.withColumn("_ecoc", predict("text"))
     return out.withColumns({c: F.col(f"_ecoc.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_ecoc")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, slices, stored
+from .common import dropped, slices, stored, trim
 
 #: Labelled rows of each class that the model is fitted on, at most, and pieces of their texts that make one dictionary, at most.
 SAMPLE, PIECES = 4000, 20_000
@@ -103,6 +103,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 data = text.encode("utf-8", "surrogatepass")
                 rows += [(q, xxhash.xxh3_64_intdigest(f"{doc} {i}") >> 1, data[i : i + PIECE]) for i in range(0, len(data), PIECE)]
             yield pd.DataFrame(rows, columns=["q", "x", "piece"])
+        trim()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> CompressionModel:
@@ -140,6 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces
         for pdf in batches:
             both = np.array([shared.value.sizes(t) for t in pdf["text"]], np.int64).reshape(-1, 2)
             yield pdf[["h", "doc_id", "q"]].assign(diff=both[:, 0], size=both[:, 1])
+            trim()
 
     got = rows.where("half = 0").select("h", "doc_id", "q", "text").mapInPandas(measured, "h long, doc_id long, q int, diff long, size long").toPandas().sort_values(["q", "h", "doc_id"])
     dropped(rows)
@@ -163,5 +165,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, threshold: float = 0
         own = held.value
         for s in batches:
             yield pd.Series(own.score(s), dtype=float)
+            del s
+            trim()
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
