@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,15 @@ def slices(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
         yield part
 
 
+def arrow_slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Like :func:`slices`, of an Arrow batch: only one slice at a time is ever unpacked into Python's own strings."""
+    size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    cut = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // chars)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a).to_pandas()
+
+
 class Interned(dict):
     """key -> number in the order of first sight; a new key gets the next number."""
 
@@ -70,6 +80,14 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+
+
+def forget() -> None:
+    """Empties the words' hashes and gives the memory back."""
+    _HASHES.clear()
+    trim()
+
+
 #: Odd multipliers, one for each place in a shingle (made by a rule, so that any length works).
 _PLACE = [int(xxhash.xxh3_64_intdigest(f"place {i}")) | 1 for i in range(64)]
 

@@ -27,12 +27,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, dropped, kept_columns, shingle_sets, slices, stored, trim
+from .common import arrow_slices, components, dropped, forget, kept_columns, shingle_sets, slices, stored, trim
 
 #: Shingles that one block of a cluster holds at most (32 MB of hashes); a larger document has its own block.
 BLOCK_SHINGLES = 4_000_000
@@ -405,16 +406,19 @@ def _shared(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
 def _linked(task: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links within each (component, i, j); side 0 against side 1 where both are there, else all of side 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(key, ids, sides, sets, known):
             order = sorted(range(len(ids)), key=lambda x: sides[x])
             split = sides.count(0) if 1 in sides else 0
             for i, j in tree_links([sets[x] for x in order], split, num, den, [known[x] for x in order]):
                 yield ids[order[i]], ids[order[j]]
 
+        def frame(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
         key, ids, sides, sets, known, out = None, [], [], [], [], []
-        for pdf in batches:
-            for part in slices(pdf, CHARS):
+        for batch in batches:
+            for part in arrow_slices(batch, CHARS):
                 s = shingle_sets(part["text"], k)
                 keys = list(zip(part["component"], part["i"], part["j"], strict=True))
                 for x, (doc, side, kn) in enumerate(zip(part["doc_id"], part["side"], part["known"], strict=True)):
@@ -423,17 +427,20 @@ def _linked(task: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         key, ids, sides, sets, known = keys[x], [], [], [], []
                     if len(s[x]):
                         ids.append(doc), sides.append(side), sets.append(s[x]), known.append(kn)
-                del s
+                del s, part, keys
+            del batch
+            forget()
             if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                yield frame(out)
                 out = []
-            trim()
         out += found(key, ids, sides, sets, known)
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        del ids, sides, sets, known
+        trim()
+        yield frame(out)
 
     parts = int(task.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = task.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id")
-    return near.mapInPandas(run, "a long, b long")
+    return near.mapInArrow(run, "a long, b long")
 
 
 def _connecting(texts: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
