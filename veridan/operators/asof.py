@@ -33,10 +33,14 @@ def latest_returns(returns: DataFrame) -> DataFrame:
     return returns.groupBy("order_id").agg(F.max("return_ts").alias("return_ts"))
 
 
+def timed(orders: DataFrame) -> DataFrame:
+    """Orders with ts_sec and cod."""
+    return orders.withColumn("ts_sec", seconds("order_ts")).withColumn("cod", (F.col("payment_mode") == "COD").cast("int"))
+
+
 def resolved(orders: DataFrame, clusters: DataFrame) -> DataFrame:
     """Orders with ts_sec, cod, and the cluster and pincode of their address."""
-    o = orders.withColumn("ts_sec", seconds("order_ts")).withColumn("cod", (F.col("payment_mode") == "COD").cast("int"))
-    return o.join(clusters.select("address_id", "cluster", "pincode"), "address_id", "left")
+    return timed(orders).join(clusters.select("address_id", "cluster", "pincode"), "address_id", "left")
 
 
 def event_stream(orders: DataFrame, returns: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ def _o(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFram
     return w, graph.stored(asof.resolved(w["orders"], features.clusters(w["addresses"])), "resolved")
 
 
+def _plain(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Orders without their doors, for what doesn't ask for these."""
+    w = world(spark, sf_dir)
+    return w, graph.stored(asof.timed(w["orders"]), "orders")
+
+
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -119,7 +125,7 @@ def asof_return_rates(spark, sf_dir):
 
 
 def asof_device(spark, sf_dir):
-    return _rounded(asof.asof_entity(_o(spark, sf_dir)[1], "device_id", "dev"))
+    return _rounded(asof.asof_entity(_plain(spark, sf_dir)[1], "device_id", "dev"))
 
 
 def asof_address(spark, sf_dir):
@@ -131,17 +137,17 @@ def asof_pincode(spark, sf_dir):
 
 
 def asof_phone_neighbours(spark, sf_dir):
-    w, o = _o(spark, sf_dir)
+    w, o = _plain(spark, sf_dir)
     return asof.asof_phone_neighbours(o, w["phones"])
 
 
 def asof_category(spark, sf_dir):
-    w, o = _o(spark, sf_dir)
+    w, o = _plain(spark, sf_dir)
     return _rounded(asof.asof_category(asof.event_stream(o, w["returns"])))
 
 
 def asof_global(spark, sf_dir):
-    return asof.asof_global(_o(spark, sf_dir)[1])
+    return asof.asof_global(_plain(spark, sf_dir)[1])
 
 
 def asof_rates(spark, sf_dir):

@@ -110,6 +110,11 @@ def evaluation_summary(spark, sf_dir):
     return _rounded(metrics.evaluation_summary(_scored(spark, sf_dir), LO, HI), 4)
 
 
+def evaluation_summary_true(spark, sf_dir):
+    """The ceiling: the same scores against the true labels."""
+    return _rounded(metrics.evaluation_summary(_scored(spark, sf_dir), LO, HI, label="is_abuse_true"), 4)
+
+
 def compare_runs(spark, sf_dir):
     s = _scored(spark, sf_dir)
     one, two = (costs.policy_cost(s, LO, HI, label=x) for x in ("is_abuse", "is_abuse_true"))
@@ -244,7 +249,7 @@ def featureset_experiment(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     band_of, batch_view, review_queue, review_queue_stats, order_costs, policy_cost, baseline_costs, cost_curve, band_sweep, select_policy, cost_sensitivity,
-    sensitivity_verdict, pr_auc, roc_auc, brier, precision_at_recall, reliability_bins, recall_by_ring_type, fp_by_population, evaluation_summary, compare_runs,
+    sensitivity_verdict, pr_auc, roc_auc, brier, precision_at_recall, reliability_bins, recall_by_ring_type, fp_by_population, evaluation_summary, evaluation_summary_true, compare_runs,
     dataset_stats, monthly_profile, customer_base_rate, temporal_split, drop_crossing_groups, group_split, carve_validation, dataset_fingerprint,
     unseen_customer_share, fp_profile, featureset_experiment, verify_fingerprint, input_contract,
 )}
@@ -346,3 +351,4 @@ SQL["sensitivity_verdict"] = f"""SELECT count(*) AS n_worlds, bool_and(beats_sin
   bool_and(shipped_beats_nothing) AS all_shipped_beat_nothing, bool_and(band_survives) AS all_bands_survive, round(min(band_lo), 3) AS band_lo_min, round(max(band_lo), 3) AS band_lo_max, round(min(band_hi), 3) AS band_hi_min, round(max(band_hi), 3) AS band_hi_max,
   round(max(regret), 3) AS max_regret, round(min(single_threshold), 3) AS single_threshold_min, round(max(single_threshold), 3) AS single_threshold_max, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT band_survives), '') AS band_collapses,
   arg_max(name, regret) AS max_regret_world, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT beats_single), '') AS loses_to_single FROM (SELECT *, knob || ' ' || setting AS name FROM ({_SINGLE}))"""
+SQL["evaluation_summary_true"] = CTES + SQL["evaluation_summary"][len(CTES) :].replace("is_abuse", "is_abuse_true")
