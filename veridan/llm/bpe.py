@@ -4,10 +4,12 @@ A word is one match of the pre-token pattern. Texts are cut into words once, in
 keeps for each document the numbers of its words in order (its positions), and emits every distinct word it holds
 once, with its number, to the shuffle's bucket of the word; rows are packed, one for each block and bucket. In its
 bucket each distinct word is encoded once, whichever blocks ask. The ids are joined back to the blocks, where each
-document's ids are put together by position. Texts themselves are never shuffled. Decoding joins the table of token
-bytes by id; the table is as large as the vocabulary, never as the data, and goes to all tasks.
+document's ids are put together by position. Neither texts nor positions are ever shuffled. Decoding joins the table of
+token bytes by id; the table is as large as the vocabulary, never as the data, and goes to all tasks.
 
-The cut texts are a written table, so block numbers stay what they are when a task runs again.
+The cut texts are a table written in buckets by block: block numbers stay what they are when a task runs again, and the
+positions are read where the ids of their block arrive. A block numbers the most frequent words of all buckets first,
+then the second ones and so on, so numbers are small and no order needs to be stored.
 
 Defined cases: a null text counts as empty, without ids. Extra columns pass through encode() as long as
 they are not called ``ids``, which is replaced; the text itself can be had back by decode(). Repeated rows give repeated
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Interned, gathered, stored, trim
+from .common import Interned, gathered, stored_by, trim
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a block, about; documents whose words are cut at once; buckets for each shuffle partition.
@@ -80,16 +82,39 @@ def piece_words(piece: str) -> list[str]:
     return [piece] if (piece[1:] if piece[0] == " " else piece).isalpha() else _pattern().findall(piece)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on: the higher ones are mostly zero and compress well."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    """The numbers, as 64-bit ones, whose planes these are."""
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel().astype(np.int64)
+
+
 def _pack(c: zstandard.ZstdCompressor, items: list[bytes]) -> bytes:
     """Byte strings as one: count and lengths, then all bytes, compressed."""
-    return c.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
+    n = len(items)
+    return c.compress(n.to_bytes(4, "little") + _planes(np.fromiter(map(len, items), "<u4", n)) + b"".join(items))
 
 
-def _unpack(packed: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(packed)
+def _opened(d: zstandard.ZstdDecompressor, packed: bytes) -> tuple[np.ndarray, bytes]:
+    """Lengths and bytes of packed strings."""
+    data = d.decompress(packed)
     n = int.from_bytes(data[:4], "little")
-    end = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
-    return [data[a:b] for a, b in zip([4 * (n + 1), *end[:-1].tolist()], end.tolist(), strict=True)] if n else []
+    return _numbers(data[4 : 4 * (n + 1)], "<u4"), data[4 * (n + 1) :]
+
+
+def _unpack(d: zstandard.ZstdDecompressor, packed: bytes) -> list[bytes]:
+    size, data = _opened(d, packed)
+    end = np.cumsum(size)
+    return [data[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)]
+
+
+def _dealt(count: np.ndarray) -> np.ndarray:
+    """Where the words of a block stand, by number, when buckets of ``count`` words follow each other: first words first."""
+    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.argsort(place, kind="stable")
 
 
 def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -111,15 +136,19 @@ class _Block:
             self.chars += len(t or "")
         self.held.append(rest)
 
-    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words, and as runs of word numbers the words of each piece."""
+    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words, how often they stand here, and as runs of word numbers the words of each piece."""
         number, runs, sizes = Interned(), [], []
         for p in self.number:
             own = piece_words(p)
             sizes.append(len(own))
             runs += [number[w] for w in own]
-        size = np.array(sizes, np.int64)
-        return [w.encode("utf-8", "surrogatepass") for w in number], np.array(runs, np.int64), np.cumsum(size) - size, size
+        size, run = np.array(sizes, np.int64), np.array(runs, np.int64)
+        often = np.zeros(len(sizes), np.int64)
+        for p in self.places:
+            np.add.at(often, p, 1)
+        often = np.bincount(run, np.repeat(often, size), len(number))
+        return [w.encode("utf-8", "surrogatepass") for w in number], often, run, np.cumsum(size) - size, size
 
 
 def _cut(schema: T.StructType, text: str, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -127,13 +156,14 @@ def _cut(schema: T.StructType, text: str, buckets: int) -> Callable[[Iterator[pa
     rest = [f.name for f in schema.fields if f.name != text]
 
     def closed(block: _Block, name: int, c: zstandard.ZstdCompressor, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
-        words, runs, start, size = block.words()
+        words, often, runs, start, size = block.words()
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
+        order = np.lexsort((-often, bucket))
+        found, count = np.unique(bucket, return_counts=True)
+        number = np.empty(len(words), np.int64)
+        number[order[_dealt(count)]] = np.arange(len(words))
         kind = "<u2" if len(words) <= 65536 else "<u4"
-        seqs = [c.compress((rank[gathered(runs, start, size, p)] if len(words) else p).astype(kind).tobytes()) for p in block.places]
+        seqs = [c.compress(_planes((number[gathered(runs, start, size, p)] if len(words) else p).astype(kind))) for p in block.places]
         at = 0
         for batch in block.held:
             n = batch.num_rows
@@ -142,9 +172,8 @@ def _cut(schema: T.StructType, text: str, buckets: int) -> Callable[[Iterator[pa
                 [*columns, pa.array([name] * n, pa.int64()), pa.array(seqs[at : at + n], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [*rest, "block", "seq", "bucket", "words"]
             )
             at += n
-        found, first = np.unique(bucket[order], return_index=True)
-        ends = [*first[1:].tolist(), len(words)]
-        packed = [_pack(c, [words[i] for i in order[a:b].tolist()]) for a, b in zip(first.tolist(), ends, strict=True)] if len(words) else []
+        end = np.cumsum(count)
+        packed = [_pack(c, [words[i] for i in order[a:b].tolist()]) for a, b in zip((end - count).tolist(), end.tolist(), strict=True)]
         n = len(packed)
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(n, kinds[r]) for r in rest], pa.array([name] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], [*rest, "block", "seq", "bucket", "words"]
@@ -181,17 +210,17 @@ def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[
     kind = np.dtype("<u2" if len(_ranks(path)) <= 65536 else "<u4")
     own = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name in rest]
     cut_schema = T.StructType([*own, *T.StructType.fromDDL("block long, seq binary, bucket int, words binary").fields])
-    cut = stored(docs.mapInArrow(_cut(docs.schema, text, parts * SPREAD), cut_schema), "bpe-blocks")
+    cut = stored_by(docs.mapInArrow(_cut(docs.schema, text, parts * SPREAD), cut_schema), "bpe-blocks", "block")
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, done, c = None, {}, zstandard.ZstdCompressor(level=3)
+        bucket, done, c, d = None, {}, zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         single = _encoding(path)._encode_single_piece
         for pdf in batches:
             out = []
             for k, packed_words in zip(pdf["bucket"], pdf["words"], strict=True):
                 if k != bucket or len(done) > KEPT_WORDS:
                     bucket, done = k, {}
-                ws = _unpack(packed_words)
+                ws = _unpack(d, packed_words)
                 for w in ws:
                     if w not in done:
                         done[w] = np.array(single(w), kind).tobytes()
@@ -206,16 +235,16 @@ def _encoded(docs: DataFrame, ranks: str | None, kind_of: str, finish: Callable[
         table = table.sort_by("bucket")
         sizes, flats = [np.empty(0, np.int64)], [np.empty(0, kind)]
         for packed_ids in table.column("ids").to_pylist():
-            data = d.decompress(packed_ids)
-            n = int.from_bytes(data[:4], "little")
-            sizes.append(np.frombuffer(data, "<u4", n, 4).astype(np.int64) // kind.itemsize)
-            flats.append(np.frombuffer(data, kind, -1, 4 * (n + 1)))
+            size, data = _opened(d, packed_ids)
+            sizes.append(size // kind.itemsize)
+            flats.append(np.frombuffer(data, kind))
         size, flat = np.concatenate(sizes), np.concatenate(flats)
-        start, wide = np.cumsum(size) - size, "<u2" if len(size) <= 65536 else "<u4"
+        at = _dealt(np.array([len(s) for s in sizes]))
+        start, size, wide = (np.cumsum(size) - size)[at], size[at], "<u2" if len(size) <= 65536 else "<u4"
         columns = []
         for i in range(0, held.num_rows, AT_ONCE):
-            seqs = [np.frombuffer(d.decompress(s), wide) for s in held.column("seq").slice(i, AT_ONCE).to_pylist()]
-            columns.append(finish([gathered(flat, start, size, s.astype(np.int64)) for s in seqs]))
+            seqs = [_numbers(d.decompress(s), wide) for s in held.column("seq").slice(i, AT_ONCE).to_pylist()]
+            columns.append(finish([gathered(flat, start, size, s) for s in seqs]))
         out = held.select(rest)
         for name in made.names:
             out = out.append_column(name, pa.chunked_array([c[name] for c in columns]))

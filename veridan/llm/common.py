@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import connected_components as components
-from ..operators.tables import dropped, scratch, stored  # noqa: F401
+from ..operators.tables import dropped, scratch, stored, stored_by  # noqa: F401
 
 
 def kept_columns(df: DataFrame, *names: str) -> DataFrame:
