@@ -40,13 +40,19 @@ def slices(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def arrow_slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Like :func:`slices`, of an Arrow batch: only one slice at a time is ever unpacked into Python's own strings."""
+def arrow_parts(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Like :func:`slices`, of an Arrow batch."""
     size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
     cut = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // chars)) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
         if b > a:
-            yield batch.slice(a, b - a).to_pandas()
+            yield batch.slice(a, b - a)
+
+
+def arrow_slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Like :func:`arrow_parts`; only one slice at a time is ever unpacked into Python's own strings."""
+    for part in arrow_parts(batch, chars):
+        yield part.to_pandas()
 
 
 class Interned(dict):

@@ -24,14 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Interned, dropped, gathered, kept_columns, scratch, slices, trim
+from .common import Interned, arrow_parts, dropped, gathered, kept_columns, scratch, trim
 
 SCALE_BITS, LANES, CHECKPOINT, BLOCK = 20, 4096, 64, 1 << 20
 END_ID = 1
+#: Characters of texts whose pieces are looked up at once.
+AT_ONCE = 8_000_000
 _LOW = np.uint64(1 << 32)
 
 
@@ -126,24 +130,29 @@ class Coder:
 #: Letters and digits that stay what they are under NFC and lower-casing, alone and before any mark: after one of
 #: them, and only there, the text is cut before punctuation without asking the tokenizer.
 _PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_PLAIN_SET = frozenset(c for c in map(chr, range(256)) if re.fullmatch(f"[{_PLAIN}]", c))
-_TAILED = re.compile(rf"(.*[{_PLAIN}])([.,!?;:*&%$#|]+)", re.DOTALL)
+_TAIL = rf"([{_PLAIN}])([.,!?;:*&%$#|]+)(\s|$)"
+#: Marks, which may make one letter with the letter before them (and what else shares their first byte in UTF-8).
+_MARKS = "[\u0300-\u037f]"
+#: Words that normalising and cutting leave as they are.
+_LOWER = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class Pieces:
     """Ids of white-space-delimited pieces by the tokenizers library, kept for the pieces in use.
 
     For a tokenizer that drops white space, and whose pre-tokens don't cross it, the ids of a text are those
-    of its pieces. A tail of punctuation after a plain letter or digit is a pre-token of its own. Words of
-    letters only are encoded many at a time, as one text; each ends with a token that marks a word's end.
-    A piece is looked up once for each time it occurs; its ids stand in one array for all pieces.
+    of its pieces. A tail of punctuation after a plain letter or digit is a pre-token of its own, so it is cut
+    off. Texts are cut and their distinct pieces found by Arrow; each of them is looked up once a call, however
+    often it occurs. Its ids stand in one array for all pieces. Words of plain letters are encoded by the model
+    itself, other words of letters many at a time, as one text; each ends with a token that marks a word's end.
     """
 
-    #: Pieces that are kept; beyond them all go that the last call didn't use.
+    #: Pieces that are kept; beyond them all go that only one call used, and not the last one.
     limit = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
@@ -151,15 +160,18 @@ class Pieces:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.as_bytes = {c: as_bytes(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.index = Interned()
         self.flat, self.start, self.size = np.empty(0, "<u2"), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.used = np.empty(0, np.int64)
+        self.calls, self.used = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        keys, keep = list(self.index), np.unique(self.used)
+        self.calls[self.used] += 1
+        keys, keep = list(self.index), np.flatnonzero(self.calls > 1)
         self.index = Interned((keys[i], n) for n, i in enumerate(keep.tolist()))
         self.flat, self.size = gathered(self.flat, self.start, self.size, keep), self.size[keep]
-        self.start = np.cumsum(self.size) - self.size
+        self.start, self.calls = np.cumsum(self.size) - self.size, np.zeros(len(keep), np.int64)
 
     def _added(self, ids: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> None:
         """The runs of ``ids`` as those of the pieces ``at``."""
@@ -167,13 +179,12 @@ class Pieces:
         self.start[at], self.size[at] = len(self.flat) + end - lengths, lengths
         self.flat = np.concatenate([self.flat, ids])
 
-    def _together(self, words: list[bytes], at: np.ndarray) -> list[int]:
+    def _together(self, words: list[str], at: np.ndarray) -> list[int]:
         """Encodes words of letters as one text each 20,000; places in ``words`` of those for which that didn't do."""
         left = []
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            text = b" ".join(part).decode("utf-8", "surrogatepass")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 self._added(ids, at[i : i + 20_000], np.diff(ends, prepend=0))
@@ -181,64 +192,53 @@ class Pieces:
                 left += range(i, i + len(part))
         return left
 
-    def _one_by_one(self, words: list[bytes], at: np.ndarray) -> None:
-        """Encodes words of the letters a-z, which normalising and cutting leave as they are, by the model itself."""
+    def _one_by_one(self, words: list[str], at: np.ndarray) -> None:
+        """Encodes words that normalising and cutting leave as they are by the model itself."""
         ids, sizes = [], []
         for w in words:
-            own = [t.id for t in self.model.tokenize(w.decode())]
-            ids += own
+            own = self.model.tokenize(w if w.isascii() else w.translate(self.as_bytes))
+            ids += [t.id for t in own]
             sizes.append(len(own))
         self._added(np.array(ids, "<u2"), at, np.array(sizes, np.int64))
 
-    def _learn(self, known: int) -> None:
-        new = list(self.index)[known:]
-        more = np.zeros(len(new), np.int64)
-        self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
-        letters = [i for i, w in enumerate(new) if w.isalpha() and w.islower()]
-        self._one_by_one([new[i] for i in letters], np.array(letters, np.int64) + known)
-        others = sorted(set(range(len(new))).difference(letters))
-        plain = [i for i in others if new[i].decode("utf-8", "surrogatepass").isalpha()]
-        left = self._together([new[i] for i in plain], np.array(plain, np.int64) + known)
-        rest = sorted(set(others).difference(plain).union(plain[i] for i in left))
-        parts = []
-        for i in rest:
-            m = None if new[i].isalnum() else _TAILED.fullmatch(new[i].decode("utf-8", "surrogatepass"))
-            parts.append((new[i],) if m is None else tuple(x.encode("utf-8", "surrogatepass") for x in m.groups()))
-        wanted = list({c for q in parts for c in q})
-        got: dict[bytes, list[int]] = {}
-        for i in range(0, len(wanted), 10_000):
-            part = wanted[i : i + 10_000]
-            every = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            got.update((w, e.ids) for w, e in zip(part, every, strict=True))
-        ids = [[x for c in q for x in got[c]] for q in parts]
-        self._added(np.array([x for own in ids for x in own], "<u2"), np.array(rest, np.int64) + known, np.array(list(map(len, ids)), np.int64))
+    def _learn(self, new: list[bytes], known: int) -> None:
+        words, more = b"\n".join(new).decode().split("\n"), np.zeros(len(new), np.int64)
+        self.start, self.size, self.calls = (np.concatenate([x, more]) for x in (self.start, self.size, self.calls))
+        lower, plain, rest = [], [], []
+        for i, w in enumerate(words):
+            (lower if _LOWER.fullmatch(w) else plain if w.isalpha() else rest).append(i)
+        self._one_by_one([words[i] for i in lower], np.array(lower, np.int64) + known)
+        left = self._together([words[i] for i in plain], np.array(plain, np.int64) + known)
+        rest += [plain[i] for i in left]
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            every = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)]
+            self._added(np.array([x for own in every for x in own], "<u2"), np.array(part, np.int64) + known, np.array(list(map(len, every)), np.int64))
 
     @staticmethod
-    def _split(text: str) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass")
-        # 0xCC and 0xCD lead the marks U+0300 to U+036F, which may make one letter with the letter before them.
-        if b"\xcc" not in data and b"\xcd" not in data:
-            data = data.lower()
-        # A full stop or comma that follows something else may be one pre-token with it.
-        if _PLAIN_SET.issuperset([p[-1:] for p in text.split(".")[:-1]]) and _PLAIN_SET.issuperset([p[-1:] for p in text.split(",")[:-1]]):
-            # After a plain letter or digit a full stop or comma is a pre-token of its own: far fewer pieces differ.
-            data = data.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ").replace(b",\n", b" , ")
-        return data.split()
-
-    def ids(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
+    def _split(texts: pa.Array) -> pa.Array:
+        """The pieces of each text."""
+        texts = pc.if_else(pc.match_substring_regex(texts, _MARKS), texts, pc.ascii_lower(texts))
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, pattern=_TAIL, replacement=r"\1 \2\3"))
+
+    def ids(self, texts: pa.Array | list[str | None], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text, with ``end`` after them if given."""
         if len(self.index) > self.limit:
             self._forget()
-        known, number = len(self.index), self.index.__getitem__
-        places = []
-        for t in texts:
-            s = self._split(t) if t else []
-            places.append(np.fromiter(map(number, s), np.int64, len(s)))
-        if len(self.index) > known:
-            self._learn(known)
-        self.used = np.concatenate(places) if places else np.empty(0, np.int64)
-        every = gathered(self.flat, self.start, self.size, self.used)
-        ends = np.concatenate([[0], np.cumsum(self.size[self.used])])[np.cumsum([0, *map(len, places)])]
+        split = self._split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = len(self.index)
+        self.used = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        fresh = np.flatnonzero(self.used >= known).tolist()  # numbered in this order
+        if fresh:
+            self._learn([pieces[i] for i in fresh], known)
+        self.calls[self.used] += 1
+        size = self.size[self.used]
+        flat, places = gathered(self.flat, self.start, self.size, self.used), coded.indices.to_numpy()
+        every = gathered(flat, np.cumsum(size) - size, size, places)
+        count = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(size[places])])[np.cumsum(np.concatenate([[0], count]))]
         if end is not None:
             every = np.insert(every, ends[1:], end)
             ends = ends + np.arange(len(ends))
@@ -256,21 +256,21 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: i
     own = kept_columns(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     own = own.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _PIECES:
             _PIECES[tokenizer] = Pieces(tokenizer)
         pieces = _PIECES[tokenizer]
         shard, no, names, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            return pd.DataFrame(
-                {"shard": [shard], "block": [no], "doc_ids": [names], "lengths": [[len(i) for i in ids]], "ids": [np.concatenate(ids).astype("<u2").tobytes()]}
-            )
-
-        for pdf in batches:
-            for part in slices(pdf):
-                for name, own_ids in zip(part["doc_id"], pieces.ids(part["text"].tolist(), end_id), strict=True):
-                    names.append(None if pd.isna(name) else int(name))
+            lengths, data = [len(i) for i in ids], np.concatenate(ids).astype("<u2").tobytes()
+            kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "ids": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, no, names, lengths, data), kinds.values(), strict=True)], list(kinds))
+
+        for batch in batches:
+            for part in arrow_parts(batch, AT_ONCE):
+                for name, own_ids in zip(part["doc_id"].cast(pa.int64()).to_pylist(), pieces.ids(part["text"], end_id), strict=True):
+                    names.append(name)
                     ids.append(own_ids)
                     size += len(own_ids)
                     if size >= block:
@@ -280,7 +280,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block: i
         if names:
             yield row()
 
-    return own.mapInPandas(run, "shard int, block int, doc_ids array<long>, lengths array<int>, ids binary")
+    return own.mapInArrow(run, "shard int, block int, doc_ids array<long>, lengths array<int>, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 1 << 16, end_id: int = END_ID) -> None:
