@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_risk import _at, _world
 from veridan.operators import asof, features
 from veridan.operators.tables import passing, stored
+from veridan.queries import scoring_queries
 
 
 def _tables(spark) -> set[str]:
@@ -46,3 +47,12 @@ def test_parts_are_dealt_by_order_id_once(spark):
     joined.collect()
     assert joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
     assert joined.where("x <> y OR x <> z").count() == 0 and joined.count() == 50
+
+def test_scoring_keeps_frame_and_model_only(spark, sf, tmp_path):
+    for name in ("orders", "lineitem", "part", "customer"):  # a folder that no earlier test has fitted
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = _tables(spark)
+    frame, columns, m = scoring_queries._fitted(spark, str(tmp_path))
+    assert {x.split("-")[0] for x in _tables(spark) - before} == {"scoring"}
+    assert frame.count() == spark.read.parquet(f"{sf}/orders.parquet").where("o_orderpriority NOT IN ('1-URGENT', '2-HIGH')").count() == frame.select("order_id").distinct().count()
+    assert set(columns) < set(frame.columns) and m.getNumTrees == 20
