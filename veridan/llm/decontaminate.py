@@ -6,8 +6,8 @@ the benchmark are joined with the seeds of every document. Around each hit the i
 laid side by side; the pair counts if a window of ``WINDOW`` words (the whole item if it is shorter) about
 the hit agrees in at least ``AGREE`` of its places.
 
-Documents are read once, never shuffled as a whole and never multiplied by their positions: a bitmap of bounded size,
-made from the benchmark's seeds, first picks the positions whose seed may occur; only those become rows, each with the
+Documents are read once and never shuffled as a whole. Their positions are tested in one compiled step against a bitmap of
+bounded size, made from the benchmark's seeds; only those whose seed may occur leave that step, each with the
 bounded stretch of words that verification needs. A seed's row is its hash, item and position; up to
 ``SEEDS_AT_ONCE`` of them, counted first, are broadcast, more are joined by a shuffle of the picked positions. The items'
 words join the hits by item, in stretches about a position of the same bounded length, and only (document, item)
@@ -106,35 +106,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     for no, sizes in enumerate(further.values(), len(masks)):
         serves |= (F.col("no") == no) & F.col("b_size").isin(sizes)
     at = at.where("b_seed IS NOT NULL").where(serves).drop("no")
-    marked = own.withColumns({"bits": _bitmap(at, n_bits), "vocabulary": _vocabulary(items, n_words)})
-    marked = marked.withColumn("known", F.expr(f"transform(words, w -> get(vocabulary, int(w & {n_words - 1})))"))
+    bits, vocabulary = _bitmap(at, n_bits), _vocabulary(items, n_words)
+    # Positions become rows only inside one compiled step that tests them, and leave it where a seed may occur. (Tests in a
+    # function over an array would not be compiled, nor would a test spelled out for each mask, which grows too long for the JVM:
+    # so masks are rows too, with the distances of the places that they count; a place that a mask lacks is null, and hashes skip nulls.)
+    # explode_outer: for an inner explode Spark would infer a filter that cuts every text into words twice.
+    here = own.select("doc_id", "words", "size", F.explode_outer(F.expr("if(size > 0, sequence(0, size - 1), null)")).alias("pos"))
+    counted = [[k for k, c in enumerate(mask) if c == "1"] for mask in every]
+    most = max(map(len, counted))
+    of = lambda no: [F.lit(k).cast("int") for k in [*counted[no], *[None] * (most - len(counted[no]))]]
+    every_mask = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(len(m)).alias("len"), *[c.alias(f"k{i}") for i, c in enumerate(of(no))]) for no, m in enumerate(every)])
+    here = here.select("doc_id", "words", "size", "pos", F.explode(every_mask).alias("m"))
     # A seed is hashed only where all of its words are the benchmark's.
-    tests = []
-    for no, mask in enumerate(every):
-        places = " and ".join(f"get(known, i + {k})" for k, c in enumerate(mask) if c == "1")
-        seed = _seed("words", "i", mask, no)
-        bit = f"(shiftright(get(bits, int(shiftrightunsigned({seed}, 6) & {n_bits - 1})), int({seed} & 63)) & 1L) = 1L"
-        tests.append(f"({places} and {bit})")
-    # explode_outer: for an inner explode Spark would infer a filter that does all the work twice.
-    near = marked.select("doc_id", "size", F.explode_outer(F.expr(
-        f"transform(filter(sequence(0, size - 1), i -> {' or '.join(tests)}), i -> struct(i as pos, greatest(0, i - {window}) as lo,"
-        f" slice(words, greatest(0, i - {window}) + 1, {2 * window + longest}) as words))"
-    )).alias("n")).where("n IS NOT NULL")
-    near = near.select("doc_id", "size", "n.pos", "n.lo", "n.words")
-    near = near.select("doc_id", "size", "pos", "lo", "words", F.explode(_seeds("words", "(pos - lo)", every, "(size - lo)")).alias("seed"))
-    near = near.where("seed IS NOT NULL")
+    may = F.col("pos") + F.col("m.len") <= F.col("size")
+    for i in range(most):
+        known = F.get(vocabulary, F.expr(f"int(get(words, pos + m.k{i}) & {n_words - 1})"))
+        may &= known if all(len(c) > i for c in counted) else F.coalesce(known, F.col(f"m.k{i}").isNull())
+    seed = F.expr(f"xxhash64(m.no, {', '.join(f'get(words, pos + m.k{i})' for i in range(most))})")
+    word = F.get(bits, F.shiftrightunsigned(seed, 6).bitwiseAND(F.lit(n_bits - 1)).cast("int"))
+    may &= F.call_function("shiftright", word, seed.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    near = here.where(may).withColumn("lo", F.expr(f"greatest(0, pos - {window})"))
+    near = near.select("doc_id", "size", "pos", "lo", F.expr(f"slice(words, lo + 1, {2 * window + longest})").alias("words"), seed.alias("seed"))
     hit = near.join(F.broadcast(at) if total <= SEEDS_AT_ONCE else at, F.col("seed") == F.col("b_seed"))
     # Places of the item that lie inside the document and near the hit.
     hit = hit.withColumn("shift", F.expr("pos - b_pos")).withColumn("w", F.least(F.lit(window), "b_size"))
     hit = hit.withColumn("first", F.expr(f"greatest(0, b_pos - {window}, -shift)"))
     hit = hit.withColumn("last", F.expr(f"least(b_size, size - shift, b_pos + {window + longest}, lo - shift + size(words)) - 1"))
     hit = hit.where("last - first + 1 >= w").join(F.broadcast(stretch) if n_places <= STRETCHES_AT_ONCE else stretch, (F.col("b_key") == F.col("s_key")) & (F.col("b_pos") == F.col("s_pos")))
-    hit = hit.withColumn("same", F.expr("transform(sequence(first, last), t -> if(get(words, t + shift - lo) = get(s_words, t - b_lo), 1, 0))"))
+    # As rows of a generator these are worked out once a hit: Spark would write ``same`` into every window of ``best``, and both
+    # into the join's condition. A hit whose whole stretch agrees too little has no window that does.
+    once = lambda c, name: F.explode_outer(F.array(c)).alias(name)
+    need = F.ceil(F.col("w") * F.lit(agree))
+    same = F.expr("transform(sequence(first, last), t -> if(get(words, t + shift - lo) = get(s_words, t - b_lo), 1, 0))")
+    hit = hit.select("doc_id", F.col("b_item").alias("item_id"), "w", "first", "shift", once(same, "same"))
+    hit = hit.where(F.expr("aggregate(same, 0, (a, x) -> a + x)") >= need)
     best = F.expr(
         "array_max(transform(sequence(0, size(same) - w), s -> "
         "named_struct('n', aggregate(slice(same, s + 1, w), 0, (a, x) -> a + x), 'neg', -s - first - shift)))"
     )
-    hit = hit.select("doc_id", F.col("b_item").alias("item_id"), "w", best.alias("best")).where(F.col("best.n") >= F.ceil(F.col("w") * F.lit(agree)))
+    hit = hit.select("doc_id", "item_id", "w", once(best, "best")).where(F.col("best.n") >= need)
     hit = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("best.n", "w", "best.neg")).alias("m"))
     return hit.select("doc_id", "item_id", F.col("m.n").alias("matched"), F.col("m.w").alias("compared"), (-F.col("m.neg")).alias("start"))
 
